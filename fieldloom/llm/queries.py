@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import bpe
+from fieldloom.llm import bpe, exact_dedup, token_counts, url_filter
+from fieldloom.llm.common import shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +20,60 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+#: Fixed values of the contract.
+RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), RULES)
+
+
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new index, filled by one call."""
+    index = exact_dedup.DigestIndex(spark, f"fieldloom_digests_{uuid.uuid4().hex}")
+    return index.deduplicate(table(spark, sf_dir, "documents"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new cache, filled by one call."""
+    cache = token_counts.CountCache(spark, f"{shared_dir(spark)}/fieldloom-counts-{uuid.uuid4().hex}")
+    return cache.count(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe_codec": op4_bpe_codec,
+    "op6_url_filter": op6_url_filter,
+    "op8_exact_dedup": op8_exact_dedup,
+    "op9_token_counts": op9_token_counts,
+}
+
+
+def _url_sql(rounds: int = 8, follow: float = 0.85) -> str:
+    rules = ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in RULES)
+    away = url_filter.HREF.replace("'", "''")
+    host = lambda u: f"translate(regexp_extract(coalesce({u}, ''), '{url_filter.HOST}', 1), '{url_filter.UPPER}', '{url_filter.LOWER}')"
+    steps = "".join(
+        f""", s{k + 1} AS MATERIALIZED (SELECT host, sum(trust) AS trust, sum(distrust) AS distrust FROM (SELECT * FROM s0
+        UNION ALL SELECT dst, trust * n / out_n * {follow}, 0.0 FROM shares JOIN s{k} ON src = host
+        UNION ALL SELECT src, 0.0, distrust * n / in_n * {follow} FROM shares JOIN s{k} ON dst = host) GROUP BY host)"""
+        for k in range(rounds)
+    )
+    return f"""WITH rules(verdict, rule, rule_host, rule_path) AS (VALUES {rules}),
+    parts AS MATERIALIZED (SELECT page_id, {host("url")} AS host, regexp_extract(coalesce(url, ''), '{url_filter.PATH}', 1) AS path FROM pages),
+    best AS MATERIALIZED (SELECT page_id, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rule)) AS ruled FROM parts JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id),
+    votes AS MATERIALIZED (SELECT host, sum(CASE ruled WHEN 'block' THEN 1 ELSE -1 END) > 0 AS bad FROM parts JOIN best USING (page_id) GROUP BY host),
+    s0 AS MATERIALIZED (SELECT host, CASE WHEN bad THEN 0 ELSE 1.0 / sum((NOT bad)::INT) OVER () END * (1 - {follow}) AS trust, CASE WHEN bad THEN 1.0 / sum(bad::INT) OVER () ELSE 0 END * (1 - {follow}) AS distrust FROM votes),
+    hrefs AS (SELECT {host("url")} AS src, regexp_replace(unnest(regexp_extract_all(coalesce(html, ''), '{away}', 1)), '^//', 'http://') AS href FROM pages),
+    links AS (SELECT src, {host("href")} AS dst, count(*) AS n FROM hrefs GROUP BY ALL HAVING src <> '' AND dst <> '' AND src <> dst),
+    shares AS MATERIALIZED (SELECT src, dst, n, sum(n) OVER (PARTITION BY src) AS out_n, sum(n) OVER (PARTITION BY dst) AS in_n FROM links){steps}
+    SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN round(coalesce(distrust, 0), 9) > round(coalesce(trust, 0), 9) THEN 'block' ELSE 'allow' END) AS verdict,
+        round(coalesce(trust, 0), 9)::DOUBLE AS trust, round(coalesce(distrust, 0), 9)::DOUBLE AS distrust
+    FROM parts LEFT JOIN best USING (page_id) LEFT JOIN s{rounds} USING (host)"""
+
+
+SQL: dict[str, str] = {
+    "op6_url_filter": _url_sql(),
+    "op8_exact_dedup": r"""WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
+        g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size, sha256(t) AS text_sha256 FROM n GROUP BY t)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM n JOIN g USING (t)""",
 }
-SQL: dict[str, str] = {}
