@@ -84,7 +84,7 @@ def pieces(docs: DataFrame, longest: int, tokens: str = "n_tokens") -> DataFrame
     return found.select("doc_id", "piece", start.alias("start"), F.least(F.lit(longest), F.col("n") - start).cast("long").alias("size"))
 
 
-def pack(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, overhead: float = 16.0, shard_tokens: int = 2_000_000, tokens: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, overhead: float = 16.0, shard_tokens: int = 1_000_000, tokens: str | None = None) -> DataFrame:
     """Per piece doc_id, piece, start, size, bin (unique), offset in the bin, bin_length, bin_used.
 
     Sizes count whitespace-separated words, or come from the column `tokens`."""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import bpe, exact_dedup, packing, quality, token_counts, toxicity, url_filter
+from fieldloom.llm import bpe, exact_dedup, ngram_join, packing, quality, token_counts, toxicity, url_filter
 from fieldloom.llm.common import shared_dir
 
 
@@ -53,6 +53,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.count(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_resampling": op2_quality_resampling,
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity_chain": op7_toxicity_chain,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_token_counts": op9_token_counts,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
 
