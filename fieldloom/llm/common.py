@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,17 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def shipped(spark: SparkSession) -> None:
+    """Gives the executors this package, once a session: their Python may not have it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_fieldloom_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='fieldloom-')}/fieldloom", "zip", package.parent, package.name)
+    sc.addPyFile(archive)
+    sc._fieldloom_shipped = True
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back, so that later steps neither repeat nor lose its work."""
     spark = df.sparkSession

@@ -8,11 +8,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import bpe, exact_dedup, ngram_join, packing, quality, token_counts, toxicity, url_filter
-from fieldloom.llm.common import shared_dir
+from fieldloom.llm import bpe, exact_dedup, ngram_join, packing, quality, rp_forest, token_counts, toxicity, url_filter
+from fieldloom.llm.common import shared_dir, shipped
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    shipped(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -24,6 +25,10 @@ def op2_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp_forest.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -60,6 +65,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_resampling": op2_quality_resampling,
+    "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_bpe_codec": op4_bpe_codec,
     "op6_url_filter": op6_url_filter,
     "op7_toxicity_chain": op7_toxicity_chain,
