@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import bpe, exact_dedup, ngram_join, packing, quality, rp_forest, token_counts, toxicity, url_filter
+from fieldloom.llm import bpe, exact_dedup, lm_scoring, ngram_join, packing, quality, rp_forest, token_counts, toxicity, url_filter
 from fieldloom.llm.common import shared_dir, shipped
 
 
@@ -37,6 +37,10 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/")]
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), RULES)
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_resampling": op2_quality_resampling,
     "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_bpe_codec": op4_bpe_codec,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_url_filter": op6_url_filter,
     "op7_toxicity_chain": op7_toxicity_chain,
     "op8_exact_dedup": op8_exact_dedup,
