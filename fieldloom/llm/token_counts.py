@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,12 +117,21 @@ class CountCache:
         rows = stored(texts.select("doc_id", "content", F.octet_length("text").cast("long").alias("n_bytes")), "contents")
         first = rows.groupBy("content").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("key"))
         misses = first.join(self.of(tokenizer), "content", "left_anti")
-        encode = texts.withColumn("key", F.coalesce("doc_id", F.lit(-1))).join(misses.hint("merge"), ["key", "content"], "left_semi").select("content", "text")
+
+        def smaller(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            zip_ = zstandard.ZstdCompressor(level=1).compress
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("content"), pa.array([zip_(t.as_buffer()) for t in batch.column("text")], pa.binary())], ["key", "content", "text"])
+
+        # Texts are shuffled to their misses by key: compressed, as that is all this job writes of size.
+        zipped = texts.select(F.coalesce("doc_id", F.lit(-1)).alias("key"), "content", F.col("text").cast("binary").alias("text")).mapInArrow(smaller, "key long, content string, text binary")
+        encode = zipped.join(misses.hint("merge"), ["key", "content"], "left_semi").select("content", "text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            c = counter(path, pattern)
+            c, unzip = counter(path, pattern), zstandard.ZstdDecompressor().decompress
             for batch in batches:
-                yield pa.RecordBatch.from_arrays([batch.column("content"), pa.array(c.counts(batch.column("text").to_pylist()), pa.int64())], ["content", "n_tokens"])
+                texts = [str(unzip(t.as_buffer()), "utf-8", "replace") if len(t.as_buffer()) else "" for t in batch.column("text")]
+                yield pa.RecordBatch.from_arrays([batch.column("content"), pa.array(c.counts(texts), pa.int64())], ["content", "n_tokens"])
 
         # Rows that repeat a doc_id and its text miss together; they count once.
         self.append(encode.mapInArrow(run, "content string, n_tokens long").groupBy("content").agg(F.max("n_tokens").alias("n_tokens")), tokenizer)
