@@ -1,10 +1,479 @@
-"""Registered queries of the capture-graph operators, with their SQL."""
+"""Registered queries of the capture-graph operators, with their SQL.
+
+Roles of the tables: events are frames (user_id the source, ts the time, value the quality); lineitem
+is a bipartite track table (l_orderkey the image, l_partkey the point, l_suppkey the capture); embeddings
+are points (the first components are coordinates). Aggregates are rounded alike on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from fieldloom.functions import expr
+from fieldloom.operators import graph, robust, select, spatial, temporal
+from fieldloom.plans import stages
+from fieldloom.streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as frames: t in seconds."""
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", "user_id", "event_type", "value", "props", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+
+
+T = "epoch_us(ts) / 1e6"
+
+
+@query(f"""WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS capture, value FROM events),
+    s AS (SELECT user_id, abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY capture)) AS step FROM e QUALIFY step IS NOT NULL),
+    m AS (SELECT user_id, count(*) AS n, quantile_cont(step, 0.5) AS median, quantile_cont(step, 0.95) AS p95 FROM s GROUP BY 1),
+    d AS (SELECT user_id, quantile_cont(abs(step - median), 0.5) AS mad FROM s JOIN m USING (user_id) GROUP BY 1),
+    g AS (SELECT *, round(greatest(3.0::DOUBLE * median, median + 6 * mad, 1e-9), 6) AS threshold FROM m JOIN d USING (user_id))
+    SELECT user_id, n, round(median, 6) AS median, round(p95, 6) AS p95, round(mad, 6) AS mad, threshold, count(*) FILTER (step > threshold) AS jumps, round(max(step), 6) AS largest,
+    count(*) FILTER (step > threshold) = 0 AS passed FROM s JOIN g USING (user_id) GROUP BY ALL""")
+def trajectory_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of each source, robust threshold, jumps."""
+    f = frames(spark, sf_dir).withColumn("capture", F.row_number().over(Window.partitionBy("user_id").orderBy("t")))
+    g = robust.trajectory_gate(robust.trajectory_steps(f, "user_id", "capture", ["value"]), "user_id", ratio=3.0, digits=6)
+    return g.select("user_id", "n", *(F.round(c, 6).alias(c) for c in ("median", "p95", "mad")), "threshold", "jumps", F.round("largest", 6).alias("largest"), "passed")
+
+
+_PROBE = f"""p AS (SELECT event_id, user_id, {T} AS t FROM events WHERE event_type = 'error'),
+    b AS (SELECT event_id AS m_event_id, user_id, {T} AS m_t FROM events WHERE event_type <> 'error')"""
+
+
+@query(f"""WITH {_PROBE}, l AS (SELECT p.*, b.m_event_id AS l_id, b.m_t AS l_t FROM p ASOF LEFT JOIN b ON p.user_id = b.user_id AND p.t >= b.m_t),
+    r AS (SELECT p.event_id, b.m_event_id AS r_id, b.m_t AS r_t FROM p ASOF LEFT JOIN b ON p.user_id = b.user_id AND p.t <= b.m_t)
+    SELECT event_id, user_id, CASE WHEN r_t IS NULL OR t - l_t <= r_t - t THEN l_id ELSE r_id END AS m_event_id FROM l JOIN r USING (event_id)""")
+def asof_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest in time, ties to the earlier."""
+    f = frames(spark, sf_dir)
+    return temporal.asof(f.where("event_type = 'error'").select("event_id", "user_id", "t"), f.where("event_type <> 'error'"), "user_id", "t", ["event_id"]).select("event_id", "user_id", "m_event_id")
+
+
+@query(f"""WITH {_PROBE}, x AS (SELECT user_id, max_by(m_event_id, m_t) AS last_id FROM b GROUP BY 1),
+    r AS (SELECT p.*, b.m_event_id FROM p ASOF LEFT JOIN b ON p.user_id = b.user_id AND p.t <= b.m_t)
+    SELECT event_id, user_id, coalesce(m_event_id, last_id) AS m_event_id FROM r LEFT JOIN x USING (user_id)""")
+def asof_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first at or after, else the last."""
+    f = frames(spark, sf_dir)
+    return temporal.asof(f.where("event_type = 'error'").select("event_id", "user_id", "t"), f.where("event_type <> 'error'"), "user_id", "t", ["event_id"], "forward").select("event_id", "user_id", "m_event_id")
+
+
+@query(f"""WITH p AS (SELECT event_id, user_id, {T} AS t FROM events WHERE event_type = 'error'), b AS (SELECT user_id, {T} AS t, value FROM events)
+    SELECT p.event_id, p.user_id, count(b.t) AS n, round(quantile_cont(b.value, 0.5), 6) AS value FROM p LEFT JOIN b ON p.user_id = b.user_id AND abs(b.t - p.t) <= 7200 GROUP BY 1, 2""")
+def band_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median of what lies within two hours."""
+    f = frames(spark, sf_dir)
+    return temporal.band_median(f.where("event_type = 'error'"), f, "user_id", "t", ["value"], 7200.0, "event_id").withColumn("value", F.round("value", 6))
+
+
+_OFFSETS = f"""e AS (SELECT event_id, user_id, event_type, {T} AS t, value FROM events),
+    r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY t) AS k FROM e),
+    pairs AS (SELECT a.user_id % 10 AS g, a.event_id AS ord, (b.t - a.t) / 86400 AS off, greatest(1, floor(a.value))::DOUBLE AS w FROM r a JOIN r b ON a.user_id = b.user_id AND a.k = b.k AND a.event_type = 'view' AND b.event_type = 'click'),
+    bins AS (SELECT g, floor(off) AS bin, sum(w) AS w, count(*) AS n, min(ord) AS seen FROM pairs GROUP BY 1, 2),
+    s AS (SELECT *, sum(w) OVER (PARTITION BY g ORDER BY bin RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS support FROM bins),
+    best AS (SELECT g, bin AS best, support FROM s QUALIFY row_number() OVER (PARTITION BY g ORDER BY support DESC, seen) = 1),
+    q AS (SELECT s.g, sum(n)::BIGINT AS n, sum(w) AS total, best, best.support, coalesce(max(s.support) FILTER (abs(bin - best) > 2), 0) AS second FROM s JOIN best ON s.g = best.g GROUP BY s.g, best, best.support),
+    acc AS (SELECT *, n >= 20 AND support >= 0.2 * total AND support >= 1.25 * second AS accepted FROM q),
+    cl AS (SELECT pairs.g, off, support, sum(sum(w)) OVER (PARTITION BY pairs.g ORDER BY off) AS running FROM pairs JOIN acc ON pairs.g = acc.g AND abs(floor(off) - best) <= 2 GROUP BY pairs.g, off, support),
+    ce AS (SELECT g, min(off) AS centre FROM cl WHERE running >= support / 2 GROUP BY 1)"""
+
+
+def _offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = frames(spark, sf_dir).withColumn("k", F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("t")))
+    a, b = f.where("event_type = 'view'"), f.where("event_type = 'click'").select("user_id", "k", F.col("t").alias("t_b"))
+    return a.join(b, ["user_id", "k"]).select((F.col("user_id") % 10).alias("g"), F.col("event_id").alias("ord"), ((F.col("t_b") - F.col("t")) / 86400).alias("off"), F.floor("value").alias("w"))
+
+
+@query(f"WITH {_OFFSETS} SELECT g, n, round(total, 6) AS total, round(support, 6) AS support, round(second, 6) AS second, accepted, round(CASE WHEN accepted THEN centre END, 6) AS centre FROM acc JOIN ce USING (g)")
+def dominant_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted mode of offsets between two sensors."""
+    s = robust.dominant_offset(_offsets(spark, sf_dir), ["g"], "off", "w", "ord")
+    return s.select("g", "n", *(F.round(c, 6).alias(c) for c in ("total", "support", "second")), "accepted", F.round("centre", 6).alias("centre"))
+
+
+@query(f"WITH {_OFFSETS} SELECT pairs.g, ord FROM pairs LEFT JOIN (SELECT g, centre FROM acc JOIN ce USING (g) WHERE accepted) c ON pairs.g = c.g WHERE centre IS NULL OR abs(off - centre) <= 3")
+def offset_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs near their group's offset."""
+    p = _offsets(spark, sf_dir)
+    return temporal.offset_filter(p, robust.dominant_offset(p, ["g"], "off", "w", "ord"), ["g"], "off", 3.0).select("g", "ord")
+
+
+_GRAPH = """m AS (SELECT event_id AS id, user_id AS source, epoch_us(ts) / 1e6 AS t, lead(event_id, 3) OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS other, value FROM events),
+    pairs AS (SELECT least(id, other) * 2147483647::BIGINT + greatest(id, other) AS pair_id, floor(value)::BIGINT AS inliers FROM m WHERE other IS NOT NULL)"""
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    f = frames(spark, sf_dir)
+    other = F.lead("event_id", 3).over(Window.partitionBy(F.col("user_id") % 20).orderBy("t", "event_id"))
+    pairs = f.withColumn("other", other).where("other IS NOT NULL").select(expr.pair_id("event_id", "other").alias("pair_id"), F.floor("value").alias("inliers"))
+    return pairs, f.select(F.col("event_id").alias("image_id"), F.col("user_id").alias("source"), "t")
+
+
+@query(f"""WITH {_GRAPH} SELECT pair_id FROM pairs JOIN m a ON a.id = (pair_id - pair_id % 2147483647) // 2147483647 JOIN m b ON b.id = pair_id % 2147483647
+    WHERE NOT (a.source = b.source AND abs(a.t - b.t) > 86400)""")
+def gap_pair_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of one source too far apart in time go."""
+    pairs, images = _pairs(spark, sf_dir)
+    ends = graph.with_endpoints(pairs, images, ["source", "t"])
+    return graph.without(pairs, ends.where(temporal.too_far_in_time(ends, 86400.0))).select("pair_id")
+
+
+@query(f"""WITH {_GRAPH}, x AS (SELECT least(a.source, b.source) AS source_1, greatest(a.source, b.source) AS source_2, inliers FROM pairs JOIN m a ON a.id = (pair_id - pair_id % 2147483647) // 2147483647 JOIN m b ON b.id = pair_id % 2147483647)
+    SELECT source_1, source_2, count(*) AS raw_pairs, count(*) FILTER (inliers > 0) AS verified, min(inliers) FILTER (inliers > 0) AS least, round(avg(inliers) FILTER (inliers > 0), 6) AS mean, max(inliers) FILTER (inliers > 0) AS most,
+    coalesce(sum(inliers) FILTER (inliers > 0), 0)::BIGINT AS matches, count(*) FILTER (inliers >= 15) AS at_threshold, count(*) FILTER (inliers > 0 AND inliers < 15) AS below_threshold FROM x GROUP BY 1, 2""")
+def match_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches by pair of sources."""
+    pairs, images = _pairs(spark, sf_dir)
+    ends = graph.with_endpoints(pairs, images, ["source"])
+    sides = ends.select(F.least("source_a", "source_b").alias("source_1"), F.greatest("source_a", "source_b").alias("source_2"), "inliers")
+    return graph.match_summary(sides, 15, by=["source_1", "source_2"])
+
+
+@query(f"""WITH {_GRAPH}, o AS (SELECT event_id AS a, lead(event_id, k) OVER (PARTITION BY user_id, event_type, k ORDER BY ts, event_id) AS b FROM events, (SELECT unnest([1, 2]) AS k))
+    SELECT least(a, b) AS a, greatest(a, b) AS b FROM o WHERE b IS NOT NULL EXCEPT SELECT (pair_id - pair_id % 2147483647) // 2147483647, pair_id % 2147483647 FROM pairs""")
+def missing_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours in a sequence that were never matched."""
+    pairs, _ = _pairs(spark, sf_dir)
+    tried = pairs.select(expr.pair_low("pair_id").alias("a"), expr.pair_high("pair_id").alias("b"))
+    return temporal.missing_neighbours(frames(spark, sf_dir), ["user_id", "event_type"], "t", "event_id", 2, tried)
+
+
+_REASON = "CASE WHEN value < 10 THEN 'blur' WHEN event_type = 'error' THEN 'exposure' WHEN CAST(json_extract(props, '$.k') AS INT) < 20 THEN 'few_features' WHEN event_id % 17 > 14 THEN 'rolling_shutter' ELSE 'keep' END"
+
+
+@query(f"SELECT user_id, {_REASON} AS reason, count(*) AS n FROM events GROUP BY ALL")
+def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first failed gate of each frame, counted."""
+    f = frames(spark, sf_dir)
+    k = F.get_json_object("props", "$.k").cast("int")
+    return select.reason_counts(f, ["user_id"], select.reject_reason(F.col("value"), F.col("event_type") != "error", k, (F.col("event_id") % 17).cast("double"), 10, 20, 14.0))
+
+
+@query("""WITH p AS (SELECT l_partkey AS point, count(*) AS n, avg(l_discount) AS error FROM lineitem GROUP BY 1)
+    SELECT count(*) AS points, sum(n)::BIGINT AS observations, round(avg(error), 6) AS mean_error, round(quantile_cont(error, 0.5), 6) AS median_error, round(quantile_cont(error, 0.95), 6) AS p95_error,
+    round(avg(n), 6) AS mean_track, quantile_cont(n, 0.5)::DOUBLE AS median_track, count(*) FILTER (n = 2) AS two_observations, round(count(*) FILTER (n = 2) / greatest(1, count(*)), 6) AS two_ratio FROM p""")
+def model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1: counts, errors and track lengths of a model."""
+    p = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"), F.avg("l_discount").alias("error"))
+    two = F.count_if(F.col("n") == 2)
+    return p.agg(
+        F.count(F.lit(1)).alias("points"), F.sum("n").alias("observations"), F.round(F.avg("error"), 6).alias("mean_error"), F.round(robust.quantile("error", 0.5), 6).alias("median_error"), F.round(robust.quantile("error", 0.95), 6).alias("p95_error"),
+        F.round(F.avg("n"), 6).alias("mean_track"), robust.quantile("n", 0.5).alias("median_track"), two.alias("two_observations"), F.round(two / F.greatest(F.lit(1), F.count(F.lit(1))), 6).alias("two_ratio"),
+    )
+
+
+@query("SELECT length, count(*) AS points FROM (SELECT count(*) AS length FROM lineitem GROUP BY l_partkey) GROUP BY 1")
+def track_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A39."""
+    return graph.track_length_histogram(table(spark, sf_dir, "lineitem"), "l_partkey")
+
+
+@query("""WITH r AS (SELECT l_suppkey, l_tax + 1 + l_discount / 50 AS r FROM lineitem), m AS (SELECT l_suppkey, count(*) AS n, quantile_cont(r, 0.5) AS median FROM r GROUP BY 1),
+    d AS (SELECT l_suppkey, quantile_cont(abs(r - median), 0.5) AS mad FROM r JOIN m USING (l_suppkey) GROUP BY 1), s AS (SELECT * FROM m JOIN d USING (l_suppkey)),
+    i AS (SELECT l_suppkey, count(*) AS inliers, quantile_cont(r, 0.5) AS ratio FROM r JOIN s USING (l_suppkey) WHERE abs(r - median) <= greatest(5 * mad, 0.005 * median) GROUP BY 1)
+    SELECT l_suppkey, n, round(median, 6) AS median, round(mad, 6) AS mad, inliers, round(1 / ratio, 6) AS scale, n >= 8 AND inliers >= 8 AND mad <= 0.02 * median AS accepted FROM s JOIN i USING (l_suppkey)""")
+def metric_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scale from baseline ratios."""
+    r = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_tax") + 1 + F.col("l_discount") / 50).alias("r"))
+    s = robust.metric_scale(r, ["l_suppkey"], "r")
+    return s.select("l_suppkey", "n", F.round("median", 6).alias("median"), F.round("mad", 6).alias("mad"), "inliers", F.round("scale", 6).alias("scale"), "accepted")
+
+
+@query("""SELECT l_shipmode, count(*) AS n, 0::BIGINT AS n_not_finite, round(quantile_cont(x, 0.5), 4) AS p50, round(quantile_cont(x, 0.9), 4) AS p90, round(quantile_cont(x, 0.95), 4) AS p95, round(quantile_cont(x, 0.99), 4) AS p99, round(max(x), 4) AS largest
+    FROM (SELECT l_returnflag AS l_shipmode, l_extendedprice AS x FROM lineitem) GROUP BY 1""")
+def distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A26, A27, A30."""
+    d = robust.distribution(table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("l_shipmode"), "l_extendedprice"), ["l_shipmode"], "l_extendedprice")
+    return d.select("l_shipmode", "n", "n_not_finite", *(F.round(c, 4).alias(c) for c in ("p50", "p90", "p95", "p99", "largest")))
+
+
+@query("SELECT user_id, greatest(0, least(2000, floor(x / 5) * 5))::BIGINT AS threshold FROM (SELECT user_id, value AS x, row_number() OVER (PARTITION BY user_id ORDER BY value) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE k = floor((n - 1) * 0.2) + 1")
+def sharpness_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rank, not interpolated."""
+    return robust.rank_threshold(table(spark, sf_dir, "events"), ["user_id"], "value")
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", "label", *(F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate("xyz")), F.abs(F.col("embedding")[3].cast("double")).alias("error"))
+
+
+_POINTS = "p AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, abs(embedding[4]::DOUBLE) AS error FROM embeddings)"
+
+
+@query(f"WITH {_POINTS} SELECT vec_id, round(error, 6) AS error FROM p QUALIFY row_number() OVER (PARTITION BY floor(x / 0.1), floor(y / 0.1), floor(z / 0.1) ORDER BY error, vec_id) = 1")
+def voxel_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One point a voxel."""
+    return spatial.voxel_best(_points(spark, sf_dir), ["x", "y", "z"], 0.1, "error", "vec_id").select("vec_id", F.round("error", 6).alias("error"))
+
+
+@query(f"""WITH {_POINTS}, l AS (SELECT * FROM p WHERE label = 0), r AS (SELECT * FROM p WHERE label <> 0), d AS (SELECT l.vec_id, r.vec_id AS match, sqrt((l.x - r.x) * (l.x - r.x) + (l.y - r.y) * (l.y - r.y)) AS d FROM l JOIN r ON true WHERE d <= 0.05)
+    SELECT l.vec_id, coalesce(arg_min(match, (d, match)), -1) AS match, round(coalesce(min(d), 1e9), 6) AS distance FROM l LEFT JOIN d USING (vec_id) GROUP BY 1""")
+def nearest_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest neighbour within a radius."""
+    p = _points(spark, sf_dir)
+    n = spatial.nearest_within(p.where("label = 0"), p.where("label <> 0"), ["x", "y"], 0.05, "vec_id", "vec_id")
+    return n.select("vec_id", "match", F.round(F.least("distance", F.lit(1e9)), 6).alias("distance"))
+
+
+_CELLS = "c AS (SELECT label, least(floor((x + 1) * 16 / 2), 15)::INT AS cell_x, least(floor((y + 1) * 16 / 2), 15)::INT AS cell_y, count(*) AS points, count(*) FILTER (error < 0.1) AS good FROM p GROUP BY ALL)"
+
+
+@query(f"""WITH {_POINTS}, {_CELLS} SELECT label, count(*) FILTER (points >= 3) AS before, count(*) FILTER (good >= 3) AS after, count(*) FILTER (points >= 3 AND good < 3) AS lost,
+    round(count(*) FILTER (good >= 3) / count(*) FILTER (points >= 3), 6) AS retention FROM c WHERE points >= 3 GROUP BY 1""")
+def coverage_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grid cells that points cover, and lose when the bad ones go."""
+    p = _points(spark, sf_dir).withColumn("u", F.col("x") + 1).withColumn("v", F.col("y") + 1).withColumn("two", F.lit(2.0))
+    cells = lambda rows: spatial.grid_cells(rows, ["label"], "u", "v", "two", "two", 16, 3)
+    return spatial.lost_cells(cells(p), cells(p.where("error < 0.1")), ["label"]).withColumn("retention", F.round("retention", 6))
+
+
+@query(f"""WITH {_POINTS}, g AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT label FROM p)), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY error, vec_id) AS place FROM p)
+    SELECT vec_id, label FROM r JOIN g USING (label) WHERE place <= 127 // n + (k < 127 % n)::INT""")
+def quota_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4: a quota of the best for each group."""
+    return spatial.best_per_group(_points(spark, sf_dir), "label", 127, "error", "vec_id").select("vec_id", "label")
+
+
+@query("SELECT p_partkey FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS k, count(*) OVER () AS n FROM part) WHERE k IN (SELECT DISTINCT floor(i * n / 150) FROM (SELECT unnest(range(150)) AS i), (SELECT count(*) AS n FROM part))")
+def thinned_stride(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evenly spaced rows by place."""
+    return spatial.thinned(table(spark, sf_dir, "part").select("p_partkey"), ["p_partkey"], 150, "stride")
+
+
+@query(f"""WITH {_POINTS}, c AS (SELECT label, quantile_cont(x, 0.5) AS a, quantile_cont(y, 0.5) AS b, quantile_cont(z, 0.5) AS c FROM p GROUP BY 1),
+    d AS (SELECT label, a, b, c, sqrt((x - a) * (x - a) + (y - b) * (y - b) + (z - c) * (z - c)) AS d FROM p JOIN c USING (label))
+    SELECT label, round(a, 6) AS centre_x, round(b, 6) AS centre_y, round(c, 6) AS centre_z, round(quantile_cont(d, 0.5), 6) AS scale, round(quantile_cont(d, 0.95), 6) AS p95_radius, round(max(d), 6) AS max_radius FROM d GROUP BY label, a, b, c""")
+def scene_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centre and radii."""
+    s = spatial.scene_scale(_points(spark, sf_dir), ["x", "y", "z"], ["label"])
+    return s.select("label", *(F.round(c, 6).alias(c) for c in s.columns if c != "label"))
+
+
+@query(f"""WITH {_POINTS}, r AS (SELECT l.vec_id AS i, o.vec_id AS j, row_number() OVER (PARTITION BY l.vec_id ORDER BY (l.x - o.x) * (l.x - o.x) + (l.y - o.y) * (l.y - o.y) + (l.z - o.z) * (l.z - o.z), o.vec_id) AS k FROM p l JOIN p o ON l.label = o.label AND l.vec_id <> o.vec_id WHERE l.vec_id % 5 = 0 AND o.vec_id % 5 = 0)
+    SELECT DISTINCT least(i, j) AS a, greatest(i, j) AS b FROM r WHERE k <= 3""")
+def nearest_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """View pairs of reference cameras, every fifth."""
+    return spatial.nearest_views(_points(spark, sf_dir).where("vec_id % 5 = 0"), ["label"], "vec_id", ["x", "y", "z"], 3)
+
+
+@query(f"""WITH {_POINTS} SELECT vec_id FROM (SELECT vec_id, row_number() OVER (ORDER BY error, vec_id) - 1 AS k, count(*) OVER () AS n FROM p) WHERE k >= n * 8 // 100""")
+def confidence_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P10: the least confident 8 % go, over all groups."""
+    return spatial.lowest_confidence_dropped(_points(spark, sf_dir), "error", ["vec_id"]).select("vec_id")
+
+
+@query("""SELECT user_id, event_type, arg_max(event_id, ts) AS latest, arg_max(json_extract(props, '$.k')::INT, CASE WHEN json_extract(props, '$.k')::INT > 50 THEN ts END) FILTER (json_extract(props, '$.k')::INT > 50) AS progress FROM events GROUP BY 1, 2""")
+def event_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J15, W6, ST5: the latest event and the latest number of each stage."""
+    f = frames(spark, sf_dir).withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    rows = f.select("user_id", "event_type", "event_id", "t", F.when(F.col("k") > 50, F.col("k")).alias("progress"))
+    s = streams.snapshot(rows, ["user_id", "event_type"], "t")
+    return s.select("user_id", "event_type", F.col("activity.event_id").alias("latest"), "progress")
+
+
+@query("""WITH e AS (SELECT user_id, event_id, event_type, row_number() OVER w AS k, event_type IS DISTINCT FROM lag(event_type) OVER w OR row_number() OVER w = 1 AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), r AS (SELECT *, sum(new::INT) OVER (PARTITION BY user_id ORDER BY k) AS run FROM e)
+    SELECT user_id, event_type, min(k) AS first, max(k) AS last, count(*) AS n FROM r GROUP BY user_id, run, event_type""")
+def state_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of equal states."""
+    f = frames(spark, sf_dir).withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy("t")))
+    return temporal.runs(f, ["user_id"], "k", "event_type")
+
+
+@query("""SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts) AS context, max(value) OVER (PARTITION BY user_id ORDER BY ts) AS progress FROM events""")
+def carried_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last state seen, and progress that never falls."""
+    f = frames(spark, sf_dir).withColumn("mark", F.when(F.col("event_type") == "purchase", F.col("event_id")))
+    f = temporal.running_max(temporal.carried(f, ["user_id"], "t", "mark", "context"), ["user_id"], "t", "value", "progress")
+    return f.select("event_id", "context", "progress")
+
+
+@query("SELECT user_id, max(coalesce(gap, 0)) AS max_gap, count(*) AS n FROM (SELECT user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events) GROUP BY 1")
+def max_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W3."""
+    e = table(spark, sf_dir, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return temporal.max_gap(e, "user_id", "us")
+
+
+@query("SELECT event_id, ntile(4) OVER (PARTITION BY user_id ORDER BY ts) AS quarter, row_number() OVER (ORDER BY user_id, ts) - 1 AS index FROM events")
+def quarters_and_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarters of each source, one running number over all."""
+    q = temporal.dense_index(temporal.quarters(frames(spark, sf_dir), ["user_id"], "t"), "user_id", "user_id", "t")
+    return q.select("event_id", "quarter", "index")
+
+
+@query("SELECT point, count(*) AS captures FROM (SELECT l_partkey AS point, l_orderkey % 500 AS capture FROM lineitem GROUP BY ALL HAVING count(DISTINCT l_suppkey) >= 2) GROUP BY 1")
+def observable_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points that two sensors of one capture see."""
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("point"), (F.col("l_orderkey") % 500).alias("capture"), "l_suppkey")  # noqa: E741
+    return graph.observable_points(l, "point", "capture", "l_suppkey")
+
+
+_VOTES = "v AS (SELECT q.o_custkey AS query, l_partkey AS point, count(DISTINCT l_suppkey) AS votes FROM orders q JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL HAVING count(DISTINCT l_suppkey) >= 2)"
+
+
+def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("query"), F.col("o_orderkey").alias("anchor"))
+    tracks = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("anchor"), F.col("l_partkey").alias("point"), F.col("l_suppkey").alias("capture"))
+    return graph.votes(links, tracks, "query", "anchor", "point", "capture")
+
+
+@query(f"WITH {_VOTES} SELECT * FROM v")
+def point_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes for points by captures."""
+    return _votes(spark, sf_dir)
+
+
+@query(f"""WITH {_VOTES}, q AS (SELECT *, rank() OVER (PARTITION BY query ORDER BY votes DESC) AS r, count(*) OVER (PARTITION BY query, votes) AS n FROM v), s AS (SELECT query, point, votes FROM q WHERE r = 1 AND n = 1),
+    p AS (SELECT *, rank() OVER (PARTITION BY point ORDER BY votes DESC) AS r, count(*) OVER (PARTITION BY point, votes) AS n FROM s) SELECT query, point, votes FROM p WHERE r = 1 AND n = 1""")
+def mutual_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One query, one point, no ties."""
+    return graph.mutual_best(_votes(spark, sf_dir), "query", "point")
+
+
+@query("""WITH q AS (SELECT l_orderkey, count(DISTINCT l_suppkey) AS c, min(l_discount * 100) AS best FROM lineitem GROUP BY 1)
+    SELECT count(*) AS queries, count(*) FILTER (c >= 2) AS eligible, count(*) FILTER (c >= 2 AND best <= 1) AS within_1, count(*) FILTER (c >= 2 AND best <= 2) AS within_2, count(*) FILTER (c >= 2 AND best <= 4) AS within_4, count(*) FILTER (c >= 2 AND best <= 8) AS within_8 FROM q""")
+def heldout_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out observations by error."""
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", (F.col("l_discount") * 100).alias("e"))  # noqa: E741
+    return graph.heldout_audit(l, "l_orderkey", "l_suppkey", "e")
+
+
+@query("""WITH e AS (SELECT o_custkey AS a, o_custkey + 1 + o_orderkey % 5 AS b FROM orders WHERE o_orderkey % 11 = 0), t AS (SELECT c, count(*) AS n FROM (SELECT a AS c FROM e UNION ALL SELECT b FROM e) GROUP BY 1),
+    x AS (SELECT a, b, ta.n AS na, tb.n AS nb FROM e JOIN t ta ON a = ta.c JOIN t tb ON b = tb.c) SELECT a AS capture FROM x WHERE na >= nb UNION SELECT b FROM x WHERE nb >= na""")
+def outlier_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which captures bad edges are due to."""
+    o = table(spark, sf_dir, "orders").where("o_orderkey % 11 = 0")
+    return graph.outlier_captures(o.select(F.col("o_custkey").alias("a"), (F.col("o_custkey") + 1 + F.col("o_orderkey") % 5).alias("b")))
+
+
+@query("""SELECT coalesce(a.l_orderkey, b.l_orderkey) AS image, coalesce(a.l_linenumber, b.l_linenumber) AS idx, a.l_discount AS base, b.l_discount AS other, CASE WHEN a.l_orderkey IS NULL THEN 'added' WHEN b.l_orderkey IS NULL THEN 'lost' ELSE 'common' END AS state
+    FROM (SELECT * FROM lineitem WHERE l_quantity > 10) a FULL JOIN (SELECT * FROM lineitem WHERE l_tax < 0.06) b USING (l_orderkey, l_linenumber, l_partkey, l_suppkey)""")
+def predictions_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Common, added and lost observations."""
+    l = table(spark, sf_dir, "lineitem").withColumnsRenamed({"l_orderkey": "image", "l_linenumber": "idx"})  # noqa: E741
+    c = graph.compare(l.where("l_quantity > 10"), l.where("l_tax < 0.06"), ["image", "idx", "l_partkey", "l_suppkey"], "l_discount")
+    return c.select("image", "idx", "base", "other", "state")
+
+
+@query("""SELECT c, 'missing' AS problem FROM (SELECT c_custkey AS c FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')
+    UNION ALL SELECT c, 'unexpected' FROM (SELECT o_custkey AS c FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT c_custkey FROM customer)""")
+def set_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is missing and what is unexpected."""
+    return graph.differences(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("c")), table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c")), "c")
+
+
+@query("""SELECT r_name, count(*) AS total, count(*) FILTER (n > 0) AS registered, round(count(*) FILTER (n > 0) / count(*), 6) AS ratio, count(*) FILTER (n = 0) AS unsupported FROM (SELECT c_custkey, r_name, count(o_orderkey) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2) GROUP BY 1""")
+def source_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registered captures of each source, and those without observations."""
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    c = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left")
+    seen = F.count_if(F.col("n") > 0)
+    return rows.groupBy("r_name").agg(F.count(F.lit(1)).alias("total"), seen.alias("registered"), F.round(seen / F.count(F.lit(1)), 6).alias("ratio"), F.count_if(F.col("n").isNull()).alias("unsupported"))
+
+
+@query("""SELECT p_partkey, round(CASE WHEN p_size > 25 THEN sqrt(p_size * p_size + 400) * p_size / sqrt(36 * 36 + 24 * 24) ELSE 1.2 * greatest(p_size, 20) END, 6) AS focal, p_size > 25 AS known, round(CASE WHEN p_size > 1 THEN -10 * log10((p_size - 1) / 50.0) END, 6) AS psnr, round(1 / (1 + exp(-(p_size - 25.0))), 6) AS sigmoid FROM part""")
+def scalar_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F20, F24, F25."""
+    size = F.col("p_size")
+    focal, known = expr.focal_guess(size, F.lit(20), F.when(size > 25, size.cast("double")))
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(focal, 6).alias("focal"), known.alias("known"), F.round(expr.psnr((size - 1) / 50.0), 6).alias("psnr"), F.round(expr.sigmoid(size - 25.0), 6).alias("sigmoid"))
+
+
+_W = "(SELECT vec_id, [embedding[k]::DOUBLE FOR k IN range(1, 13)] AS e FROM embeddings)"
+
+
+@query(f"""WITH v AS (SELECT vec_id, e, e[1] - e[4] AS w1, e[2] - e[5] AS w2, e[3] - e[6] AS w3 FROM {_W}),
+    d AS (SELECT vec_id, e[7]*e[7]+e[8]*e[8]+e[9]*e[9] AS a, e[7]*e[10]+e[8]*e[11]+e[9]*e[12] AS b, e[10]*e[10]+e[11]*e[11]+e[12]*e[12] AS c, e[7]*w1+e[8]*w2+e[9]*w3 AS d, e[10]*w1+e[11]*w2+e[12]*w3 AS f FROM v)
+    SELECT vec_id, round((b*f - c*d) / (a*c - b*b), 4) AS depth_1, round((a*f - b*d) / (a*c - b*b), 4) AS depth_2, round(degrees(acos(greatest(least(b / sqrt(a*c), 1), -1))), 4) AS parallax FROM d WHERE abs(a*c - b*b) > 1e-7""")
+def triangulated_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """two rays, in closed form."""
+    e = [F.col("embedding")[k].cast("double") for k in range(12)]
+    t = expr.triangulated(e[:3], e[6:9], e[3:6], e[9:12])
+    below = expr.dot(e[6:9], e[6:9]) * expr.dot(e[9:12], e[9:12]) - expr.dot(e[6:9], e[9:12]) * expr.dot(e[6:9], e[9:12])
+    return table(spark, sf_dir, "embeddings").where(F.abs(below) > 1e-7).select("vec_id", *(F.round(t[c], 4).alias(c) for c in ("depth_1", "depth_2", "parallax")))
+
+
+@query("""SELECT page_id, replace(url, '\\', '/') AS name, NOT regexp_matches(url, '^(/|[A-Za-z]:)') AND url <> '' AND NOT regexp_matches(url, '(^|/)\\.\\.(/|$)') AS safe, regexp_matches(lower(url), '(frame|image|img)[_-]?[0-9]+') AS sequence FROM pages""")
+def path_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F26, F27, P11."""
+    u = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", expr.slashes(u).alias("name"), expr.safe_path(u).alias("safe"), expr.trajectory_name(u).alias("sequence"))
+
+
+@query("SELECT event_id, user_id, event_type FROM events WHERE event_id > 100 AND event_type = 'click' ORDER BY event_id LIMIT 200")
+def event_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST1, T2: a page behind a cursor."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "user_id", "event_type")
+    return streams.page(e, 100, event_type="click").withColumnRenamed("id", "event_id")
+
+
+@query("""WITH RECURSIVE edges AS (SELECT DISTINCT n_regionkey AS src, 10 + n_nationkey AS dst FROM nation UNION SELECT 10 + s_nationkey, 1000 + s_suppkey FROM supplier), reach(stage, uses_it) AS (SELECT src, dst FROM edges UNION SELECT reach.stage, edges.dst FROM reach JOIN edges ON uses_it = src) SELECT stage::BIGINT AS stage, uses_it::BIGINT AS uses_it FROM reach""")
+def stage_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C4: what depends on what, at any remove."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("src"), (F.col("n_nationkey") + 10).cast("long").alias("dst")).distinct()
+    s = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") + 10).cast("long").alias("src"), (F.col("s_suppkey") + 1000).alias("dst"))
+    return stages.lineage(n.union(s))
+
+
+@query("SELECT a.c_nationkey, a.c_mktsegment, a.c_custkey AS a, b.c_custkey AS b FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey < b.c_custkey")
+def capture_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs within a capture."""
+    return graph.capture_pairs(table(spark, sf_dir, "customer"), ["c_nationkey", "c_mktsegment"], "c_custkey")
+
+
+@query("SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def strict_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row finds exactly one."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return graph.strict(table(spark, sf_dir, "customer"), n, "c_nationkey").select("c_custkey", "n_name")
+
+
+@query("""WITH e AS (SELECT o_orderkey, o_custkey AS source_a, lag(o_custkey) OVER (ORDER BY o_orderkey) AS source_b, o_orderkey AS name_a, lag(o_orderkey) OVER (ORDER BY o_orderkey) AS name_b, o_totalprice AS d FROM orders)
+    SELECT o_orderkey, CASE WHEN name_a % 10 = 0 OR name_b % 10 = 0 THEN 'validation' WHEN source_a % 40 = source_b % 40 AND d < 100000 THEN 'short_baseline' ELSE 'retained' END AS class FROM e WHERE source_b IS NOT NULL""")
+def holdout_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs by class for a held-out check."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    at = spatial.numbered(o, ["o_orderkey"])
+    before = at.select((F.col("__at") + 1).alias("__at"), F.col("o_custkey").alias("was"), F.col("o_orderkey").alias("name_b"))
+    ends = at.join(before, "__at").select("o_orderkey", (F.col("o_custkey") % 40).alias("source_a"), (F.col("was") % 40).alias("source_b"), F.col("o_orderkey").alias("name_a"), "name_b", F.col("o_totalprice").alias("d"))
+    return graph.holdout_classes(ends, o.where("o_orderkey % 10 = 0").withColumnRenamed("o_orderkey", "name"), "name", "d", 100000.0).select("o_orderkey", "class")
+
+
+@query()
+def spatial_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames chosen one after the other, and bridges."""
+    f = frames(spark, sf_dir)
+    running = F.sum("value").over(Window.partitionBy("user_id").orderBy("t"))
+    c = f.select("user_id", F.col("event_id").alias("frame"), (F.col("t") * 1e6).cast("long").alias("t"), running.alias("position"), F.col("value").alias("quality"), (F.col("value") > 5).alias("valid"), (F.col("event_type") != "error").alias("bridgeable"))
+    return select.spatial_selection(c, "user_id", 500.0, 40, 2 * 86400.0)
+
+
+@query()
+def ground_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate ground heights."""
+    return spatial.ground_mode(_points(spark, sf_dir), "y", "x", "z", least=20)
