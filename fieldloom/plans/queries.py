@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldloom.functions import expr
-from fieldloom.operators import graph, robust, select, spatial, temporal
+from fieldloom.operators import graph, reports, robust, select, spatial, temporal
 from fieldloom.plans import stages
 from fieldloom.streaming import events as streams
 
@@ -464,6 +464,66 @@ def holdout_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.holdout_classes(ends, o.where("o_orderkey % 10 = 0").withColumnRenamed("o_orderkey", "name"), "name", "d", 100000.0).select("o_orderkey", "class")
 
 
+@query("""SELECT l_suppkey, count(*) AS images, count(DISTINCT (l_returnflag = 'R', l_linestatus = 'O')) = 1 AS consistent, bool_or(l_returnflag = 'R') AND NOT bool_or(l_linestatus = 'O') AND count(DISTINCT (l_returnflag = 'R', l_linestatus = 'O')) = 1 AS fixed FROM lineitem WHERE l_quantity > 49 GROUP BY 1""")
+def camera_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Policy of each camera."""
+    rows = table(spark, sf_dir, "lineitem").where("l_quantity > 49").select("l_suppkey", (F.col("l_returnflag") == "R").alias("prior"), (F.col("l_linestatus") == "O").alias("refine"))
+    return reports.camera_policy(rows, "l_suppkey", "prior", "refine")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') THEN 'F' || c_custkey WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O') THEN 'O' || c_custkey END AS path FROM customer""")
+def mask_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first candidate that exists."""
+    there = table(spark, sf_dir, "orders").select(F.concat("o_orderstatus", F.col("o_custkey").cast("string")).alias("path"))
+    key = F.col("c_custkey").cast("string")
+    return reports.first_existing(table(spark, sf_dir, "customer"), "c_custkey", [F.concat(F.lit("F"), key), F.concat(F.lit("O"), key)], there, "path")
+
+
+@query("""SELECT CASE WHEN (o_orderkey // 20) % 2 = 0 THEN 'fit' ELSE 'heldout' END AS part, o_orderkey % 5 = 2 AS holdout, count(*) AS n FROM orders GROUP BY ALL""")
+def block_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W16."""
+    o = table(spark, sf_dir, "orders").select(reports.block_split(F.col("o_orderkey")).alias("part"), reports.is_holdout(F.col("o_orderkey")).alias("holdout"))
+    return o.groupBy("part", "holdout").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT p_partkey, dense_rank() OVER (ORDER BY f) - 1 AS "group" FROM (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_brand, p_size) AS f FROM part)""")
+def camera_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal signatures, numbered as they appear."""
+    return reports.camera_groups(table(spark, sf_dir, "part"), ["p_brand", "p_size"], "p_partkey").select("p_partkey", F.col("group").cast("long").alias("group"))
+
+
+@query("""WITH gone AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 3 = 0), k AS (SELECT l_suppkey AS frame_id, l_linenumber % 2 AS sensor_type, l_orderkey AS data_id FROM lineitem WHERE NOT (l_linenumber % 2 = 0 AND l_orderkey IN (SELECT id FROM gone)))
+    SELECT * FROM k WHERE frame_id IN (SELECT frame_id FROM k WHERE sensor_type = 0)""")
+def frames_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3: frames after images are removed."""
+    f = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("frame_id"), (F.col("l_linenumber") % 2).alias("sensor_type"), F.col("l_orderkey").alias("data_id"))
+    gone = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("image_id"))
+    return reports.frames_without(f, gone, 0).select("frame_id", "sensor_type", "data_id")
+
+
+@query(f"""WITH {_POINTS}, u AS (SELECT label, vec_id, x / sqrt(x*x + y*y + z*z) AS x, y / sqrt(x*x + y*y + z*z) AS y, z / sqrt(x*x + y*y + z*z) AS z FROM p WHERE vec_id % 10 = 0)
+    SELECT a.label, round(degrees(acos(least(min(abs(a.x*b.x + a.y*b.y + a.z*b.z)), 1))), 4) AS angle FROM u a JOIN u b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY 1""")
+def widest_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The widest angle in each track; tracks are the label's every tenth point."""
+    p = _points(spark, sf_dir).where("vec_id % 10 = 0")
+    n = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
+    rays = p.select("label", "vec_id", F.array(*(F.col(c) / n for c in "xyz")).alias("ray"))
+    return reports.widest_angles(rays, "label", "vec_id", "ray").withColumn("angle", F.round("angle", 4))
+
+
+@query("""SELECT c_mktsegment, greatest(CASE c_mktsegment WHEN 'BUILDING' THEN 1024 ELSE 1024 END, coalesce(max(c_acctbal) FILTER (c_custkey % 2 = 0), 0)) AS needed FROM customer GROUP BY 1""")
+def resolution_needs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A44."""
+    c = table(spark, sf_dir, "customer").withColumn("on", F.col("c_custkey") % 2 == 0)
+    return reports.resolution_needs(c, "c_mktsegment", "c_acctbal", "c_acctbal", "on")
+
+
+@query("""SELECT arg_min(l_suppkey, (-n, l_suppkey)) AS l_suppkey FROM (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1)""")
+def reference_camera(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent camera."""
+    return reports.reference_camera(table(spark, sf_dir, "lineitem"), "l_suppkey", F.lit(False))
+
+
 @query()
 def spatial_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames chosen one after the other, and bridges."""
