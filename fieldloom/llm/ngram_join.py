@@ -12,7 +12,7 @@ are wanted, and the sizes of both sets bound them:
   and the sizes must be within t of each other. Pairs below that are discarded.
 
 Equal sets are one row. A block is one column's documents. In a first round each block pairs its
-documents with one of them, another one in every block; linked documents join components. In a
+documents with a few of them, others in every block; linked documents join components. In a
 second round a block yields only pairs of different components, so a large family of near copies
 is not multiplied out. The pairs left get their exact overlap from both whole sets. The
 components are those of all links.
@@ -32,12 +32,16 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fieldloom.llm.common import require, stored, text_or_empty, words_of
 from fieldloom.llm.components import components
 
 #: Counters of the sketch, whatever the input; bits of the filter for documents with candidates.
 SKETCH, BLOCK, FILTER_BITS = 1 << 22, 1 << 16, 1 << 23
+#: Documents that a block's others are paired with in the first round; bits of a signature; documents
+#: from which on, about, a block is dealt into parts. Only speed depends on these.
+PIVOTS, SIGN_BITS, PART = 5, 2048, 100_000
 _HASH = xxhash.xxh3_64_intdigest
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -65,6 +69,13 @@ def slot(grams: np.ndarray) -> np.ndarray:
     return (grams >> np.uint64(42)).astype(np.int64)  # the upper 22 bits
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that a task holds few sets at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def surveyed(docs: DataFrame, width: int) -> DataFrame:
     """Rows of two kinds, in one pass: doc_id, n, set_key of each document; block, part, counts of each task's sketch."""
 
@@ -72,7 +83,7 @@ def surveyed(docs: DataFrame, width: int) -> DataFrame:
         sketch = np.zeros(SKETCH, np.int32)
         names, part = ["doc_id", "n", "set_key", "block", "part", "counts"], TaskContext.get().partitionId()
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
-        for batch in batches:
+        for batch in small(batches):
             sets = [ngrams(t, width) for t in batch.column("text").to_pylist()]
             if sets:
                 sketch += np.bincount(slot(np.concatenate(sets)), minlength=SKETCH).astype(np.int32)
@@ -107,29 +118,32 @@ def summed(sketches: DataFrame, fan: int = 64) -> np.ndarray:
 
 
 def first_columns(docs: DataFrame, width: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """doc_id, n, set_key, grams: of each set the rarest n-grams, as many as a partner must share one of, in order."""
-    broadcast = docs.sparkSession.sparkContext.broadcast(sketch)
+    """doc_id, n, set_key, grams: of each set the rarest n-grams, as many as a partner must share one of, in order.
+
+    parts: into how many parts an n-gram's documents are dealt, by its count; mostly one."""
+    broadcast, most = docs.sparkSession.sparkContext.broadcast(sketch), PART
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = broadcast.value
-        for batch in batches:
-            out, keys, sizes = [], [], []
+        for batch in small(batches):
+            out, parts, keys, sizes = [], [], [], []
             for text in batch.column("text").to_pylist():
                 s = ngrams(text, width)
                 n = len(s)
                 order = np.lexsort((s, counts[slot(s)]))[: n + percent * n // -100 + 1] if n else []
                 out.append(s[order].astype(np.int64) if n else s.astype(np.int64))
+                parts.append(counts[slot(s[order])] // most + 1 if n else np.zeros(0, np.int32))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if n else None)
                 sizes.append(n)
             ends = np.cumsum([0, *map(len, out)])
-            grams = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out) if out else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), grams], ["doc_id", "n", "set_key", "grams"])
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(x) if x else [], kind)) for x, kind in ((out, pa.int64()), (parts, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), *lists], ["doc_id", "n", "set_key", "grams", "parts"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, set_key binary, grams array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, set_key binary, grams array<long>, parts array<int>")
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """node, n, grams (packed) of the documents in `nodes`; some others too, where the filter of fixed size lets them pass."""
+    """node, n, sign (see signature), grams (packed) of the documents in `nodes`; some others too, where the filter of fixed size lets them pass."""
     at = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
     words = nodes.select((at / 63).cast("int").alias("word"), (at % 63).cast("int").alias("bit")).distinct().groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
     bits = np.zeros(FILTER_BITS // 63 + 1, np.int64)
@@ -139,25 +153,44 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = broadcast.value
-        for batch in batches:
+        for batch in small(batches):
             at = batch.column("at").to_numpy(zero_copy_only=False)
             chosen = batch.filter(pa.array((bits[at // 63] >> (at % 63)) & 1 == 1))
             sets = [ngrams(t, width) for t in chosen.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([chosen.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n", "grams"])
+            yield pa.RecordBatch.from_arrays([chosen.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n", "sign", "grams"])
 
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("at"))
-    return rows.mapInArrow(run, "node long, n long, grams binary")
+    return rows.mapInArrow(run, "node long, n long, sign binary, grams binary")
+
+
+def signature(s: np.ndarray) -> bytes:
+    """SIGN_BITS parities: each n-gram turns one bit. Two sets differ in at least as many n-grams as their signatures in bits."""
+    odd = np.bincount((s & np.uint64(SIGN_BITS - 1)).astype(np.int64), minlength=SIGN_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs a, b those whose whole sets reach the threshold."""
-    of = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("grams").alias(f"grams_{x}"))
-    sized = pairs.join(sets.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
-    close = sized.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).select("a", "b")
-    rows = close.join(of("a"), "a").join(of("b"), "b").select("a", "b", "grams_a", "grams_b")
+    """Of the pairs a, b those whose whole sets reach the threshold. Sizes and signatures rule most others out before sets are moved."""
+    of = lambda x, *c: sets.select(F.col("node").alias(x), *(F.col(k).alias(f"{k}_{x}") for k in c))
+    near = pairs.join(of("a", "n", "sign"), "a").join(of("b", "n", "sign"), "b")
+    near = near.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).select("a", "b", "n_a", "n_b", "sign_a", "sign_b")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("sign_a", "sign_b"))
+                both = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+                apart = np.bitwise_count(x ^ y).sum(1).astype(np.int64)
+                yield batch.select(["a", "b"]).filter(pa.array((100 + percent) * apart <= (100 - percent) * both))
+
+    close = stored(near.mapInArrow(possible, "a long, b long"), "close")
+    ends = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    needed = stored(sets.select("node", "grams").join(ends, "node", "left_semi"), "needed")
+    side = lambda x: needed.select(F.col("node").alias(x), F.col("grams").alias(f"grams_{x}"))
+    rows = close.join(side("a"), "a").join(side("b"), "b").select("a", "b", "grams_a", "grams_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
             keep = []
             for x, y in zip(batch.column("grams_a"), batch.column("grams_b"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
@@ -178,16 +211,20 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
     classes = stored(rows.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("node")), "classes")
     chosen = first_columns(texts, width, percent, sketch).where("set_key IS NOT NULL")
-    columns = stored(chosen.join(classes.hint("shuffle_hash"), (F.col("doc_id") == F.col("node")) & (chosen["set_key"] == classes["set_key"]), "left_semi").select(F.col("doc_id").alias("node"), "n", "grams"), "columns")
-
-    entries = columns.select("node", "n", F.posexplode("grams").alias("pos", "gram"))
-    # One document of each block, recovered from the smallest value of id xor a number of the block.
-    mask = F.xxhash64("gram")
-    blocks = entries.groupBy("gram").agg((F.min(F.col("node").bitwiseXOR(mask))).alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1").select("gram", F.col("least").bitwiseXOR(mask).alias("pivot"))
-    shared = stored(entries.join(blocks.hint("shuffle_hash"), "gram").select("gram", "node", "n", "pos", "pivot"), "shared")
+    columns = stored(chosen.join(classes.hint("shuffle_hash"), (F.col("doc_id") == F.col("node")) & (chosen["set_key"] == classes["set_key"]), "left_semi").select(F.col("doc_id").alias("node"), "n", "grams", "parts"), "columns")
+
+    # A block is an n-gram's documents. An n-gram with very many is dealt into parts, other ones for each n-gram, so that parts meet elsewhere.
+    entries = columns.select("node", "n", F.posexplode(F.arrays_zip("grams", "parts")).alias("pos", "g")).select("node", "n", "pos", F.col("g.grams").alias("gram"), F.col("g.parts").alias("parts"))
+    entries = entries.withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node", "gram"), "parts").cast("int")).otherwise(-1))
+    block = Window.partitionBy("gram", "part")
+    # Some documents of each block, recovered from the smallest values of id xor a number of the block.
+    masks = [F.xxhash64("gram", F.lit(k)) for k in range(PIVOTS)]
+    least = [F.min(F.col("node").bitwiseXOR(m)).over(block).bitwiseXOR(m) for m in masks]
+    met = entries.select("gram", "node", "n", "pos", "part", F.count(F.lit(1)).over(block).alias("members"), F.array(*least).alias("pivots"))
+    shared = stored(met.where("members > 1 OR part >= 0").select("gram", "node", "n", "pos", F.when(F.col("members") > 1, F.when(F.col("members") == 2, F.array(F.col("pivots")[0])).otherwise(F.array_distinct("pivots"))).alias("pivots")), "shared")
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    first = stored(shared.where("node <> pivot").select(*ordered("node", "pivot")).distinct(), "pairs")
-    sets = stored(whole_sets(texts, first.select(F.explode(F.array("a", "b")).alias("node")), width).join(first.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    first = stored(shared.select("node", F.explode("pivots").alias("pivot")).where("node <> pivot").select(*ordered("node", "pivot")).distinct(), "pairs")
+    sets = stored(whole_sets(texts, first.select(F.explode(F.array("a", "b")).alias("node")), width), "sets")
     links = stored(linked(first, sets, percent), "links")
 
     known = components(links)
@@ -199,9 +236,15 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     needed = F.ceil((F.col("n_x") + F.col("n_y")) * percent / (100 + percent) - 1e-9)
     possible = (F.col("component_x") < F.col("component_y")) & (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent) & (F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) >= needed)
     second = x.join(y, "gram").where(possible).select(*ordered("node_x", "node_y")).distinct().join(first, ["a", "b"], "left_anti")
-    more = linked(stored(second, "pairs"), sets, percent)
-    final = components(links.union(more))
+    final = components(links.union(linked(stored(second, "pairs"), sets, percent)))
 
     by_node = classes.join(final, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     out = rows.join(by_node, "set_key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The documents that lead their component, and those in none, with all their columns. Rows with the leading doc_id all stay."""
+    placed = join(docs, width, percent)
+    stay = placed.where("doc_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
