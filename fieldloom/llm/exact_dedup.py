@@ -57,8 +57,11 @@ class DigestIndex:
 
 def kept_rows(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """The documents that stay, with all their columns; a text stays once."""
-    decided = index.deduplicate(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    decided = stored(index.deduplicate(docs).select("doc_id", "text_sha256", "kept"), "decided")
+    stay = decided.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
     marked = docs.withColumn("__key", F.col("doc_id").cast("long")).withColumn("__digest", text_digest())
-    repeats = Window.partitionBy("__key", "__digest").orderBy("__key")
-    joined = marked.join(decided, F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__sha")), "left_semi")
-    return joined.withColumn("__copy", F.row_number().over(repeats)).where("__copy = 1").select(*docs.columns)
+    joined = marked.join(stay, F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__sha")), "left_semi")
+    # Only rows that repeat both doc_id and text have more than one row left.
+    if not decided.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").isEmpty():
+        joined = joined.withColumn("__copy", F.row_number().over(Window.partitionBy("__key", "__digest").orderBy("__key"))).where("__copy = 1")
+    return joined.select(*docs.columns)

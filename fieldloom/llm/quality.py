@@ -34,6 +34,7 @@ from fieldloom.llm.common import require, stored, text_or_empty
 from fieldloom.llm.labelled import MAX_LABELLED, labelled_ids
 
 BUCKETS = 1 << 18
+NOISE = "__gumbel_noise"
 TOKENS = re.compile(r"\w+|[^\w\s]+")
 CAPITALS, REPEATS = 0, 1
 SMOOTH, INDIFFERENT = 30.0, float(np.log(3))
@@ -146,18 +147,43 @@ def kth_largest(df: DataFrame, column: str, k: int, parts: int = 4096) -> float:
     return high
 
 
-def resample(docs: DataFrame, labels: DataFrame, seed: int = 17, temperature: float = 0.05, most: int = MAX_LABELLED) -> DataFrame:
-    """Per row doc_id, log_weight, gumbel_key (log weight with noise), kept.
+def _noise(seed: int, temperature: float):
+    """Gumbel noise from a hash of doc_id."""
+    uniform = (F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return -temperature * F.log(-F.log(uniform))
+
+
+def decided(docs: DataFrame, labels: DataFrame, seed: int = 17, temperature: float = 0.05, most: int = MAX_LABELLED) -> tuple[DataFrame, np.ndarray, float]:
+    """The weights of all rows (stored), the log ratios, and the k-th largest Gumbel key.
 
     The weights are compared per square root of the number of n-grams, as sums over long texts spread more."""
     require(docs, ("doc_id", "text"), "the quality classifier")
     label = labelled_ids(labels, "quality", most)
     ratios = log_ratios(counts(docs, {d for d, x in label.items() if x}))
     scaled = F.col("log_weight") / F.sqrt(F.greatest(F.col("n_grams"), F.lit(1)))
-    uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    rows = stored(weights(docs, ratios).withColumn("scaled", scaled).withColumn("gumbel_key", F.col("scaled") - temperature * F.log(-F.log(uniform))), "weights")
-    marked = rows.where(F.col("doc_id").isin(list(label))) if len(label) < 100 else rows.join(F.broadcast(rows.sparkSession.createDataFrame([(d,) for d in label], "doc_id long")), "doc_id", "left_semi")
-    cut = best_threshold([(r["scaled"], label[r["doc_id"]]) for r in marked.select("doc_id", "scaled").distinct().collect()])
+    rows = stored(weights(docs, ratios).withColumn("scaled", scaled).withColumn("gumbel_key", F.col("scaled") + _noise(seed, temperature)), "weights")
+    known = rows.sparkSession.createDataFrame([(d,) for d in label], "doc_id long")  # at most `most` rows
+    cut = best_threshold([(r["scaled"], label[r["doc_id"]]) for r in rows.join(F.broadcast(known), "doc_id", "left_semi").select("doc_id", "scaled").distinct().collect()]) if label else None
     k = rows.count() if cut is None else rows.where(F.col("scaled") > cut).count()
-    least = kth_largest(rows, "gumbel_key", k) if k else np.inf
-    return rows.select("doc_id", "log_weight", "gumbel_key", (F.col("gumbel_key") >= F.lit(float(least))).alias("kept"))
+    return rows, ratios, float(kth_largest(rows, "gumbel_key", k)) if k else float("inf")
+
+
+def resample(docs: DataFrame, labels: DataFrame, seed: int = 17, temperature: float = 0.05, most: int = MAX_LABELLED) -> DataFrame:
+    """Per row doc_id, log_weight, gumbel_key (log weight with noise), kept."""
+    rows, _, least = decided(docs, labels, seed, temperature, most)
+    return rows.select("doc_id", "log_weight", "gumbel_key", (F.col("gumbel_key") >= F.lit(least)).alias("kept"))
+
+
+def kept_rows(docs: DataFrame, labels: DataFrame, seed: int = 17, temperature: float = 0.05, most: int = MAX_LABELLED) -> DataFrame:
+    """The drawn documents with all their columns. Their keys are computed anew from the text, so that texts need no shuffle."""
+    _, ratios, least = decided(docs, labels, seed, temperature, most)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = Grams()
+        for batch in batches:
+            found = [grams.of(text or "") for text in batch.column("text").to_pylist()]
+            scaled = np.array([ratios[x].sum() / np.sqrt(max(len(x), 1)) for x in found])
+            kept = scaled + batch.column(NOISE).to_numpy(zero_copy_only=False) >= least
+            yield batch.filter(pa.array(kept, pa.bool_())).drop_columns([NOISE])
+
+    return docs.withColumn(NOISE, _noise(seed, temperature)).mapInArrow(run, docs.schema)

@@ -192,3 +192,18 @@ def score(docs: DataFrame, chain: Chain | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(p[:, k]) for k in range(p.shape[1])), pa.array(p[:, -1] >= chain.threshold)], ["doc_id", *(f"p_{c}" for c in chain.names), "toxic"])
 
     return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"p_{c} double" for c in chain.names) + ", toxic boolean")
+
+
+def clean_rows(docs: DataFrame, chain: Chain | None) -> DataFrame:
+    """The documents that are not toxic, with all their columns."""
+    require(docs, ("text",), "toxicity")
+    if chain is None:
+        return docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(chain.features)
+        for batch in batches:
+            p = chain.probabilities([index.of(words(t or "")) for t in batch.column("text").to_pylist()])
+            yield batch.filter(pa.array(p[:, -1] < chain.threshold))
+
+    return docs.mapInArrow(run, docs.schema)
