@@ -184,6 +184,58 @@ def assess_tracks(rows: DataFrame, point: str = "point3d_id", **limits: float) -
     return rows.groupBy(point).applyInPandas(one, f"{point} long, n long, reason string, radius double")
 
 
+def halves(captures: np.ndarray, along: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Two ways to split a track by captures: early and late along an order, and every other capture."""
+    names = sorted(set(captures.tolist()), key=lambda n: (along[captures == n].min(), str(n)))
+    middle = (len(names) + 1) // 2
+    early, other = np.isin(captures, names[:middle]), np.isin(captures, names[::2])
+    return [(early, ~early), (other, ~other)]
+
+
+def assess_split(point: np.ndarray, origins: np.ndarray, directions: np.ndarray, focal: np.ndarray, captures: np.ndarray, sources: np.ndarray, sigma: float = 1.0, p95: float = 2.0, most: float = 4.0, radius: float = 0.02) -> str:
+    """As assess, but both halves of a track must give the point on their own; at least four captures.
+
+    Captures of one source are in their own order; those of several are ordered along the camera centres' main axis."""
+    if len(np.unique(captures)) < 4:
+        return "insufficient_captures"
+    if not (np.isfinite(point).all() and np.isfinite(origins).all() and np.isfinite(directions).all()):
+        return "invalid_geometry"
+    if relative_radius(point, origins, directions, focal, sigma) > radius:
+        return "conditional_uncertainty"
+    centred = origins - origins.mean(0)
+    along = centred @ np.linalg.svd(centred, full_matrices=False)[2][0] if len(np.unique(sources)) > 1 else np.unique(captures, return_inverse=True)[1].astype(float)
+    distance = np.median(np.linalg.norm(point - origins, axis=1))
+    for parts in halves(captures, along):
+        fits = [triangulate(origins[h], directions[h]) for h in parts]
+        if any(f is None for f in fits):
+            return "degenerate_split"
+        errors = np.concatenate([angular_errors(fits[1 - k], origins[h], directions[h], focal[h]) for k, h in enumerate(parts)])
+        if not np.isfinite(errors).all():
+            return "invalid_projection"
+        if np.linalg.norm(fits[0] - fits[1]) > radius * distance:
+            return "split_disagreement"
+        if np.percentile(errors, 95) > p95 or errors.max() > most:
+            return "cross_reprojection"
+    return "keep"
+
+
+def split_stability(rows: DataFrame, point: str = "point3d_id") -> DataFrame:
+    """Per point with four captures or more: the distance of the early from the late half's triangulation, over the distance of the cameras; null if one fails.
+
+    rows: point, origin, direction (arrays of three), capture."""
+
+    def one(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        o, d, c = np.stack(group["origin"]).astype(float), np.stack(group["direction"]).astype(float), group["capture"].to_numpy()
+        if len(np.unique(c)) < 4:
+            return pd.DataFrame({point: [], "disagreement": []})
+        early, late = halves(c, np.unique(c, return_inverse=True)[1].astype(float))[0]
+        a, b = triangulate(o[early], d[early]), triangulate(o[late], d[late])
+        both = None if a is None or b is None else float(np.linalg.norm(a - b) / np.median(np.linalg.norm((a + b) / 2 - o, axis=1)))
+        return pd.DataFrame({point: [key[0]], "disagreement": pd.array([both], "Float64")})
+
+    return rows.groupBy(point).applyInPandas(one, f"{point} long, disagreement double")
+
+
 def similarity_fit(source: np.ndarray, target: np.ndarray) -> tuple[float, np.ndarray, np.ndarray] | None:
     """Scale, rotation and shift that map source points onto target points best; None for points on a line."""
     a, b = source - source.mean(0), target - target.mean(0)

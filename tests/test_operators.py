@@ -176,6 +176,21 @@ def test_track_assessment(spark):
     assert geometry.assess_tracks(df).first().reason == "keep"
 
 
+def test_split_assessment(spark):
+    near = np.array([0.0, 0, 10])
+    o, d = _track(8, near)
+    f, c, one = np.full(8, 800.0), np.arange(8), np.zeros(8)
+    assert geometry.assess_split(near, o, d, f, c, one) == "keep" and geometry.assess_split(near, o, d, f, c, c % 2) == "keep"
+    assert geometry.assess_split(near, o, d, f, c // 3, one) == "insufficient_captures"
+    bent = d.copy()
+    bent[4:] = (near + [0, 0, 2]) - o[4:]
+    bent /= np.linalg.norm(bent, axis=1)[:, None]
+    assert geometry.assess_split(near, o, bent, f, c, one) == "split_disagreement"
+    rows = [(1, o[k].tolist(), d[k].tolist(), k) for k in range(8)] + [(2, o[k].tolist(), bent[k].tolist(), k) for k in range(8)] + [(3, o[0].tolist(), d[0].tolist(), 0)]
+    got = {r.point3d_id: r.disagreement for r in geometry.split_stability(spark.createDataFrame(rows, "point3d_id long, origin array<double>, direction array<double>, capture long")).collect()}
+    assert set(got) == {1, 2} and got[1] < 1e-9 and got[2] > 0.1
+
+
 def test_similarity_with_outliers():
     r = np.random.default_rng(1)
     a = r.standard_normal((30, 3))
