@@ -234,3 +234,37 @@ def training_advice(points: Column, reprojection: Column, p99: Column, median: C
     """Point budget and warnings for a trainer. 6 a point within 1 to 2 million, 1.5 px, 10 000 points, ratio 5."""
     warn = F.array_compact(F.array(F.when(reprojection > 1.5, "high_reprojection_error"), F.when(points < 10_000, "few_points"), F.when(p99 > 5 * median, "far_outliers")))
     return {"cap": F.greatest(F.least(points * 6, F.lit(2_000_000)), F.lit(1_000_000)), "warnings": warn}
+
+
+def turning(a: list[Column], b: list[Column]) -> list[list[Column]]:
+    """The smallest rotation that takes unit vector a to unit vector b; for opposite ones, half a turn about an axis across."""
+    c = dot(a, b)
+    v = [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+    cross = [[F.lit(0.0), -v[2], v[1]], [v[2], F.lit(0.0), -v[0]], [-v[1], v[0], F.lit(0.0)]]
+    across = [F.when(F.abs(a[0]) < 0.9, x).otherwise(y) for x, y in zip((F.lit(0.0), a[2], -a[1]), (-a[2], F.lit(0.0), a[0]), strict=True)]
+    n = norm(across)
+    u = [x / n for x in across]
+    opposite = c < -1 + 1e-12
+    one = lambda i, j: F.lit(1.0 if i == j else 0.0)
+    square = [[v[i] * v[j] - one(i, j) * dot(v, v) for j in range(3)] for i in range(3)]
+    return [[F.when(opposite, 2 * u[i] * u[j] - one(i, j)).otherwise(one(i, j) + cross[i][j] + square[i][j] / (1 + c)) for j in range(3)] for i in range(3)]
+
+
+def shifted(x: Column, y: Column, left: Column, top: Column) -> list[Column]:
+    """Pixels, or a principal point, after a crop."""
+    return [x - left, y - top]
+
+
+def match_reason(finite: Column, confidence: Column, inside_: Column, mask_a: Column, mask_b: Column, view_a: Column, view_b: Column, least: float = 0.2) -> Column:
+    """The first reason against a dense match, null if none: every rejection counts at its own step only."""
+    checks = (("not_finite", finite), ("low_confidence", confidence >= least), ("outside", inside_), ("mask_a", mask_a), ("mask_b", mask_b), ("view_a", view_a), ("view_b", view_b))
+    out = None
+    for name, ok in checks:
+        bad = ~F.coalesce(ok, F.lit(False))
+        out = F.when(bad, name) if out is None else out.when(bad, name)
+    return out
+
+
+def sound_geometry(depth_1: Column, depth_2: Column, parallax: Column, gap: Column, error: Column, scale: Column) -> Column:
+    """In front of both, parallax 0.5 degrees, gap within 0.002 of the scene, 1.5 pixels."""
+    return F.coalesce((depth_1 > 0) & (depth_2 > 0) & (parallax >= 0.5) & (gap <= 0.002 * scale) & (error <= 1.5), F.lit(False))

@@ -151,3 +151,30 @@ def heldout_audit(proposals: DataFrame, query: str, capture: str, error: str, le
     q = proposals.groupBy(query).agg(F.count_distinct(capture).alias("captures"), F.min(error).alias("best"))
     fit = F.col("captures") >= least
     return q.agg(F.count(F.lit(1)).alias("queries"), F.count_if(fit).alias("eligible"), *(F.count_if(fit & (F.col("best") <= w)).alias(f"within_{w}") for w in within))
+
+
+def capture_centres(images: DataFrame, capture: list[str], centre: list[str]) -> DataFrame:
+    """The mean of the sensors' centres of each capture."""
+    return images.groupBy(*capture).agg(*(F.avg(c).alias(c) for c in centre), F.count(F.lit(1)).alias("sensors"))
+
+
+def anchor_support(queries: DataFrame, query: str, anchors: str, least: int = 10) -> DataFrame:
+    """Anchors, and how many inliers name each; those with fewer than `least` drop out. anchors: an array per inlier."""
+    return queries.select(query, F.explode(F.array_distinct(anchors)).alias("anchor")).groupBy(query, "anchor").agg(F.count(F.lit(1)).alias("inliers")).where(F.col("inliers") >= least)
+
+
+def longest_prefix(names: DataFrame, name: str, prefixes: DataFrame, prefix: str, columns: list[str]) -> DataFrame:
+    """Names with the columns of the longest prefix that begins them, or nulls. Joins by the prefixes' lengths, of which there are few."""
+    lengths = [r[0] for r in prefixes.select(F.length(prefix)).distinct().limit(1001).collect()]
+    if len(lengths) > 1000:
+        raise ValueError("too many lengths of prefixes")
+    begins = names.select(name).distinct().select(name, F.explode(F.array(*(F.when(F.length(name) >= n, F.substring(name, 1, n)) for n in lengths)) if lengths else F.array().cast("array<string>")).alias(prefix))
+    best = begins.join(prefixes.select(prefix, *columns), prefix).groupBy(name).agg(F.max_by(F.struct(*columns), F.length(prefix)).alias("__best"))
+    return names.join(best, name, "left").select(*names.columns, *(F.col(f"__best.{c}").alias(c) for c in columns))
+
+
+def largest_change(a: DataFrame, b: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """One row: rows in one only, and the largest absolute change of each value over rows in both."""
+    x, y = a.select(key, *(F.col(v).alias(f"a_{v}") for v in values), F.lit(1).alias("in_a")), b.select(key, *(F.col(v).alias(f"b_{v}") for v in values), F.lit(1).alias("in_b"))
+    both = x.join(y, key, "full")
+    return both.agg(F.count_if(F.col("in_a").isNull() | F.col("in_b").isNull()).alias("unmatched"), *(F.max(F.abs(F.col(f"a_{v}") - F.col(f"b_{v}"))).alias(v) for v in values))

@@ -86,3 +86,8 @@ def log_progress(lines: DataFrame, total: str = "total") -> DataFrame:
 def console(events: DataFrame, levels: list[str], text: str) -> DataFrame:
     """Events of these levels whose message holds the text, in any case."""
     return events.where(F.col("level").isin(levels) & F.contains(F.lower("message"), F.lit(text.lower())))
+
+
+def current_only(events: DataFrame, runs: DataFrame, stage: str = "stage", job: str = "job_id") -> DataFrame:
+    """Events of the job that a stage is bound to now; those of earlier jobs are ignored."""
+    return events.join(runs.select(stage, job).distinct(), [stage, job], "left_semi")

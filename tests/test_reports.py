@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from fieldloom.functions import expr
-from fieldloom.operators import reports
+from fieldloom.operators import graph, reports
 
 
 def test_policies(spark):
@@ -61,3 +61,22 @@ def test_maps_and_sizes(spark):
     assert r[0] == {"a_model_units": 1.0, "b": 2.0} and r[1] == {"a_m": 1.0, "b": 3.0} and (r[2], r[3]) == (50, 25)
     edges = expr.crop_edges(*(F.lit(v) for v in (3, 5, 17, 30)), F.lit(20), F.lit(32), 8)
     assert list(spark.range(1).select(*edges).first()) == [0, 0, 20, 32]
+
+
+def test_smallest_rotation(spark):
+    for a, b in (((1.0, 0.0, 0.0), (0.0, 1.0, 0.0)), ((0.6, 0.8, 0.0), (0.6, 0.8, 0.0)), ((0.0, 0.0, 1.0), (0.0, 0.0, -1.0)), ((1.0, 0.0, 0.0), (-1.0, 0.0, 0.0))):
+        r = expr.turning([F.lit(v) for v in a], [F.lit(v) for v in b])
+        turned = spark.range(1).select(*(sum((r[i][j] * a[j] for j in range(3)), F.lit(0.0)) for i in range(3))).first()
+        assert all(abs(x - y) < 1e-9 for x, y in zip(turned, b, strict=True))
+
+
+def test_prefixes_support_and_change(spark):
+    n = spark.createDataFrame([("a/b/1",), ("a/2",), ("z",)], "name string")
+    p = spark.createDataFrame([("a/", 1), ("a/b/", 2)], "prefix string, v int")
+    assert {r.name: r.v for r in graph.longest_prefix(n, "name", p, "prefix", ["v"]).collect()} == {"a/b/1": 2, "a/2": 1, "z": None}
+    q = spark.createDataFrame([("q", [1, 2]), ("q", [1, 1])], "q string, anchors array<int>")
+    assert [(r.anchor, r.inliers) for r in graph.anchor_support(q, "q", "anchors", 2).collect()] == [(1, 2)]
+    a, b = spark.createDataFrame([(1, 1.0), (2, 2.0)], "k int, v double"), spark.createDataFrame([(1, 1.5), (3, 2.0)], "k int, v double")
+    assert tuple(graph.largest_change(a, b, "k", ["v"]).first()) == (2, 0.5)
+    ok, no = F.lit(True), F.lit(False)
+    assert spark.range(1).select(expr.match_reason(ok, F.lit(0.5), ok, no, no, ok, ok), expr.match_reason(ok, F.lit(0.2), ok, ok, ok, ok, ok)).first()[:2] == ("mask_a", None)
