@@ -118,7 +118,7 @@ def summed(sketches: DataFrame, fan: int = 64) -> np.ndarray:
 
 
 def first_columns(docs: DataFrame, width: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """doc_id, n, set_key, grams: of each set the rarest n-grams, as many as a partner must share one of, in order.
+    """doc_id, n, set_key, sign (see signature), grams: of each set the rarest n-grams, as many as a partner must share one of, in order.
 
     parts: into how many parts an n-gram's documents are dealt, by its count; mostly one."""
     broadcast, most = docs.sparkSession.sparkContext.broadcast(sketch), PART
@@ -126,7 +126,7 @@ def first_columns(docs: DataFrame, width: int, percent: int, sketch: np.ndarray)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = broadcast.value
         for batch in small(batches):
-            out, parts, keys, sizes = [], [], [], []
+            out, parts, keys, sizes, signs = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 s = ngrams(text, width)
                 n = len(s)
@@ -135,15 +135,16 @@ def first_columns(docs: DataFrame, width: int, percent: int, sketch: np.ndarray)
                 parts.append(counts[slot(s[order])] // most + 1 if n else np.zeros(0, np.int32))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if n else None)
                 sizes.append(n)
+                signs.append(signature(s))
             ends = np.cumsum([0, *map(len, out)])
             lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(x) if x else [], kind)) for x, kind in ((out, pa.int64()), (parts, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), *lists], ["doc_id", "n", "set_key", "grams", "parts"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary()), *lists], ["doc_id", "n", "set_key", "sign", "grams", "parts"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, set_key binary, grams array<long>, parts array<int>")
+    return docs.mapInArrow(run, "doc_id long, n long, set_key binary, sign binary, grams array<long>, parts array<int>")
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """node, n, sign (see signature), grams (packed) of the documents in `nodes`; some others too, where the filter of fixed size lets them pass."""
+    """node, grams (packed) of the documents in `nodes`; some others too, where the filter of fixed size lets them pass."""
     at = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
     words = nodes.select((at / 63).cast("int").alias("word"), (at % 63).cast("int").alias("bit")).distinct().groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
     bits = np.zeros(FILTER_BITS // 63 + 1, np.int64)
@@ -157,10 +158,10 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
             at = batch.column("at").to_numpy(zero_copy_only=False)
             chosen = batch.filter(pa.array((bits[at // 63] >> (at % 63)) & 1 == 1))
             sets = [ngrams(t, width) for t in chosen.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([chosen.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n", "sign", "grams"])
+            yield pa.RecordBatch.from_arrays([chosen.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "grams"])
 
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("at"))
-    return rows.mapInArrow(run, "node long, n long, sign binary, grams binary")
+    return rows.mapInArrow(run, "node long, grams binary")
 
 
 def signature(s: np.ndarray) -> bytes:
@@ -169,9 +170,11 @@ def signature(s: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs a, b those whose whole sets reach the threshold. Sizes and signatures rule most others out before sets are moved."""
-    of = lambda x, *c: sets.select(F.col("node").alias(x), *(F.col(k).alias(f"{k}_{x}") for k in c))
+def linked(pairs: DataFrame, signs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Of the pairs a, b those whose whole sets reach the threshold.
+
+    Sizes and signatures (node, n, sign) rule most others out; only for the rest are whole sets made again from the texts, and moved."""
+    of = lambda x, *c: signs.select(F.col("node").alias(x), *(F.col(k).alias(f"{k}_{x}") for k in c))
     near = pairs.join(of("a", "n", "sign"), "a").join(of("b", "n", "sign"), "b")
     near = near.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).select("a", "b", "n_a", "n_b", "sign_a", "sign_b")
 
@@ -184,8 +187,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 yield batch.select(["a", "b"]).filter(pa.array((100 + percent) * apart <= (100 - percent) * both))
 
     close = stored(near.mapInArrow(possible, "a long, b long"), "close")
-    ends = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    needed = stored(sets.select("node", "grams").join(ends, "node", "left_semi"), "needed")
+    needed = stored(whole_sets(docs, close.select(F.explode(F.array("a", "b")).alias("node")), width), "needed")
     side = lambda x: needed.select(F.col("node").alias(x), F.col("grams").alias(f"grams_{x}"))
     rows = close.join(side("a"), "a").join(side("b"), "b").select("a", "b", "grams_a", "grams_b")
 
@@ -211,21 +213,22 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
     classes = stored(rows.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("node")), "classes")
     chosen = first_columns(texts, width, percent, sketch).where("set_key IS NOT NULL")
-    columns = stored(chosen.join(classes.hint("shuffle_hash"), (F.col("doc_id") == F.col("node")) & (chosen["set_key"] == classes["set_key"]), "left_semi").select(F.col("doc_id").alias("node"), "n", "grams", "parts"), "columns")
+    columns = stored(chosen.join(classes.hint("shuffle_hash"), (F.col("doc_id") == F.col("node")) & (chosen["set_key"] == classes["set_key"]), "left_semi").select(F.col("doc_id").alias("node"), "n", "sign", "grams", "parts"), "columns")
 
     # A block is an n-gram's documents. An n-gram with very many is dealt into parts, other ones for each n-gram, so that parts meet elsewhere.
     entries = columns.select("node", "n", F.posexplode(F.arrays_zip("grams", "parts")).alias("pos", "g")).select("node", "n", "pos", F.col("g.grams").alias("gram"), F.col("g.parts").alias("parts"))
     entries = entries.withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node", "gram"), "parts").cast("int")).otherwise(-1))
+    entries = entries.select("gram", "part", "node", (F.col("n") * (1 << 31) + F.col("pos")).alias("size_pos")).repartition("gram", "part")
     block = Window.partitionBy("gram", "part")
     # Some documents of each block, recovered from the smallest values of id xor a number of the block.
     masks = [F.xxhash64("gram", F.lit(k)) for k in range(PIVOTS)]
     least = [F.min(F.col("node").bitwiseXOR(m)).over(block).bitwiseXOR(m) for m in masks]
-    met = entries.select("gram", "node", "n", "pos", "part", F.count(F.lit(1)).over(block).alias("members"), F.array(*least).alias("pivots"))
+    met = entries.select("gram", "node", F.shiftright("size_pos", 31).alias("n"), (F.col("size_pos") % (1 << 31)).alias("pos"), "part", F.count(F.lit(1)).over(block).alias("members"), F.array(*least).alias("pivots"))
     shared = stored(met.where("members > 1 OR part >= 0").select("gram", "node", "n", "pos", F.when(F.col("members") > 1, F.when(F.col("members") == 2, F.array(F.col("pivots")[0])).otherwise(F.array_distinct("pivots"))).alias("pivots")), "shared")
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     first = stored(shared.select("node", F.explode("pivots").alias("pivot")).where("node <> pivot").select(*ordered("node", "pivot")).distinct(), "pairs")
-    sets = stored(whole_sets(texts, first.select(F.explode(F.array("a", "b")).alias("node")), width), "sets")
-    links = stored(linked(first, sets, percent), "links")
+    signs = columns.select("node", "n", "sign")
+    links = stored(linked(first, signs, texts, width, percent), "links")
 
     known = components(links)
     placed = shared.join(known, "node", "left").select("gram", "node", "n", "pos", F.coalesce("component", "node").alias("component"))
@@ -236,7 +239,7 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     needed = F.ceil((F.col("n_x") + F.col("n_y")) * percent / (100 + percent) - 1e-9)
     possible = (F.col("component_x") < F.col("component_y")) & (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent) & (F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) >= needed)
     second = x.join(y, "gram").where(possible).select(*ordered("node_x", "node_y")).distinct().join(first, ["a", "b"], "left_anti")
-    final = components(links.union(linked(stored(second, "pairs"), sets, percent)))
+    final = components(links.union(linked(stored(second, "pairs"), signs, texts, width, percent)))
 
     by_node = classes.join(final, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     out = rows.join(by_node, "set_key", "left")
