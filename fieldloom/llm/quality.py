@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import require, stored, text_or_empty
+from fieldloom.llm.common import require, small, stored, text_or_empty
 from fieldloom.llm.labelled import MAX_LABELLED, labelled_ids
 
 BUCKETS = 1 << 18
@@ -43,7 +43,7 @@ SMOOTH, INDIFFERENT = 30.0, float(np.log(3))
 class Grams:
     """The buckets of a text's n-grams; remembers the hashes of a bounded number of words."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 150_000):
         self.known: dict[str, int] = {}
         self.most = most
 
@@ -76,7 +76,7 @@ def counts(docs: DataFrame, good: set[int]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, raw, target = Grams(), np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for batch in batches:
+        for batch in small(batches):
             found = [grams.of(text) for text in batch.column(1).to_pylist()]
             chosen = [x for x, doc_id in zip(found, batch.column(0).to_pylist(), strict=True) if doc_id in good]
             for total, part in ((raw, found), (target, chosen)):
@@ -109,7 +109,7 @@ def weights(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
-        for batch in batches:
+        for batch in small(batches):
             found = [grams.of(text) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([float(ratios[x].sum()) for x in found], pa.float64()), pa.array([len(x) for x in found], pa.int64())], ["doc_id", "log_weight", "n_grams"])
 
@@ -180,7 +180,7 @@ def kept_rows(docs: DataFrame, labels: DataFrame, seed: int = 17, temperature: f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
-        for batch in batches:
+        for batch in small(batches):
             found = [grams.of(text or "") for text in batch.column("text").to_pylist()]
             scaled = np.array([ratios[x].sum() / np.sqrt(max(len(x), 1)) for x in found])
             kept = scaled + batch.column(NOISE).to_numpy(zero_copy_only=False) >= least

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import require, text_or_empty
+from fieldloom.llm.common import require, small, text_or_empty
 from fieldloom.llm.labelled import MAX_LABELLED, labelled_ids
 
 #: Words of the weak categories, from the mildest to the worst.
@@ -125,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, categories
 
     def seen(toxic: int, among: set[str] | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in small(batches):
                 out: set[tuple[str, int]] = set()
                 for text in batch.column("text").to_pylist():
                     found = words(text)
@@ -145,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, categories
 
     def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(features)
-        for batch in batches:
+        for batch in small(batches):
             texts = [words(t) for t in batch.column("text").to_pylist()]
             weak = [[int(bool(s & t)) for s in seeds] for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__toxic"), pa.array(list(map(index.of, texts)), pa.list_(pa.int64())), pa.array(weak, pa.list_(pa.int64()))], ["id", "toxic", "columns", "weak"])
@@ -161,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, categories
 class Index:
     """The feature columns of a text; remembers a bounded number of words."""
 
-    def __init__(self, features: dict[str, int], most: int = 400_000):
+    def __init__(self, features: dict[str, int], most: int = 150_000):
         self.features, self.most = features, most
         self.known: dict[str, tuple[int, ...]] = {}
 
@@ -187,7 +187,7 @@ def score(docs: DataFrame, chain: Chain | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(chain.features)
-        for batch in batches:
+        for batch in small(batches):
             p = chain.probabilities([index.of(words(t)) for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(p[:, k]) for k in range(p.shape[1])), pa.array(p[:, -1] >= chain.threshold)], ["doc_id", *(f"p_{c}" for c in chain.names), "toxic"])
 
@@ -202,7 +202,7 @@ def clean_rows(docs: DataFrame, chain: Chain | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(chain.features)
-        for batch in batches:
+        for batch in small(batches):
             p = chain.probabilities([index.of(words(t or "")) for t in batch.column("text").to_pylist()])
             yield batch.filter(pa.array(p[:, -1] < chain.threshold))
 
