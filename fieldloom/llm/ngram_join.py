@@ -12,10 +12,12 @@ are wanted, and the sizes of both sets bound them:
   and the sizes must be within t of each other. Pairs below that are discarded.
 
 Equal sets are one row. A block is one column's documents. In a first round each block pairs its
-documents with a few of them, others in every block; linked documents join components. In a
-second round a block yields only pairs of different components, so a large family of near copies
-is not multiplied out. The pairs left get their exact overlap from both whole sets. The
-components are those of all links.
+documents with a few of them, as far as possible the same in every block; linked documents join
+components. In a second round a block with several components pairs the documents outside its
+main component, the one with most documents, with some of that one. In a last round a block yields
+all pairs of different components that are left, so a large family of near copies is not
+multiplied out. The pairs found get their exact overlap from both whole sets. The components are
+those of all links.
 
 Null and empty texts have no set and link with nothing. A text shorter than an n-gram is one n-gram
 by itself. Rows without doc_id get no component. Rows that repeat a doc_id share a component if
@@ -39,9 +41,9 @@ from fieldloom.llm.components import components
 
 #: Counters of the sketch, whatever the input; bits of the filter for documents with candidates.
 SKETCH, BLOCK, FILTER_BITS = 1 << 22, 1 << 16, 1 << 23
-#: Documents that a block's others are paired with in the first round; bits of a signature; documents
-#: from which on, about, a block is dealt into parts. Only speed depends on these.
-PIVOTS, SIGN_BITS, PART = 5, 2048, 100_000
+#: Documents that a block's others are paired with; rounds that pair with a block's main component, and with
+#: how many of its documents; bits of a signature; documents from which on, about, a block is dealt into parts. Only speed depends on these.
+PIVOTS, ROUNDS, SLOTS, SIGN_BITS, PART = 5, 1, 32, 2048, 100_000
 _HASH = xxhash.xxh3_64_intdigest
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -203,6 +205,14 @@ def linked(pairs: DataFrame, signs: DataFrame, docs: DataFrame, width: int, perc
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _of_main(left: DataFrame, number: int) -> DataFrame:
+    """Of each block up to SLOTS documents of its main component, others in every round: gram, node_y, component_y, n_y, pos_y."""
+    slot_of = F.pmod(F.xxhash64("node", "gram", F.lit(number)), F.lit(SLOTS))
+    size_pos = F.min_by(F.col("n") * (1 << 31) + F.col("pos"), "node")
+    chosen = left.where("component = main").groupBy("gram", "main", slot_of.alias("slot")).agg(F.min("node").alias("node_y"), size_pos.alias("size_pos"))
+    return chosen.select("gram", "node_y", F.col("main").alias("component_y"), F.shiftright("size_pos", 31).alias("n_y"), (F.col("size_pos") % (1 << 31)).alias("pos_y"))
+
+
 def join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Per row doc_id, n_shingles, component_id: the smallest doc_id reachable by links with 100 * overlap >= percent * union."""
     require(docs, ("doc_id", "text"), "the n-gram join")
@@ -220,8 +230,9 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     entries = entries.withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node", "gram"), "parts").cast("int")).otherwise(-1))
     entries = entries.select("gram", "part", "node", (F.col("n") * (1 << 31) + F.col("pos")).alias("size_pos")).repartition("gram", "part")
     block = Window.partitionBy("gram", "part")
-    # Some documents of each block, recovered from the smallest values of id xor a number of the block.
-    masks = [F.xxhash64("gram", F.lit(k)) for k in range(PIVOTS)]
+    # Some documents of each block, recovered from the smallest values of id xor a number. The numbers are the same in
+    # every block, so that blocks with nearly the same documents, as a family of near copies makes, mostly agree on theirs.
+    masks = [F.xxhash64(F.lit(k)) for k in range(PIVOTS)]
     least = [F.min(F.col("node").bitwiseXOR(m)).over(block).bitwiseXOR(m) for m in masks]
     met = entries.select("gram", "node", F.shiftright("size_pos", 31).alias("n"), (F.col("size_pos") % (1 << 31)).alias("pos"), "part", F.count(F.lit(1)).over(block).alias("members"), F.array(*least).alias("pivots"))
     shared = stored(met.where("members > 1 OR part >= 0").select("gram", "node", "n", "pos", F.when(F.col("members") > 1, F.when(F.col("members") == 2, F.array(F.col("pivots")[0])).otherwise(F.array_distinct("pivots"))).alias("pivots")), "shared")
@@ -230,16 +241,21 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     signs = columns.select("node", "n", "sign")
     links = stored(linked(first, signs, texts, width, percent), "links")
 
-    known = components(links)
-    placed = shared.join(known, "node", "left").select("gram", "node", "n", "pos", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("gram")
-    left = stored(placed.join(mixed, "gram", "left_semi"), "left")
-    x = left.toDF("gram", "node_x", "n_x", "pos_x", "component_x")
-    y = left.toDF("gram", "node_y", "n_y", "pos_y", "component_y")
-    needed = F.ceil((F.col("n_x") + F.col("n_y")) * percent / (100 + percent) - 1e-9)
-    possible = (F.col("component_x") < F.col("component_y")) & (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent) & (F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) >= needed)
-    second = x.join(y, "gram").where(possible).select(*ordered("node_x", "node_y")).distinct().join(first, ["a", "b"], "left_anti")
-    final = components(links.union(linked(stored(second, "pairs"), signs, texts, width, percent)))
+    left, tried = shared.drop("pivots"), first
+    for number in range(ROUNDS + 1):
+        placed = left.select("gram", "node", "n", "pos").join(components(links), "node", "left").select("gram", "node", "n", "pos", F.coalesce("component", "node").alias("component"))
+        mixed = placed.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("members")).groupBy("gram").agg(F.max_by("component", "members").alias("main"), F.count(F.lit(1)).alias("several")).where("several > 1").select("gram", "main")
+        left = stored(placed.join(mixed, "gram"), "left")
+        side = lambda x: left.toDF("gram", *(f"{c}_{x}" for c in left.columns[1:]))
+        y = _of_main(left, number) if number < ROUNDS else side("y")
+        other = "component_x <> component_y" if number < ROUNDS else "component_x > component_y"
+        needed = F.ceil((F.col("n_x") + F.col("n_y")) * percent / (100 + percent) - 1e-9)
+        possible = (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent) & (F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) >= needed)
+        met = side("x").join(y, "gram").where(other).where(possible).select(*ordered("node_x", "node_y")).distinct()
+        pairs = stored(met.join(tried, ["a", "b"], "left_anti"), "pairs")
+        links = links.union(stored(linked(pairs, signs, texts, width, percent), "links"))
+        tried = tried.union(pairs)
+    final = components(links)
 
     by_node = classes.join(final, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     out = rows.join(by_node, "set_key", "left")
