@@ -7,9 +7,12 @@ counts once, in the first of them.
 
 All trees grow at once, level by level, over all vectors: the projections of all levels are
 computed once per vector and the medians per node in Spark, so no level moves vectors. A node
-stops when it has at most `leaf` vectors. Leaves that cannot be split further (projections all
-equal) are compared in blocks of rows, each pair of blocks one task, so that no task
-gets more than 2 `leaf` vectors whatever the leaf.
+stops when it has at most `leaf` vectors, or when most of its members are so near each other that
+every cut would part links: PROBES further directions, which cut nothing, measure its spread. The
+spill margin is at least SPILL times the distance of a pair at the threshold, whatever the node's
+spread, and the deeper the trees, the more there are. Leaves of more than 2 `leaf` vectors are
+compared in blocks of rows, each pair of blocks one task, so that no task gets more than 20 `leaf`
+vectors whatever the leaf; leaves of several trees with the same members are compared once.
 
 Vectors with equal components are one before all this; copies link with each other and share all
 links. Null, empty, zero and non-finite vectors link with nothing; so do vectors of different
@@ -28,9 +31,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import require, stored
-from fieldloom.llm.components import Forest, components
+from fieldloom.llm.components import components
 
-LEVELS = 40
+LEVELS, PROBES = 40, 8
+#: Half of the spill zone, in distances of a pair at the threshold. On a direction, a pair at distance r differs by r times a normal variate.
+SPILL = 0.4
+#: A node whose mean squared distance from its centre is at most DENSE * (1 - threshold) is not split; at 1, its mean pair is at the threshold.
+DENSE = 2.0
+#: The share of the links at the threshold that a level parts in one tree, the share of a node's rows that a child has, and the share of links that may be lost.
+PARTED, CHILD, LOST = 0.07, 0.6, 0.01
+
+
+def depth(n: int, leaf: int) -> int:
+    return max(0, int(np.ceil(np.log(max(n, 1) / leaf) / -np.log(CHILD))))
+
+
+def trees_for(n: int, leaf: int, least: int) -> int:
+    """So many trees that a link at the threshold survives in one of them, whatever the depth."""
+    survives = (1 - PARTED) ** depth(n, leaf)
+    return least if survives >= 1 else max(least, int(np.ceil(np.log(LOST) / np.log(1 - survives))))
 
 
 def directions(trees: int, levels: int, dim: int, seed: int) -> np.ndarray:
@@ -56,22 +75,26 @@ def projected(vectors: DataFrame, trees: int, levels: int, seed: int) -> DataFra
     return vectors.mapInArrow(run, "rep long, dim int, tree int, proj array<double>")
 
 
-def grown(rows: DataFrame, leaf: int, spill: float, levels: int) -> DataFrame:
-    """rep, tree, node of every leaf that a vector is in. Node: dim and the way taken, as text."""
+def grown(rows: DataFrame, leaf: int, spill: float, levels: int, threshold: float) -> DataFrame:
+    """rep, tree, node of every leaf that a vector is in. Node: dim and the way taken, as text. proj: of all levels, and of PROBES more directions."""
+    half = SPILL * max(0.0, 2 - 2 * threshold) ** 0.5
+    # A normal variate's quartiles lie 1.349 standard deviations apart; they leave outliers out.
+    middle = [F.percentile_approx(F.col("proj")[levels + k], F.array(F.lit(0.25), F.lit(0.75)), 200) for k in range(PROBES)]
+    spread = sum(((q[1] - q[0]) / 1.349) * ((q[1] - q[0]) / 1.349) for q in middle) / PROBES
     rows = stored(rows.withColumn("node", F.format_string("%d:", "dim")), "nodes")
     done = None
     for level in range(levels):
         at = F.col("proj")[level]
         cuts = rows.groupBy("tree", "node").agg(
-            F.count(F.lit(1)).alias("members"), F.percentile_approx(at, F.array(F.lit(0.5 - spill), F.lit(0.5), F.lit(0.5 + spill)), 1000).alias("cut"), F.min(at).alias("low"), F.max(at).alias("high")
+            F.count(F.lit(1)).alias("members"), F.percentile_approx(at, F.array(F.lit(0.5 - spill), F.lit(0.5), F.lit(0.5 + spill)), 1000).alias("cut"), F.min(at).alias("low"), F.max(at).alias("high"), spread.alias("spread"),
         )
-        split = stored(cuts.where((F.col("members") > leaf) & (F.col("low") < F.col("high"))), "cuts")
+        split = stored(cuts.where((F.col("members") > leaf) & (F.col("low") < F.col("high")) & (F.col("spread") > DENSE * (1 - threshold))), "cuts")
         if split.isEmpty():
             break
         joined = rows.join(split, ["tree", "node"], "left")
         # Right of the median, or left of it; near it both. A median that equals the largest value sends it right.
-        right = (at > F.col("cut")[0]) | (at >= F.col("high"))
-        left = (at <= F.col("cut")[2]) & (at < F.col("high"))
+        right = (at > F.least(F.col("cut")[0], F.col("cut")[1] - half)) | (at >= F.col("high"))
+        left = (at <= F.greatest(F.col("cut")[2], F.col("cut")[1] + half)) & (at < F.col("high"))
         ways = F.when(F.col("members").isNull(), F.array(F.lit("."))).otherwise(F.filter(F.array(F.when(left, F.lit("0")), F.when(right, F.lit("1"))), lambda x: x.isNotNull()))
         moved = stored(joined.select("rep", "tree", F.col("node").alias("old"), "proj", F.explode(ways).alias("way")), "nodes")
         finished = moved.where("way = '.'").select("rep", "tree", F.col("old").alias("node"))
@@ -81,6 +104,25 @@ def grown(rows: DataFrame, leaf: int, spill: float, levels: int) -> DataFrame:
     return last if done is None else done.unionByName(last)
 
 
+def met_before(a: list[np.ndarray], b: list[np.ndarray], here: int, columns: int = 1024) -> np.ndarray:
+    """Which pairs share a leaf with a smaller id than `here`. a, b: each vector's leaves."""
+    sides = []
+    for side in (a, b):
+        ids, row = np.concatenate(side), np.repeat(np.arange(len(side)), [len(v) for v in side])
+        sides.append((ids[ids < here], row[ids < here]))
+    both = np.intersect1d(sides[0][0], sides[1][0])
+    shared = np.zeros((len(a), len(b)), bool)
+    for at in range(0, len(both), columns):
+        part, held = both[at : at + columns], []
+        for (ids, row), n in zip(sides, (len(a), len(b)), strict=True):
+            k = np.minimum(np.searchsorted(part, ids), len(part) - 1)
+            fits = part[k] == ids
+            held.append(np.zeros((n, len(part)), np.float32))
+            held[-1][row[fits], k[fits]] = 1
+        shared |= held[0] @ held[1].T > 0
+    return shared
+
+
 def compare(members: DataFrame, threshold: float) -> DataFrame:
     """Within each block pair of a leaf: per vector its links that no earlier leaf holds, weighted by copies, and a spanning forest of the links.
 
@@ -88,27 +130,31 @@ def compare(members: DataFrame, threshold: float) -> DataFrame:
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["side", "rep"])
-        rep, size = group["rep"].to_numpy(), group["copies"].to_numpy()
+        rep, size = group["rep"].to_numpy(), group["copies"].to_numpy().astype(float)
         x = np.stack(group["unit"].to_list()).astype(float)
         leaves = [np.asarray(v) for v in group["leaves"]]
         side, here, same = group["side"].to_numpy(), key[0], group["same"].iloc[0]
         first, second = (np.arange(len(rep)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-        links, forest = np.zeros(len(rep), np.int64), Forest()
+        links, root = np.zeros(len(rep)), np.arange(len(rep))
         for start in range(0, len(first), 512):
             a = first[start : start + 512]
             close = x[a] @ x[second].T >= threshold
             if same:
                 close &= a[:, None] < second[None, :]
-            for i, j in zip(*np.nonzero(close), strict=True):
-                p, q = a[i], second[j]
-                if rep[p] == rep[q]:
-                    continue
-                forest.join(int(rep[p]), int(rep[q]))
-                if np.intersect1d(leaves[p], leaves[q], assume_unique=True)[0] == here:
-                    links[p] += size[q]
-                    links[q] += size[p]
-        hanging = [v for v in forest.up if forest.find(v) != v]
-        return pd.DataFrame({"rep": [*rep, *hanging], "links": pd.array([*links, *[None] * len(hanging)], "Int64"), "up": pd.array([None] * len(rep) + [forest.find(v) for v in hanging], "Int64")})
+            rows, columns = close.any(1), close.any(0)
+            if not rows.any():
+                continue
+            a, b, close = a[rows], second[columns], close[np.ix_(rows, columns)]
+            for i, p in enumerate(a):
+                near = root[b[close[i]]]
+                if (near != root[p]).any():
+                    joined = np.unique([root[p], *near])
+                    root[np.isin(root, joined)] = joined[0]
+            close &= ~met_before([leaves[p] for p in a], [leaves[q] for q in b], here)
+            links[a] += close @ size[b]
+            links[b] += size[a] @ close
+        hanging = np.flatnonzero(root != np.arange(len(rep)))
+        return pd.DataFrame({"rep": [*rep, *rep[hanging]], "links": pd.array([*links.astype(np.int64), *[None] * len(hanging)], "Int64"), "up": pd.array([*[None] * len(rep), *rep[root[hanging]]], "Int64")})
 
     return members.groupBy("leaf_id", "one", "two").applyInPandas(run, "rep long, links long, up long")
 
@@ -126,9 +172,12 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, trees: int = 8, leaf:
     length = F.sqrt(F.aggregate("s", F.lit(0.0), lambda t, c: t + c * c))
     classes = stored(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("s").alias("s")).select("v", "rep", "copies", F.transform("s", lambda c: c / length).alias("unit")), "classes")
     n = classes.count()
-    levels = min(LEVELS, max(1, int(np.ceil(np.log2(max(n, 2) / leaf * 2 + 1))) + 4))
-    leaves = stored(grown(projected(classes.select("rep", "unit"), trees, levels, seed), leaf, spill, levels).select("rep", F.xxhash64("tree", "node").alias("leaf_id")).distinct(), "leaves")
-    sizes = leaves.groupBy("leaf_id").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("leaf_id", F.ceil(F.col("members") / (2 * leaf)).cast("int").alias("blocks"))
+    trees, levels = trees_for(n, leaf, trees), min(LEVELS, depth(n, leaf) + 5)
+    grew = grown(projected(classes.select("rep", "unit"), trees, levels + PROBES, seed), leaf, spill, levels, threshold)
+    every = stored(grew.select("rep", F.xxhash64("tree", "node").alias("leaf_id")).distinct(), "leaves")
+    whole = every.groupBy("leaf_id").agg(F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("mix")).where("members > 1")
+    sizes = stored(whole.groupBy("members", "sum", "mix").agg(F.min("leaf_id").alias("leaf_id")).select("leaf_id", F.ceil(F.col("members") / F.when(F.col("members") > 20 * leaf, 10 * leaf).otherwise(2 * leaf)).cast("int").alias("blocks")), "sizes")
+    leaves = every.join(sizes.select("leaf_id"), "leaf_id")
     of = leaves.groupBy("rep").agg(F.sort_array(F.collect_set("leaf_id")).alias("leaves"))  # a few for each tree
     # A leaf in k blocks gives k (k + 1) / 2 pairs of blocks; nearly every leaf has one.
     block = F.pmod(F.xxhash64("rep", "leaf_id"), F.col("blocks")).cast("int")

@@ -205,6 +205,19 @@ def test_forest_counts_a_pair_once_in_blocks(spark):
     assert all(q.n_links <= 59 and q.component_id == 0 for q in members)
 
 
+def test_forest_keeps_the_links_of_a_dense_group(spark):
+    r = np.random.default_rng(7)
+    x = r.standard_normal(64) + 0.31 * r.standard_normal((6000, 64))
+    x[5000:] = r.standard_normal((1000, 64))
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {q.vec_id: q.n_links for q in rp_forest.near_duplicates(df).collect()}
+    assert all(got[k] <= near[k].sum() for k in range(6000))
+    assert sum(got.values()) >= 0.98 * near.sum() > 1_000_000
+
+
 def test_url_rules_and_spread(spark):
     pages = [
         (1, "HTTP://A.example.com/en/5?x", '<a href="http://good.example.net/x"><a href=\'//bad.example.org/\'>'), (2, "http://b.example.com/en/77", '<a href="https://good.example.net/">'), (3, "ftp://good.example.net", None),
