@@ -299,6 +299,33 @@ def test_lm_scores(spark, corpus, odd, empty):
     assert lm_scoring.score(odd, RANKS).count() == odd.count() and lm_scoring.score(empty, RANKS).count() == 0
 
 
+def test_lm_knows_the_end_whatever_its_rank(spark, corpus, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "TOP", 1)
+    rows = [(r.doc_id, r.text) for r in corpus.collect()]
+    known = {w for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1 for w in t.encode().lower().split()}
+    got = {r.doc_id: r.n_known for r in lm_scoring.score(corpus, RANKS).collect()}
+    assert all(got[i] == 1 + sum(w in known for w in t.encode().lower().split()) for i, t in rows)
+
+
+def test_lm_trains_on_every_token_once():
+    for n in (1, 47, 64, 65, 112, 113, 1000):
+        y = np.arange(n) % 64
+        windows = lm_scoring.all_windows(y)
+        assert (np.concatenate([w[w >= 0] for w in windows]) == y).all() and (windows[1:, :16] <= -2).all()
+        assert all((-2 - b[:16] == np.where(a < -1, -2 - a, a)[48:]).all() for a, b in zip(windows, windows[1:]))
+
+
+def test_lm_leads_are_first_ids_of_the_encoding(corpus):
+    ranks = lm_scoring.ranks_of(RANKS)
+    w = lm_scoring.Words(ranks, P.PATTERN, None)
+    some = sorted({x for r in corpus.limit(50).collect() for x in r.text.encode().lower().split()})[:2000] + [b"x" * 50, b"don't", b"abc123", b"\xed\xa0\x80a", "\u00a0y".encode()]
+    for x in some:
+        if x.isalpha():
+            assert w.lead(x) == ranks[bpe.merged(b" " + x, ranks)[0]]
+        assert w.lead(x) >= 0
+    assert w.lead(b"don't") == ranks[bpe.merged(b" don", ranks)[0]] and w.lead(b"q" * 200_000) >= 0
+
+
 def test_attention_is_causal_sums_to_one_and_learns():
     model = lm_scoring.Attention.fresh(np.full(lm_scoring.CLASSES, 1 / lm_scoring.CLASSES))
     r = np.random.default_rng(0)
