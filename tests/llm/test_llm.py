@@ -234,6 +234,17 @@ def test_url_rules_and_spread(spark):
     assert url_filter.judge(df.limit(0), rules).count() == 0
 
 
+def test_url_distrust_reaches_far_and_faint(spark):
+    name = lambda k: f"http://h{k}.example.edu/"
+    link = lambda to: f'<a href="{to}">'
+    pages = [(0, "http://com/en/", ""), (1, name(1), link("http://com/en/"))] + [(k, name(k), link(name(k - 1))) for k in range(2, 13)]
+    pages += [(1000 + 10 * k + j, f"http://f{k}x{j}.example.edu/", link(name(k))) for k in range(1, 12) for j in range(9)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r for r in url_filter.judge(df, [("block", "com/en/")]).collect()}
+    assert all(r.verdict == "block" for r in got.values())
+    assert got[12].distrust == 0 and abs(got[1].distrust - 0.15 * 0.85) < 1e-9
+
+
 def test_quality_keeps_good_and_drops_bad(spark, corpus, odd, empty, labels):
     kept = {r.doc_id for r in quality.resample(corpus, labels).where("kept").collect()}
     junk = {k for k in range(200) if k % 4 == 0}
