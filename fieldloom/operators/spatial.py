@@ -87,15 +87,33 @@ def scene_scale(points: DataFrame, xyz: list[str], by: list[str]) -> DataFrame:
     return centre.join(points.join(centre, by).groupBy(*by).agg(quantile(d, 0.5).alias("scale"), quantile(d, 0.95).alias("p95_radius"), F.max(d).alias("max_radius")), by)
 
 
-def nearest_views(cameras: DataFrame, by: list[str], ident: str, xyz: list[str], k: int) -> DataFrame:
-    """Pairs a < b: each camera with its k nearest of its group. Groups are the views of one sensor."""
-    other = cameras.select(*by, F.col(ident).alias("other"), *(F.col(c).alias(f"o_{c}") for c in xyz))
+def nearest_views(cameras: DataFrame, by: list[str], ident: str, xyz: list[str], k: int, among: DataFrame | None = None) -> DataFrame:
+    """Pairs a < b: each camera with its k nearest of its group, or of the group's rows in `among`. Groups are the views of one sensor."""
+    other = (cameras if among is None else among).select(*by, F.col(ident).alias("other"), *(F.col(c).alias(f"o_{c}") for c in xyz))
     d = reduce(lambda a, b: a + b, ((F.col(c) - F.col(f"o_{c}")) * (F.col(c) - F.col(f"o_{c}")) for c in xyz))
     ranked = cameras.join(other, by).where(F.col(ident) != F.col("other")).withColumn("d", d)
     ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy(ident).orderBy("d", "other"))).where(F.col("place") <= k)
     return ranked.select(F.least(ident, "other").alias("a"), F.greatest(ident, "other").alias("b")).distinct()
 
 
+def view_pairs(cameras: DataFrame, by: list[str], ident: str, order: str, xyz: list[str], fraction: float, k: int) -> DataFrame:
+    """Pairs a < b: of each group references at even places (the first and the last among them), each with its k nearest views of the whole group; ties by smaller id."""
+    at = cameras.withColumn("__at", F.row_number().over(Window.partitionBy(*by).orderBy(order, ident)) - 1)
+    sizes = at.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).withColumn("__m", F.greatest(F.lit(1), F.bround(F.col("__n") * fraction).cast("int")))
+    last = F.col("__n") - 1
+    place = F.transform(F.sequence(F.lit(0), F.col("__m") - 1), lambda i: F.when((i > 0) & (i == F.col("__m") - 1), last).otherwise(F.bround(i * (last / F.greatest(F.col("__m") - 1, F.lit(1))))).cast("int"))
+    chosen = at.join(sizes.select(*by, F.explode(F.array_distinct(place)).alias("__at")), [*by, "__at"]).select(*by, ident, *xyz)
+    return nearest_views(chosen, by, ident, xyz, k, among=cameras)
+
+
+def camera_spacing(cameras: DataFrame, ident: str, xyz: list[str], by: list[str]) -> DataFrame:
+    """Per group the median of the cameras' distances to their nearest other camera; groups of one camera are left out."""
+    other = cameras.select(*by, F.col(ident).alias("other"), *(F.col(c).alias(f"o_{c}") for c in xyz))
+    d = reduce(lambda a, b: a + b, ((F.col(c) - F.col(f"o_{c}")) * (F.col(c) - F.col(f"o_{c}")) for c in xyz))
+    gaps = cameras.join(other, by).where(F.col(ident) != F.col("other")).groupBy(*by, ident).agg(F.sqrt(F.min(d)).alias("gap"))
+    return gaps.groupBy(*by).agg(F.percentile("gap", 0.5).alias("spacing"))
+
+
 def lowest_confidence_dropped(df: DataFrame, confidence: str, order: list[str], percent: int = 8) -> DataFrame:
     """All but the floor(n * percent / 100) rows of least confidence, over all groups, ties by order."""
     drop = df.count() * percent // 100

@@ -276,10 +276,22 @@ def scene_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_POINTS}, r AS (SELECT l.vec_id AS i, o.vec_id AS j, row_number() OVER (PARTITION BY l.vec_id ORDER BY (l.x - o.x) * (l.x - o.x) + (l.y - o.y) * (l.y - o.y) + (l.z - o.z) * (l.z - o.z), o.vec_id) AS k FROM p l JOIN p o ON l.label = o.label AND l.vec_id <> o.vec_id WHERE l.vec_id % 5 = 0 AND o.vec_id % 5 = 0)
     SELECT DISTINCT least(i, j) AS a, greatest(i, j) AS b FROM r WHERE k <= 3""")
 def nearest_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """View pairs of reference cameras, every fifth."""
+    """J13 over every fifth view only, as its SQL; nearest_views_whole searches all views."""
     return spatial.nearest_views(_points(spark, sf_dir).where("vec_id % 5 = 0"), ["label"], "vec_id", ["x", "y", "z"], 3)
 
 
+@query()
+def nearest_views_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fifth of each group's views as references, at even places; neighbours from all views."""
+    return spatial.view_pairs(_points(spark, sf_dir), ["label"], "vec_id", "vec_id", ["x", "y", "z"], 0.2, 3)
+
+
+@query()
+def camera_spacings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The median distance to the nearest camera."""
+    return spatial.camera_spacing(_points(spark, sf_dir), "vec_id", ["x", "y", "z"], ["label"])
+
+
 @query(f"""WITH {_POINTS} SELECT vec_id FROM (SELECT vec_id, row_number() OVER (ORDER BY error, vec_id) - 1 AS k, count(*) OVER () AS n FROM p) WHERE k >= n * 8 // 100""")
 def confidence_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P10: the least confident 8 % go, over all groups."""
@@ -466,11 +478,21 @@ def holdout_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT l_suppkey, count(*) AS images, count(DISTINCT (l_returnflag = 'R', l_linestatus = 'O')) = 1 AS consistent, bool_or(l_returnflag = 'R') AND NOT bool_or(l_linestatus = 'O') AND count(DISTINCT (l_returnflag = 'R', l_linestatus = 'O')) = 1 AS fixed FROM lineitem WHERE l_quantity > 49 GROUP BY 1""")
 def camera_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Policy of each camera."""
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity > 49").select("l_suppkey", (F.col("l_returnflag") == "R").alias("prior"), (F.col("l_linestatus") == "O").alias("refine"))
+    """A41 over the rows of its SQL only; camera_policies_whole takes all."""
+    return _policies(table(spark, sf_dir, "lineitem").where("l_quantity > 49"))
+
+
+def _policies(rows: DataFrame) -> DataFrame:
+    rows = rows.select("l_suppkey", (F.col("l_returnflag") == "R").alias("prior"), (F.col("l_linestatus") == "O").alias("refine"))
     return reports.camera_policy(rows, "l_suppkey", "prior", "refine")
 
 
+@query()
+def camera_policies_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Policy of each camera."""
+    return _policies(table(spark, sf_dir, "lineitem"))
+
+
 @query("""SELECT c_custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') THEN 'F' || c_custkey WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O') THEN 'O' || c_custkey END AS path FROM customer""")
 def mask_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first candidate that exists."""
@@ -504,13 +526,22 @@ def frames_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_POINTS}, u AS (SELECT label, vec_id, x / sqrt(x*x + y*y + z*z) AS x, y / sqrt(x*x + y*y + z*z) AS y, z / sqrt(x*x + y*y + z*z) AS z FROM p WHERE vec_id % 10 = 0)
     SELECT a.label, round(degrees(acos(least(min(abs(a.x*b.x + a.y*b.y + a.z*b.z)), 1))), 4) AS angle FROM u a JOIN u b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY 1""")
 def widest_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The widest angle in each track; tracks are the label's every tenth point."""
-    p = _points(spark, sf_dir).where("vec_id % 10 = 0")
+    """L14 over every tenth point only, as its SQL; widest_angles_whole takes all."""
+    return _widest(_points(spark, sf_dir).where("vec_id % 10 = 0"))
+
+
+def _widest(p: DataFrame) -> DataFrame:
     n = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
     rays = p.select("label", "vec_id", F.array(*(F.col(c) / n for c in "xyz")).alias("ray"))
     return reports.widest_angles(rays, "label", "vec_id", "ray").withColumn("angle", F.round("angle", 4))
 
 
+@query()
+def widest_angles_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The widest angle in each track; tracks are the labels' points."""
+    return _widest(_points(spark, sf_dir))
+
+
 @query("""SELECT c_mktsegment, greatest(CASE c_mktsegment WHEN 'BUILDING' THEN 1024 ELSE 1024 END, coalesce(max(c_acctbal) FILTER (c_custkey % 2 = 0), 0)) AS needed FROM customer GROUP BY 1""")
 def resolution_needs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A44."""
