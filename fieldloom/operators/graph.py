@@ -153,6 +153,27 @@ def heldout_audit(proposals: DataFrame, query: str, capture: str, error: str, le
     return q.agg(F.count(F.lit(1)).alias("queries"), F.count_if(fit).alias("eligible"), *(F.count_if(fit & (F.col("best") <= w)).alias(f"within_{w}") for w in within))
 
 
+def heldout_report(proposed: DataFrame, eligible: DataFrame, query: str, point: str, capture: str, error: str, distance: str, least: int = 2, within: tuple[int, ...] = (1, 2, 4, 8), plausible: float = 2.0) -> DataFrame:
+    """One row on held-out queries, by the reference's rules.
+
+    proposed: query, point, capture, error and distance of the point from the query's camera; error and distance are
+    those of query and point, and an error without a value (a point behind the camera) counts as infinite. A proposal needs `least`
+    captures. Only queries with one proposal are predicted; of the others, those with two plausible ones or more are
+    contested, and their largest distance over their smallest is compared. eligible: query; ratios are of all of them."""
+    bad = F.col(error).isNull() | F.isnan(error)
+    supported = proposed.join(eligible.select(query).distinct(), query, "left_semi").groupBy(query, point).agg(F.count_distinct(capture).alias("support"), F.min(F.when(bad, float("inf")).otherwise(F.col(error))).alias("e"), F.min(distance).alias("d")).where(F.col("support") >= least)
+    fine = F.col("e") <= plausible
+    each = supported.groupBy(query).agg(F.count(F.lit(1)).alias("n"), F.min("e").alias("e"), F.count_if(fine).alias("fine"), (F.max(F.when(fine, F.col("d"))) / F.min(F.when(fine, F.col("d")))).alias("ratio"))
+    sole, contested = F.col("n") == 1, F.col("fine") >= 2
+    found = each.agg(
+        F.count_if(sole).alias("predicted"), F.count_if(~sole).alias("ambiguous"), F.count_if(sole & (F.col("e") == float("inf"))).alias("invalid"), *(F.count_if(sole & (F.col("e") <= w)).alias(f"within_{w}") for w in within),
+        F.count_if(contested).alias("contested"), F.count_if(contested & (F.col("ratio") > 1.1)).alias("over_10pct"), F.count_if(contested & (F.col("ratio") > 1.25)).alias("over_25pct"), F.percentile(F.when(contested, F.col("ratio")), 0.5).alias("ratio_p50"), F.max(F.when(contested, F.col("ratio"))).alias("ratio_max"),
+    )
+    both = eligible.agg(F.count_distinct(query).alias("eligible")).crossJoin(found)
+    share = lambda c: F.try_divide(c, F.col("eligible"))
+    return both.withColumns({"unsupported_or_ambiguous": F.col("eligible") - F.col("predicted"), "coverage": share(F.col("predicted")), **{f"ratio_within_{w}": share(F.col(f"within_{w}")) for w in within}})
+
+
 def capture_centres(images: DataFrame, capture: list[str], centre: list[str]) -> DataFrame:
     """The mean of the sensors' centres of each capture."""
     return images.groupBy(*capture).agg(*(F.avg(c).alias(c) for c in centre), F.count(F.lit(1)).alias("sensors"))

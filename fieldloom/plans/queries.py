@@ -369,7 +369,7 @@ def mutual_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH q AS (SELECT l_orderkey, count(DISTINCT l_suppkey) AS c, min(l_discount * 100) AS best FROM lineitem GROUP BY 1)
     SELECT count(*) AS queries, count(*) FILTER (c >= 2) AS eligible, count(*) FILTER (c >= 2 AND best <= 1) AS within_1, count(*) FILTER (c >= 2 AND best <= 2) AS within_2, count(*) FILTER (c >= 2 AND best <= 4) AS within_4, count(*) FILTER (c >= 2 AND best <= 8) AS within_8 FROM q""")
 def heldout_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held-out observations by error."""
+    """A part of A28, as its SQL: queries by their least error. graph.heldout_report has the rest."""
     l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", (F.col("l_discount") * 100).alias("e"))  # noqa: E741
     return graph.heldout_audit(l, "l_orderkey", "l_suppkey", "e")
 

@@ -265,6 +265,19 @@ def test_tail_goes_on_from_its_checkpoint(spark, tmp_path):
     assert seen == [1, 3]
 
 
+def test_heldout_report_counts_sole_proposals_of_all_eligible(spark):
+    rows = [(1, 10, 1, 0.5, 2.0), (1, 10, 2, 0.5, 2.0), (1, 10, 2, 0.5, 2.0), (2, 20, 1, 0.5, 2.0), (2, 20, 2, 0.5, 2.0), (2, 21, 1, 1.5, 3.0), (2, 21, 3, 1.5, 3.0), (3, 30, 1, 0.1, 1.0)]
+    rows += [(4, 40, c, None, 1.0) for c in (1, 2)] + [(5, 50, c, 3.0, 1.0) for c in (1, 2)] + [(6, 60 + p, c, 1.0, 1.0 + p * 0.05) for p in (0, 1) for c in (1, 2)] + [(9, 90, c, 0.0, 1.0) for c in (1, 2)]
+    df = spark.createDataFrame(rows, "q int, p int, c int, e double, d double")
+    eligible = spark.createDataFrame([(k,) for k in range(1, 9)], "q int")
+    r = graph.heldout_report(df, eligible, "q", "p", "c", "e", "d").first()
+    assert (r.eligible, r.predicted, r.ambiguous, r.invalid, r.unsupported_or_ambiguous, r.coverage) == (8, 3, 2, 1, 5, 3 / 8)
+    assert (r.within_1, r.within_2, r.within_4, r.within_8, r.ratio_within_1, r.ratio_within_4) == (1, 1, 2, 2, 1 / 8, 2 / 8)
+    assert (r.contested, r.over_10pct, r.over_25pct) == (2, 1, 1) and abs(r.ratio_max - 1.5) < 1e-12 and abs(r.ratio_p50 - 1.275) < 1e-12
+    none = graph.heldout_report(df.limit(0), eligible.limit(0), "q", "p", "c", "e", "d").first()
+    assert (none.eligible, none.predicted, none.coverage) == (0, 0, None)
+
+
 def test_throttled_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "1.json").write_text("".join(f'{{"job": "j", "t": {t}, "progress": {p}, "kind": "progress"}}\n' for t, p in ((0.0, 0.0), (0.01, 0.2), (0.5, 0.4), (0.6, 1.0))))
