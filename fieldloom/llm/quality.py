@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import require, small, stored, text_or_empty
+from fieldloom.llm.common import kth_largest, require, small, stored, text_or_empty
 from fieldloom.llm.labelled import MAX_LABELLED, labelled_ids
 
 BUCKETS = 1 << 18
@@ -130,23 +130,6 @@ def best_threshold(scores: list[tuple[float, int]]) -> float | None:
     return -np.inf if cut == 0 else np.inf if cut == len(s) else float(s[cut - 1, 0] + s[cut, 0]) / 2
 
 
-def kth_largest(df: DataFrame, column: str, k: int, parts: int = 4096) -> float:
-    """The k-th largest value, by counting over ever narrower ranges: no sort, and nothing but counts reaches the driver."""
-    low, high = df.agg(F.min(column), F.max(column)).first()
-    while low < high:
-        width = (high - low) / parts
-        if width <= 0 or low + width == low:
-            break
-        slot = F.least(F.floor((F.col(column) - low) / width), F.lit(parts - 1))
-        inside = df.where(F.col(column).between(low, high)).groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"), F.min(column).alias("low"), F.max(column).alias("high")).collect()
-        for row in sorted(inside, key=lambda r: -r["slot"]):
-            if k <= row["n"]:
-                low, high = row["low"], row["high"]
-                break
-            k -= row["n"]
-    return high
-
-
 def _noise(seed: int, temperature: float):
     """Gumbel noise from a hash of doc_id."""
     uniform = (F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
