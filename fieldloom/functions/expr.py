@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -163,10 +165,10 @@ def rescaled(fx: Column, fy: Column, cx: Column, cy: Column, old: tuple[Column,
 
 
 def camera_class(models: Column) -> Column:
-    """Of an array of camera model names: the hardest class present."""
-    has = lambda part: F.exists(models, lambda m: F.contains(F.upper(m), F.lit(part)))
-    distorted = F.exists(models, lambda m: F.upper(m).isin("OPENCV", "FULL_OPENCV", "SIMPLE_RADIAL", "RADIAL"))
-    return F.when(has("EQUIRECT"), "equirectangular").when(has("FISHEYE"), "fisheye").when(distorted, "distorted").when(has("PINHOLE"), "pinhole").otherwise("other")
+    """Of an array of camera model names: the hardest class present. Names and classes are fixed values."""
+    has = lambda *parts: F.exists(models, lambda m: reduce(lambda a, b: a | b, (F.contains(m, F.lit(p)) for p in parts)))
+    flat = F.exists(models, lambda m: m.isin("PINHOLE", "SIMPLE_PINHOLE"))
+    return F.when(has("EQUIRECTANGULAR", "SPHERICAL"), "equirect").when(has("FISHEYE"), "fisheye").when(has("OPENCV", "RADIAL", "THIN_PRISM"), "distorted_pinhole").when(flat, "pinhole").otherwise("other")
 
 
 def shrunk(width: Column, height: Column, longest: int) -> list[Column]:
@@ -231,8 +233,8 @@ def patched(base: Column, change: Column) -> Column:
 
 
 def training_advice(points: Column, reprojection: Column, p99: Column, median: Column) -> dict[str, Column]:
-    """Point budget and warnings for a trainer. 6 a point within 1 to 2 million, 1.5 px, 10 000 points, ratio 5."""
-    warn = F.array_compact(F.array(F.when(reprojection > 1.5, "high_reprojection_error"), F.when(points < 10_000, "few_points"), F.when(p99 > 5 * median, "far_outliers")))
+    """Point budget and warnings for a trainer; no points, no warning of few. 6 a point within 1 to 2 million, 1.5 px, 10 000 points, ratio 5, and the names."""
+    warn = F.array_compact(F.array(F.when(reprojection > 1.5, "high_reproj_error"), F.when((points > 0) & (points < 10_000), "sparse_point_cloud"), F.when(p99 > 5 * median, "wide_sparse_point_distribution")))
     return {"cap": F.greatest(F.least(points * 6, F.lit(2_000_000)), F.lit(1_000_000)), "warnings": warn}
 
 

@@ -35,19 +35,35 @@ def _theta_distorted(k: np.ndarray, t: np.ndarray) -> np.ndarray:
     return t * (1 + t2 * (k[0] + t2 * (k[1] + t2 * (k[2] + t2 * k[3]))))
 
 
+def _bent(model: str, k: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equidistant points with their distortion: radial, and for thin prisms the other terms of the point as it was before, added."""
+    thin = model == "THIN_PRISM_FISHEYE"
+    radial = np.array([k[0], k[1], k[4], k[5]]) if thin else k[:4]
+    r = np.hypot(x, y)
+    f = np.where(r > 1e-12, _theta_distorted(radial, r) / np.maximum(r, 1e-300), 1.0)
+    if not thin:
+        return x * f, y * f
+    r2 = r * r
+    return x * f + 2 * k[2] * x * y + k[3] * (r2 + 2 * x * x) + k[6] * r2, y * f + 2 * k[3] * x * y + k[2] * (r2 + 2 * y * y) + k[7] * r2
+
+
+def _within(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equidistant points drawn in to a right angle."""
+    r = np.hypot(x, y)
+    f = np.where(r > 1e-12, np.minimum(r, np.pi / 2) / np.maximum(r, 1e-300), 1.0)
+    return x * f, y * f
+
+
 def ray_to_pixel(model: str, params: list[float], rays: np.ndarray) -> np.ndarray:
-    """Pixels of rays (n by 3); NaN behind the camera, except for fisheye models up to a right angle."""
+    """Pixels of rays (n by 3); NaN behind the camera, except for fisheye models."""
     fx, fy, cx, cy, k = _radial(model, np.asarray(params, float))
     x, y, z = rays.T
     with np.errstate(all="ignore"):
         if model in ("OPENCV_FISHEYE", "THIN_PRISM_FISHEYE"):
             r = np.hypot(x, y)
-            d = _theta_distorted(k[:4] if model == "OPENCV_FISHEYE" else np.array([k[0], k[1], k[4], k[5]]), np.clip(np.arctan2(r, z), 0, np.pi / 2))
-            scale = np.where(r > 1e-12, d / np.maximum(r, 1e-300), 1 / z)
-            u, v = x * scale, y * scale
-            if model == "THIN_PRISM_FISHEYE":
-                r2 = u * u + v * v
-                u, v = u + 2 * k[2] * u * v + k[3] * (r2 + 2 * u * u) + k[6] * r2, v + 2 * k[3] * u * v + k[2] * (r2 + 2 * v * v) + k[7] * r2
+            theta = np.arctan2(r, z)
+            scale = np.where(r > 1e-12, theta / np.maximum(r, 1e-300), 1.0)
+            u, v = _bent(model, k, x * scale, y * scale)
         else:
             u, v = np.where(z > 0, x / z, np.nan), np.where(z > 0, y / z, np.nan)
             f = _factor(model, k, u * u + v * v)
@@ -60,19 +76,19 @@ def pixel_to_ray(model: str, params: list[float], pixels: np.ndarray) -> np.ndar
     fx, fy, cx, cy, k = _radial(model, np.asarray(params, float))
     u, v = (pixels[:, 0] - cx) / fx, (pixels[:, 1] - cy) / fy
     if model in ("OPENCV_FISHEYE", "THIN_PRISM_FISHEYE"):
-        radial = k[:4]
-        a, b = u, v
         if model == "THIN_PRISM_FISHEYE":
-            radial = np.array([k[0], k[1], k[4], k[5]])
+            a, b = _within(u, v)
             for _ in range(20):
-                r2 = a * a + b * b
-                a, b = u - (2 * k[2] * a * b + k[3] * (r2 + 2 * a * a) + k[6] * r2), v - (2 * k[3] * a * b + k[2] * (r2 + 2 * b * b) + k[7] * r2)
-        d = np.hypot(a, b)
-        t = np.clip(d, 0, np.pi / 2)
-        for _ in range(15):
-            t2 = t * t
-            slope = 1 + t2 * (3 * radial[0] + t2 * (5 * radial[1] + t2 * (7 * radial[2] + t2 * 9 * radial[3])))
-            t = np.clip(t - (_theta_distorted(radial, t) - d) / np.where(np.abs(slope) > 1e-12, slope, 1e-12), 0, np.pi / 2)
+                c, e = _bent(model, k, a, b)
+                a, b = _within(a + u - c, b + v - e)
+            d = t = np.hypot(a, b)
+        else:
+            a, b, d = u, v, np.hypot(u, v)
+            t = np.clip(d, 0, np.pi / 2)
+            for _ in range(15):
+                t2 = t * t
+                slope = 1 + t2 * (3 * k[0] + t2 * (5 * k[1] + t2 * (7 * k[2] + t2 * 9 * k[3])))
+                t = np.clip(t - (_theta_distorted(k, t) - d) / np.where(np.abs(slope) > 1e-12, slope, np.inf), 0, np.pi / 2)
         s = np.where(d > 1e-12, np.sin(t) / np.maximum(d, 1e-300), 1.0)
         rays = np.column_stack([a * s, b * s, np.cos(t)])
     else:

@@ -138,12 +138,12 @@ def retained(points: DataFrame, observations: DataFrame, tracks: DataFrame) -> t
 
 
 def outlier_captures(edges: DataFrame) -> DataFrame:
-    """The captures at fault for bad edges a, b: of each edge the one that more bad edges touch, both if equally many."""
-    touched = edges.select(F.explode(F.array("a", "b")).alias("capture")).groupBy("capture").agg(F.count(F.lit(1)).alias("n"))
+    """The captures at fault for bad steps from a to b: of each the first if more of the distinct steps touch it than the second, and at least two; else the second."""
+    steps = edges.select("a", "b").distinct()
+    touched = steps.select(F.explode(F.array("a", "b")).alias("capture")).groupBy("capture").agg(F.count(F.lit(1)).alias("n"))
     of = lambda s: touched.select(F.col("capture").alias(s), F.col("n").alias(f"n_{s}"))
-    ends = edges.join(of("a"), "a").join(of("b"), "b")
-    at_fault = F.when(F.col("n_a") > F.col("n_b"), F.array("a")).when(F.col("n_b") > F.col("n_a"), F.array("b")).otherwise(F.array("a", "b"))
-    return ends.select(F.explode(at_fault).alias("capture")).distinct()
+    ends = steps.join(of("a"), "a").join(of("b"), "b")
+    return ends.select(F.when((F.col("n_a") >= 2) & (F.col("n_a") > F.col("n_b")), F.col("a")).otherwise(F.col("b")).alias("capture")).distinct()
 
 
 def heldout_audit(proposals: DataFrame, query: str, capture: str, error: str, least: int = 2, within: tuple[int, ...] = (1, 2, 4, 8)) -> DataFrame:

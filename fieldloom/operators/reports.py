@@ -29,13 +29,22 @@ def first_existing(wanted: DataFrame, key: str, candidates: list[Column], existi
     return wanted.select(key).join(found, key, "left")
 
 
-def resolution_needs(sources: DataFrame, projection: str, width: str, height: str, enabled: str) -> DataFrame:
-    """Per projection the longest edge that enabled sources ask for, at least its floor; sources without a size ask for nothing.
-
-    Fixed values: the floors of fisheye, equirectangular, perspective, and other."""
-    edge = F.when(F.col(enabled), F.greatest(width, height))
-    floor = F.when(F.col(projection) == "fisheye", 2048).when(F.col(projection) == "equirectangular", 8192).when(F.col(projection) == "perspective", 2048).otherwise(1024)
-    return sources.groupBy(projection).agg(F.max(edge).alias("asked")).select(projection, F.greatest(floor, F.coalesce("asked", F.lit(0))).alias("needed"))
+def resolution_needs(sources: DataFrame, projection: str, width: str, height: str, enabled: str, rig: bool = False) -> DataFrame:
+    """One row: what the enabled sources with a size need of four settings. rig: whether spherical sources are cut into flat views.
+
+    Fixed values: the least of each setting, steps of 256, and the bounds of flat views and masks by projection."""
+    up = lambda x: F.ceil(x / 256.0) * 256
+    w, edge, kind = F.col(width), F.greatest(width, height), F.col(projection)
+    sphere, twin, flat = kind == "equirectangular", kind == "dual_fisheye", kind == "perspective"
+    view = F.when(sphere, up(w / 4)).when(twin, up(edge / 2)).otherwise(0)
+    cut = F.greatest(F.lit(1024), F.least(F.lit(4096), view))
+    size = F.when(flat, 2048).otherwise(F.greatest(F.lit(2048), cut if rig else F.when(sphere, up(w)).otherwise(up(edge))))
+    count = F.lit(8192) if rig else F.when(flat, 8192).when(sphere, 32768).otherwise(16384)
+    whole = F.when(sphere, F.least(F.lit(4096), up(w))).when(twin, F.least(F.lit(3072), up(edge))).otherwise(2048)
+    mask = F.greatest(F.lit(2048), F.when(flat, 2048).otherwise(F.least(F.lit(3072), view)) if rig else whole)
+    used = sources.where(F.col(enabled) & (F.coalesce(w, F.lit(0)) != 0) & (F.coalesce(height, F.lit(0)) != 0))
+    most = lambda x, least: F.greatest(F.lit(least), F.coalesce(F.max(x), F.lit(least))).cast("long")
+    return used.agg(most(size, 2048).alias("feature_size"), most(count, 8192).alias("feature_count"), most(mask, 2048).alias("mask_size"), most(F.when(view > 0, cut), 1024).alias("view_size"))
 
 
 def block_split(capture: Column, size: int = 20) -> Column:
@@ -85,14 +94,14 @@ def frame_problems(frames: DataFrame, images: DataFrame, image_kind: int) -> Dat
 def pose_support(votes: DataFrame, by: list[str], error: str, x: str, y: str, width: str, height: str, capture: str, most: float = 4.0, least: int = 10) -> DataFrame:
     """Per query image: matches, inliers, their ratio, the share of the image they span, captures with enough inliers, and whether that is support.
 
-    Supported: at least 20 inliers, half of all, a quarter of width and height, and two captures."""
+    Supported: at least 20 inliers, a quarter of all, 15 % of width and height, and two captures."""
     good = F.col(error) <= most
     per = votes.groupBy(*by, capture).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(good).alias("inner"), F.min(F.when(good, F.col(x) / F.col(width))).alias("x0"), F.max(F.when(good, F.col(x) / F.col(width))).alias("x1"),
         F.min(F.when(good, F.col(y) / F.col(height))).alias("y0"), F.max(F.when(good, F.col(y) / F.col(height))).alias("y1"),
     )
     out = per.groupBy(*by).agg(F.sum("n").alias("matches"), F.sum("inner").alias("inliers"), (F.max("x1") - F.min("x0")).alias("span_x"), (F.max("y1") - F.min("y0")).alias("span_y"), F.count_if(F.col("inner") >= least).alias("captures"))
-    ok = (F.col("inliers") >= 20) & (F.col("inliers") >= 0.5 * F.col("matches")) & (F.least("span_x", "span_y") >= 0.25) & (F.col("captures") >= 2)
+    ok = (F.col("inliers") >= 20) & (F.col("inliers") >= 0.25 * F.col("matches")) & (F.least("span_x", "span_y") >= 0.15) & (F.col("captures") >= 2)
     return out.withColumn("supported", F.coalesce(ok, F.lit(False)))
 
 

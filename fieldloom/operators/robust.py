@@ -34,30 +34,45 @@ def distribution(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return out.select(*by, "n", "n_not_finite", *(F.col("q")[k].alias(name) for k, name in enumerate(("p50", "p90", "p95", "p99"))), "largest")
 
 
-def metric_scale(ratios: DataFrame, by: list[str], ratio: str, least: int = 8) -> DataFrame:
-    """Scale from ratios of known to measured baselines: the median of those near the median, its inverse, and whether it is firm.
+def stereo_observability(observations: DataFrame, by: list[str], point: str, capture: str, sensor: str) -> DataFrame:
+    """Per group the points that two sensors of one capture see, and the captures with such points: stereo_points, stereo_captures."""
+    seen = observations.groupBy(*by, point, capture).agg(F.count_distinct(sensor).alias("__sensors")).where("__sensors >= 2")
+    return seen.groupBy(*by).agg(F.count_distinct(point).alias("stereo_points"), F.count_distinct(capture).alias("stereo_captures"))
 
-    Fixed values: inliers within max(5 MAD, 0.5 % of the median); relative MAD at most 2 %."""
+
+def metric_scale(ratios: DataFrame, by: list[str], ratio: str, stereo: DataFrame, least: int = 8, least_points: int = 8, most_mad: float = 0.02) -> DataFrame:
+    """Scale from ratios of measured to known baselines: the inverse of the median of those near the median.
+
+    stereo: by, stereo_points, stereo_captures (see stereo_observability). reason: why there is no scale, the first of too few
+    baselines, too little seen by two sensors of a capture, and ratios apart; null where there is one.
+    Fixed values: inliers within max(5 MAD, 0.5 % of the median); applied where the scale differs from 1 by more than 1e-9."""
     s = with_mad(ratios, by, ratio)
     near = ratios.join(s, by).where(F.abs(F.col(ratio) - F.col("median")) <= F.greatest(5 * F.col("mad"), 0.005 * F.col("median")))
-    inner = near.groupBy(*by).agg(F.count(F.lit(1)).alias("inliers"), quantile(ratio, 0.5).alias("ratio"))
-    firm = (F.col("n") >= least) & (F.col("inliers") >= least) & (F.col("mad") <= 0.02 * F.col("median"))
-    return s.join(inner, by, "left").select(*by, "n", "median", "mad", "inliers", (1 / F.col("ratio")).alias("scale"), F.coalesce(firm, F.lit(False)).alias("accepted"))
+    inner = near.groupBy(*by).agg(F.count(F.lit(1)).alias("inliers"), (1 / quantile(ratio, 0.5)).alias("found"))
+    both = s.join(inner, by, "left").join(stereo, by, "left").fillna(0, ["inliers", "stereo_points", "stereo_captures"])
+    reason = (
+        F.when(F.col("n") < least, "too_few_registered_rig_baselines")
+        .when((F.col("stereo_points") < least_points) | (F.col("stereo_captures") < least), "rig_baseline_not_observable")
+        .when((F.col("inliers") < least) | (F.col("mad") > most_mad * F.col("median")), "inconsistent_rig_baseline_scale")
+    )
+    out = both.withColumn("reason", reason).withColumn("metric", F.col("reason").isNull()).withColumn("scale", F.when(F.col("metric"), F.col("found")))
+    applied = F.coalesce(F.abs(F.col("scale") - 1) > 1e-9, F.lit(False)).alias("applied")
+    return out.select(*by, "n", "median", "mad", "inliers", "stereo_points", "stereo_captures", "scale", "metric", applied, "reason")
 
 
 def dominant_offset(pairs: DataFrame, by: list[str], offset: str, weight: str, order: str) -> DataFrame:
     """The weighted mode of time offsets per group: n, total, support, second, accepted, centre (null unless accepted).
 
-    Offsets fall into bins of one second. The best bin has the most weight within two bins (the
-    one seen first wins ties, by `order`); it is accepted with at least 20 pairs, 20 % of all weight, and 1.25
-    times the support of any bin more than two away. The centre is the weighted median of what is near it.
+    Offsets fall into bins of one second. The best bin has the most weight of its own (the one seen
+    first wins ties, by `order`); its support is the weight within two bins. It is accepted with at least 20
+    pairs, 20 % of all weight, and 1.25 times the support of any bin more than two away. The centre is the weighted median of what is near it.
     Bins are few per group; pairs are summed into them before any window."""
     rows = pairs.where(F.col(offset).isNotNull()).withColumn("w", F.greatest(F.lit(1), F.coalesce(F.col(weight), F.lit(1))).cast("double")).withColumn("bin", F.floor(F.col(offset)))
     bins = rows.groupBy(*by, "bin").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"), F.min(order).alias("seen"))
     near = Window.partitionBy(*by).orderBy("bin").rangeBetween(-2, 2)
     group = Window.partitionBy(*by)
     bins = bins.withColumn("support", F.sum("w").over(near)).withColumn("total", F.sum("w").over(group)).withColumn("pairs", F.sum("n").over(group))
-    best = bins.withColumn("place", F.row_number().over(group.orderBy(F.desc("support"), "seen"))).withColumn("best", F.first(F.when(F.col("place") == 1, F.col("bin")), ignorenulls=True).over(group))
+    best = bins.withColumn("place", F.row_number().over(group.orderBy(F.desc("w"), "seen"))).withColumn("best", F.first(F.when(F.col("place") == 1, F.col("bin")), ignorenulls=True).over(group))
     s = best.groupBy(*by).agg(
         F.max("pairs").alias("n"), F.max("total").alias("total"), F.max("best").alias("best"), F.max(F.when(F.col("place") == 1, F.col("support"))).alias("support"),
         F.coalesce(F.max(F.when(F.abs(F.col("bin") - F.col("best")) > 2, F.col("support"))), F.lit(0.0)).alias("second"),

@@ -69,7 +69,7 @@ def uniform_fallback(df: DataFrame, by: str, order: str, stride: int) -> DataFra
 
 
 def nudged(selected: DataFrame, frames: DataFrame, by: str, at: str, motion: str, limit: float, reach: int) -> DataFrame:
-    """Selected frames moved off fast motion: to the nearest safe frame within reach (of equally near ones the one that moves less), else the one that moves least (of equal ones the nearest). Frames of unknown motion stay."""
+    """Selected frames moved off fast motion: to the nearest safe frame within reach (of equally near ones the one that moves less), else the one that moves least (of equal ones the nearest). Frames of unknown motion move alike; where nothing near is measured, frames stay."""
     s = selected.select(by, F.col(at).alias("chosen"))
     own = frames.select(by, F.col(at).alias("chosen"), F.col(motion).alias("own"))
     near = s.withColumn(at, F.explode(F.sequence(F.col("chosen") - reach, F.col("chosen") + reach))).join(frames.select(by, at, motion), [by, at])
@@ -77,7 +77,7 @@ def nudged(selected: DataFrame, frames: DataFrame, by: str, at: str, motion: str
     rank = F.struct((~safe).cast("int"), F.when(safe, away.cast("double")).otherwise(F.col(motion)), F.when(safe, F.col(motion)).otherwise(away.cast("double")), F.col(at))
     best = near.where(F.col(motion).isNotNull()).groupBy(by, "chosen").agg(F.min_by(at, rank).alias("moved"))
     out = s.join(own, [by, "chosen"], "left").join(best, [by, "chosen"], "left")
-    return out.select(by, "chosen", F.when(F.col("own").isNull() | (F.col("own") <= limit), F.col("chosen")).otherwise(F.coalesce("moved", "chosen")).alias("frame"))
+    return out.select(by, "chosen", F.when(F.col("own") <= limit, F.col("chosen")).otherwise(F.coalesce("moved", "chosen")).alias("frame"))
 
 
 def spread_places(n: int, most: int) -> list[int]:
@@ -89,7 +89,12 @@ def spread_places(n: int, most: int) -> list[int]:
     return sorted({round(i * (n - 1) / (most - 1)) for i in range(most)})
 
 
-def choose_spatially(frames: list[dict], target: float, most: int, slack: float = 0.7) -> list[int]:
+def moved_by(a: dict, b: dict) -> float:
+    """The motion between two frames: the difference of their positions."""
+    return abs(b["position"] - a["position"])
+
+
+def choose_spatially(frames: list[dict], target: float, most: int, slack: float = 0.7, motion=moved_by) -> list[int]:
     """Places of the chosen frames of one source. frames: position, quality, valid, in time order.
 
     From the last chosen frame on, frames gather until one has moved by the target; the best of those
@@ -100,52 +105,66 @@ def choose_spatially(frames: list[dict], target: float, most: int, slack: float
         return []
     chosen, waiting = [valid[0]], []
     for k in valid[1:]:
-        moved = abs(frames[k]["position"] - frames[chosen[-1]]["position"])
+        moved = motion(frames[chosen[-1]], frames[k])
         waiting.append((k, moved))
         if moved >= target:
             chosen.append(max((w for w in waiting if w[1] >= slack * target), key=lambda w: (frames[w[0]]["quality"], -w[0]))[0])
             waiting = []
     if chosen[-1] != valid[-1]:
         chosen.append(valid[-1])
-    return [chosen[k] for k in spread_places(len(chosen), most)]
-
-
-def bridge(frames: list[dict], chosen: list[int], max_gap: float, most: int, policy: str = "quality") -> tuple[list[int], int]:
-    """Adds frames until no gap exceeds max_gap seconds. Gives all places, and the gaps left open for want of frames or room.
-
-    A bridge comes from (previous, previous + max_gap], from its later half if there is one; by policy quality the
-    best, parallax the one that moved most, balanced the best product of both."""
+    return [chosen[k] for k in spread_places(len(chosen), most or len(chosen))]
+
+
+def _bridge_of(pool: list[int], last: int, frames: list[dict], target: float, slack: float, policy: str, motion) -> int:
+    """The frame of the pool that continues best from `last`; of equal ones the later."""
+    quality, t = (lambda j: frames[j]["quality"]), (lambda j: frames[j]["t"])
+    if policy == "quality":
+        return max(pool, key=lambda j: (quality(j), t(j)))
+    moved = {j: motion(frames[last], frames[j]) for j in pool}
+    enough = [j for j in pool if moved[j] >= slack * target]
+    if not enough:
+        return max(pool, key=lambda j: (moved[j], quality(j), t(j)))
+    useful = [j for j in enough if moved[j] <= max(slack, 1.5) * target]
+    if policy == "balanced" and useful:
+        return max(useful, key=lambda j: (quality(j), t(j)))
+    return min(enough, key=lambda j: (abs(moved[j] - target), -quality(j), -t(j)))
+
+
+def bridge(frames: list[dict], chosen: list[int], max_gap: float, most: int, policy: str = "quality", target: float = 0.0, slack: float = 0.7, motion=moved_by) -> tuple[list[int], int]:
+    """Adds frames until no gap exceeds max_gap seconds (0: none is added). Gives all places, and the gaps left open for want of frames or room.
+
+    A bridge comes from (previous, previous + max_gap], from its later half if there is one. By policy: quality takes the
+    best; parallax, of those that moved by slack * target, the one nearest the target; balanced the best of those that moved
+    by no more than 1.5 targets, else as parallax. Where none moved enough, both take the one that moved most. most = 0: no limit."""
     gap, out, open_ = int(max_gap * 1e6), [], 0
-    room = most - len(chosen)
-    rank = {
-        "quality": lambda f, moved: (f["quality"], moved),
-        "parallax": lambda f, moved: (moved, f["quality"]),
-        "balanced": lambda f, moved: (moved * f["quality"], f["quality"]),
-    }[policy]
+    if max_gap <= 0 or len(chosen) < 2:
+        return list(chosen), 0
+    room = max(0, most - len(chosen)) if most else len(frames)
     for k in chosen:
         while out and frames[k]["t"] - frames[out[-1]]["t"] > gap:
             last = out[-1]
-            pool = [j for j in range(last + 1, k) if frames[j]["bridgeable"] and frames[j]["t"] <= frames[last]["t"] + gap]
-            late = [j for j in pool if frames[j]["t"] > frames[last]["t"] + gap / 2]
-            pool = late or pool
+            pool = [j for j in range(last + 1, k) if frames[j]["bridgeable"] and frames[last]["t"] < frames[j]["t"] <= frames[last]["t"] + gap]
             if not pool or room <= 0:
                 open_ += 1
                 break
-            out.append(max(pool, key=lambda j: (*rank(frames[j], abs(frames[j]["position"] - frames[last]["position"])), -j)))
+            late = [j for j in pool if frames[j]["t"] >= frames[last]["t"] + gap // 2]
+            out.append(_bridge_of(late or pool, last, frames, target, slack, policy, motion))
             room -= 1
         out.append(k)
     return out, open_
 
 
-def spatial_selection(candidates: DataFrame, by: str, target: float, most: int, max_gap: float, policy: str = "quality") -> DataFrame:
-    """by, frame, bridge (added to close a gap), open_gaps. candidates: by, frame, t (microseconds), position, quality, valid, bridgeable."""
+def spatial_selection(candidates: DataFrame, by: str, target: float, most: int, max_gap: float, policy: str = "quality", motion=moved_by) -> DataFrame:
+    """by, frame, bridge (added to close a gap), open_gaps. candidates: by, frame, t (microseconds), position, quality, valid, bridgeable.
+
+    motion: of two frames (their columns as dicts), how far apart they are; position may be whatever it takes. most = 0: no limit."""
     columns = ["frame", "t", "position", "quality", "valid", "bridgeable"]
 
     def fold(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["t", "frame"])
         frames = group[columns].to_dict("records")
-        chosen = choose_spatially(frames, target, most)
-        places, left = bridge(frames, chosen, max_gap, most, policy)
+        chosen = choose_spatially(frames, target, most, motion=motion)
+        places, left = bridge(frames, chosen, max_gap, most, policy, target, motion=motion)
         first = set(chosen)
         return pd.DataFrame({by: [key[0]] * len(places), "frame": [frames[k]["frame"] for k in places], "bridge": [k not in first for k in places], "open_gaps": left})
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldloom.operators.robust import quantile
+from fieldloom.operators.work import stored
 
 
 def voxel_best(points: DataFrame, xyz: list[str], size: float, error: str, order: str) -> DataFrame:
@@ -60,12 +61,15 @@ def best_per_group(df: DataFrame, by: str, total: int, error: str, order: str) -
 
 
 def numbered(df: DataFrame, order: list[str]) -> DataFrame:
-    """Adds __at, the row's place in the order from 0, without one task for all: ranges are sorted on their own and offset by the sizes before them."""
-    parts = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    """Adds __at, the row's place in the order from 0, without one task for all: ranges are sorted on their own and offset by the sizes before them.
+
+    The sorted ranges are written once with each row's number in its range, and sizes and rows both come from that table:
+    ranges that are drawn twice need not be the same."""
+    ranged = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()), "ranges")
+    part, inner = F.shiftright("__id", 33), F.col("__id") % (1 << 33)
+    sizes = ranged.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    inner = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    return parts.join(before, "__part").withColumn("__at", F.col("__before") + inner).drop("__part", "__before")
+    return ranged.withColumn("__part", part).join(F.broadcast(before), "__part").withColumn("__at", F.col("__before") + inner).drop("__part", "__before", "__id")  # one row a range
 
 
 def thinned(df: DataFrame, order: list[str], most: int, rule: str) -> DataFrame:
@@ -137,3 +141,20 @@ def ground_mode(points: DataFrame, height: str, x: str, z: str, bin_: float = 0.
     ready = fit.withColumn("dominant", F.col("supported") & (F.col("score") >= 0.9 * best))
     lowest = F.min(F.when(F.col("dominant"), F.col("height"))).over(Window.partitionBy())
     return ready.withColumn("chosen", F.col("dominant") & (F.col("height") == lowest))
+
+
+def nearest(left: DataFrame, right: DataFrame, xyz: list[str], left_id: str, right_id: str) -> DataFrame:
+    """For each left row the nearest right row, ties by smaller id: left_id, match, distance; without right rows -1 and infinite.
+
+    The radius starts at the mean spacing of the right rows and grows fourfold for what is left, until all have found one: most rows meet few others,
+    and only those far from everything meet many."""
+    box = right.agg(F.count(F.lit(1)).alias("n"), F.greatest(*(F.max(c) - F.min(c) for c in xyz), F.lit(0.0)).alias("extent")).first() if len(xyz) > 1 else right.agg(F.count(F.lit(1)).alias("n"), (F.max(xyz[0]) - F.min(xyz[0])).alias("extent")).first()
+    radius, rest, found = (box["extent"] or 1.0) / max(1.0, (box["n"] or 1) ** (1 / len(xyz))), left.select(left_id, *xyz), None
+    while True:
+        got = stored(nearest_within(rest, right, xyz, radius, left_id, right_id), "nearest")
+        hit = got.where("match <> -1") if box["n"] else got
+        found = hit if found is None else found.unionByName(hit)
+        rest = stored(rest.join(hit.select(left_id), left_id, "left_anti"), "far")
+        if not box["n"] or rest.isEmpty():
+            return found
+        radius *= 4

@@ -91,10 +91,10 @@ def band_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _OFFSETS = f"""e AS (SELECT event_id, user_id, event_type, {T} AS t, value FROM events),
     r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY t) AS k FROM e),
-    pairs AS (SELECT a.user_id % 10 AS g, a.event_id AS ord, (b.t - a.t) / 86400 AS off, greatest(1, floor(a.value))::DOUBLE AS w FROM r a JOIN r b ON a.user_id = b.user_id AND a.k = b.k AND a.event_type = 'view' AND b.event_type = 'click'),
+    pairs AS (SELECT a.user_id // 10 AS g, a.event_id AS ord, (b.t - a.t) / 86400 AS off, greatest(1, floor(a.value))::DOUBLE AS w FROM r a JOIN r b ON a.user_id = b.user_id AND a.k = b.k AND a.event_type = 'view' AND b.event_type = 'click'),
     bins AS (SELECT g, floor(off) AS bin, sum(w) AS w, count(*) AS n, min(ord) AS seen FROM pairs GROUP BY 1, 2),
     s AS (SELECT *, sum(w) OVER (PARTITION BY g ORDER BY bin RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS support FROM bins),
-    best AS (SELECT g, bin AS best, support FROM s QUALIFY row_number() OVER (PARTITION BY g ORDER BY support DESC, seen) = 1),
+    best AS (SELECT g, bin AS best, support FROM s QUALIFY row_number() OVER (PARTITION BY g ORDER BY w DESC, seen) = 1),
     q AS (SELECT s.g, sum(n)::BIGINT AS n, sum(w) AS total, best, best.support, coalesce(max(s.support) FILTER (abs(bin - best) > 2), 0) AS second FROM s JOIN best ON s.g = best.g GROUP BY s.g, best, best.support),
     acc AS (SELECT *, n >= 20 AND support >= 0.2 * total AND support >= 1.25 * second AS accepted FROM q),
     cl AS (SELECT pairs.g, off, support, sum(sum(w)) OVER (PARTITION BY pairs.g ORDER BY off) AS running FROM pairs JOIN acc ON pairs.g = acc.g AND abs(floor(off) - best) <= 2 GROUP BY pairs.g, off, support),
@@ -104,7 +104,7 @@ _OFFSETS = f"""e AS (SELECT event_id, user_id, event_type, {T} AS t, value FROM
 def _offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = frames(spark, sf_dir).withColumn("k", F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("t")))
     a, b = f.where("event_type = 'view'"), f.where("event_type = 'click'").select("user_id", "k", F.col("t").alias("t_b"))
-    return a.join(b, ["user_id", "k"]).select((F.col("user_id") % 10).alias("g"), F.col("event_id").alias("ord"), ((F.col("t_b") - F.col("t")) / 86400).alias("off"), F.floor("value").alias("w"))
+    return a.join(b, ["user_id", "k"]).select(F.floor(F.col("user_id") / 10).alias("g"), F.col("event_id").alias("ord"), ((F.col("t_b") - F.col("t")) / 86400).alias("off"), F.floor("value").alias("w"))
 
 
 @query(f"WITH {_OFFSETS} SELECT g, n, round(total, 6) AS total, round(support, 6) AS support, round(second, 6) AS second, accepted, round(CASE WHEN accepted THEN centre END, 6) AS centre FROM acc JOIN ce USING (g)")
@@ -121,13 +121,13 @@ def offset_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.offset_filter(p, robust.dominant_offset(p, ["g"], "off", "w", "ord"), ["g"], "off", 3.0).select("g", "ord")
 
 
-_GRAPH = """m AS (SELECT event_id AS id, user_id AS source, epoch_us(ts) / 1e6 AS t, lead(event_id, 3) OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS other, value FROM events),
+_GRAPH = """m AS (SELECT event_id AS id, user_id AS source, epoch_us(ts) / 1e6 AS t, lead(event_id, 3) OVER (PARTITION BY user_id // 2 ORDER BY ts, event_id) AS other, value FROM events),
     pairs AS (SELECT least(id, other) * 2147483647::BIGINT + greatest(id, other) AS pair_id, floor(value)::BIGINT AS inliers FROM m WHERE other IS NOT NULL)"""
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     f = frames(spark, sf_dir)
-    other = F.lead("event_id", 3).over(Window.partitionBy(F.col("user_id") % 20).orderBy("t", "event_id"))
+    other = F.lead("event_id", 3).over(Window.partitionBy(F.floor(F.col("user_id") / 2)).orderBy("t", "event_id"))
     pairs = f.withColumn("other", other).where("other IS NOT NULL").select(expr.pair_id("event_id", "other").alias("pair_id"), F.floor("value").alias("inliers"))
     return pairs, f.select(F.col("event_id").alias("image_id"), F.col("user_id").alias("source"), "t")
 
@@ -193,13 +193,16 @@ def track_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH r AS (SELECT l_suppkey, l_tax + 1 + l_discount / 50 AS r FROM lineitem), m AS (SELECT l_suppkey, count(*) AS n, quantile_cont(r, 0.5) AS median FROM r GROUP BY 1),
     d AS (SELECT l_suppkey, quantile_cont(abs(r - median), 0.5) AS mad FROM r JOIN m USING (l_suppkey) GROUP BY 1), s AS (SELECT * FROM m JOIN d USING (l_suppkey)),
-    i AS (SELECT l_suppkey, count(*) AS inliers, quantile_cont(r, 0.5) AS ratio FROM r JOIN s USING (l_suppkey) WHERE abs(r - median) <= greatest(5 * mad, 0.005 * median) GROUP BY 1)
-    SELECT l_suppkey, n, round(median, 6) AS median, round(mad, 6) AS mad, inliers, round(1 / ratio, 6) AS scale, n >= 8 AND inliers >= 8 AND mad <= 0.02 * median AS accepted FROM s JOIN i USING (l_suppkey)""")
+    i AS (SELECT l_suppkey, count(*) AS inliers, quantile_cont(r, 0.5) AS ratio FROM r JOIN s USING (l_suppkey) WHERE abs(r - median) <= greatest(5 * mad, 0.005 * median) GROUP BY 1),
+    two AS (SELECT l_suppkey, l_partkey, l_orderkey % 50 AS capture FROM lineitem GROUP BY ALL HAVING count(DISTINCT l_linenumber % 2) >= 2),
+    o AS (SELECT l_suppkey, count(DISTINCT l_partkey) AS stereo_points, count(DISTINCT capture) AS stereo_captures FROM two GROUP BY 1),
+    x AS (SELECT *, CASE WHEN n < 8 THEN 'too_few_registered_rig_baselines' WHEN coalesce(stereo_points, 0) < 8 OR coalesce(stereo_captures, 0) < 8 THEN 'rig_baseline_not_observable' WHEN inliers < 8 OR mad / median > 0.02 THEN 'inconsistent_rig_baseline_scale' END AS reason FROM s JOIN i USING (l_suppkey) LEFT JOIN o USING (l_suppkey))
+    SELECT l_suppkey, n, round(median, 6) AS median, round(mad, 6) AS mad, inliers, coalesce(stereo_points, 0) AS stereo_points, coalesce(stereo_captures, 0) AS stereo_captures, CASE WHEN reason IS NULL THEN round(1 / ratio, 6) END AS scale, reason IS NULL AS metric, reason IS NULL AND abs(1 / ratio - 1) > 1e-9 AS applied, reason FROM x""")
 def metric_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scale from baseline ratios."""
-    r = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_tax") + 1 + F.col("l_discount") / 50).alias("r"))
-    s = robust.metric_scale(r, ["l_suppkey"], "r")
-    return s.select("l_suppkey", "n", F.round("median", 6).alias("median"), F.round("mad", 6).alias("mad"), "inliers", F.round("scale", 6).alias("scale"), "accepted")
+    """Scale from baseline ratios, where two sensors of a capture see enough points."""
+    l = table(spark, sf_dir, "lineitem").withColumns({"r": F.col("l_tax") + 1 + F.col("l_discount") / 50, "capture": F.col("l_orderkey") % 50, "sensor": F.col("l_linenumber") % 2})  # noqa: E741
+    s = robust.metric_scale(l, ["l_suppkey"], "r", robust.stereo_observability(l, ["l_suppkey"], "l_partkey", "capture", "sensor"))
+    return s.withColumns({c: F.round(c, 6) for c in ("median", "mad", "scale")})
 
 
 @query("""SELECT l_shipmode, count(*) AS n, 0::BIGINT AS n_not_finite, round(quantile_cont(x, 0.5), 4) AS p50, round(quantile_cont(x, 0.9), 4) AS p90, round(quantile_cont(x, 0.95), 4) AS p95, round(quantile_cont(x, 0.99), 4) AS p99, round(max(x), 4) AS largest
@@ -374,11 +377,12 @@ def heldout_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.heldout_audit(l, "l_orderkey", "l_suppkey", "e")
 
 
-@query("""WITH e AS (SELECT o_custkey AS a, o_custkey + 1 + o_orderkey % 5 AS b FROM orders WHERE o_orderkey % 11 = 0), t AS (SELECT c, count(*) AS n FROM (SELECT a AS c FROM e UNION ALL SELECT b FROM e) GROUP BY 1),
-    x AS (SELECT a, b, ta.n AS na, tb.n AS nb FROM e JOIN t ta ON a = ta.c JOIN t tb ON b = tb.c) SELECT a AS capture FROM x WHERE na >= nb UNION SELECT b FROM x WHERE nb >= na""")
+@query("""WITH e AS (SELECT DISTINCT o_custkey AS a, o_custkey + 1 + o_orderkey % 5 AS b FROM orders), t AS (SELECT c, count(*) AS n FROM (SELECT a AS c FROM e UNION ALL SELECT b FROM e) GROUP BY 1),
+    x AS (SELECT a, b, ta.n AS na, tb.n AS nb FROM e JOIN t ta ON a = ta.c JOIN t tb ON b = tb.c)
+    SELECT DISTINCT CASE WHEN na >= 2 AND nb < na THEN a WHEN nb >= 2 AND na < nb THEN b WHEN na >= 2 AND nb >= 2 THEN CASE WHEN na > nb THEN a ELSE b END ELSE b END AS capture FROM x""")
 def outlier_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which captures bad edges are due to."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 11 = 0")
+    o = table(spark, sf_dir, "orders")
     return graph.outlier_captures(o.select(F.col("o_custkey").alias("a"), (F.col("o_custkey") + 1 + F.col("o_orderkey") % 5).alias("b")))
 
 
@@ -542,11 +546,17 @@ def widest_angles_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _widest(_points(spark, sf_dir))
 
 
-@query("""SELECT c_mktsegment, greatest(CASE c_mktsegment WHEN 'BUILDING' THEN 1024 ELSE 1024 END, coalesce(max(c_acctbal) FILTER (c_custkey % 2 = 0), 0)) AS needed FROM customer GROUP BY 1""")
+@query("""WITH s AS (SELECT CASE c_nationkey % 4 WHEN 0 THEN 'equirectangular' WHEN 1 THEN 'dual_fisheye' WHEN 2 THEN 'perspective' ELSE 'other' END AS kind, floor(c_acctbal)::BIGINT AS w, c_nationkey * 200 AS h FROM customer WHERE c_mktsegment <> 'BUILDING'),
+    v AS (SELECT *, greatest(w, h) AS edge, CASE kind WHEN 'equirectangular' THEN ceil(w / 4 / 256) * 256 WHEN 'dual_fisheye' THEN ceil(greatest(w, h) / 2 / 256) * 256 ELSE 0 END AS view FROM s WHERE w <> 0 AND h <> 0)
+    SELECT greatest(2048, coalesce(max(CASE kind WHEN 'perspective' THEN 2048 WHEN 'equirectangular' THEN greatest(2048, ceil(w / 256) * 256) ELSE greatest(2048, ceil(edge / 256) * 256) END), 2048))::BIGINT AS feature_size,
+    greatest(8192, coalesce(max(CASE kind WHEN 'perspective' THEN 8192 WHEN 'equirectangular' THEN 32768 ELSE 16384 END), 8192))::BIGINT AS feature_count,
+    greatest(2048, coalesce(max(CASE kind WHEN 'equirectangular' THEN greatest(2048, least(4096, ceil(w / 256) * 256)) WHEN 'dual_fisheye' THEN greatest(2048, least(3072, ceil(edge / 256) * 256)) ELSE 2048 END), 2048))::BIGINT AS mask_size,
+    greatest(1024, coalesce(max(least(4096, greatest(1024, view))) FILTER (view > 0), 1024))::BIGINT AS view_size FROM v""")
 def resolution_needs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A44."""
-    c = table(spark, sf_dir, "customer").withColumn("on", F.col("c_custkey") % 2 == 0)
-    return reports.resolution_needs(c, "c_mktsegment", "c_acctbal", "c_acctbal", "on")
+    """What the enabled sources need of four settings."""
+    kind = F.when(F.col("c_nationkey") % 4 == 0, "equirectangular").when(F.col("c_nationkey") % 4 == 1, "dual_fisheye").when(F.col("c_nationkey") % 4 == 2, "perspective").otherwise("other")
+    c = table(spark, sf_dir, "customer").select(kind.alias("kind"), F.floor("c_acctbal").alias("w"), (F.col("c_nationkey") * 200).alias("h"), (F.col("c_mktsegment") != "BUILDING").alias("on"))
+    return reports.resolution_needs(c, "kind", "w", "h", "on")
 
 
 @query("""SELECT arg_min(l_suppkey, (-n, l_suppkey)) AS l_suppkey FROM (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1)""")

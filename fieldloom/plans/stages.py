@@ -98,17 +98,25 @@ class Run:
         return bool(m) and self._fs.exists(self._path(f"{name}/_SUCCESS")) and {k: m[k] for k in ("version", "params", "inputs")} == self.fingerprint(name, params or {})
 
     def stage(self, name: str, params: dict | None = None) -> str:
-        """cached or made. The result is written aside and moved into place; what used the old one goes."""
+        """cached or made. The result is written aside, the old one is moved aside and the new one into place; only then the old one goes.
+
+        Should the move fail, the old result is put back; a crash in between leaves it under its other name, where `restored` finds it."""
         params = params or {}
         if self.fresh(name, params):
             return "cached"
         s, mark = self.plan.stages[name], self.fingerprint(name, params)
         made = s.make({n: self.table(n) for n in s.needs}, s.defaults | params)
         made.write.mode("overwrite").parquet(f"{self.folder}/{name}.pending")
-        for old in (f"{name}.manifest", name):
-            self._fs.delete(self._path(old), True)
+        self.restored(name)
+        had = self._fs.exists(self._path(name))
+        if had and not self._fs.rename(self._path(name), self._path(f"{name}.old")):
+            raise OSError(f"{name} could not be moved aside")
         if not self._fs.rename(self._path(f"{name}.pending"), self._path(name)):
+            if had:
+                self._fs.rename(self._path(f"{name}.old"), self._path(name))
             raise OSError(f"{name} could not be published")
+        self._fs.delete(self._path(f"{name}.manifest"), True)
+        self._fs.delete(self._path(f"{name}.old"), True)
         for d in self.plan.downstream(name):
             self._fs.delete(self._path(f"{d}.manifest"), True)
         out = self._fs.create(self._path(f"{name}.manifest"), True)
@@ -116,6 +124,12 @@ class Run:
         out.close()
         return "made"
 
+    def restored(self, name: str) -> None:
+        """Puts back a result that a crash left moved aside; where a new one is in place, what was moved aside goes."""
+        old, now = self._path(f"{name}.old"), self._path(name)
+        if self._fs.exists(old):
+            self._fs.delete(old, True) if self._fs.exists(now) else self._fs.rename(old, now)
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}") if name in self.plan.stages else self.sources[name]
 
@@ -130,9 +144,8 @@ class Run:
 
 def lineage(edges: DataFrame) -> DataFrame:
     """All pairs (stage, uses_it) of a graph of edges (src, dst), at any remove."""
-    edges.createOrReplaceTempView("__stage_edges")
-    return edges.sparkSession.sql("""WITH RECURSIVE reach(stage, uses_it) AS (SELECT src, dst FROM __stage_edges UNION ALL
-        SELECT reach.stage, __stage_edges.dst FROM reach JOIN __stage_edges ON reach.uses_it = __stage_edges.src) SELECT DISTINCT * FROM reach""")
+    return edges.sparkSession.sql("""WITH RECURSIVE reach(stage, uses_it) AS (SELECT src, dst FROM {edges} UNION ALL
+        SELECT reach.stage, e.dst FROM reach JOIN {edges} e ON reach.uses_it = e.src) SELECT DISTINCT * FROM reach""", edges=edges.select("src", "dst"))
 
 
 def stage_status(runs: DataFrame) -> DataFrame:

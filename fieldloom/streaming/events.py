@@ -37,22 +37,28 @@ def snapshot(events: DataFrame, by: list[str], ident: str = "id") -> DataFrame:
     return events.groupBy(*by).agg(F.max_by(F.struct(*rows), ident).alias("activity"), F.max_by("progress", number).alias("progress"))
 
 
-def admitted(rows: list[tuple[float, float, str]], last: dict) -> list[tuple[float, float, str]]:
+def admitted(rows: list[tuple[float, float | None, str]], last: dict) -> list[tuple[float, float | None, str]]:
     """Which of (time, progress, kind) are emitted, given the state of what was; `last` is changed.
 
-    Progress must not fall or leave 0 to 1. It passes when 0.1 s and 0.25 % have gone by, or at 1; activity on its own every 0.1 s."""
-    out = []
+    The number, which any kind may have, must not leave 0 to 1 nor fall by more than 1e-9. Kinds other than progress always
+    pass. Progress with a number passes when 0.1 s have gone by since the last such and 0.25 % since the last number emitted, or at 1; progress without
+    one is activity and passes every 0.1 s."""
+    out, never = [], float("-inf")
     for t, p, kind in rows:
-        if kind == "progress":
-            if not 0 <= p <= 1 or p < last.get("seen", 0.0):
+        numeric = p is not None and p == p
+        if numeric:
+            if not 0 <= p <= 1 or p < last.get("seen", 0.0) - 1e-9:
                 raise ValueError(f"progress {p} after {last.get('seen', 0.0)}")
             last["seen"] = p
-            if p == 1 or "p" not in last or (t - last["t"] >= EVERY_SECONDS and p - last["p"] >= EVERY_SHARE):
-                out.append((t, p, kind))
-                last["t"], last["p"] = t, p
-        elif "a" not in last or t - last["a"] >= EVERY_SECONDS:
-            out.append((t, p, kind))
-            last["a"] = t
+        if kind == "progress":
+            if not numeric and t - last.get("a", never) < EVERY_SECONDS:
+                continue
+            if numeric and p < 1 and (t - last.get("t", never) < EVERY_SECONDS or p - last.get("p", never) < EVERY_SHARE):
+                continue
+            last["t" if numeric else "a"] = t
+        out.append((t, p, kind))
+        if numeric:
+            last["p"] = p
     return out
 
 

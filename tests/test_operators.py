@@ -249,9 +249,11 @@ def test_plan_caches_and_invalidates(spark, tmp_path):
 def test_throttle():
     last = {}
     rows = [(0.0, 0.0, "progress"), (0.05, 0.5, "progress"), (0.2, 0.501, "progress"), (0.21, 0.502, "activity"), (0.25, 0.502, "activity"), (0.3, 1.0, "progress")]
-    assert events.admitted(rows, last) == [rows[0], rows[2], rows[3], rows[5]]
+    assert events.admitted(rows, last) == [rows[0], *rows[2:]]  # only events of kind progress are throttled
     with pytest.raises(ValueError):
         events.admitted([(1.0, 0.3, "progress")], last)
+    silent = [(0.0, None, "progress"), (0.05, None, "progress"), (0.1, None, "progress"), (0.11, 0.5, "progress"), (0.12, 0.5 - 1e-10, "info")]
+    assert events.admitted(silent, {}) == [silent[0], *silent[2:]]
 
 
 def test_tail_goes_on_from_its_checkpoint(spark, tmp_path):
