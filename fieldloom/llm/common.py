@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,13 +42,93 @@ def shipped(spark: SparkSession) -> None:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back, so that later steps neither repeat nor lose its work."""
+    """Writes df as Parquet into the shared folder and reads it back, so that later steps neither repeat nor lose its work.
+
+    Results are read when they are asked for, so the folder stays until `cleared` or the session's end."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/fieldloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _made(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    if not hasattr(sc, "_fieldloom_paths"):
+        sc._fieldloom_paths, sc._fieldloom_tables = [], []
+        atexit.register(cleared, spark)
+    sc._fieldloom_paths.append(path)
+
+
+def own_table(spark: SparkSession, name: str) -> str:
+    """A table's name, for a table that is dropped as work folders are."""
+    _made(spark, f"{shared_dir(spark)}/fieldloom-none")
+    spark.sparkContext._fieldloom_tables.append(name)
+    return name
+
+
+def cleared(spark: SparkSession) -> None:
+    """Removes all work folders and own tables of the session; call it once results have been written. What is gone already is no fault, nor is a session that has ended."""
+    sc = spark.sparkContext
+    if sc._jsc is None:
+        return
+    for name in getattr(sc, "_fieldloom_tables", []):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    for path in getattr(sc, "_fieldloom_paths", []):
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+    sc._fieldloom_paths, sc._fieldloom_tables = [], []
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], how: str = "inner", share: int = 500) -> DataFrame:
+    """left joined with right, whose keys are unique; a key with more than one in `share` of left's rows is dealt over several tasks by a hash of `spread`.
+
+    There are fewer than `share` such keys, so their table is broadcast. Keys that are null join as they do in any join."""
+    n = left.count()
+    hot = left.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") * share > n).select(*on, F.ceil(F.col("__n") * share / max(n, 1)).cast("int").alias("__parts"))
+    hot = F.broadcast(stored(hot, "hot"))
+    parts = F.coalesce("__parts", F.lit(1))
+    dealt = left.join(hot, on, "left").withColumn("__part", F.pmod(F.xxhash64(*spread), parts).cast("int")).drop("__parts")
+    copied = right.join(hot, on, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return dealt.join(copied, [*on, "__part"], how).drop("__part")
+
+
+#: Bits of a membership filter for each member, and of any filter at most: 32 MB.
+MEMBER_BITS, MOST_BITS = 12, 1 << 28
+
+
+class Membership:
+    """A filter of 64-bit hashes that lets all members pass, and of others about one in MEMBER_BITS; more where there are so many members that the filter would exceed MOST_BITS.
+
+    It saves moving rows; what passes is joined exactly afterwards."""
+
+    def __init__(self, members: DataFrame, column: str):
+        spark = members.sparkSession
+        n = members.count()
+        self.bits = 1 << min(MOST_BITS.bit_length() - 1, max(16, (MEMBER_BITS * max(n, 1) - 1).bit_length()))
+        block = min(self.bits, 1 << 19)
+        at = F.pmod(F.col(column), F.lit(self.bits))
+        rows = members.select((at / block).cast("int").alias("block"), (at % block).cast("int").alias("at"))
+
+        def run(key: tuple, group: pa.Table) -> pa.Table:
+            on = np.zeros(block, np.uint8)
+            on[group.column("at").to_numpy()] = 1
+            return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(on).tobytes()], pa.binary())})
+
+        whole = np.zeros(self.bits // 8, np.uint8)
+        for r in rows.distinct().groupBy("block").applyInArrow(run, "block int, bits binary").collect():  # MOST_BITS in all
+            whole[r["block"] * block // 8 : (r["block"] + 1) * block // 8] = np.frombuffer(r["bits"], np.uint8)
+        self.filter = spark.sparkContext.broadcast(whole)
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        """Which may be members; called in tasks."""
+        at = hashes.astype(np.int64) & (self.bits - 1)
+        return (self.filter.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+    def __getstate__(self):
+        return {"bits": self.bits, "filter": self.filter}
+
+
 def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The batches in slices, so that a task holds what it makes of few texts at a time."""
     for batch in batches:
