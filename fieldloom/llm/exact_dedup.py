@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldloom.llm.common import SPACES, require, stored, text_or_empty
+from fieldloom.llm.common import SPACES, hot_join, require, stored, text_or_empty
 
 
 def text_digest(column: str = "text"):
@@ -43,16 +43,16 @@ class DigestIndex:
     def deduplicate(self, docs: DataFrame) -> DataFrame:
         """Decides on every row of docs, appends what is new, and returns doc_id, keep_id, group_size, kept, text_sha256.
 
-        keep_id: the document that stays, from this or an earlier call. group_size: rows of this text in this call."""
+        keep_id: the document that stays, from this or an earlier call; null where that had no doc_id, and then no later row stays. group_size: rows of this text in this call."""
         require(docs, ("doc_id", "text"), "exact dedup")
         rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("text_sha256")), "digests")
         groups = rows.groupBy("text_sha256").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("group_size"))
-        known = self.known().hint("merge")
-        seen = stored(groups.join(known, "text_sha256", "left").select("text_sha256", "group_size", F.coalesce("keep_id", "first_id").alias("keep_id")), "groups")
-        self.append(seen.join(known, "text_sha256", "left_anti"))
+        known = self.known().withColumn("known", F.lit(True)).hint("merge")
+        seen = stored(groups.join(known, "text_sha256", "left").select("text_sha256", "group_size", F.when(F.col("known"), F.col("keep_id")).otherwise(F.col("first_id")).alias("keep_id"), F.coalesce("known", F.lit(False)).alias("known")), "groups")
+        self.append(seen.where("NOT known"))
         again = F.row_number().over(Window.partitionBy("text_sha256", "doc_id").orderBy("doc_id"))
         numbered = stored(rows.withColumn("copy", again), "copies")
-        return numbered.join(seen, "text_sha256").select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
+        return hot_join(numbered, seen, ["text_sha256"], ["doc_id", "copy"]).select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1) & ~(F.col("known") & F.col("doc_id").isNull())).alias("kept"), "text_sha256")
 
 
 def kept_rows(docs: DataFrame, index: DigestIndex) -> DataFrame:
