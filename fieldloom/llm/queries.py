@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldloom.llm import bpe, exact_dedup, lm_scoring, ngram_join, packing, quality, rp_forest, token_counts, toxicity, url_filter
-from fieldloom.llm.common import shared_dir, shipped
+from fieldloom.llm.common import own_table, shipped
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,13 +52,13 @@ def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A new index, filled by one call."""
-    index = exact_dedup.DigestIndex(spark, f"fieldloom_digests_{uuid.uuid4().hex}")
+    index = exact_dedup.DigestIndex(spark, own_table(spark, f"fieldloom_digests_{uuid.uuid4().hex}"))
     return index.deduplicate(table(spark, sf_dir, "documents"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A new cache, filled by one call."""
-    cache = token_counts.CountCache(spark, f"{shared_dir(spark)}/fieldloom-counts-{uuid.uuid4().hex}")
+    cache = token_counts.CountCache(spark, own_table(spark, f"fieldloom_counts_{uuid.uuid4().hex}"))
     return cache.count(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 

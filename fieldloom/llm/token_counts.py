@@ -7,7 +7,8 @@ any other change could change the count.
 
 The library counts: either the whole text or, where the text holds no special string and only
 characters that every regular-expression library classes alike, its pieces, each encoded once and
-remembered within bounds. Repeated rows get equal counts; an empty table gives an empty result.
+remembered within bounds. Repeated rows get equal counts; an empty table gives an empty result. Extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import require, stored, text_or_empty
+from fieldloom.llm.common import Membership, hot_join, require, small, stored, text_or_empty
 
 REMEMBERED = 300_000
 #: ASCII, Latin, Greek and Cyrillic letters and signs without the odd spaces and controls.
@@ -93,21 +94,20 @@ def counter(path: str, pattern: str | None) -> Counter:
 
 
 class CountCache:
-    """Stored counts: Parquet files in the folder `path`, which only grows."""
+    """Stored counts: the table `name`, which only grows, bucketed and sorted by content; `buckets` is fixed when it is made."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, name: str, buckets: int = 16):
+        self.spark, self.name, self.buckets = spark, name, buckets
 
     def of(self, tokenizer: str) -> DataFrame:
-        """content, n_tokens of one tokenizer version."""
-        schema = "content string, tokenizer string, n_tokens long"
-        fs = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        there = fs.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(fs)
-        rows = self.spark.read.schema(schema).parquet(self.path) if there else self.spark.range(0).selectExpr("string(id) AS content", "string(id) AS tokenizer", "id AS n_tokens")
-        return rows.where(F.col("tokenizer") == tokenizer).select("content", "n_tokens")
+        """content, n_tokens of one tokenizer version. Joins by content do not move these rows."""
+        if not self.spark.catalog.tableExists(self.name):
+            return self.spark.range(0).select(F.col("id").cast("string").alias("content"), F.col("id").alias("n_tokens"))
+        return self.spark.table(self.name).where(F.col("tokenizer") == tokenizer).select("content", "n_tokens").hint("merge")
 
     def append(self, rows: DataFrame, tokenizer: str) -> None:
-        rows.select("content", F.lit(tokenizer).alias("tokenizer"), "n_tokens").write.mode("append").parquet(self.path)
+        made = rows.select("content", F.lit(tokenizer).alias("tokenizer"), "n_tokens").repartition(self.buckets, "content")
+        made.write.mode("append").format("parquet").bucketBy(self.buckets, "content").sortBy("content").saveAsTable(self.name)
 
     def count(self, docs: DataFrame, path: str, pattern: str | None = None, limit: int = 512) -> DataFrame:
         """Per row doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit). Documents are told apart by doc_id and content."""
@@ -116,23 +116,33 @@ class CountCache:
         texts = docs.select("doc_id", text_or_empty().alias("text")).withColumn("content", F.sha2("text", 256))
         rows = stored(texts.select("doc_id", "content", F.octet_length("text").cast("long").alias("n_bytes")), "contents")
         first = rows.groupBy("content").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("key"))
-        misses = first.join(self.of(tokenizer), "content", "left_anti")
+        misses = stored(first.join(self.of(tokenizer), "content", "left_anti").withColumn("mark", F.xxhash64("content", "key")), "misses")
+        if not misses.isEmpty():
+            self._encode(texts, misses, path, pattern, tokenizer)
+        counts = self.of(tokenizer)
+        return hot_join(rows, counts, ["content"], ["doc_id", "n_bytes"]).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+
+    def _encode(self, texts: DataFrame, misses: DataFrame, path: str, pattern: str | None, tokenizer: str) -> None:
+        """Encodes one text of each missing content and appends the counts. A filter of the misses, sized by their number, keeps all other texts where they are."""
+        missing = Membership(misses, "mark")
 
         def smaller(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             zip_ = zstandard.ZstdCompressor(level=1).compress
-            for batch in batches:
-                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("content"), pa.array([zip_(t.as_buffer()) for t in batch.column("text")], pa.binary())], ["key", "content", "text"])
+            for batch in small(batches):
+                batch = batch.filter(pa.array(missing.of(batch.column("mark").to_numpy())))
+                if batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("content"), pa.array([zip_(t.as_buffer()) for t in batch.column("text")], pa.binary())], ["key", "content", "text"])
 
-        # Texts are shuffled to their misses by key: compressed, as that is all this job writes of size.
-        zipped = texts.select(F.coalesce("doc_id", F.lit(-1)).alias("key"), "content", F.col("text").cast("binary").alias("text")).mapInArrow(smaller, "key long, content string, text binary")
-        encode = zipped.join(misses.hint("merge"), ["key", "content"], "left_semi").select("content", "text")
+        # The texts that miss are shuffled by key: compressed, as that is all this job writes of size.
+        keyed = texts.withColumn("key", F.coalesce("doc_id", F.lit(-1))).select("key", "content", F.xxhash64("content", "key").alias("mark"), F.col("text").cast("binary").alias("text"))
+        zipped = keyed.mapInArrow(smaller, "key long, content string, text binary")
+        encode = zipped.join(misses.select("key", "content").hint("merge"), ["key", "content"], "left_semi").select("content", "text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c, unzip = counter(path, pattern), zstandard.ZstdDecompressor().decompress
-            for batch in batches:
+            for batch in small(batches):
                 texts = [str(unzip(t.as_buffer()), "utf-8", "replace") if len(t.as_buffer()) else "" for t in batch.column("text")]
                 yield pa.RecordBatch.from_arrays([batch.column("content"), pa.array(c.counts(texts), pa.int64())], ["content", "n_tokens"])
 
         # Rows that repeat a doc_id and its text miss together; they count once.
         self.append(encode.mapInArrow(run, "content string, n_tokens long").groupBy("content").agg(F.max("n_tokens").alias("n_tokens")), tokenizer)
-        return rows.join(self.of(tokenizer), "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
