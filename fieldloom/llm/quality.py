@@ -1,22 +1,21 @@
 """Quality classifier by importance resampling.
 
 Two bags of hashed n-grams are counted: over all documents (raw), and over those labelled good
-(target). A document's log weight is the sum, over its n-grams, of log p_target - log p_raw. Of
-all documents, k are drawn without replacement with chances in proportion to exp(log weight /
-temperature): Gumbel noise is added to each log weight and the k largest sums are taken.
+(target). A document's log weight is the mean, over its n-grams, of log p_target - log p_raw, so that
+long texts weigh no more than short ones. Of all documents, k are drawn without replacement with
+chances in proportion to exp(log weight / temperature): Gumbel noise times the temperature is added to each
+log weight and the k largest sums are taken.
 
-k is the number of documents whose weight exceeds the threshold that separates the labelled good
-from the labelled bad best, so that what is drawn is what looks like the target; the noise only
-matters near the threshold. The noise comes from a hash of doc_id and the seed, so that a run
-repeats itself.
+k is the number of documents whose weight exceeds the threshold that best separates good from bad among
+the labelled documents of one fold, which are not in the target: a model's opinion of what it was made
+of would be too good. The noise comes from a hash of doc_id and the seed, so that a run repeats itself.
 
-n-grams: words and punctuation runs in lower case, pairs of neighbours, and the event that a word
-repeats the one before it or stands in capitals. Both counts are over whole texts of all
+n-grams: words and punctuation runs, and pairs of neighbours. Both counts are over whole texts of all
 documents; only the labelled ids are bounded (labelled.MAX_LABELLED).
 
 Null and empty texts have no n-grams and log weight 0. Repeated rows get equal weights and, with
-equal doc_ids, equal noise. Ties at the k-th place all stay. Without labels of both kinds every
-document is kept. An empty table gives an empty result.
+equal doc_ids, equal noise. Ties at the k-th place all stay, as do ties at the threshold. Without labels of both
+kinds every document is kept. An empty table gives an empty result. Extra columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,8 +35,8 @@ from fieldloom.llm.labelled import MAX_LABELLED, labelled_ids
 BUCKETS = 1 << 18
 NOISE = "__gumbel_noise"
 TOKENS = re.compile(r"\w+|[^\w\s]+")
-CAPITALS, REPEATS = 0, 1
-SMOOTH, INDIFFERENT = 30.0, float(np.log(3))
+#: Counts added to both sides of a ratio: this share of the target's n-grams, at least half of one. Folds of labels; the first makes the threshold.
+SMOOTH, FOLDS = 1 / 60_000, 5
 
 
 class Grams:
@@ -52,23 +51,17 @@ class Grams:
         if value is None:
             if len(self.known) >= self.most:
                 self.known.clear()
-            value = xxhash.xxh3_64_intdigest(token.lower().encode("utf-8", "surrogatepass")) | 1
-            if len(token) > 1 and token.isupper():
-                value &= ~1
-            self.known[token] = value
+            value = self.known[token] = xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass"))
         return value
 
     def of(self, text: str) -> np.ndarray:
         tokens = TOKENS.findall(text)
         if not tokens:
             return np.zeros(0, np.int64)
-        raw = np.fromiter(map(self._hash, tokens), np.uint64, len(tokens))
-        capitals = (raw & np.uint64(1)) == 0
-        h = raw | np.uint64(1)
+        h = np.fromiter(map(self._hash, tokens), np.uint64, len(tokens))
         pair = (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[1:] * np.uint64(0xC2B2AE3D27D4EB4F))
-        inner = lambda x: ((x >> np.uint64(20)) % np.uint64(BUCKETS - 2)).astype(np.int64) + 2
-        pairs = np.where(h[:-1] == h[1:], REPEATS, inner(pair ^ (pair >> np.uint64(31))))
-        return np.concatenate([inner(h), pairs, np.zeros(int(capitals.sum()), np.int64) + CAPITALS])
+        both = np.concatenate([h, pair ^ (pair >> np.uint64(31))])
+        return ((both >> np.uint64(20)) % np.uint64(BUCKETS)).astype(np.int64)
 
 
 def counts(docs: DataFrame, good: set[int]) -> DataFrame:
@@ -90,18 +83,18 @@ def counts(docs: DataFrame, good: set[int]) -> DataFrame:
 
 
 def log_ratios(counted: DataFrame) -> np.ndarray:
-    """Per bucket log p_target - log p_raw; BUCKETS numbers whatever the input.
-
-    SMOOTH counts are added to both sides, and ratios shrink towards 0 by INDIFFERENT: which copies
-    of a text happen to be labelled must not tell for or against it."""
+    """Per bucket log p_target - log p_raw, smoothed in proportion to the target; BUCKETS numbers whatever the input."""
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in counted.collect():
         raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
     if not target.sum():
         return np.zeros(BUCKETS)
-    expected = raw * target.sum() / raw.sum()
-    ratios = np.log((target + SMOOTH) / (expected + SMOOTH))
-    return np.sign(ratios) * np.maximum(np.abs(ratios) - INDIFFERENT, 0)
+    more = max(0.5, SMOOTH * target.sum())
+    return np.log((target + more) / (raw * (target.sum() / raw.sum()) + more))
+
+
+def weight(ratios: np.ndarray, grams: np.ndarray) -> float:
+    return float(ratios[grams].mean()) if len(grams) else 0.0
 
 
 def weights(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
@@ -111,7 +104,7 @@ def weights(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
         grams = Grams()
         for batch in small(batches):
             found = [grams.of(text) for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([float(ratios[x].sum()) for x in found], pa.float64()), pa.array([len(x) for x in found], pa.int64())], ["doc_id", "log_weight", "n_grams"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([weight(ratios, x) for x in found], pa.float64()), pa.array([len(x) for x in found], pa.int64())], ["doc_id", "log_weight", "n_grams"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, log_weight double, n_grams long")
 
@@ -136,28 +129,28 @@ def _noise(seed: int, temperature: float):
     return -temperature * F.log(-F.log(uniform))
 
 
-def decided(docs: DataFrame, labels: DataFrame, seed: int = 17, temperature: float = 0.05, most: int = MAX_LABELLED) -> tuple[DataFrame, np.ndarray, float]:
-    """The weights of all rows (stored), the log ratios, and the k-th largest Gumbel key.
-
-    The weights are compared per square root of the number of n-grams, as sums over long texts spread more."""
+def decided(docs: DataFrame, labels: DataFrame, seed: int = 17, temperature: float = 0.01, most: int = MAX_LABELLED) -> tuple[DataFrame, np.ndarray, float]:
+    """The weights of all rows (stored), the log ratios, and the k-th largest Gumbel key."""
     require(docs, ("doc_id", "text"), "the quality classifier")
     label = labelled_ids(labels, "quality", most)
-    ratios = log_ratios(counts(docs, {d for d, x in label.items() if x}))
-    scaled = F.col("log_weight") / F.sqrt(F.greatest(F.col("n_grams"), F.lit(1)))
-    rows = stored(weights(docs, ratios).withColumn("scaled", scaled).withColumn("gumbel_key", F.col("scaled") + _noise(seed, temperature)), "weights")
-    known = rows.sparkSession.createDataFrame([(d,) for d in label], "doc_id long")  # at most `most` rows
-    cut = best_threshold([(r["scaled"], label[r["doc_id"]]) for r in rows.join(F.broadcast(known), "doc_id", "left_semi").select("doc_id", "scaled").distinct().collect()]) if label else None
-    k = rows.count() if cut is None else rows.where(F.col("scaled") > cut).count()
+    held = {d: x for d, x in label.items() if xxhash.xxh3_64_intdigest(str(d).encode()) % FOLDS == 0}
+    if len(set(held.values())) < 2:
+        held = label  # too few labels to hold any out
+    ratios = log_ratios(counts(docs, {d for d, x in label.items() if x and (d not in held or held is label)}))
+    rows = stored(weights(docs, ratios).withColumn("gumbel_key", F.col("log_weight") + _noise(seed, temperature)), "weights")
+    known = rows.sparkSession.createDataFrame([(d,) for d in held], "doc_id long")  # at most `most` rows
+    cut = best_threshold([(r["log_weight"], held[r["doc_id"]]) for r in rows.join(F.broadcast(known), "doc_id", "left_semi").select("doc_id", "log_weight").distinct().collect()]) if held else None
+    k = rows.count() if cut is None else rows.where(F.col("log_weight") > cut).count()
     return rows, ratios, float(kth_largest(rows, "gumbel_key", k)) if k else float("inf")
 
 
-def resample(docs: DataFrame, labels: DataFrame, seed: int = 17, temperature: float = 0.05, most: int = MAX_LABELLED) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, seed: int = 17, temperature: float = 0.01, most: int = MAX_LABELLED) -> DataFrame:
     """Per row doc_id, log_weight, gumbel_key (log weight with noise), kept."""
     rows, _, least = decided(docs, labels, seed, temperature, most)
     return rows.select("doc_id", "log_weight", "gumbel_key", (F.col("gumbel_key") >= F.lit(least)).alias("kept"))
 
 
-def kept_rows(docs: DataFrame, labels: DataFrame, seed: int = 17, temperature: float = 0.05, most: int = MAX_LABELLED) -> DataFrame:
+def kept_rows(docs: DataFrame, labels: DataFrame, seed: int = 17, temperature: float = 0.01, most: int = MAX_LABELLED) -> DataFrame:
     """The drawn documents with all their columns. Their keys are computed anew from the text, so that texts need no shuffle."""
     _, ratios, least = decided(docs, labels, seed, temperature, most)
 
@@ -165,8 +158,7 @@ def kept_rows(docs: DataFrame, labels: DataFrame, seed: int = 17, temperature: f
         grams = Grams()
         for batch in small(batches):
             found = [grams.of(text or "") for text in batch.column("text").to_pylist()]
-            scaled = np.array([ratios[x].sum() / np.sqrt(max(len(x), 1)) for x in found])
-            kept = scaled + batch.column(NOISE).to_numpy(zero_copy_only=False) >= least
+            kept = np.array([weight(ratios, x) for x in found]) + batch.column(NOISE).to_numpy(zero_copy_only=False) >= least
             yield batch.filter(pa.array(kept, pa.bool_())).drop_columns([NOISE])
 
     return docs.withColumn(NOISE, _noise(seed, temperature)).mapInArrow(run, docs.schema)
