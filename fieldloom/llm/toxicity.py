@@ -9,16 +9,19 @@ used that occur in toxic documents of several families and far more often there
 ones. A family is told by the smallest word hash, so that copies of one text count about once.
 The fit uses at most labelled.MAX_LABELLED labelled documents and MAX_FEATURES features.
 
-The tables label one thing only: toxic or not. The categories before it are weak labels, made of
-toxic documents with words of a short list (CATEGORIES).
+The tables label one thing only: toxic or not. The categories before it are found in the labelled toxic
+documents: the first is those with the word that most of them hold, the next those with the word that most of the
+others hold, and so on (KINDS of them at most). Where labels of real categories exist, pass their words instead.
 
 Null and empty texts have no features and get the lowest probability. Repeated rows get equal
-results. Without labelled documents of both kinds nothing is toxic. Extra columns are ignored.
+results. Without labelled documents of both kinds nothing is toxic. Features of equal count are all used, or none is;
+of equal markers the first by name counts. Extra columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,15 +31,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import require, small, text_or_empty
+from fieldloom.llm.common import kth_largest, require, small, stored, text_or_empty
 from fieldloom.llm.labelled import MAX_LABELLED, labelled_ids
 
-#: Words of the weak categories, from the mildest to the worst.
-CATEGORIES = {
-    "insult": ("idiot", "moron", "loser", "clown", "stupid"),
-    "contempt": ("pathetic", "worthless", "disgusting"),
-    "dehumanising": ("scum", "trash"),
-}
+KINDS = 3
 MAX_FEATURES = 4096
 FAMILIES, TIMES = 4, 40.0
 FOLDS = 5
@@ -115,8 +113,21 @@ def trained(rows: list[list[int]], labels: np.ndarray, folds: np.ndarray, featur
     return Chain(features, names, models, float(min(wrong)[2]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, categories: dict[str, tuple[str, ...]] = CATEGORIES) -> Chain | None:
-    """The chain, or None without labelled documents of both kinds."""
+def kinds(rows: list[list[int]], toxic: np.ndarray, features: dict[str, int], most: int = KINDS) -> list[int]:
+    """The columns of whole words that, one after the other, most toxic rows without an earlier one hold."""
+    words = {c for f, c in features.items() if f.startswith("=")}
+    left, out = [set(r) & words for r, t in zip(rows, toxic, strict=True) if t], []
+    while len(out) < most:
+        held = Counter(c for r in left for c in r)
+        if not held:
+            break
+        out.append(min(held, key=lambda c: (-held[c], c)))
+        left = [r for r in left if out[-1] not in r]
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, categories: dict[str, tuple[str, ...]] | None = None) -> Chain | None:
+    """The chain, or None without labelled documents of both kinds. categories: names and words of categories, in place of those found in the documents."""
     label = labelled_ids(labels, "toxic", most)
     if len(set(label.values())) < 2:
         return None
@@ -136,12 +147,14 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, categories
         return sample.where(F.col("__toxic") == toxic).mapInArrow(run, "feature string, kin long").distinct().groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
 
     n_toxic, n_clean = max(1, sum(label.values())), max(1, len(label) - sum(label.values()))
-    bad = {r["feature"]: r["n"] for r in seen(1, None).where(F.col("n") >= FAMILIES).orderBy(F.desc("n"), "feature").limit(16 * MAX_FEATURES).collect()}
+    often = stored(seen(1, None).where(F.col("n") >= FAMILIES), "features")
+    least = kth_largest(often, "n", 16 * MAX_FEATURES) if often.count() > 16 * MAX_FEATURES else 0
+    bad = {r["feature"]: r["n"] for r in often.where(F.col("n") > least).collect()}  # 16 * MAX_FEATURES at most
     good = {r["feature"]: r["n"] for r in seen(0, set(bad)).collect()}
     ratio = {f: (n / n_toxic) / ((good.get(f, 0) + 0.5) / n_clean) for f, n in bad.items()}
     best = sorted((f for f in bad if ratio[f] >= TIMES), key=lambda f: (-bad[f] * np.log(ratio[f]), f))[:MAX_FEATURES]
     features = {f: k for k, f in enumerate(best)}
-    seeds = [frozenset(words) for words in categories.values()]
+    seeds = [frozenset(words) for words in (categories or {}).values()]
 
     def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(features)
@@ -153,9 +166,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, categories
     rows = sample.mapInArrow(columns, "id long, toxic int, columns array<long>, weak array<long>").orderBy("id").collect()
     if not rows:
         return None
-    y = np.array([[r["toxic"] and w for w in r["weak"]] + [r["toxic"]] for r in rows])
+    found, toxic = [r["columns"] for r in rows], np.array([r["toxic"] for r in rows])
+    marks = [] if categories else kinds(found, toxic, features)
+    weak = np.array([r["weak"] if categories else [c in set(r["columns"]) for c in marks] for r in rows], dtype=int).reshape(len(rows), -1)
+    y = np.column_stack([weak * toxic[:, None], toxic])
+    names = (*categories, "toxic") if categories else (*(f"kind_{k + 1}" for k in range(len(marks))), "toxic")
     folds = np.array([xxhash.xxh3_64_intdigest(str(r["id"]).encode()) % FOLDS for r in rows])
-    return trained([r["columns"] for r in rows], y, folds, features, (*categories, "toxic"))
+    return trained(found, y, folds, features, names)
 
 
 class Index:
@@ -183,7 +200,7 @@ def score(docs: DataFrame, chain: Chain | None) -> DataFrame:
     require(docs, ("doc_id", "text"), "toxicity")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     if chain is None:
-        return rows.select("doc_id", *(F.lit(0.0).alias(f"p_{c}") for c in (*CATEGORIES, "toxic")), F.lit(False).alias("toxic"))
+        return rows.select("doc_id", F.lit(0.0).alias("p_toxic"), F.lit(False).alias("toxic"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(chain.features)

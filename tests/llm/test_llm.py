@@ -94,15 +94,15 @@ def test_bpe_appends_and_edits():
     assert t.replace(100, 101, b"z") < 500  # only near the edit
 
 
-def test_token_counts_and_their_cache(spark, odd, corpus, empty, tmp_path):
+def test_token_counts_and_their_cache(spark, odd, corpus, empty):
     path = P.path("byte_bpe_50k.json")
     lib = Tokenizer.from_file(path)
-    cache = token_counts.CountCache(spark, str(tmp_path / "cache"))
+    cache = token_counts.CountCache(spark, "counts_test", buckets=4)
     for df in (odd, corpus, corpus, empty):
         got = sorted((r.doc_id or -1, r.n_bytes, r.n_tokens, r.over_limit) for r in cache.count(df, path, P.PATTERN).collect())
         n = lambda t: len(lib.encode(t or "", add_special_tokens=False).ids)
         assert got == sorted((r.doc_id or -1, len((r.text or "").encode()), n(r.text), n(r.text) > 512) for r in df.collect())
-    stored_rows = spark.read.parquet(str(tmp_path / "cache"))
+    stored_rows = spark.table("counts_test")
     assert stored_rows.count() == stored_rows.select("content", "tokenizer").distinct().count() == odd.union(odd.limit(0)).select(F.coalesce("text", F.lit(""))).distinct().count() + corpus.select("text").distinct().count()
     model = P.path("piece_bpe_32k.model")
     import sentencepiece
@@ -129,6 +129,10 @@ def test_exact_dedup_and_its_index(spark, odd, corpus, empty):
     o = exact_dedup.DigestIndex(spark, "digests_odd")
     kept = o.deduplicate(odd)
     assert sorted(r.doc_id or -1 for r in kept.where("kept").collect()) == [-1, 1, 3, 4, 6, 7, 8] and kept.count() == odd.count()
+    nameless = exact_dedup.DigestIndex(spark, "digests_nameless")
+    once = spark.createDataFrame([(None, "a b")], "doc_id long, text string")
+    assert [r.kept for r in nameless.deduplicate(once).collect()] == [True]
+    assert not any(r.kept for r in nameless.deduplicate(once.unionByName(spark.createDataFrame([(7, "a  b")], once.schema))).collect())
     assert sorted(r.doc_id or -1 for r in exact_dedup.kept_rows(odd, exact_dedup.DigestIndex(spark, "digests_rows")).collect()) == [-1, 1, 3, 4, 6, 7, 8]
 
 
@@ -255,6 +259,28 @@ def test_quality_keeps_good_and_drops_bad(spark, corpus, odd, empty, labels):
     assert quality.kept_rows(odd, labels.limit(0)).count() == odd.count() and quality.kept_rows(empty, labels).columns == empty.columns
 
 
+def test_quality_by_brute_force(spark, corpus, labels):
+    got, ratios, least = quality.decided(corpus, labels)
+    label = {k: int(k % 4 != 0) for k in range(200)}
+    held = {d for d in label if quality.xxhash.xxh3_64_intdigest(str(d).encode()) % quality.FOLDS == 0}
+    texts, g = {r.doc_id: r.text for r in corpus.collect()}, quality.Grams()
+    raw, target = collections.Counter(), collections.Counter()
+    for d, t in texts.items():
+        raw.update(g.of(t).tolist())
+        if label.get(d) and d not in held:
+            target.update(g.of(t).tolist())
+    n, m = sum(raw.values()), sum(target.values())
+    more = max(0.5, quality.SMOOTH * m)
+    rows = {r.doc_id: r for r in got.collect()}
+    for d, t in texts.items():
+        found = g.of(t).tolist()
+        want = sum(math.log((target[b] + more) / (raw[b] * m / n + more)) for b in found) / len(found)
+        assert abs(rows[d].log_weight - want) < 1e-9
+    cut = quality.best_threshold([(rows[d].log_weight, label[d]) for d in held])
+    k = sum(r.log_weight > cut for r in rows.values())
+    assert least == sorted((r.gumbel_key for r in rows.values()), reverse=True)[k - 1]
+
+
 def test_kth_largest(spark):
     r = random.Random(2)
     values = [r.choice((r.gauss(0, 1), 0.5)) for _ in range(500)]
@@ -272,7 +298,16 @@ def test_toxicity_chain(spark, corpus, odd, empty, labels):
     assert toxicity.clean_rows(odd, chain).columns == odd.columns
     none = toxicity.fit(corpus, labels.limit(0))
     assert none is None and toxicity.score(odd, none).where("toxic").count() == 0
-    assert "p_insult" in toxicity.score(corpus, chain).columns and len(chain.models) == 4
+    assert chain.names == ("kind_1", "kind_2", "kind_3", "toxic") and "p_kind_1" in toxicity.score(corpus, chain).columns and len(chain.models) == 4
+    given = toxicity.fit(corpus, spark.createDataFrame([(k, int(k % 5 == 0 and k % 4 != 0)) for k in range(200)], "doc_id long, toxic int"), categories={"insult": ("idiot",), "contempt": ("pathetic",)})
+    assert given.names == ("insult", "contempt", "toxic")
+    rows = {r.doc_id: r for r in toxicity.score(corpus, chain).collect()}
+    for r in corpus.limit(40).collect():  # the chain by hand
+        x, p = {chain.features[f] for w in toxicity.words(r.text) for f in toxicity.features_of(w) if f in chain.features}, []
+        for w in chain.models:
+            z = sum(w[c] for c in x) + sum(a * b for a, b in zip(p, w[len(chain.features) : -1], strict=True)) + w[-1]
+            p.append(1 / (1 + math.exp(-z)))
+        assert np.allclose(p, [rows[r.doc_id][f"p_{c}"] for c in chain.names]) and rows[r.doc_id].toxic == (p[-1] >= chain.threshold)
 
 
 def test_packing_is_whole_and_fits(spark, corpus, odd, empty):
