@@ -16,8 +16,12 @@ documents with a few of them, as far as possible the same in every block; linked
 components. In a second round a block with several components pairs the documents outside its
 main component, the one with most documents, with some of that one. In a last round a block yields
 all pairs of different components that are left, so a large family of near copies is not
-multiplied out. The pairs found get their exact overlap from both whole sets. The components are
-those of all links.
+multiplied out.
+
+The pairs found are the places at which the product is wanted. It is summed there over all columns, in
+BLOCKS blocks: rows of both documents meet block by block, the overlap is added up, and a pair is dropped as
+soon as its overlap and all that its smaller rest could add stay below what the two sizes ask for. The
+components are those of all links.
 
 Null and empty texts have no set and link with nothing. A text shorter than an n-gram is one n-gram
 by itself. Rows without doc_id get no component. Rows that repeat a doc_id share a component if
@@ -36,11 +40,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldloom.llm.common import require, stored, text_or_empty, words_of
+from fieldloom.llm.common import Membership, hot_join, require, stored, text_or_empty, words_of
 from fieldloom.llm.components import components
 
-#: Counters of the sketch, whatever the input; bits of the filter for documents with candidates.
-SKETCH, BLOCK, FILTER_BITS = 1 << 22, 1 << 16, 1 << 23
+#: Counters of the sketch, whatever the input.
+SKETCH, BLOCK = 1 << 22, 1 << 16
+#: Blocks of columns that the product is summed over; documents of an n-gram that meet in one task at most, about.
+BLOCKS, DEALT = 2, 512
 #: Documents that a block's others are paired with; rounds that pair with a block's main component, and with
 #: how many of its documents; bits of a signature; documents from which on, about, a block is dealt into parts. Only speed depends on these.
 PIVOTS, ROUNDS, SLOTS, SIGN_BITS, PART = 5, 1, 32, 2048, 100_000
@@ -145,25 +151,24 @@ def first_columns(docs: DataFrame, width: int, percent: int, sketch: np.ndarray)
     return docs.mapInArrow(run, "doc_id long, n long, set_key binary, sign binary, grams array<long>, parts array<int>")
 
 
-def whole_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """node, grams (packed) of the documents in `nodes`; some others too, where the filter of fixed size lets them pass."""
-    at = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
-    words = nodes.select((at / 63).cast("int").alias("word"), (at % 63).cast("int").alias("bit")).distinct().groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
-    bits = np.zeros(FILTER_BITS // 63 + 1, np.int64)
-    for r in words.collect():  # FILTER_BITS at most
-        bits[r["word"]] = r["bits"]
-    broadcast = docs.sparkSession.sparkContext.broadcast(bits)
+def column_blocks(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """node, grams_0, grams_1 ... : the rows of the incidence matrix for the documents in `nodes`, each packed and cut into BLOCKS blocks of columns; some others too, where the filter lets them pass."""
+    wanted = Membership(nodes.select(F.xxhash64("node").alias("at")).distinct(), "at")
+    names = ["node", *(f"grams_{k}" for k in range(BLOCKS))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = broadcast.value
         for batch in small(batches):
-            at = batch.column("at").to_numpy(zero_copy_only=False)
-            chosen = batch.filter(pa.array((bits[at // 63] >> (at % 63)) & 1 == 1))
-            sets = [ngrams(t, width) for t in chosen.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([chosen.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "grams"])
+            chosen = batch.filter(pa.array(wanted.of(batch.column("at").to_numpy())))
+            sets = [cut_by_block(ngrams(t, width)) for t in chosen.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([chosen.column("node"), *(pa.array([s[k].tobytes() for s in sets], pa.binary()) for k in range(BLOCKS))], names)
+
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), "text", F.xxhash64("doc_id").alias("at"))
+    return rows.mapInArrow(run, "node long, " + ", ".join(f"{n} binary" for n in names[1:]))
+
 
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("at"))
-    return rows.mapInArrow(run, "node long, grams binary")
+def cut_by_block(s: np.ndarray) -> list[np.ndarray]:
+    """A sorted set in BLOCKS blocks: the columns are cut at even places of the range of hashes."""
+    return np.split(s, np.searchsorted(s, [np.uint64(k * ((1 << 64) // BLOCKS)) for k in range(1, BLOCKS)]))
 
 
 def signature(s: np.ndarray) -> bytes:
@@ -173,9 +178,9 @@ def signature(s: np.ndarray) -> bytes:
 
 
 def linked(pairs: DataFrame, signs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of the pairs a, b those whose whole sets reach the threshold.
+    """Of the pairs a, b those whose overlap reaches the threshold: entries of the product of the incidence matrix with its transpose, at these places only.
 
-    Sizes and signatures (node, n, sign) rule most others out; only for the rest are whole sets made again from the texts, and moved."""
+    Sizes and signatures (node, n, sign) rule most others out; only for the rest are rows of the matrix made from the texts, and moved."""
     of = lambda x, *c: signs.select(F.col("node").alias(x), *(F.col(k).alias(f"{k}_{x}") for k in c))
     near = pairs.join(of("a", "n", "sign"), "a").join(of("b", "n", "sign"), "b")
     near = near.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).select("a", "b", "n_a", "n_b", "sign_a", "sign_b")
@@ -186,31 +191,45 @@ def linked(pairs: DataFrame, signs: DataFrame, docs: DataFrame, width: int, perc
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("sign_a", "sign_b"))
                 both = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
                 apart = np.bitwise_count(x ^ y).sum(1).astype(np.int64)
-                yield batch.select(["a", "b"]).filter(pa.array((100 + percent) * apart <= (100 - percent) * both))
+                yield batch.select(["a", "b", "n_a", "n_b"]).filter(pa.array((100 + percent) * apart <= (100 - percent) * both))
+
+    close = stored(near.mapInArrow(possible, "a long, b long, n_a long, n_b long"), "close")
+    matrix = stored(column_blocks(docs, close.select(F.explode(F.array("a", "b")).alias("node")), width), "blocks")
+    # The product, block by block: overlap holds the columns so far, left_a and left_b what each set has in the blocks to come.
+    product = close.select("a", "b", "n_a", "n_b", F.lit(0).cast("long").alias("overlap"), F.col("n_a").alias("left_a"), F.col("n_b").alias("left_b"))
+    for k in range(BLOCKS):
+        side = lambda x, k=k: matrix.select(F.col("node").alias(x), F.col(f"grams_{k}").alias(f"grams_{x}"))
+        product = stored(product.join(side("a"), "a").join(side("b"), "b").mapInArrow(_accumulated(percent), product.schema), "product")
+    return product.select("a", "b")
+
 
-    close = stored(near.mapInArrow(possible, "a long, b long"), "close")
-    needed = stored(whole_sets(docs, close.select(F.explode(F.array("a", "b")).alias("node")), width), "needed")
-    side = lambda x: needed.select(F.col("node").alias(x), F.col("grams").alias(f"grams_{x}"))
-    rows = close.join(side("a"), "a").join(side("b"), "b").select("a", "b", "grams_a", "grams_b")
+def _accumulated(percent: int):
+    """Adds a block's overlap to each pair's; pairs that cannot reach the threshold with all that is left are dropped. After the last block, what remains are the links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            keep = []
+            both, size_a, size_b = [], [], []
             for x, y in zip(batch.column("grams_a"), batch.column("grams_b"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                both.append(len(np.intersect1d(x, y, assume_unique=True)))
+                size_a.append(len(x))
+                size_b.append(len(y))
+            n = lambda c: batch.column(c).to_numpy()
+            overlap = n("overlap") + np.array(both, np.int64)
+            left_a, left_b = n("left_a") - np.array(size_a, np.int64), n("left_b") - np.array(size_b, np.int64)
+            most = overlap + np.minimum(left_a, left_b)
+            made = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("n_a"), batch.column("n_b"), pa.array(overlap), pa.array(left_a), pa.array(left_b)], ["a", "b", "n_a", "n_b", "overlap", "left_a", "left_b"])
+            yield made.filter(pa.array(100 * most >= percent * (n("n_a") + n("n_b") - most)))
 
-    return rows.mapInArrow(run, "a long, b long")
+    return run
 
 
 def _of_main(left: DataFrame, number: int) -> DataFrame:
     """Of each block up to SLOTS documents of its main component, others in every round: gram, node_y, component_y, n_y, pos_y."""
     slot_of = F.pmod(F.xxhash64("node", "gram", F.lit(number)), F.lit(SLOTS))
     size_pos = F.min_by(F.col("n") * (1 << 31) + F.col("pos"), "node")
-    chosen = left.where("component = main").groupBy("gram", "main", slot_of.alias("slot")).agg(F.min("node").alias("node_y"), size_pos.alias("size_pos"))
-    return chosen.select("gram", "node_y", F.col("main").alias("component_y"), F.shiftright("size_pos", 31).alias("n_y"), (F.col("size_pos") % (1 << 31)).alias("pos_y"))
+    chosen = left.where("component = main").groupBy("gram", "main", "parts", slot_of.alias("slot")).agg(F.min("node").alias("node_y"), size_pos.alias("size_pos"))
+    return chosen.select("gram", "parts", "node_y", F.col("main").alias("component_y"), F.shiftright("size_pos", 31).alias("n_y"), (F.col("size_pos") % (1 << 31)).alias("pos_y"))
 
 
 def join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -243,15 +262,21 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
     left, tried = shared.drop("pivots"), first
     for number in range(ROUNDS + 1):
-        placed = left.select("gram", "node", "n", "pos").join(components(links), "node", "left").select("gram", "node", "n", "pos", F.coalesce("component", "node").alias("component"))
-        mixed = placed.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("members")).groupBy("gram").agg(F.max_by("component", "members").alias("main"), F.count(F.lit(1)).alias("several")).where("several > 1").select("gram", "main")
-        left = stored(placed.join(mixed, "gram"), "left")
-        side = lambda x: left.toDF("gram", *(f"{c}_{x}" for c in left.columns[1:]))
-        y = _of_main(left, number) if number < ROUNDS else side("y")
+        placed = stored(left.select("gram", "node", "n", "pos").join(components(links), "node", "left").select("gram", "node", "n", "pos", F.coalesce("component", "node").alias("component")), "placed")
+        counted = placed.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("members"))
+        parts = F.ceil(F.sum("members") / DEALT).cast("int").alias("parts")
+        mixed = stored(counted.groupBy("gram").agg(F.max_by("component", "members").alias("main"), F.count(F.lit(1)).alias("several"), parts).where("several > 1").select("gram", "main", "parts"), "mixed")
+        left = stored(hot_join(placed, mixed, ["gram"], ["node"]), "left")
+        # A block of more than DEALT documents is dealt into parts: x stays in its part, y goes to all, or, where both are many, each pair of parts is one key.
+        part, every = F.pmod(F.xxhash64("node"), "parts").cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        last = number == ROUNDS
+        side = lambda rows, x: rows.toDF("gram", *(c if c in ("one", "two") else f"{c}_{x}" for c in rows.columns[1:]))
+        x_side = side(left.withColumn("one", part).withColumn("two", every if last else F.lit(0)), "x")
+        y = side(left.withColumn("two", part).withColumn("one", every), "y") if last else _of_main(left, number).withColumn("one", every).withColumn("two", F.lit(0))
         other = "component_x <> component_y" if number < ROUNDS else "component_x > component_y"
         needed = F.ceil((F.col("n_x") + F.col("n_y")) * percent / (100 + percent) - 1e-9)
         possible = (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent) & (F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) >= needed)
-        met = side("x").join(y, "gram").where(other).where(possible).select(*ordered("node_x", "node_y")).distinct()
+        met = x_side.join(y, ["gram", "one", "two"]).where(other).where(possible).select(*ordered("node_x", "node_y")).distinct()
         pairs = stored(met.join(tried, ["a", "b"], "left_anti"), "pairs")
         links = links.union(stored(linked(pairs, signs, texts, width, percent), "links"))
         tried = tried.union(pairs)
