@@ -369,6 +369,8 @@ def test_lm_leads_are_first_ids_of_the_encoding(corpus):
         if x.isalpha():
             assert w.lead(x) == ranks[bpe.merged(b" " + x, ranks)[0]]
         assert w.lead(x) >= 0
+    spaced = some + ["\u00a0".encode(), "a\u2003".encode(), b"\x1c", "\u3000x".encode(), b"7a!!b"]
+    assert w.leads(spaced) == [w.lead(x) for x in spaced] and w.leads([]) == []
     assert w.lead(b"don't") == ranks[bpe.merged(b" don", ranks)[0]] and w.lead(b"q" * 200_000) >= 0
 
 
