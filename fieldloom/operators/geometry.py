@@ -295,3 +295,32 @@ def fit_groups(pairs: DataFrame, by: str, limit: float, trials: int = 1500) -> D
         return pd.DataFrame({by: [key[0]], "scale": [f[0]], "rotation": [f[1].ravel()], "shift": [f[2]], "inliers": [int(f[3].sum())]}) if f else pd.DataFrame(columns=[by, "scale", "rotation", "shift", "inliers"])
 
     return pairs.groupBy(by).applyInPandas(one, f"{by} {pairs.schema[by].dataType.simpleString()}, scale double, rotation array<double>, shift array<double>, inliers int")
+
+
+def projection_and_jacobian(model: str, params: list[float], local: np.ndarray, rotation: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Pixels of points in a camera's axes (n by 3), and how they change with the points' world places (n by 2 by 3), by central differences of 1e-5 of the distance.
+
+    rotation: world to camera, one or one a point. None where a point is behind the camera or anything is not finite."""
+    size = np.linalg.norm(local, axis=1) * 1e-5
+    if not np.isfinite(local).all() or (local[:, 2] <= 0).any():
+        return None
+    slopes = []
+    for step in np.eye(3):
+        ahead, back = (ray_to_pixel(model, params, local + sign * size[:, None] * step) for sign in (1, -1))
+        slopes.append((ahead - back) / (2 * size[:, None]))
+    pixels, jacobian = ray_to_pixel(model, params, local), np.stack(slopes, axis=2) @ rotation
+    return (pixels, jacobian) if np.isfinite(pixels).all() and np.isfinite(jacobian).all() else None
+
+
+def jacobians(points: DataFrame, local: str, rotation: str, model: str = "model", params: str = "params") -> DataFrame:
+    """Adds pixel (array of two) and jacobian (six numbers, by rows) of each observation; null where there is none. local: the point in the camera's axes; rotation: nine numbers."""
+
+    @F.pandas_udf("pixel array<double>, jacobian array<double>")
+    def slopes(xs: pd.Series, rs: pd.Series, models: pd.Series, ps: pd.Series) -> pd.DataFrame:
+        out = []
+        for x, r, m, p in zip(xs, rs, models, ps, strict=True):
+            got = projection_and_jacobian(m, list(p), np.asarray(x, float)[None], np.asarray(r, float).reshape(1, 3, 3))
+            out.append((None, None) if got is None else (got[0][0], got[1][0].ravel()))
+        return pd.DataFrame(out, columns=["pixel", "jacobian"])
+
+    return points.withColumn("__s", slopes(local, rotation, model, params)).withColumns({"pixel": F.col("__s.pixel"), "jacobian": F.col("__s.jacobian")}).drop("__s")

@@ -27,7 +27,7 @@ def local_motion(samples: DataFrame, by: str, rank: str, t: str, xyz: list[str],
     Ranks are unique within a source; a sample meets 2 * radius others at most, whatever the source's length."""
     if radius < 3:
         raise ValueError("radius must be at least three")
-    order = Window.partitionBy(by).orderBy(rank)
+    order = Window.partitionBy(by).orderBy("rank")
     rows = samples.select(by, ident, F.col(rank).cast("long").alias("rank"), F.col(t).cast("double").alias("t"), F.array(*(F.col(c).cast("double") for c in xyz)).alias("at"))
     after = F.lead("rank").over(order) == F.col("rank") + 1
     gap = F.sqrt(F.aggregate(F.zip_with("at", F.lead("at").over(order), lambda a, b: (b - a) * (b - a)), F.lit(0.0), lambda s, v: s + v))
@@ -243,3 +243,21 @@ def exact_alignment(source: np.ndarray, target: np.ndarray, atol: float = 1e-7)
     if not np.allclose(scale * source @ r.T + t, target, atol=atol, rtol=0):
         raise ValueError("the models do not share the trajectory")
     return fit
+
+
+def solver_failures(lines: DataFrame, log: str, order: str, line: str) -> DataFrame:
+    """log, run, phase, image_id, registered_frames, failed_steps: linear-solver failures of each log in runs of one context.
+
+    The context is what the last registration (phase local, with its image and count) or global refinement said; before any it is initialization. A failure of the same context
+    as the one before joins its run."""
+    w = Window.partitionBy(log).orderBy(order)
+    hit = lambda k: F.nullif(F.regexp_extract(line, r"Registering image #(\d+) \(num_reg_frames=(\d+)\)", k), F.lit("")).cast("int")
+    local = F.struct(F.lit("local").alias("phase"), hit(1).alias("image_id"), hit(2).alias("registered_frames"))
+    whole = F.struct(F.lit("global").alias("phase"), F.lit(None).cast("int").alias("image_id"), F.lit(None).cast("int").alias("registered_frames"))
+    first = F.struct(F.lit("initialization").alias("phase"), F.lit(None).cast("int").alias("image_id"), F.lit(None).cast("int").alias("registered_frames"))
+    said = F.when(hit(1).isNotNull(), local).when(F.contains(line, F.lit("Global bundle adjustment")), whole)
+    context = F.coalesce(F.last(said, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), first)
+    failed = lines.withColumn("__c", context).where(F.contains(line, F.lit("Linear solver failure"))).select(log, order, "__c")
+    new = (~F.col("__c").eqNullSafe(F.lag("__c").over(w))).cast("int")
+    runs = failed.withColumn("__new", new).withColumn("run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy(log, "run").agg(F.first("__c").alias("__c"), F.count(F.lit(1)).alias("failed_steps")).select(log, F.col("run").cast("int").alias("run"), "__c.*", "failed_steps")

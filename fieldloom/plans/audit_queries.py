@@ -381,14 +381,14 @@ def valid_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rigs.pixel_bounds(p, "id").join(rigs.composed_masks(p, "id", "moving"), "id"))
 
 
-@query("""WITH s AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'dual_fisheye' ELSE 'perspective' END AS projection FROM customer), v AS (SELECT id, unnest(CASE WHEN projection = 'dual_fisheye' THEN ['lens0', 'lens1'] ELSE ['main'] END) AS view, projection FROM s), g AS (SELECT c_custkey AS id, c_acctbal / 20000.0 AS r FROM customer WHERE c_custkey % 4 = 0)
+@query("""WITH s AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'dual_fisheye' ELSE 'perspective' END AS projection FROM customer), v AS (SELECT id, unnest(CASE WHEN projection = 'dual_fisheye' THEN ['lens0', 'lens1'] ELSE ['main'] END) AS view, projection FROM s), g AS (SELECT c_custkey AS id, c_acctbal / 30000.0 AS r FROM customer WHERE c_custkey % 4 = 0)
     SELECT v.id, v.view, CASE WHEN projection = 'dual_fisheye' THEN 'circle' ELSE 'full' END AS kind, CASE WHEN projection = 'dual_fisheye' THEN round(coalesce(CASE WHEN view = 'lens0' THEN greatest(0.01, least(0.5, g.r)) END, 0.5), 6) END AS r, g.id IS NOT NULL AND view = 'lens0' AS saved_region, g.id IS NOT NULL AND view = 'lens0' AND g.id % 8 = 0 AS needs_review FROM v LEFT JOIN g USING (id)""")
 def source_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Saved regions or the defaults; circles of an older format within their bounds."""
     c = table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     s = c.select(k.alias("id"), F.when(k % 2 == 0, "dual_fisheye").otherwise("perspective").alias("projection"))
-    old = c.where(k % 4 == 0).select(k.alias("id"), F.lit("lens0").alias("view"), (F.col("c_acctbal") / 20000.0).alias("r"), F.when(k % 8 == 0, 2).otherwise(3).alias("coordinate_version"), F.array(F.struct(F.lit(None).cast("int").alias("stroke_id"))).alias("operations"))
+    old = c.where(k % 4 == 0).select(k.alias("id"), F.lit("lens0").alias("view"), (F.col("c_acctbal") / 30000.0).alias("r"), F.when(k % 8 == 0, 2).otherwise(3).alias("coordinate_version"), F.array(F.struct(F.lit(None).cast("int").alias("stroke_id"))).alias("operations"))
     saved = rigs.migrated_regions(old, c.where("false").select(k.alias("id"))).select("id", "view", F.lit("circle").alias("kind"), F.lit(0.5).alias("cx"), F.lit(0.5).alias("cy"), "r", "needs_review")
     return rigs.regions(s, saved).select("id", "view", "kind", F.round("r", 6).alias("r"), "saved_region", "needs_review")
 
@@ -454,3 +454,30 @@ def yaw_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.col("p_size") * 0.31 - 2.0
     x = motion.yaw_rotation(a)[0]
     return rounded(table(spark, sf_dir, "part").select("p_partkey", motion.turned_apart(a, F.lit(0.0)).alias("apart"), (x[0] * 1.5 + x[2] * 0.5).alias("x")))
+
+
+@query("""WITH l AS (SELECT user_id, event_id, CASE event_type WHEN 'view' THEN 'local' WHEN 'click' THEN 'global' END AS said, CASE event_type WHEN 'view' THEN 7 END AS image_id, CASE event_type WHEN 'view' THEN floor(value / 40)::INT END AS registered_frames, event_type NOT IN ('view', 'click') AS failed FROM events),
+    g AS (SELECT *, count(said) OVER (PARTITION BY user_id ORDER BY event_id) AS part FROM l), c AS (SELECT user_id, event_id, failed, coalesce(first_value(said) OVER v, 'initialization') AS phase, first_value(image_id) OVER v AS image_id, first_value(registered_frames) OVER v AS registered_frames FROM g WINDOW v AS (PARTITION BY user_id, part ORDER BY event_id)),
+    f AS (SELECT *, row_number() OVER w = 1 OR phase <> lag(phase) OVER w OR registered_frames IS DISTINCT FROM lag(registered_frames) OVER w AS new FROM c WHERE failed WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), r AS (SELECT *, sum(new::INT) OVER (PARTITION BY user_id ORDER BY event_id)::INT AS run FROM f)
+    SELECT user_id, run, phase, image_id, registered_frames, count(*) AS failed_steps FROM r GROUP BY ALL""")
+def solver_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failed steps of a solver in runs of one context."""
+    e = table(spark, sf_dir, "events")
+    n = F.floor(F.col("value") / 40).cast("string")
+    text = F.when(F.col("event_type") == "view", F.concat(F.lit("Registering image #7 (num_reg_frames="), n, F.lit(")"))).when(F.col("event_type") == "click", "Retriangulation and Global bundle adjustment").otherwise("W0 Linear solver failure. Failed to compute a step")
+    return motion.solver_failures(e.select("user_id", "event_id", text.alias("line")), "user_id", "event_id", "line")
+
+
+@query("""WITH m AS (SELECT a.o_custkey AS image_a, b.o_custkey AS image_b, a.o_orderkey AS index_a, b.o_orderkey AS index_b FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 WHERE a.o_custkey <> b.o_custkey)
+    SELECT least(image_a, image_b) AS image_a, greatest(image_a, image_b) AS image_b, CASE WHEN image_a < image_b THEN index_a ELSE index_b END AS index_a, CASE WHEN image_a < image_b THEN index_b ELSE index_a END AS index_b FROM m""")
+def match_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches from BLOBs of two numbers each, packed here from neighbouring orders."""
+    from fieldloom.sources import model_files
+
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    b = o.select((F.col("o_orderkey") - 1).alias("o_orderkey"), F.col("o_orderkey").alias("next"), F.col("o_custkey").alias("other"))
+    both = o.join(b, "o_orderkey").where("o_custkey <> other")
+    first = F.col("o_custkey") < F.col("other")
+    le = lambda c: F.unhex(F.concat(*(F.substring(F.lpad(F.hex(c), 8, "0"), k, 2) for k in (7, 5, 3, 1))))
+    blob = F.concat(le(F.when(first, F.col("o_orderkey")).otherwise(F.col("next"))), le(F.when(first, F.col("next")).otherwise(F.col("o_orderkey"))))
+    return model_files.match_rows(both.select(expr.pair_id("o_custkey", "other").alias("pair_id"), blob.alias("data")))

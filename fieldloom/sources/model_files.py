@@ -10,6 +10,7 @@ import re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -152,7 +153,12 @@ def thinned_preview(points: DataFrame, most: int) -> DataFrame:
     """ordinal, stride (20 bytes): position as float32, colour, a pad byte and error, of at most `most` points, evenly spaced by id."""
     from fieldloom.operators.spatial import thinned
 
-    pack = F.udf(lambda xyz, rgb, error: struct.pack("<3f3Bxf", *xyz, *rgb, error), "binary")
+    layout = struct.Struct("<3f3Bxf")
+
+    @F.pandas_udf("binary")
+    def pack(xyz: pd.Series, rgb: pd.Series, error: pd.Series) -> pd.Series:
+        return pd.Series([layout.pack(*p, *c, e) for p, c, e in zip(xyz, rgb, error, strict=True)], dtype=object)
+
     return thinned(points, ["point3d_id"], most, "stride").select("point3d_id", pack("xyz", "rgb", "error").alias("stride"))
 
 
@@ -272,3 +278,80 @@ def is_dual(streams: Column) -> Column:
     a, b = streams[0], streams[1]
     return (F.size(streams) == 2) & F.forall(streams, lambda s: s["codec"].isin("hevc", "h264")) & (a["width"] == b["width"]) & (a["height"] == b["height"]) & (a["fps"] == b["fps"])
 
+
+
+# --- match tables --------------------------------------------------------------------------
+
+
+def match_rows(pairs: DataFrame, blob: str = "data") -> DataFrame:
+    """image_a, image_b, index_a, index_b of every match. pairs: pair_id and a BLOB of two unsigned 32-bit numbers a match; pairs without matches have no rows."""
+    from fieldloom.functions.expr import pair_high, pair_low
+
+    def run(batches):
+        for batch in batches:
+            found = [np.frombuffer(b, "<u4").reshape(-1, 2).astype(np.int64) for b in batch[blob]]
+            both = np.concatenate([*found, np.zeros((0, 2), np.int64)])
+            n = [len(f) for f in found]
+            yield pd.DataFrame({"image_a": np.repeat(batch["a"].to_numpy(), n), "image_b": np.repeat(batch["b"].to_numpy(), n), "index_a": both[:, 0], "index_b": both[:, 1]})
+
+    chosen = pairs.where(F.col(blob).isNotNull()).select(pair_low("pair_id").alias("a"), pair_high("pair_id").alias("b"), blob)
+    return chosen.mapInPandas(run, "image_a long, image_b long, index_a long, index_b long")
+
+
+def keypoint_rows(images: DataFrame, columns: str = "cols", blob: str = "data") -> DataFrame:
+    """image_id, point2d_idx, x, y of every keypoint. images: image_id, the number of columns, and a BLOB of so many 32-bit floats a keypoint."""
+
+    def run(batches):
+        for batch in batches:
+            found = [np.frombuffer(b, "<f4").reshape(-1, c)[:, :2].astype(float) for b, c in zip(batch[blob], batch[columns], strict=True)]
+            both = np.concatenate([*found, np.zeros((0, 2))])
+            n = [len(f) for f in found]
+            places = np.concatenate([*(np.arange(k) for k in n), np.zeros(0, int)])
+            yield pd.DataFrame({"image_id": np.repeat(batch["image_id"].to_numpy(), n), "point2d_idx": places, "x": both[:, 0], "y": both[:, 1]})
+
+    return images.where(F.col(blob).isNotNull()).select("image_id", columns, blob).mapInPandas(run, "image_id long, point2d_idx int, x double, y double")
+
+
+def heldout_links(matches: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Matches between a held-out image and one that is not, as query, query_idx, anchor, anchor_idx, source_id, capture_index; and the queries that two captures or more match.
+
+    images: image_id, held_out, source_id, capture_index."""
+    of = lambda x: images.select(F.col("image_id").alias(f"image_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("held_out", "source_id", "capture_index")))
+    m = matches.join(of("a"), "image_a").join(of("b"), "image_b").where("held_out_a <> held_out_b")
+    pick = lambda held, other, c: F.when(F.col("held_out_a"), F.col(f"{c}_{held}")).otherwise(F.col(f"{c}_{other}"))
+    links = m.select(pick("a", "b", "image").alias("query"), pick("a", "b", "index").alias("query_idx"), pick("b", "a", "image").alias("anchor"), pick("b", "a", "index").alias("anchor_idx"), pick("b", "a", "source_id").alias("source_id"), pick("b", "a", "capture_index").alias("capture_index"))
+    eligible = links.groupBy("query", "query_idx").agg(F.count_distinct(F.struct("source_id", "capture_index")).alias("captures")).where("captures >= 2").select("query", "query_idx")
+    return links, eligible
+
+
+def telemetry(spark: SparkSession, path: str) -> DataFrame:
+    """Samples of a run, JSON lines: t, gpu_memory_mib, utilization (null where a sample lacks it)."""
+    return spark.read.schema("t double, gpu_memory_mib double, utilization double").json(path)
+
+
+def assessments(spark: SparkSession, path: str) -> DataFrame:
+    """point3d_id, reason of assessed points, as written by the assessment of tracks; both must be there."""
+    rows = spark.read.schema("point3d_id long, reason string").parquet(path)
+    return rows.withColumn("reason", F.coalesce("reason", F.raise_error("an assessment without reason").cast("string")))
+
+
+def append_lines(stream: DataFrame, path: str, checkpoint: str):
+    """Appends a stream's rows to JSON lines below a folder; every row once, whatever fails in between. partial_lines reads what is there."""
+    return stream.writeStream.format("json").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+#: Readers by the kind of a source; `register` adds one.
+READERS: dict[str, object] = {"documents": documents, "lines": partial_lines, "metrics": metrics_csv, "pictures": pictures, "telemetry": telemetry, "assessments": assessments}
+
+
+def register(kind: str, reader) -> None:
+    """A kind is registered once."""
+    if kind in READERS:
+        raise ValueError(f"{kind} is registered already")
+    READERS[kind] = reader
+
+
+def read(kind: str, *args, **options) -> DataFrame:
+    if kind not in READERS:
+        raise ValueError(f"no reader for {kind}; there are {sorted(READERS)}")
+    return READERS[kind](*args, **options)

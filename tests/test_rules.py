@@ -131,3 +131,28 @@ def test_a_result_moved_aside_comes_back(spark, tmp_path):
     (tmp_path / "out" / "double").rename(tmp_path / "out" / "double.old")
     run.restored("double")
     assert run.table("double").count() == 5 and not (tmp_path / "out" / "double.old").exists()
+
+
+def test_jacobian_is_the_slope_of_the_projection(spark):
+    turn = np.array([[0.0, -1, 0], [1, 0, 0], [0, 0, 1]])
+    p, jac = geometry.projection_and_jacobian("PINHOLE", [100.0, 120, 5, 6], np.array([[1.0, 2, 4]]), turn[None])
+    assert np.allclose(p, [[30, 66]]) and np.allclose(jac[0], np.array([[25, 0, -6.25], [0, 30, -15]]) @ turn, atol=1e-6)
+    assert geometry.projection_and_jacobian("PINHOLE", [1.0, 1, 0, 0], np.array([[1.0, 2, -4]]), turn[None]) is None
+    df = spark.createDataFrame([([1.0, 2.0, 4.0],), ([1.0, 2.0, -4.0],)], "local array<double>").withColumns({"rotation": F.array(*(F.lit(float(v)) for v in turn.ravel())), "model": F.lit("PINHOLE"), "params": F.array(*(F.lit(float(v)) for v in (100, 120, 5, 6)))})
+    got = geometry.jacobians(df, "local", "rotation").collect()
+    assert np.allclose(got[0].pixel, [30, 66]) and np.allclose(got[0].jacobian, jac.ravel()) and got[1].pixel is None
+
+
+def test_match_tables_and_readers(spark, tmp_path):
+    from fieldloom.sources import model_files as m
+
+    pairs = spark.createDataFrame([(1, 2, bytearray(np.array([[3, 4], [5, 6]], "<u4").tobytes())), (1, 3, None), (2, 3, bytearray(np.array([[7, 8]], "<u4").tobytes()))], "a long, b long, data binary").select(expr.pair_id("a", "b").alias("pair_id"), "data")
+    rows = m.match_rows(pairs)
+    assert {tuple(r) for r in rows.collect()} == {(1, 2, 3, 4), (1, 2, 5, 6), (2, 3, 7, 8)}
+    keys = m.keypoint_rows(spark.createDataFrame([(9, 4, bytearray(np.arange(8, dtype="<f4").tobytes()))], "image_id long, cols int, data binary"))
+    assert [tuple(r) for r in keys.orderBy("point2d_idx").collect()] == [(9, 0, 0.0, 1.0), (9, 1, 4.0, 5.0)]
+    images = spark.createDataFrame([(1, True, "a", 0), (2, False, "a", 1), (3, False, "b", 0)], "image_id long, held_out boolean, source_id string, capture_index int")
+    links, eligible = m.heldout_links(rows.unionByName(spark.createDataFrame([(1, 3, 3, 1)], rows.schema)), images)
+    assert links.count() == 3 and [tuple(r) for r in eligible.collect()] == [(1, 3)]
+    (tmp_path / "t.jsonl").write_text('{"t": 1.0, "gpu_memory_mib": 5}\n')
+    assert tuple(m.read("telemetry", spark, str(tmp_path / "t.jsonl")).first()) == (1.0, 5.0, None)
