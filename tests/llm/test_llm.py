@@ -7,6 +7,7 @@ import math
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
@@ -17,7 +18,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from fieldloom.llm import bpe, components, exact_dedup, lm_scoring, ngram_join, packing, quality, rp_forest, token_counts, toxicity, url_filter
-from fieldloom.llm.common import stored
+from fieldloom.llm.common import Membership, cleared, hot_join, stored
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
 ODD_SCHEMA = "doc_id long, text string, lang string, n_tokens int, node string, key string, kept string, toxic string, grams string, text_sha256 string, row string"
@@ -327,6 +328,51 @@ def test_packing_is_whole_and_fits(spark, corpus, odd, empty):
     assert sum(sizes) / sum(bins.values()) > 0.97
 
 
+def brute_packing(sizes, lengths, overhead):
+    """Best fit, said plainly: the open bin that a piece leaves least room in, else a new one of the length that costs least a token with what may still come."""
+    bins, out = [], []
+    for k, size in enumerate(sizes):
+        fitting = [b for b in bins if b["length"] - b["used"] >= size]
+        if fitting:
+            b = min(fitting, key=lambda b: (b["length"] - b["used"], b["number"]))
+        else:
+            costs = []
+            for length in sorted(x for x in lengths if x >= size):
+                small = sorted(s for s in sizes if s <= length - size)[: len(sizes) - k - 1]
+                fill = min(sum(small), max(length - size - sum(small) / len(small) / 2, 0)) if small else 0
+                costs.append(((length + overhead) / (size + fill), length))
+            b = {"length": min(costs, key=lambda c: c[0])[1], "used": 0, "number": len(bins)}
+            bins.append(b)
+        out.append((b["number"], b["used"]))
+        b["used"] += size
+    return [(n, at, min(x for x in lengths if x >= bins[n]["used"])) for n, at in out]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_packing_equals_brute_force(seed):
+    r = random.Random(seed)
+    lengths, overhead = ((64, 128, 256), 16.0) if seed % 2 else ((100, 150, 300, 301), 4.0)
+    sizes = sorted((r.choice((1, 1, 7, 50, 64, r.randint(1, max(lengths)))) for _ in range(r.choice((1, 2, 40, 120)))), reverse=True)
+    assert packing.Packer(lengths, overhead).pack(sizes) == brute_packing(sizes, lengths, overhead)
+    assert packing.Packer(lengths, overhead).pack([]) == []
+
+
+def test_a_hot_key_joins_as_any_other(spark):
+    left = spark.createDataFrame([(1 if k % 2 else k, k) for k in range(400)] + [(None, 7), (None, 8)], "k long, v long")
+    right = spark.createDataFrame([(k, -k) for k in range(0, 300, 3)] + [(1, -1)], "k long, w long")
+    for how in ("inner", "left"):
+        got = sorted((r.k or -9, r.v, r.w or 0) for r in hot_join(left, right, ["k"], ["v"], how, share=5).collect())
+        assert got == sorted((r.k or -9, r.v, r.w or 0) for r in left.join(right, "k", how).collect())
+
+
+def test_membership_lets_all_members_pass(spark):
+    members = Membership(spark.range(0, 5000).select(F.xxhash64("id").alias("h")), "h")
+    hashes = np.array([r.h for r in spark.range(20_000).select(F.xxhash64("id").alias("h")).collect()])
+    passed = members.of(hashes)
+    assert passed[:5000].all() and passed[5000:].mean() < 0.12
+    assert not Membership(spark.range(0).select(F.xxhash64("id").alias("h")), "h").of(hashes).any()
+
+
 def test_lm_scores(spark, corpus, odd, empty):
     rows = [(r.doc_id, r.text) for r in corpus.collect()]
     got = {r.doc_id: r for r in lm_scoring.score(corpus, RANKS).collect()}
@@ -392,6 +438,58 @@ def test_attention_is_causal_sums_to_one_and_learns():
     assert sum(model.scores(texts)) > 0.5 * sum(before)
 
 
+def test_lm_score_by_a_plain_computation(spark, corpus, monkeypatch):
+    """The score of each text from the trained weights, token by token, without windows cut in batches, codes or joins."""
+    kept = {}
+    fit = lm_scoring.fit
+
+    def spy(*args):
+        kept["w"] = fit(*args)
+        return kept["w"]
+
+    monkeypatch.setattr(lm_scoring, "fit", spy)
+    rows = [(r.doc_id, r.text) for r in corpus.collect()]
+    got = {r.doc_id: r.score for r in lm_scoring.score(corpus, RANKS).collect()}
+    w = lm_scoring.Words(lm_scoring.ranks_of(RANKS), P.PATTERN, None)
+    c = collections.Counter()
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            c.update([*t.encode().lower().split(), None])
+    lead = {x: w.lead(x) for x in {x for _, t in rows for x in t.encode().lower().split()}}
+    by_lead = collections.Counter()
+    for x, n in c.items():
+        if x is not None:
+            by_lead[lead[x]] += n
+    first = sorted(by_lead, key=lambda k: (-by_lead[k], k))[: lm_scoring.CLASSES - 2]
+    of = lambda x: lm_scoring.CLASSES - 1 if x is None else first.index(lead[x]) if lead[x] in first else lm_scoring.CLASSES - 2
+    total, distinct = collections.Counter(), collections.Counter()
+    for x, n in c.items():
+        total[of(x)] += n
+        distinct[of(x)] += 1
+    model = lm_scoring.Attention(kept["w"])
+    for i, t in rows[::9]:
+        tokens = [*t.encode().lower().split(), None]
+        y = [of(x) for x in tokens]
+        want = 0.0
+        for k, x in enumerate(tokens):
+            start = 0 if k < 64 else (k - 64) // 48 * 48 + 48
+            seen = [lm_scoring.CLASSES, *y[start:k]]
+            z, _ = model.forward(np.array([seen]))
+            want += z[0, -1, y[k]] / math.log(10) + math.log10((c[x] + 0.5) / (total[y[k]] + 0.5 * (distinct[y[k]] + 1)))
+        assert abs(got[i] - want) < 1e-4 * abs(want)
+
+
+def test_work_folders_go(spark, tmp_path):
+    df = stored(spark.range(3), "gone")
+    path = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert Path(path).exists()
+    paths, tables = spark.sparkContext._fieldloom_paths, spark.sparkContext._fieldloom_tables
+    spark.sparkContext._fieldloom_paths, spark.sparkContext._fieldloom_tables = [path], []
+    cleared(spark)
+    assert not Path(path).exists()
+    spark.sparkContext._fieldloom_paths, spark.sparkContext._fieldloom_tables = paths, tables
+
+
 def test_pipeline_stage_by_stage(spark, corpus, labels, tmp_path):
     corpus.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(k, int(k % 4 != 0), int(k % 5 == 0 and k % 4 != 0)) for k in range(200)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
