@@ -80,13 +80,16 @@ def cleared(spark: SparkSession) -> None:
     sc._fieldloom_paths, sc._fieldloom_tables = [], []
 
 
-def hot_join(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], how: str = "inner", share: int = 500) -> DataFrame:
-    """left joined with right, whose keys are unique; a key with more than one in `share` of left's rows is dealt over several tasks by a hash of `spread`.
-
-    There are fewer than `share` such keys, so their table is broadcast. Keys that are null join as they do in any join."""
+def hot_keys(left: DataFrame, on: list[str], share: int = 500) -> DataFrame:
+    """The keys with more than one in `share` of the rows, of which there are fewer than `share`, and into how many parts each is dealt."""
     n = left.count()
     hot = left.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") * share > n).select(*on, F.ceil(F.col("__n") * share / max(n, 1)).cast("int").alias("__parts"))
-    hot = F.broadcast(stored(hot, "hot"))
+    return left.sparkSession.createDataFrame(hot.collect(), hot.schema)
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+    """left joined with right, whose keys are unique; keys with very many of left's rows (hot_keys) are dealt over several tasks by a hash of `spread`. Keys that are null join as they do in any join."""
+    hot = F.broadcast(hot_keys(left, on) if hot is None else hot)
     parts = F.coalesce("__parts", F.lit(1))
     dealt = left.join(hot, on, "left").withColumn("__part", F.pmod(F.xxhash64(*spread), parts).cast("int")).drop("__parts")
     copied = right.join(hot, on, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import hot_join, stored
+from fieldloom.llm.common import hot_join, hot_keys, stored
 
 
 class Forest:
@@ -49,16 +49,17 @@ def components(edges: DataFrame) -> DataFrame:
     """edges: a, b (long). Returns node, component (its smallest node) for every node of an edge.
 
     Each round, a node takes the smallest label around it, then its label's label. The edges of a node that has
-    very many, and the nodes that share a label, are dealt over several tasks, and minima are taken before the shuffle."""
+    very many are dealt over several tasks, and minima are taken before the shuffle; nodes that share a label are narrow rows, which a skewed join may split."""
     few = stored(contracted(edges.select("a", "b").where("a <> b")), "edges")
-    both = stored(few.union(few.select("b", "a")), "both")
+    both = few.union(few.select("b", "a"))
+    hubs = hot_keys(both, ["b"])
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), "labels")
     while True:
-        near = hot_join(both, labels.withColumnRenamed("node", "b"), ["b"], ["a"]).groupBy("a").agg(F.min("component").alias("near"))
+        near = hot_join(both, labels.withColumnRenamed("node", "b"), ["b"], ["a"], hot=hubs).groupBy("a").agg(F.min("component").alias("near"))
         lower = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("component", "near").alias("step"), F.col("component").alias("was"))
         lower = stored(lower, "labels")
         jump = lower.select(F.col("node").alias("step"), F.col("step").alias("far"))
-        new = stored(hot_join(lower, jump, ["step"], ["node"]).select("node", F.least("step", "far").alias("component"), "was"), "labels")
+        new = stored(lower.join(jump, "step").select("node", F.least("step", "far").alias("component"), "was"), "labels")
         done = new.where("component <> was").isEmpty()
         labels = new.select("node", "component")
         if done:

@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from fieldloom.llm import bpe, components, exact_dedup, lm_scoring, ngram_join, packing, quality, rp_forest, token_counts, toxicity, url_filter
-from fieldloom.llm.common import Membership, cleared, hot_join, stored
+from fieldloom.llm.common import Membership, cleared, hot_join, hot_keys, stored
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
 ODD_SCHEMA = "doc_id long, text string, lang string, n_tokens int, node string, key string, kept string, toxic string, grams string, text_sha256 string, row string"
@@ -361,7 +361,7 @@ def test_a_hot_key_joins_as_any_other(spark):
     left = spark.createDataFrame([(1 if k % 2 else k, k) for k in range(400)] + [(None, 7), (None, 8)], "k long, v long")
     right = spark.createDataFrame([(k, -k) for k in range(0, 300, 3)] + [(1, -1)], "k long, w long")
     for how in ("inner", "left"):
-        got = sorted((r.k or -9, r.v, r.w or 0) for r in hot_join(left, right, ["k"], ["v"], how, share=5).collect())
+        got = sorted((r.k or -9, r.v, r.w or 0) for r in hot_join(left, right, ["k"], ["v"], how, hot_keys(left, ["k"], share=5)).collect())
         assert got == sorted((r.k or -9, r.v, r.w or 0) for r in left.join(right, "k", how).collect())
 
 
