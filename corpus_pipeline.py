@@ -4,7 +4,9 @@ Each stage takes (spark, docs, sf_dir), works on all that the stage before it ke
 written and read again before the next. All but the last return the columns of documents; the
 last returns one row per piece of a document: where it lies in which bin. No stage fails on null
 or empty texts: such a document has no n-grams and no toxic features, so the first two keep it; all empty
-texts are one to exact dedup; the packing has nothing to pack of it.
+texts are one to exact dedup; the packing has nothing to pack of it. Of rows that repeat doc_id and text exact dedup keeps one; rows that
+share a doc_id but not the text are documents of their own. Ties at the quality threshold all stay, of equal texts the smallest doc_id, of near copies the smallest of their
+group. Very long texts are read whole. Empty tables give empty results, and extra columns go through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
