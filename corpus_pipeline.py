@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldloom.llm import exact_dedup, ngram_join, packing, quality, toxicity
-from fieldloom.llm.common import shipped, stored
+from fieldloom.llm.common import own_table, shipped, stored
 
 #: Fixed by the task: near duplicates share 80 of 100 shingles of five words.
 WIDTH, PERCENT = 5, 80
@@ -33,7 +33,7 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exactly_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact_dedup.kept_rows(docs, exact_dedup.DigestIndex(spark, f"fieldloom_digests_{uuid.uuid4().hex}"))
+    return exact_dedup.kept_rows(docs, exact_dedup.DigestIndex(spark, own_table(spark, f"fieldloom_digests_{uuid.uuid4().hex}")))
 
 
 def nearly_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
