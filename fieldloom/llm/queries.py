@@ -1,4 +1,4 @@
-"""The queries op1_ to op10_, each over its whole tables, and the SQL of those that SQL can express."""
+"""The queries op1_ to op12_, each over its whole tables, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import bpe, exact_dedup, lm_scoring, ngram_join, packing, quality, rp_forest, token_counts, toxicity, url_filter
+from fieldloom.llm import bpe, exact_dedup, lm_scoring, ngram_join, packing, periodic_runs, quality, rp_forest, token_counts, toxicity, url_filter
 from fieldloom.llm.common import own_table, shipped
 
 
@@ -66,6 +66,11 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.repeating(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return periodic_runs.digests(periodic_runs.find(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_resampling": op2_quality_resampling,
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 
