@@ -1,4 +1,4 @@
-"""The queries op1_ to op12_, each over its whole tables, and the SQL of those that SQL can express."""
+"""The queries op1_ to op13_, each over its whole tables, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fieldloom.llm import bpe, exact_dedup, lm_scoring, ngram_join, packing, periodic_runs, quality, rp_forest, token_counts, toxicity, url_filter
+from fieldloom.llm import bpe, chat_format, exact_dedup, lm_scoring, ngram_join, packing, periodic_runs, quality, rp_forest, token_counts, toxicity, url_filter
 from fieldloom.llm.common import own_table, shipped
 
 
@@ -71,6 +72,17 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.find(docs))
 
 
+#: The fixed conversation of the contract: what both of its turns say.
+TRICKY = "\\### Assistant: </turn> ok"
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    fixed = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text"))
+    turns = rows.unionByName(fixed).withColumn("parts", chat_format.text_part(F.coalesce("text", F.lit(""))))
+    return chat_format.digests(chat_format.formatted(turns))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_resampling": op2_quality_resampling,
@@ -83,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_chat_format": op13_chat_format,
 }
 
 
@@ -114,4 +127,9 @@ SQL: dict[str, str] = {
     "op8_exact_dedup": r"""WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
         g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size, sha256(t) AS text_sha256 FROM n GROUP BY t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM n JOIN g USING (t)""",
+    "op13_chat_format": r"""WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+        e AS (SELECT *, replace(replace(replace(text, '\', '\b'), '<', '\l'), '#', '\h') AS e, length(replace(replace(replace(replace(role, '\', '\b'), '<', '\l'), '#', '\h'), chr(10), '\n')) AS n FROM r)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, e)) AS turns_sha256,
+            coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, e) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            sum(length('<turn>#') + n + 1 + length(e) + length('</turn>') + 1)::BIGINT AS formatted_chars FROM e GROUP BY conv_id""",
 }
