@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import bpe, chat_format, exact_dedup, lm_scoring, ngram_join, packing, periodic_runs, quality, rp_forest, token_counts, toxicity, url_filter
+from fieldloom.llm import bpe, chat_format, exact_dedup, lm_scoring, ngram_join, oracles, packing, periodic_runs, quality, rp_forest, spelling, token_counts, toxicity, url_filter
 from fieldloom.llm.common import own_table, shipped
 
 
@@ -67,6 +67,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), least=7, seldom=2, ratio=10, delete_every=31)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = periodic_runs.repeating(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return periodic_runs.digests(periodic_runs.find(docs))
@@ -94,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_chat_format": op13_chat_format,
 }
@@ -127,6 +132,8 @@ SQL: dict[str, str] = {
     "op8_exact_dedup": r"""WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
         g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size, sha256(t) AS text_sha256 FROM n GROUP BY t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM n JOIN g USING (t)""",
+    "op11_spelling_variants": oracles.VARIANTS,
+    "op12_periodic_runs": oracles.RUNS,
     "op13_chat_format": r"""WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
         e AS (SELECT *, replace(replace(replace(text, '\', '\b'), '<', '\l'), '#', '\h') AS e, length(replace(replace(replace(replace(role, '\', '\b'), '<', '\l'), '#', '\h'), chr(10), '\n')) AS n FROM r)
         SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, e)) AS turns_sha256,
