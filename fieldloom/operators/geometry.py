@@ -11,10 +11,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed value: the 95 % quantile of a chi distribution with three degrees of freedom.
-RADIUS_95 = 2.7954834829
-REASONS = ("insufficient_captures", "invalid_geometry", "invalid_original_projection", "original_reprojection", "conditional_uncertainty", "degenerate_full_track", "full_fit_disagreement", "degenerate_leave_one_out", "invalid_leave_one_out_projection", "cross_reprojection", "keep")
-
 
 # --- camera models: arrays of points in, arrays out ------------------------------------------
 
@@ -117,6 +113,24 @@ def rays(df: DataFrame, x: str = "x", y: str = "y", model: str = "model", params
     return df.withColumn(as_, ray(x, y, model, params))
 
 
+def pixels(df: DataFrame, local: str, model: str = "model", params: str = "params", as_: str = "pixel") -> DataFrame:
+    """Adds the pixel (array of two) of each place in its camera's axes (array of three); null where it is not seen."""
+
+    @F.pandas_udf("array<double>")
+    def pixel(xs: pd.Series, models: pd.Series, ps: pd.Series) -> pd.Series:
+        out = np.full((len(xs), 2), np.nan)
+        for (m, p), at in _by_camera(models, ps):
+            out[at] = ray_to_pixel(m, list(p), np.stack(xs.iloc[at].to_numpy()).astype(float))
+        return pd.Series([p if np.isfinite(p).all() else None for p in out])
+
+    return df.withColumn(as_, pixel(local, model, params))
+
+
+def _by_camera(models: pd.Series, params: pd.Series):
+    keys = pd.Series(list(zip(models, map(tuple, params), strict=True)))
+    return keys.groupby(keys).groups.items()
+
+
 # --- tracks ------------------------------------------------------------------------------
 
 
@@ -136,70 +150,6 @@ def triangulate(origins: np.ndarray, directions: np.ndarray, rounds: int = 4) ->
     return None if (((x - o) * directions).sum(1) <= 0).any() else x + centre
 
 
-def angular_errors(point: np.ndarray, origins: np.ndarray, directions: np.ndarray, focal: np.ndarray) -> np.ndarray:
-    """Reprojection errors in pixels as focal length times the tangent of the angle; infinite behind a camera."""
-    to = point - origins
-    along = (to * directions).sum(1)
-    across = np.linalg.norm(to - along[:, None] * directions, axis=1)
-    return np.where(along > 0, focal * across / np.maximum(along, 1e-300), np.inf)
-
-
-def relative_radius(point: np.ndarray, origins: np.ndarray, directions: np.ndarray, focal: np.ndarray, sigma: float) -> float:
-    """The 95 % radius of the point's position over its distance, for pixel noise sigma; infinite if ill-conditioned."""
-    to = point - origins
-    distance = np.linalg.norm(to, axis=1)
-    across = np.eye(3) - directions[:, :, None] * directions[:, None, :]
-    values = np.linalg.eigvalsh(((focal / distance)[:, None, None] ** 2 * across).sum(0))
-    if values[0] <= values[-1] * 1e-14:
-        return float("inf")
-    return float(RADIUS_95 * sigma / np.sqrt(values[0]) / np.median(distance))
-
-
-def assess(point: np.ndarray, origins: np.ndarray, directions: np.ndarray, focal: np.ndarray, captures: np.ndarray, sigma: float = 1.0, p95: float = 2.0, most: float = 4.0, radius: float = 0.02) -> str:
-    """The first reason against a track, or keep."""
-    names = np.unique(captures)
-    if len(names) < 3:
-        return "insufficient_captures"
-    if not (np.isfinite(point).all() and np.isfinite(origins).all() and np.isfinite(directions).all()):
-        return "invalid_geometry"
-    e = angular_errors(point, origins, directions, focal)
-    if not np.isfinite(e).all():
-        return "invalid_original_projection"
-    if np.percentile(e, 95) > p95 or e.max() > most:
-        return "original_reprojection"
-    if relative_radius(point, origins, directions, focal, sigma) > radius:
-        return "conditional_uncertainty"
-    full = triangulate(origins, directions)
-    if full is None:
-        return "degenerate_full_track"
-    if np.linalg.norm(full - point) > radius * np.median(np.linalg.norm(point - origins, axis=1)):
-        return "full_fit_disagreement"
-    left_out = np.full(len(e), np.inf)
-    for name in names:
-        rest = captures != name
-        fit = triangulate(origins[rest], directions[rest])
-        if fit is None:
-            return "degenerate_leave_one_out"
-        left_out[~rest] = angular_errors(fit, origins[~rest], directions[~rest], focal[~rest])
-    if not np.isfinite(left_out).all():
-        return "invalid_leave_one_out_projection"
-    return "cross_reprojection" if np.percentile(left_out, 95) > p95 or left_out.max() > most else "keep"
-
-
-def assess_tracks(rows: DataFrame, point: str = "point3d_id", **limits: float) -> DataFrame:
-    """point, n, reason, radius. rows: point, xyz (the point), origin, direction (arrays of three), focal, capture."""
-
-    def one(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("capture", kind="stable")
-        x, o, d = np.asarray(group["xyz"].iloc[0], float), np.stack(group["origin"]).astype(float), np.stack(group["direction"]).astype(float)
-        f, c = group["focal"].to_numpy(float), group["capture"].to_numpy()
-        with np.errstate(all="ignore"):
-            size = relative_radius(x, o, d, f, limits.get("sigma", 1.0)) if np.isfinite(o).all() and np.isfinite(d).all() and np.isfinite(x).all() else float("inf")
-            return pd.DataFrame({point: [key[0]], "n": [len(group)], "reason": [assess(x, o, d, f, c, **limits)], "radius": [size]})
-
-    return rows.groupBy(point).applyInPandas(one, f"{point} long, n long, reason string, radius double")
-
-
 def halves(captures: np.ndarray, along: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Two ways to split a track by captures: early and late along an order, and every other capture."""
     names = sorted(set(captures.tolist()), key=lambda n: (along[captures == n].min(), str(n)))
@@ -208,33 +158,6 @@ def halves(captures: np.ndarray, along: np.ndarray) -> list[tuple[np.ndarray, np
     return [(early, ~early), (other, ~other)]
 
 
-def assess_split(point: np.ndarray, origins: np.ndarray, directions: np.ndarray, focal: np.ndarray, captures: np.ndarray, sources: np.ndarray, sigma: float = 1.0, p95: float = 2.0, most: float = 4.0, radius: float = 0.02) -> str:
-    """As assess, but both halves of a track must give the point on their own; at least four captures.
-
-    Captures of one source are in their own order; those of several are ordered along the camera centres' main axis."""
-    if len(np.unique(captures)) < 4:
-        return "insufficient_captures"
-    if not (np.isfinite(point).all() and np.isfinite(origins).all() and np.isfinite(directions).all()):
-        return "invalid_geometry"
-    if relative_radius(point, origins, directions, focal, sigma) > radius:
-        return "conditional_uncertainty"
-    centred = origins - origins.mean(0)
-    along = centred @ np.linalg.svd(centred, full_matrices=False)[2][0] if len(np.unique(sources)) > 1 else np.unique(captures, return_inverse=True)[1].astype(float)
-    distance = np.median(np.linalg.norm(point - origins, axis=1))
-    for parts in halves(captures, along):
-        fits = [triangulate(origins[h], directions[h]) for h in parts]
-        if any(f is None for f in fits):
-            return "degenerate_split"
-        errors = np.concatenate([angular_errors(fits[1 - k], origins[h], directions[h], focal[h]) for k, h in enumerate(parts)])
-        if not np.isfinite(errors).all():
-            return "invalid_projection"
-        if np.linalg.norm(fits[0] - fits[1]) > radius * distance:
-            return "split_disagreement"
-        if np.percentile(errors, 95) > p95 or errors.max() > most:
-            return "cross_reprojection"
-    return "keep"
-
-
 def split_stability(rows: DataFrame, point: str = "point3d_id") -> DataFrame:
     """Per point with four captures or more: the distance of the early from the late half's triangulation, over the distance of the cameras; null if one fails.
 
@@ -297,30 +220,27 @@ def fit_groups(pairs: DataFrame, by: str, limit: float, trials: int = 1500) -> D
     return pairs.groupBy(by).applyInPandas(one, f"{by} {pairs.schema[by].dataType.simpleString()}, scale double, rotation array<double>, shift array<double>, inliers int")
 
 
-def projection_and_jacobian(model: str, params: list[float], local: np.ndarray, rotation: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-    """Pixels of points in a camera's axes (n by 3), and how they change with the points' world places (n by 2 by 3), by central differences of 1e-5 of the distance.
-
-    rotation: world to camera, one or one a point. None where a point is behind the camera or anything is not finite."""
-    size = np.linalg.norm(local, axis=1) * 1e-5
-    if not np.isfinite(local).all() or (local[:, 2] <= 0).any():
-        return None
-    slopes = []
-    for step in np.eye(3):
-        ahead, back = (ray_to_pixel(model, params, local + sign * size[:, None] * step) for sign in (1, -1))
-        slopes.append((ahead - back) / (2 * size[:, None]))
-    pixels, jacobian = ray_to_pixel(model, params, local), np.stack(slopes, axis=2) @ rotation
-    return (pixels, jacobian) if np.isfinite(pixels).all() and np.isfinite(jacobian).all() else None
+#: Fixed value: the step of the differences, as a share of the distance.
+STEP = 1e-5
 
 
 def jacobians(points: DataFrame, local: str, rotation: str, model: str = "model", params: str = "params") -> DataFrame:
-    """Adds pixel (array of two) and jacobian (six numbers, by rows) of each observation; null where there is none. local: the point in the camera's axes; rotation: nine numbers."""
+    """Adds pixel (array of two) and jacobian (six numbers, by rows) of each observation: how the pixel changes with the point's world place, by central differences.
+
+    Null where the point is not in front of the camera or a number is not finite. local: the point in the camera's axes; rotation: world to camera, nine numbers."""
 
     @F.pandas_udf("pixel array<double>, jacobian array<double>")
     def slopes(xs: pd.Series, rs: pd.Series, models: pd.Series, ps: pd.Series) -> pd.DataFrame:
-        out = []
-        for x, r, m, p in zip(xs, rs, models, ps, strict=True):
-            got = projection_and_jacobian(m, list(p), np.asarray(x, float)[None], np.asarray(r, float).reshape(1, 3, 3))
-            out.append((None, None) if got is None else (got[0][0], got[1][0].ravel()))
-        return pd.DataFrame(out, columns=["pixel", "jacobian"])
+        whole = np.full((len(xs), 8), np.nan)
+        for (m, p), at in _by_camera(models, ps):
+            x, r = np.stack(xs.iloc[at].to_numpy()).astype(float), np.stack(rs.iloc[at].to_numpy()).astype(float).reshape(-1, 3, 3)
+            size = np.linalg.norm(x, axis=1)[:, None] * STEP
+            with np.errstate(all="ignore"):
+                ends = [[ray_to_pixel(m, list(p), x + sign * size * e) for sign in (1, -1)] for e in np.eye(3)]
+                j = np.stack([(ahead - back) / (2 * size) for ahead, back in ends], axis=2) @ r
+                seen = (x[:, 2] > 0)[:, None]
+                whole[at] = np.where(seen, np.column_stack([ray_to_pixel(m, list(p), x), j.reshape(-1, 6)]), np.nan)
+        good = np.isfinite(whole).all(1)
+        return pd.DataFrame({"pixel": [w[:2] if g else None for w, g in zip(whole, good, strict=True)], "jacobian": [w[2:] if g else None for w, g in zip(whole, good, strict=True)]})
 
     return points.withColumn("__s", slopes(local, rotation, model, params)).withColumns({"pixel": F.col("__s.pixel"), "jacobian": F.col("__s.jacobian")}).drop("__s")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.operators import omni
+from fieldloom.operators import omni, repair, tracks
+from fieldloom.operators.geometry import pixels
 from fieldloom.plans.audit_queries import rounded
 from fieldloom.plans.queries import query, table
 
@@ -59,3 +60,78 @@ def omni_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = omni.fitted(s, "OPENCV_FISHEYE").withColumnRenamed("fit", "fisheye")
     both = omni.fitted(one, "THIN_PRISM_FISHEYE").withColumnRenamed("fit", "prism")
     return rounded(both.select("s_suppkey", *(F.col(f"{k}.{c}").alias(f"{k}_{c}") for k in ("fisheye", "prism") for c in ("rms", "most", "radius"))), 4)
+
+
+# --- tracks: a part is a point, an order an image, a supplier the capture -----------------------------------
+
+
+def _images(orders: DataFrame) -> DataFrame:
+    """image_id with its pose and camera, of four models; source is the capture's: even ones a, odd ones b."""
+    k = F.col("image_id")
+    yaw = (k % 5 - 2) * 0.05
+    rotation = F.array(F.cos(yaw), F.lit(0.0), -F.sin(yaw), F.lit(0.0), F.lit(1.0), F.lit(0.0), F.sin(yaw), F.lit(0.0), F.cos(yaw))
+    place = F.array((k % 97) / 10.0 - 4.8, (k % 13) / 20.0, (k % 7) / 20.0)
+    number = lambda *v: F.array(*(F.lit(float(x)) for x in v))
+    params = F.when(k % 4 == 0, number(900, 880, 640, 480)).when(k % 4 == 1, number(850, 640, 480, 0.05)).when(k % 4 == 2, number(420, 425, 640, 480, 0.03, -0.01, 0.002, -0.0003)).otherwise(number(420, 425, 640, 480, 0.03, -0.01, 0.001, -0.0008, 0.002, -0.0003, 0.0004, 0.0002))
+    model = F.when(k % 4 == 0, "PINHOLE").when(k % 4 == 1, "SIMPLE_RADIAL").when(k % 4 == 2, "OPENCV_FISHEYE").otherwise("THIN_PRISM_FISHEYE")
+    return orders.select("image_id", rotation.alias("rotation"), place.alias("centre"), model.alias("model"), params.alias("params"))
+
+
+def _sightings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Observations as tracks.gathered takes them, and points with places: one point in nine is far off, one in eleven is seen with much noise, one in seven stands wrong."""
+    p = F.col("point3d_id")
+    place = F.array((p % 41) / 10.0 - 2, (p % 29) / 10.0 - 1.4, F.when(p % 9 == 0, 900.0).otherwise(6 + (p % 17) / 4.0))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("point3d_id"), F.col("l_orderkey").alias("image_id"), F.col("l_suppkey").alias("capture"), "l_linenumber", place.alias("at"))
+    seen = rows.join(_images(rows.select("image_id").distinct()), "image_id")
+    local = F.array(*(sum((F.get("rotation", F.lit(3 * i + k)) * (F.get("at", F.lit(k)) - F.get("centre", F.lit(k))) for k in range(3)), F.lit(0.0)) for i in range(3)))
+    noise = lambda a, b: ((F.col("image_id") * a + p * b + F.col("l_linenumber")) % 101 - 50) / 100.0 * F.when(p % 11 == 0, 12.0).otherwise(1.0)
+    shown = pixels(seen.withColumn("local", local), "local", as_="pixel").where("pixel IS NOT NULL")
+    out = shown.select("point3d_id", "image_id", F.when(F.col("capture") % 2 == 0, "a").otherwise("b").alias("source"), "capture", "centre", "rotation", "model", "params", (F.get("pixel", F.lit(0)) + noise(7, 13)).alias("x"), (F.get("pixel", F.lit(1)) + noise(11, 3)).alias("y"))
+    moved = F.transform(place, lambda v, k: v + F.when((p % 7 == 0) & (k == 2), 0.4).otherwise(0.0))
+    return out, table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("point3d_id")).distinct().withColumn("xyz", moved)
+
+
+@query()
+def track_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L2, L3, L4: full-track verdicts on four camera models."""
+    return rounded(tracks.assessed(tracks.gathered(*_sightings(spark, sf_dir)), "full_track"))
+
+
+@query()
+def track_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Split verdicts; tracks of both sources are ordered along the cameras' main axis."""
+    return rounded(tracks.assessed(tracks.gathered(*_sightings(spark, sf_dir)), "split"))
+
+
+@query()
+def track_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracks placed anew from their pixels, and assessed there."""
+    out = tracks.refitted(tracks.gathered(*_sightings(spark, sf_dir)))
+    return rounded(out.select("point3d_id", "reason", "captures", *(F.get("xyz", F.lit(k)).alias(c) for k, c in enumerate("xyz")), "full_fit_relative_difference", "cross_p95_px"), 5)
+
+
+def _as_model(spark: SparkSession, sf_dir: str) -> repair.Model:
+    """The sightings as a model: an image is an order seen by one supplier, in a frame of its own; supplier parity gives the source."""
+    seen, points = _sightings(spark, sf_dir)
+    image = F.col("image_id") * 100_000 + F.col("capture")
+    views = seen.withColumn("image_id", image).withColumn("idx", F.col("point3d_id"))
+    once = views.groupBy("image_id", "idx").agg(F.min(F.struct("x", "y", "point3d_id")).alias("o")).select("image_id", "idx", "o.x", "o.y", "o.point3d_id")
+    turned = F.array(*(-sum((F.get("rotation", F.lit(3 * i + k)) * F.get("centre", F.lit(k)) for k in range(3)), F.lit(0.0)) for i in range(3)))
+    images = views.dropDuplicates(["image_id"]).select("image_id", "source", "capture", F.col("image_id").alias("frame_id"), "model", "params", "rotation", turned.alias("translation"))
+    return repair.Model(images, once, points.withColumn("rgb", F.array(F.lit(0), F.lit(0), F.lit(0))))
+
+
+@query()
+def poses_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One image in fifty of the second source gets another pose; the tracks it sees are refitted or lost."""
+    m = _as_model(spark, sf_dir)
+    shift = F.transform("translation", lambda v, k: v + F.when(k == 0, 0.002).otherwise(0.0))
+    fix = m.images.where("source = 'b' AND frame_id div 100000 % 50 = 0").select("image_id", F.col("rotation").alias("old_rotation"), F.col("translation").alias("old_translation"), "rotation", shift.alias("translation"))
+    none = spark.createDataFrame([], "old_id long, rgb array<int>, track array<struct<image_id long, idx long>>")
+    return rounded(repair.repaired(m, fix, none, "a").changes, 5)
+
+
+@query()
+def primary_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model of the first source alone: placed anew, filtered and assessed."""
+    return repair.primary_only(_as_model(spark, sf_dir), "a").changes.select("point3d_id", "status", "reason")
