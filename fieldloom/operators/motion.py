@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import permutations, product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,49 +40,78 @@ def local_motion(samples: DataFrame, by: str, rank: str, t: str, xyz: list[str],
     wide = steps.withColumn("near", near).join(whole.select(by, "scene"), by)
     kind = samples.schema[ident].dataType.simpleString()
 
-    names = [by, ident, "innovation", "step", "scatter", "threshold", "suspect", "ambiguous", "neighbours"]
-
-    def run(batches):
-        for group in batches:
-            found = [(r[by], r[ident], *d) for r in group.to_dict("records") if (d := _diagnosis(r, ident))]
-            yield pd.DataFrame(found, columns=names)
+    number = pa.float64()
+    columns = {"innovation": number, "step": number, "scatter": number, "threshold": number, "suspect": pa.bool_(), "ambiguous": pa.bool_()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            near = batch.column("near")
+            flat, size = near.flatten(), pc.list_value_length(near).to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), size)
+            place = flat.field("rank").to_numpy() - batch.column("rank").to_numpy()[row] + radius
+            w = _Windows(row, place, flat.field("t").to_numpy(zero_copy_only=False), flat.field("at").flatten().to_numpy(zero_copy_only=False).reshape(len(row), -1), flat.field("gap").to_numpy(zero_copy_only=False), batch.column("scene").to_numpy(), radius)
+            found, values, trusted = w.diagnosed()
+            where = np.full((batch.num_rows, 2 * radius + 1), -1)
+            where[row, place] = np.arange(len(row))
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(trusted.sum(1))]), pa.int32()), flat.field(ident).take(pa.array(where[found][trusted])))
+            kept = pa.array(found)
+            yield pa.RecordBatch.from_arrays([batch.column(by).take(kept), batch.column(ident).take(kept), *(pa.array(v, columns[c]) for c, v in zip(columns, values, strict=True)), ids], [by, ident, *columns, "neighbours"])
 
     schema = f"{by} {samples.schema[by].dataType.simpleString()}, {ident} {kind}, innovation double, step double, scatter double, threshold double, suspect boolean, ambiguous boolean, neighbours array<{kind}>"
-    return wide.select(by, ident, "rank", "t", "at", "near", "scene").mapInPandas(run, schema)
-
-
-def _diagnosis(row: dict, ident: str) -> tuple | None:
-    """Innovation, step, scatter, threshold, suspect, ambiguous and trusted neighbours of one sample; None with too few around it."""
-    near = sorted(row["near"], key=lambda s: s["rank"])
-    rank, t = np.array([s["rank"] for s in near]), np.array([s["t"] for s in near])
-    if not np.isfinite(t).all() or (np.diff(t) <= 0).any():
-        raise ValueError("samples need finite, rising times")
-    other = rank != row["rank"]
-    if other.sum() < 6 or (rank < row["rank"]).sum() < 2 or (rank > row["rank"]).sum() < 2:
-        return None
-    gap = np.array([np.nan if s["gap"] is None else s["gap"] for s in near])[:-1]
-    together = (np.diff(rank) == 1) & np.isfinite(gap)
-    if together.sum() < 4:
-        return None
-    dt = np.diff(t)[together]
-    step = max(float(np.median(gap[together] / dt)) * float(np.median(dt)), row["scene"] / 4)
-    at = np.stack([np.asarray(s["at"], float) for s in near])[other]
-    off = t[other] - row["t"]
-    i, j = (x.ravel() for x in np.meshgrid(np.flatnonzero(off < 0), np.flatnonzero(off > 0), indexing="ij"))
-    speed = (at[j] - at[i]) / (off[j] - off[i])[:, None]
-    start = at[i] - off[i][:, None] * speed
-    residual = np.linalg.norm(at[None] - start[:, None] - off[None, :, None] * speed[:, None], axis=2)
-    score = np.median(residual, axis=1)
-    best = int(np.argmin(score))
-    inner = residual[best] <= max(3 * score[best], step / 2)
-    (origin, velocity), *_ = np.linalg.lstsq(np.column_stack([np.ones(inner.sum()), off[inner]]), at[inner], rcond=None)
-    rival = (score <= max(score[best] * 1.1, step / 10)) & (np.linalg.norm(start - origin, axis=1) > 2 * step)
-    apart = np.linalg.norm(at - origin - off[:, None] * velocity, axis=1)
-    scatter = float(np.median(apart))
-    threshold, innovation = max(3 * step, 6 * scatter), float(np.linalg.norm(np.asarray(row["at"], float) - origin))
-    ids = [s[ident] for s in near if s["rank"] != row["rank"]]
-    trusted = [ids[k] for k in np.flatnonzero(apart <= max(step, 3 * scatter))]
-    return innovation, step, scatter, threshold, innovation > threshold, bool(rival.any()), trusted
+    return wide.select(by, ident, "rank", "t", "at", "near", "scene").mapInArrow(run, schema)
+
+
+class _Windows:
+    """Samples with their surroundings as arrays: a row a sample, a column a rank from `radius` before to `radius` behind; NaN where there is none."""
+
+    def __init__(self, row: np.ndarray, place: np.ndarray, t: np.ndarray, at: np.ndarray, gap: np.ndarray, scene: np.ndarray, radius: int):
+        n, wide = len(scene), 2 * radius + 1
+        order = np.lexsort((place, row))
+        if not np.isfinite(t).all() or (np.diff(t[order])[np.diff(row[order]) == 0] <= 0).any():
+            raise ValueError("samples need finite, rising times")
+        self.t, self.gap, self.at = np.full((n, wide), np.nan), np.full((n, wide), np.nan), np.full((n, wide, at.shape[1]), np.nan)
+        self.t[row, place], self.gap[row, place], self.at[row, place] = t, gap, at
+        self.scene, self.radius = scene, radius
+
+    def diagnosed(self) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """Numbers of the samples with enough around them; their innovation, step, scatter, threshold, suspect, ambiguous; and which columns are trusted."""
+        r = self.radius
+        there = ~np.isnan(self.t)
+        between = np.diff(self.t, axis=1)  # NaN unless both ranks are there
+        speed = np.where(np.isfinite(self.gap[:, :-1]), self.gap[:, :-1] / between, np.nan)
+        enough = (there[:, :r].sum(1) >= 2) & (there[:, r + 1 :].sum(1) >= 2) & (there.sum(1) >= 7) & (np.isfinite(speed).sum(1) >= 4)
+        k = np.flatnonzero(enough)
+        if not len(k):
+            return k, [np.zeros(0)] * 4 + [np.zeros(0, bool)] * 2, np.zeros((0, 2 * r + 1), bool)
+        speed, own = speed[k], self.at[k, r]
+        step = np.maximum(np.nanmedian(speed, axis=1) * np.nanmedian(np.where(np.isnan(speed), np.nan, between[k]), axis=1), self.scene[k] / 4)
+        off, at = self.t[k] - self.t[k, r][:, None], self.at[k]
+        off[:, r], at[:, r] = np.nan, np.nan  # the sample itself has no say
+        before, behind = (x.ravel() for x in np.meshgrid(np.arange(r), np.arange(r + 1, 2 * r + 1), indexing="ij"))
+        rate = (at[:, behind] - at[:, before]) / (off[:, behind] - off[:, before])[:, :, None]
+        start = at[:, before] - off[:, before, None] * rate
+        rows = np.arange(len(k))
+        score = np.full((len(k), len(before)), np.inf)
+        for line in range(len(before)):  # a line at a time: one residual for each sample and neighbour
+            miss = np.linalg.norm(at - start[:, line, None] - off[:, :, None] * rate[:, line, None], axis=2)
+            use = ~np.isnan(start[:, line, 0])
+            score[use, line] = np.nanmedian(miss[use], axis=1)
+        best = np.argmin(score, axis=1)
+        least = score[rows, best]
+        miss = np.linalg.norm(at - start[rows, best][:, None] - off[:, :, None] * rate[rows, best][:, None], axis=2)
+        use = (miss <= np.maximum(3 * least, step / 2)[:, None]).astype(float)
+        x, y = np.nan_to_num(off), np.nan_to_num(at)
+        mean_x, mean_y = (use * x).sum(1) / use.sum(1), (use[:, :, None] * y).sum(1) / use.sum(1)[:, None]
+        dx = use * (x - mean_x[:, None])
+        rise = (dx[:, :, None] * (y - mean_y[:, None])).sum(1) / (dx * dx).sum(1)[:, None]
+        origin = mean_y - mean_x[:, None] * rise
+        rival = (score <= np.maximum(least * 1.1, step / 10)[:, None]) & (np.linalg.norm(start - origin[:, None], axis=2) > 2 * step[:, None])
+        apart = np.linalg.norm(at - origin[:, None] - off[:, :, None] * rise[:, None], axis=2)
+        scatter = np.nanmedian(apart, axis=1)
+        threshold, innovation = np.maximum(3 * step, 6 * scatter), np.linalg.norm(own - origin, axis=1)
+        return k, [innovation, step, scatter, threshold, innovation > threshold, rival.any(1)], apart <= np.maximum(step, 3 * scatter)[:, None]
 
 
 # --- a solver's log ------------------------------------------------------------------------
@@ -222,16 +254,6 @@ def turned_apart(a: Column, b: Column) -> Column:
     return F.abs(F.pmod(a - b + half, F.lit(float(np.pi))) - half)
 
 
-def distinct_planes(planes: list[dict], near: float, most: int = 16) -> list[dict]:
-    """Upright planes (score, angle, offset), the best first, without those within 4 degrees and 3 `near` of a better one; at most `most`."""
-    kept: list[dict] = []
-    for p in sorted(planes, key=lambda p: -p["score"]):
-        twin = any(abs((p["angle"] - k["angle"] + np.pi / 2) % np.pi - np.pi / 2) < np.radians(4) and abs(p["offset"] - k["offset"]) < 3 * near for k in kept)
-        if not twin and len(kept) < most:
-            kept.append(p)
-    return kept
-
-
 def exact_alignment(source: np.ndarray, target: np.ndarray, atol: float = 1e-7) -> tuple[float, np.ndarray, np.ndarray]:
     """Scale, rotation and shift that take source centres (n by 3) to target ones; an error where they are on a line, fewer than three, or do not fall on each other."""
     from fieldloom.operators.geometry import similarity_fit

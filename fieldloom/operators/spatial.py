@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldloom.operators.robust import quantile
+from fieldloom.operators.robust import finite, quantile
 from fieldloom.operators.work import stored
 
 
@@ -143,18 +143,35 @@ def ground_mode(points: DataFrame, height: str, x: str, z: str, bin_: float = 0.
     return ready.withColumn("chosen", F.col("dominant") & (F.col("height") == lowest))
 
 
-def nearest(left: DataFrame, right: DataFrame, xyz: list[str], left_id: str, right_id: str) -> DataFrame:
-    """For each left row the nearest right row, ties by smaller id: left_id, match, distance; without right rows -1 and infinite.
-
-    The radius starts at the mean spacing of the right rows and grows fourfold for what is left, until all have found one: most rows meet few others,
-    and only those far from everything meet many."""
-    box = right.agg(F.count(F.lit(1)).alias("n"), F.greatest(*(F.max(c) - F.min(c) for c in xyz), F.lit(0.0)).alias("extent")).first() if len(xyz) > 1 else right.agg(F.count(F.lit(1)).alias("n"), (F.max(xyz[0]) - F.min(xyz[0])).alias("extent")).first()
-    radius, rest, found = (box["extent"] or 1.0) / max(1.0, (box["n"] or 1) ** (1 / len(xyz))), left.select(left_id, *xyz), None
+def nearest(left: DataFrame, right: DataFrame, xyz: list[str], left_id: str, right_id: str, full: int = 64) -> DataFrame:
+    """For each left row the nearest right row, ties by smaller id: left_id, match, distance; -1 and infinite for left rows with a null or a number that is not finite, or where no right row is finite.
+
+    Right rows at one place are one row of the smallest id. The radius starts where the fullest cell holds at most `full` places (or after 12 quarterings), so that
+    clustered rows do not meet in one cell, and grows fourfold for what is left; it ends at the latest when it covers both boxes."""
+    fine = lambda df: df.where(reduce(lambda a, b: a & b, (finite(F.col(c)) for c in xyz)))
+    places = stored(fine(right.select(right_id, *xyz)).groupBy(*xyz).agg(F.min(right_id).alias(right_id)), "places")
+    rest = fine(left.select(left_id, *xyz))
+    odd = left.select(left_id, *xyz).where(~reduce(lambda a, b: a & b, (finite(F.col(c)) for c in xyz)))
+    found = odd.select(left_id, F.lit(-1).cast("long").alias("match"), F.lit(float("inf")).alias("distance"))
+    box = lambda df: df.agg(F.count(F.lit(1)), *(f(c) for c in xyz for f in (F.min, F.max))).first()
+    b, a = box(places), box(rest)
+    if not b[0] or not a[0]:
+        return found.unionByName(rest.select(left_id, F.lit(-1).cast("long").alias("match"), F.lit(float("inf")).alias("distance")))
+    extent = max(b[2 + 2 * k] - b[1 + 2 * k] for k in range(len(xyz)))
+    reach = max(max(a[2 + 2 * k], b[2 + 2 * k]) - min(a[1 + 2 * k], b[1 + 2 * k]) for k in range(len(xyz))) * len(xyz) ** 0.5
+    radius = (extent or reach or 1.0) / b[0] ** (1 / len(xyz))
+    for _ in range(12):
+        cells = places.groupBy(*(F.floor(F.col(c) / radius) for c in xyz)).agg(F.count(F.lit(1)).alias("n"))
+        if cells.agg(F.max("n")).first()[0] <= full:
+            break
+        radius /= 4
     while True:
-        got = stored(nearest_within(rest, right, xyz, radius, left_id, right_id), "nearest")
-        hit = got.where("match <> -1") if box["n"] else got
-        found = hit if found is None else found.unionByName(hit)
+        got = stored(nearest_within(rest, places, xyz, radius, left_id, right_id), "nearest")
+        hit = got.where("match <> -1")
+        found = found.unionByName(hit)
+        if radius > reach:
+            return found
         rest = stored(rest.join(hit.select(left_id), left_id, "left_anti"), "far")
-        if not box["n"] or rest.isEmpty():
+        if rest.isEmpty():
             return found
-        radius *= 4
+        radius = min(4 * radius, max(reach * 1.01, 2 * radius))

@@ -1,11 +1,11 @@
-"""Registered queries of the camera models and the track assessments, with their SQL. Cameras, places and rays are derived from the tables' keys and numbers."""
+"""Registered queries of the camera models, the track assessments and the scene's ground and walls, with their SQL. Cameras, places and rays are derived from the tables' keys and numbers."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.operators import omni, repair, tracks
+from fieldloom.operators import omni, repair, scene, tracks
 from fieldloom.operators.geometry import pixels
 from fieldloom.plans.audit_queries import rounded
 from fieldloom.plans.queries import query, table
@@ -135,3 +135,51 @@ def poses_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 def primary_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model of the first source alone: placed anew, filtered and assessed."""
     return repair.primary_only(_as_model(spark, sf_dir), "a").changes.select("point3d_id", "status", "reason")
+
+
+# --- the scene -------------------------------------------------------------------------------
+
+
+def _scene(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Lineitems as points, three in seven of them on an uneven floor; suppliers as cameras above it."""
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    floor = 1.6 + (F.col("l_orderkey") % 11) / 100.0
+    y = F.when(F.col("l_linenumber") <= 3, floor).otherwise(F.floor(F.col("l_extendedprice") * 100) % 500 / 100.0 - 1)
+    ident = F.col("l_orderkey") * 1000000 + F.col("l_partkey") * 10 + F.col("l_linenumber")
+    points = l.groupBy(ident.alias("id")).agg(F.min(F.struct((F.col("l_partkey") % 200 / 10.0).alias("x"), y.alias("y"), (F.col("l_orderkey") % 300 / 10.0).alias("z"))).alias("p")).select("id", "p.*")
+    s = F.col("s_suppkey")
+    cameras = table(spark, sf_dir, "supplier").select(s.alias("id"), (s % 10 * 2.0).alias("x"), (s % 7 / 100.0).alias("y"), (F.floor(s / 10) % 15 * 2.0).alias("z"))
+    return points, cameras
+
+
+@query("""WITH p0 AS (SELECT l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS id, min({'x': l_partkey % 200 / 10.0::DOUBLE, 'y': CASE WHEN l_linenumber <= 3 THEN 1.6::DOUBLE + l_orderkey % 11 / 100.0::DOUBLE ELSE floor(l_extendedprice * 100)::BIGINT % 500 / 100.0::DOUBLE - 1 END, 'z': l_orderkey % 300 / 10.0::DOUBLE}) AS s FROM lineitem GROUP BY 1),
+    p1 AS (SELECT id, s.x AS x, s.y AS y, s.z AS z, row_number() OVER (ORDER BY id) - 1 AS place, count(*) OVER () AS total FROM p0), p AS MATERIALIZED (SELECT * FROM p1 WHERE total <= 100000 OR place IN (SELECT floor(i * ((t - 1) / 99999.0::DOUBLE))::BIGINT FROM range(100000) r(i), (SELECT max(total) AS t FROM p1))),
+    c AS (SELECT s_suppkey AS cid, s_suppkey % 10 * 2.0::DOUBLE AS cx, s_suppkey % 7 / 100.0::DOUBLE AS cy, s_suppkey // 10 % 15 * 2.0::DOUBLE AS cz FROM supplier), k AS (SELECT count(*) AS cameras, sqrt((quantile_cont(cx, 0.95) - quantile_cont(cx, 0.05))**2 + (quantile_cont(cz, 0.95) - quantile_cont(cz, 0.05))**2) AS wide FROM c),
+    d AS (SELECT id, x, y, z, cid, cy, sqrt((x - cx)*(x - cx) + (z - cz)*(z - cz)) AS d FROM p JOIN c ON abs(x - cx) <= 4 AND abs(z - cz) <= 4), m AS (SELECT id, x, y, z, arg_min(cid, (d, cid)) AS cid, arg_min(cy, (d, cid)) AS cy, min(d) AS d FROM d WHERE d <= 4 GROUP BY ALL),
+    near AS MATERIALIZED (SELECT *, y - cy AS h FROM m WHERE y - cy BETWEEN 0.5 AND 4), need AS (SELECT count(*) AS n, greatest(1000, round_even(count(*) * 0.005, 0)::BIGINT) AS required FROM p),
+    b AS (SELECT floor((h - 10 * 0.05::DOUBLE) / 0.05::DOUBLE)::BIGINT AS bin, count(*) AS n FROM near GROUP BY 1 ORDER BY n DESC, bin DESC LIMIT 20), banded AS MATERIALIZED (SELECT bin, near.* FROM near JOIN b ON abs(h - (10 + bin + 0.5::DOUBLE) * 0.05::DOUBLE) <= 0.15::DOUBLE),
+    w AS (SELECT bin, count(*) AS support, sqrt((quantile_cont(x, 0.95) - quantile_cont(x, 0.05))**2 + (quantile_cont(z, 0.95) - quantile_cont(z, 0.05))**2) AS span, quantile_cont(d, 0.5) AS far FROM banded GROUP BY 1),
+    e AS (SELECT bin, cid, quantile_cont(y, 0.5) AS g, quantile_cont(h, 0.5) AS h FROM banded GROUP BY 1, 2 HAVING count(*) >= 3),
+    a AS (SELECT bin, quantile_cont(g, 0.5) AS ground, quantile_cont(h, 0.5) AS height, count(*) AS seen, quantile_cont(g, 0.1) AS p10, quantile_cont(g, 0.9) AS p90 FROM e GROUP BY 1),
+    f AS (SELECT *, support * least(span / wide, 1) * least(seen / cameras * 2, 1) AS score FROM w JOIN a USING (bin), k, need WHERE support >= required AND span / wide >= 0.25), g AS (SELECT *, score >= 0.9 * max(score) OVER () AS dominant FROM f)
+    SELECT abs(ground) > 1e-9 AS applied, NULL::VARCHAR AS reason, (SELECT count(*) FROM near) AS candidate_points, required AS required_points, cameras AS reference_images, (SELECT count(*) FROM g) AS hypotheses, (SELECT count(*) FROM g WHERE dominant) AS dominant_hypotheses,
+        round(ground, 6) AS ground_y, round(height, 6) AS camera_height_median_m, support AS support_points, round(support / n, 6) AS support_ratio, round(span / wide, 6) AS horizontal_span_ratio, seen AS trajectory_samples, round(seen / cameras, 6) AS trajectory_coverage_ratio, round(far, 6) AS path_distance_median_m,
+        round(p10, 6) AS ground_height_p10_m, round(p90, 6) AS ground_height_p90_m, round(score, 6) AS score FROM g WHERE dominant ORDER BY height, score DESC LIMIT 1""")
+def ground_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ground under the cameras."""
+    return rounded(scene.ground_position(*_scene(spark, sf_dir)))
+
+
+@query()
+def scene_walls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which way walls run that stand turned by two degrees: two in three lineitems lie on one of two walls, the others anywhere."""
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    ident = F.col("l_orderkey") * 1000000 + F.col("l_partkey") * 10 + F.col("l_linenumber")
+    a, b = F.col("l_partkey") % 997 / 100.0, F.col("l_orderkey") % 991 / 100.0
+    rough = ((F.col("l_orderkey") * 31 + F.col("l_partkey") * 17) % 101 - 50) / 1000.0
+    u = F.when(F.col("l_linenumber") % 3 == 0, rough).otherwise(a)
+    v = F.when(F.col("l_linenumber") % 3 == 1, rough).otherwise(b)
+    turn = 0.0349
+    points = l.groupBy(ident.alias("id")).agg(F.min(F.struct((u * F.cos(F.lit(turn)) - v * F.sin(F.lit(turn))).alias("x"), (F.floor(F.col("l_extendedprice") * 100) % 300 / 100.0).alias("y"), (u * F.sin(F.lit(turn)) + v * F.cos(F.lit(turn))).alias("z"))).alias("p")).select("id", "p.*")
+    found = scene.scene_yaw(points, None, 0.0)
+    return spark.createDataFrame([(found["applied"], found["reason"], found["analysis_points"], round(found.get("yaw_deg", 0.0), 6), round(found.get("confidence", 0.0), 6))], "applied boolean, reason string, analysis_points long, yaw_deg double, confidence double")

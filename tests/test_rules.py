@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from fieldloom.functions import expr
-from fieldloom.operators import geometry, graph, motion, reports, rigs, robust, select, spatial
+from fieldloom.operators import geometry, graph, motion, reports, rigs, robust, scene, select, spatial
 from fieldloom.plans.stages import Plan, Run, Stage
 
 
@@ -105,8 +105,8 @@ def test_timed_gravity_finds_offset_and_mounting(spark):
 
 
 def test_planes_and_exact_alignment():
-    planes = [{"score": s, "angle": a, "offset": o} for s, a, o in ((5, 0.0, 1.0), (9, 0.01, 1.1), (4, 1.5, 1.0), (3, 3.14, 1.05))]
-    assert [p["score"] for p in motion.distinct_planes(planes, 0.1)] == [9, 4]
+    planes = np.array([(5, 0.0, 1.0), (9, 0.01, 1.1), (4, 1.5, 1.0), (3, 3.14, 1.05)])
+    assert planes[scene.distinct_planes(*planes.T, 0.1), 0].tolist() == [9, 4]
     a = np.random.default_rng(1).standard_normal((5, 3))
     scale, r, t = motion.exact_alignment(a, 2 * a + 1)
     assert abs(scale - 2) < 1e-9 and np.allclose(r, np.eye(3)) and np.allclose(t, 1)
