@@ -67,6 +67,13 @@ def own_table(spark: SparkSession, name: str) -> str:
     return name
 
 
+def bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
+    """df as a table of its own in buckets by a column, sorted by it: joins by the column with tables of as many buckets move neither."""
+    name = own_table(df.sparkSession, f"fieldloom_{uuid.uuid4().hex}")
+    df.repartition(buckets, column).write.format("parquet").bucketBy(buckets, column).sortBy(column).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def cleared(spark: SparkSession) -> None:
     """Removes all work folders and own tables of the session; call it once results have been written. What is gone already is no fault, nor is a session that has ended."""
     sc = spark.sparkContext

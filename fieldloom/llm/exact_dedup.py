@@ -2,12 +2,13 @@
 
 The index is a table of one row per known text, bucketed and sorted by the text's SHA-256. New
 documents are reduced to one row per digest (partial aggregation comes before the shuffle, so a
-huge group of copies costs no more than any other), a sort-merge anti-join with the index leaves
-the texts that are new, and these are appended. The index side of the join is not shuffled.
+huge group of copies costs no more than any other) and written in the same buckets as the index. A sort-merge anti-join with the index leaves the texts that are new, which
+are appended, and an inner join gives the others' documents; neither moves the index.
 
 Only DataFrame operations run. Null texts count as empty, and all empty texts are equal.
 Rows that repeat the same doc_id and text are copies of each other: one of them stays. Rows
-without doc_id stay only if no row of the same text has one. An empty table adds nothing.
+without doc_id stay only if no row of the same text has one. An empty table adds nothing. A text of
+any length counts whole; only its digest moves.
 Columns other than doc_id and text are ignored.
 """
 
@@ -15,9 +16,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from fieldloom.llm.common import SPACES, hot_join, require, stored, text_or_empty
+from fieldloom.llm.common import SPACES, bucketed, hot_join, require, stored, text_or_empty
 
 
 def text_digest(column: str = "text"):
@@ -45,14 +45,30 @@ class DigestIndex:
 
         keep_id: the document that stays, from this or an earlier call; null where that had no doc_id, and then no later row stays. group_size: rows of this text in this call."""
         require(docs, ("doc_id", "text"), "exact dedup")
-        rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("text_sha256")), "digests")
+        rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("text_sha256"), F.monotonically_increasing_id().alias("row")), "digests")
         groups = rows.groupBy("text_sha256").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("group_size"))
-        known = self.known().withColumn("known", F.lit(True)).hint("merge")
-        seen = stored(groups.join(known, "text_sha256", "left").select("text_sha256", "group_size", F.when(F.col("known"), F.col("keep_id")).otherwise(F.col("first_id")).alias("keep_id"), F.coalesce("known", F.lit(False)).alias("known")), "groups")
-        self.append(seen.where("NOT known"))
-        again = F.row_number().over(Window.partitionBy("text_sha256", "doc_id").orderBy("doc_id"))
-        numbered = stored(rows.withColumn("copy", again), "copies")
-        return hot_join(numbered, seen, ["text_sha256"], ["doc_id", "copy"]).select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1) & ~(F.col("known") & F.col("doc_id").isNull())).alias("kept"), "text_sha256")
+        groups = bucketed(groups, "text_sha256", self.buckets)
+        new = stored(self.unseen(groups).select("text_sha256", "group_size", F.col("first_id").alias("keep_id"), F.lit(False).alias("known")), "new")
+        old = stored(self.seen(groups).select("text_sha256", "group_size", "keep_id", F.lit(True).alias("known")), "old")
+        self.append(new)
+        # Rows that repeat a doc_id and its text: the first of them. Counted before they meet, so a text with very many such rows is no task of its own.
+        again = stored(rows.groupBy("text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first_row")).where("n > 1").select("text_sha256", F.col("doc_id").alias("__doc"), "first_row"), "repeated")
+        judged = hot_join(rows, new.unionByName(old), ["text_sha256"], ["row"])
+        if not again.isEmpty():
+            judged = judged.join(again.withColumnRenamed("text_sha256", "__sha"), (F.col("text_sha256") == F.col("__sha")) & F.col("doc_id").eqNullSafe(F.col("__doc")), "left")
+        else:
+            judged = judged.withColumn("first_row", F.lit(None).cast("long"))
+        first = F.coalesce(F.col("row") == F.col("first_row"), F.lit(True))
+        kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & first & ~(F.col("known") & F.col("doc_id").isNull())
+        return judged.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+
+    def unseen(self, groups: DataFrame) -> DataFrame:
+        """groups (bucketed as the index is) that the index does not hold: a sort-merge anti-join that leaves the index where it is."""
+        return groups.join(self.known().select("text_sha256").hint("merge"), "text_sha256", "left_anti")
+
+    def seen(self, groups: DataFrame) -> DataFrame:
+        """groups that the index holds, with its keep_id; the index is not moved."""
+        return groups.join(self.known().hint("merge"), "text_sha256")
 
 
 def kept_rows(docs: DataFrame, index: DigestIndex) -> DataFrame:
@@ -63,5 +79,5 @@ def kept_rows(docs: DataFrame, index: DigestIndex) -> DataFrame:
     joined = marked.join(stay, F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__sha")), "left_semi")
     # Only rows that repeat both doc_id and text have more than one row left.
     if not decided.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").isEmpty():
-        joined = joined.withColumn("__copy", F.row_number().over(Window.partitionBy("__key", "__digest").orderBy("__key"))).where("__copy = 1")
+        joined = joined.dropDuplicates(["__key", "__digest"])  # one row of each before they meet
     return joined.select(*docs.columns)

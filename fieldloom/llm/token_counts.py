@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import Membership, hot_join, require, small, stored, text_or_empty
+from fieldloom.llm.common import Membership, bucketed, hot_join, require, small, stored, text_or_empty
 
 REMEMBERED = 300_000
 #: ASCII, Latin, Greek and Cyrillic letters and signs without the odd spaces and controls.
@@ -100,10 +100,10 @@ class CountCache:
         self.spark, self.name, self.buckets = spark, name, buckets
 
     def of(self, tokenizer: str) -> DataFrame:
-        """content, n_tokens of one tokenizer version. Joins by content do not move these rows."""
+        """content, n_tokens of one tokenizer version. Joins by content with tables of the same buckets do not move these rows."""
         if not self.spark.catalog.tableExists(self.name):
             return self.spark.range(0).select(F.col("id").cast("string").alias("content"), F.col("id").alias("n_tokens"))
-        return self.spark.table(self.name).where(F.col("tokenizer") == tokenizer).select("content", "n_tokens").hint("merge")
+        return self.spark.table(self.name).where(F.col("tokenizer") == tokenizer).select("content", "n_tokens")
 
     def append(self, rows: DataFrame, tokenizer: str) -> None:
         made = rows.select("content", F.lit(tokenizer).alias("tokenizer"), "n_tokens").repartition(self.buckets, "content")
@@ -116,12 +116,21 @@ class CountCache:
         texts = docs.select("doc_id", text_or_empty().alias("text")).withColumn("content", F.sha2("text", 256))
         rows = stored(texts.select("doc_id", "content", F.octet_length("text").cast("long").alias("n_bytes")), "contents")
         first = rows.groupBy("content").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("key"))
-        misses = stored(first.join(self.of(tokenizer), "content", "left_anti").withColumn("mark", F.xxhash64("content", "key")), "misses")
+        asked = bucketed(first, "content", self.buckets)
+        misses = stored(self.missing(asked, tokenizer).withColumn("mark", F.xxhash64("content", "key")), "misses")
         if not misses.isEmpty():
             self._encode(texts, misses, path, pattern, tokenizer)
-        counts = self.of(tokenizer)
+        counts = stored(self.found(asked, tokenizer), "counts")
         return hot_join(rows, counts, ["content"], ["doc_id", "n_bytes"]).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
+    def missing(self, asked: DataFrame, tokenizer: str) -> DataFrame:
+        """asked (content and more, bucketed as the cache is) without what the cache holds. The cache is not moved."""
+        return asked.join(self.of(tokenizer).select("content").hint("merge"), "content", "left_anti")
+
+    def found(self, asked: DataFrame, tokenizer: str) -> DataFrame:
+        """content, n_tokens of what is asked and the cache holds. The cache is not moved."""
+        return asked.select("content").join(self.of(tokenizer).hint("merge"), "content")
+
     def _encode(self, texts: DataFrame, misses: DataFrame, path: str, pattern: str | None, tokenizer: str) -> None:
         """Encodes one text of each missing content and appends the counts. A filter of the misses, sized by their number, keeps all other texts where they are."""
         missing = Membership(misses, "mark")
