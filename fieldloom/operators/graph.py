@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldloom.functions.expr import dot, pair_high, pair_low
+from fieldloom.operators.robust import distribution
 
 
 def with_endpoints(pairs: DataFrame, images: DataFrame, columns: list[str], pair: str = "pair_id", ident: str = "image_id") -> DataFrame:
@@ -174,6 +175,19 @@ def heldout_report(proposed: DataFrame, eligible: DataFrame, query: str, point:
     return both.withColumns({"unsupported_or_ambiguous": F.col("eligible") - F.col("predicted"), "coverage": share(F.col("predicted")), **{f"ratio_within_{w}": share(F.col(f"within_{w}")) for w in within}})
 
 
+def heldout_errors(proposed: DataFrame, eligible: DataFrame, query: str, image: str, point: str, capture: str, error: str, least: int = 2) -> DataFrame:
+    """image, query, error of the queries with one supported proposal; error is infinite where it has no value. See heldout_report."""
+    bad = F.col(error).isNull() | F.isnan(error)
+    supported = proposed.join(eligible.select(query).distinct(), query, "left_semi").groupBy(image, query, point).agg(F.count_distinct(capture).alias("support"), F.min(F.when(bad, float("inf")).otherwise(F.col(error))).alias(error)).where(F.col("support") >= least)
+    return supported.groupBy(image, query).agg(F.count(F.lit(1)).alias("n"), F.min(error).alias(error)).where("n = 1").drop("n")
+
+
+def heldout_images(errors: DataFrame, image: str, error: str, bound: float = 2.0) -> DataFrame:
+    """Per image the predictions, those within the bound, those that are not finite, and p50, p90, p95, p99 and the largest of the finite ones."""
+    within = errors.groupBy(image).agg(F.count_if(F.col(error) <= bound).alias("within"))
+    return distribution(errors, [image], error).withColumnRenamed("n", "predictions").join(within, image)
+
+
 def capture_centres(images: DataFrame, capture: list[str], centre: list[str]) -> DataFrame:
     """The mean of the sensors' centres of each capture."""
     return images.groupBy(*capture).agg(*(F.avg(c).alias(c) for c in centre), F.count(F.lit(1)).alias("sensors"))

@@ -6,6 +6,9 @@ source or trajectory are its use. Results of empty groups are null.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,6 +22,50 @@ def quantile(x: Column | str, f: float) -> Column:
     return F.percentile(x, F.lit(f))
 
 
+def few_quantiles(df: DataFrame, by: list[str], value: str, fractions: tuple[float, ...], parts: int = 1 << 16) -> DataFrame:
+    """Per group n and q, the exact interpolated percentiles of the finite values, as `percentile` gives them; for few groups (their ranges go to the driver) of any size.
+
+    Each wanted rank is enclosed in ever narrower ranges by counting: a range's rows fall into slots, counts merged before the shuffle, and the slot with the rank is the next range,
+    cut to the least and largest value in it, until these are one. No task holds a group's values. df is read once for each round (some six for doubles), so store it first."""
+    rows = df.where(finite(F.col(value))).select(*(F.col(c).alias(f"b{k}") for k, c in enumerate(by)), F.col(value).cast("double").alias("v"))
+    if not by:
+        rows = rows.withColumn("b0", F.lit(0))
+    keys = [c for c in rows.columns if c != "v"]
+    stats = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
+    open_, done = [], {}  # of each group and rank: how many are before it within low and high
+    for g, r in enumerate(stats):
+        for rank in sorted({f(round((r["n"] - 1) * q, 9)) for q in fractions for f in (math.floor, math.ceil)}):
+            open_.append((g, rank, rank, r["low"], r["high"]))
+    spark, kinds = df.sparkSession, dict(rows.dtypes)
+    while True:
+        done |= {(g, rank): low for g, rank, _, low, high in open_ if low == high}
+        open_ = [x for x in open_ if x[3] < x[4]]
+        if not open_:
+            break
+        slots = max(2, parts // len(open_))
+        asked = [(*(stats[g][k] for k in keys), i, low, high, max(high / slots - low / slots, math.ulp(max(abs(low), abs(high))))) for i, (g, _, _, low, high) in enumerate(open_)]
+        ranges = spark.createDataFrame(asked, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "i int, low double, high double, width double"]))
+        same = reduce(lambda a, b: a & b, (rows[k].eqNullSafe(ranges[k]) for k in keys), F.col("v").between(F.col("low"), F.col("high")))
+        slot = F.least(F.floor(F.col("v") / F.col("width") - F.col("low") / F.col("width")), F.lit(slots - 1))
+        met = rows.join(F.broadcast(ranges), same)  # a row for each open rank: groups are few
+        counted = met.groupBy("i", slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
+        left, narrowed = [x[2] for x in open_], {}
+        for r in sorted(counted, key=lambda r: (r["i"], r["slot"])):
+            if r["i"] in narrowed:
+                continue
+            if left[r["i"]] < r["n"]:
+                narrowed[r["i"]] = (*open_[r["i"]][:2], left[r["i"]], r["low"], r["high"])
+            else:
+                left[r["i"]] -= r["n"]
+        open_ = [narrowed[i] for i in range(len(open_))]
+    out = []
+    for g, r in enumerate(stats):
+        at = [round((r["n"] - 1) * q, 9) for q in fractions]
+        ends = [(done[g, math.floor(a)], done[g, math.ceil(a)], a - math.floor(a)) for a in at]
+        out.append((*(r[k] for k in keys[: len(by)]), r["n"], [low if low == high else low * (1 - t) + high * t for low, high, t in ends]))
+    return spark.createDataFrame(out, ", ".join([*(f"`{c}` {kinds[k]}" for c, k in zip(by, keys[: len(by)], strict=True)), "n long", "q array<double>"]))
+
+
 def with_mad(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Per group n, median, mad (median absolute deviation), p95."""
     middle = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(value).alias("n"), quantile(value, 0.5).alias("median"), quantile(value, 0.95).alias("p95"))
@@ -34,6 +81,19 @@ def distribution(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return out.select(*by, "n", "n_not_finite", *(F.col("q")[k].alias(name) for k, name in enumerate(("p50", "p90", "p95", "p99"))), "largest")
 
 
+def few_distributions(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """As `distribution`, for few groups of any size, or one (by=[])."""
+    x = F.when(finite(F.col(value)), F.col(value))
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) - F.count(x)).alias("n_not_finite"), F.max(x).alias("largest"))
+    q = few_quantiles(df, by, value, (0.5, 0.9, 0.95, 0.99)).select(*(F.col(c).alias(f"__{c}") for c in by), "q")
+    if by:
+        both = counts.join(F.broadcast(q), reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by)), "left")  # a row a group
+    else:
+        found = [r["q"] for r in q.collect()]  # one row, or none
+        both = counts.withColumn("q", F.array(*map(F.lit, found[0])) if found else F.lit(None).cast("array<double>"))
+    return both.select(*by, "n", "n_not_finite", *(F.col("q")[k].alias(name) for k, name in enumerate(("p50", "p90", "p95", "p99"))), "largest")
+
+
 def stereo_observability(observations: DataFrame, by: list[str], point: str, capture: str, sensor: str) -> DataFrame:
     """Per group the points that two sensors of one capture see, and the captures with such points: stereo_points, stereo_captures."""
     seen = observations.groupBy(*by, point, capture).agg(F.count_distinct(sensor).alias("__sensors")).where("__sensors >= 2")

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from fieldloom.functions import expr
 from fieldloom.operators import graph, reports, robust, select, spatial, temporal
+from fieldloom.operators.work import stored
 from fieldloom.plans import stages
 from fieldloom.streaming import events as streams
 
@@ -372,11 +373,49 @@ def mutual_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH q AS (SELECT l_orderkey, count(DISTINCT l_suppkey) AS c, min(l_discount * 100) AS best FROM lineitem GROUP BY 1)
     SELECT count(*) AS queries, count(*) FILTER (c >= 2) AS eligible, count(*) FILTER (c >= 2 AND best <= 1) AS within_1, count(*) FILTER (c >= 2 AND best <= 2) AS within_2, count(*) FILTER (c >= 2 AND best <= 4) AS within_4, count(*) FILTER (c >= 2 AND best <= 8) AS within_8 FROM q""")
 def heldout_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A part of A28, as its SQL: queries by their least error. graph.heldout_report has the rest."""
+    """Queries by their least error, as its SQL; A28 itself is heldout_report, heldout_quantiles and heldout_images."""
     l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", (F.col("l_discount") * 100).alias("e"))  # noqa: E741
     return graph.heldout_audit(l, "l_orderkey", "l_suppkey", "e")
 
 
+_HELD = """l AS (SELECT l_orderkey AS query, l_orderkey % 40 AS image, l_partkey % 3 AS point, l_suppkey % 4 AS capture FROM lineitem), g AS (SELECT o_orderkey AS query FROM orders WHERE o_custkey % 4 <> 0),
+    s AS (SELECT image, query, point, CASE WHEN (query + point) % 50 = 0 THEN 'inf'::DOUBLE ELSE (query * 7 + point * 13) % 500 / 40.0::DOUBLE END AS e, 1 + (query + point * 5) % 20 / 10.0::DOUBLE AS d FROM l WHERE query IN (SELECT query FROM g) GROUP BY ALL HAVING count(DISTINCT capture) >= 2),
+    q AS (SELECT image, query, count(*) AS n, min(e) AS e, count(*) FILTER (e <= 2) AS fine, max(d) FILTER (e <= 2) / min(d) FILTER (e <= 2) AS ratio FROM s GROUP BY ALL), o AS (SELECT * FROM q WHERE n = 1), f AS (SELECT e FROM o WHERE e < 'inf'::DOUBLE)"""
+
+
+def _held(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Lineitems as links of held-out keypoints (orders, in images) to points that captures see; a point's error and distance come from the keys, some without a value."""
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("query"), (F.col("l_orderkey") % 40).alias("image"), (F.col("l_partkey") % 3).alias("point"), (F.col("l_suppkey") % 4).alias("capture"))  # noqa: E741
+    q, p = F.col("query"), F.col("point")
+    made = l.withColumns({"e": F.when((q + p) % 50 != 0, (q * 7 + p * 13) % 500 / 40.0), "d": 1 + (q + p * 5) % 20 / 10.0})
+    return made, table(spark, sf_dir, "orders").where("o_custkey % 4 <> 0").select(F.col("o_orderkey").alias("query"))
+
+
+@query(f"""WITH {_HELD}, t AS (SELECT count(DISTINCT query) AS eligible FROM g), c AS (SELECT ratio FROM q WHERE fine >= 2), w AS (SELECT count(*) AS predicted, count(*) FILTER (e <= 1) AS within_1, count(*) FILTER (e <= 2) AS within_2, count(*) FILTER (e <= 4) AS within_4, count(*) FILTER (e <= 8) AS within_8 FROM o)
+    SELECT eligible, predicted, (SELECT count(*) FROM q WHERE n > 1) AS ambiguous, eligible - predicted AS unsupported_or_ambiguous, round(predicted / eligible, 6) AS coverage, (SELECT count(*) FROM o WHERE e = 'inf'::DOUBLE) AS invalid, within_1, within_2, within_4, within_8,
+    round(within_1 / eligible, 6) AS ratio_within_1, round(within_2 / eligible, 6) AS ratio_within_2, round(within_4 / eligible, 6) AS ratio_within_4, round(within_8 / eligible, 6) AS ratio_within_8, (SELECT count(*) FROM c) AS contested, (SELECT count(*) FROM c WHERE ratio > 1.1) AS over_10pct, (SELECT count(*) FROM c WHERE ratio > 1.25) AS over_25pct,
+    round((SELECT quantile_cont(ratio, 0.5) FROM c), 6) AS ratio_p50, round((SELECT max(ratio) FROM c), 6) AS ratio_max FROM t, w""")
+def heldout_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sole, ambiguous and contested proposals of held-out keypoints, and shares of all eligible ones."""
+    r = graph.heldout_report(*_held(spark, sf_dir), "query", "point", "capture", "e", "d")
+    return r.select(*(F.round(c, 6).alias(c) if t == "double" else c for c, t in r.dtypes))
+
+
+@query(f"""WITH {_HELD} SELECT (SELECT count(*) FROM o) AS n, (SELECT count(*) FROM o WHERE e = 'inf'::DOUBLE) AS n_not_finite, round(quantile_cont(e, 0.5), 6) AS p50, round(quantile_cont(e, 0.9), 6) AS p90, round(quantile_cont(e, 0.95), 6) AS p95, round(quantile_cont(e, 0.99), 6) AS p99, round(max(e), 6) AS largest FROM f""")
+def heldout_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The errors of all sole predictions, their quantiles exact by counting."""
+    d = robust.few_distributions(stored(graph.heldout_errors(*_held(spark, sf_dir), "query", "image", "point", "capture", "e"), "heldout"), [], "e")
+    return d.select("n", "n_not_finite", *(F.round(c, 6).alias(c) for c in ("p50", "p90", "p95", "p99", "largest")))
+
+
+@query(f"""WITH {_HELD}, i AS (SELECT image, count(*) AS predictions, count(*) FILTER (e = 'inf'::DOUBLE) AS n_not_finite, count(*) FILTER (e <= 2) AS within FROM o GROUP BY 1), v AS (SELECT image, quantile_cont(e, 0.5) AS p50, quantile_cont(e, 0.9) AS p90, quantile_cont(e, 0.95) AS p95, quantile_cont(e, 0.99) AS p99, max(e) AS largest FROM o WHERE e < 'inf'::DOUBLE GROUP BY 1)
+    SELECT image, predictions, n_not_finite, within, round(p50, 6) AS p50, round(p90, 6) AS p90, round(p95, 6) AS p95, round(p99, 6) AS p99, round(largest, 6) AS largest FROM i LEFT JOIN v USING (image)""")
+def heldout_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by image."""
+    i = graph.heldout_images(graph.heldout_errors(*_held(spark, sf_dir), "query", "image", "point", "capture", "e"), "image", "e")
+    return i.select("image", "predictions", "n_not_finite", "within", *(F.round(c, 6).alias(c) for c in ("p50", "p90", "p95", "p99", "largest")))
+
+
 @query("""WITH e AS (SELECT DISTINCT o_custkey AS a, o_custkey + 1 + o_orderkey % 5 AS b FROM orders), t AS (SELECT c, count(*) AS n FROM (SELECT a AS c FROM e UNION ALL SELECT b FROM e) GROUP BY 1),
     x AS (SELECT a, b, ta.n AS na, tb.n AS nb FROM e JOIN t ta ON a = ta.c JOIN t tb ON b = tb.c)
     SELECT DISTINCT CASE WHEN na >= 2 AND nb < na THEN a WHEN nb >= 2 AND na < nb THEN b WHEN na >= 2 AND nb >= 2 THEN CASE WHEN na > nb THEN a ELSE b END ELSE b END AS capture FROM x""")
