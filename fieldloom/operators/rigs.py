@@ -224,3 +224,92 @@ def within_view(rays: DataFrame, model: str, ray: str, most: float = 85.0) -> Da
     finite = reduce(lambda a, b: a & b, (~F.isnan(r[k]) & (F.abs(r[k]) < float("inf")) for k in range(3)))
     near = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r[2])))) <= most
     return rays.where(~F.col(model).isin("OPENCV_FISHEYE", "THIN_PRISM_FISHEYE") | F.coalesce(finite & near, F.lit(False)))
+
+
+# --- camera systems of two lenses --------------------------------------------------------------
+
+
+def _times(a: list[list[Column]], b: list[list[Column]]) -> list[list[Column]]:
+    return [[reduce(lambda x, y: x + y, (a[i][k] * b[k][j] for k in range(3))) for j in range(3)] for i in range(3)]
+
+
+def lens_rotation(yaw: Column, pitch: Column, roll: Column, first: bool) -> list[list[Column]]:
+    """Of a calibrated lens (degrees): about x by roll, z by yaw, then y by a right angle and pitch. The first lens's axes are turned about z by half a turn before."""
+    (ca, sa), (cy, sy), (cr, sr) = ((F.cos(x), F.sin(x)) for x in (F.lit(float(np.pi) / 2) + F.radians(pitch), F.radians(yaw), F.radians(roll)))
+    zero, one = F.lit(0.0), F.lit(1.0)
+    r = _times(_times([[ca, zero, sa], [zero, one, zero], [-sa, zero, ca]], [[cy, -sy, zero], [sy, cy, zero], [zero, zero, one]]), [[one, zero, zero], [zero, cr, -sr], [zero, sr, cr]])
+    return [[-row[0], -row[1], row[2]] for row in r] if first else r
+
+
+def camera_systems(lenses: DataFrame, by: list[str], crops: DataFrame | None = None) -> DataFrame:
+    """A row for each lens of each calibrated pair: by, lens, width, height, xi, fx, fy, cx, cy, distortion_model, distortion, rotation (nine numbers) and translation from the first lens.
+
+    lenses: by, lens (0 and 1), LENS terms, ref_width, ref_height, distortion, distortion_model, as `calibrations` gives them. The reference canvas holds both lenses side by side and is split;
+    crops (by, source_width, source_height, cropped_width, cropped_height) cut the middle out of each half. A record without just these two lenses, with a canvas that cannot be halved or
+    that the lenses do not share, or with a crop of another size than the half, is an error."""
+    row = F.struct(*LENS, "ref_width", "ref_height", "distortion", "distortion_model")
+    pair = lenses.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), *(F.max(F.when(F.col("lens") == k, row)).alias(f"__{k}") for k in (0, 1)))
+    of = lambda k, c: F.col(f"__{k}.{c}")
+    same = (F.col("__n") == 2) & F.col("__0").isNotNull() & F.col("__1").isNotNull() & (of(0, "ref_width") == of(1, "ref_width")) & (of(0, "ref_height") == of(1, "ref_height"))
+    even = (of(0, "ref_width") > 0) & (of(0, "ref_height") > 0) & (of(0, "ref_width") % 2 == 0)
+    half, high = F.floor(of(0, "ref_width") / 2).cast("int"), of(0, "ref_height").cast("int")
+    fault = F.when(~F.coalesce(same, F.lit(False)), "a camera system needs two lenses of one reference size").when(~F.coalesce(even, F.lit(False)), "the reference canvas cannot be halved")
+    if crops is not None:
+        pair = pair.join(crops, by, "left")
+        cut = F.col("source_width").isNotNull()
+        fault = fault.when(cut & ((F.col("source_width") != half) | (F.col("source_height") != high)), "the crop was made from another size than the calibration's")
+        wide, tall = F.coalesce("cropped_width", half), F.coalesce("cropped_height", high)
+    else:
+        wide, tall = half, high
+    left, top = (half - wide) / 2, (high - tall) / 2
+    # Step by step, so that each number is computed once and the generated code stays small.
+    turned = pair.where(F.when(fault.isNotNull(), F.raise_error(fault).cast("boolean")).otherwise(F.lit(True)))
+    turned = turned.withColumns({f"__r{k}": F.array(*(c for r in lens_rotation(of(k, "yaw"), of(k, "pitch"), of(k, "roll"), k == 0) for c in r)) for k in (0, 1)})
+    at = lambda name: [[F.get(name, F.lit(3 * i + j)) for j in range(3)] for i in range(3)]
+    first = at("__r0")
+    turned = turned.withColumn("__turn", F.array(*(c for r in _times(at("__r1"), [[first[j][i] for j in range(3)] for i in range(3)]) for c in r)))
+    place = [[of(k, c) for c in ("tx", "ty", "tz")] for k in (0, 1)]
+    shift = [place[1][i] - expr.dot(at("__turn")[i], place[0]) for i in range(3)]
+    still = F.array(*(F.lit(float(i % 4 == 0)) for i in range(9)))
+    sensor = lambda k: F.struct(
+        F.lit(k).alias("lens"), wide.cast("int").alias("width"), tall.cast("int").alias("height"), *(of(k, c).alias(c) for c in ("xi", "fx", "fy")), (of(k, "cx") - k * half - left).alias("cx"), (of(k, "cy") - top).alias("cy"),
+        of(k, "distortion_model").alias("distortion_model"), of(k, "distortion").alias("distortion"),
+        (F.col("__turn") if k else still).alias("rotation"), (F.array(*shift) if k else F.array(*[F.lit(0.0)] * 3)).alias("translation"),
+    )
+    return turned.select(*by, F.inline(F.array(sensor(0), sensor(1))))
+
+
+# --- masks that several images share -------------------------------------------------------------
+
+
+def mask_keys(images: DataFrame, records: DataFrame, name: str = "name") -> DataFrame:
+    """name, key and what a mask is made of: width, height, region (kind: full or circle; cx, cy, radius in pixels) and crop (left, top, width, height; null: none). Every image must have a record.
+
+    key: the SHA-256 of these; images of equal keys have equal masks."""
+    met = images.select(name).distinct().join(records.select(name, "width", "height", "region", "crop"), name, "left")
+    known = met.withColumn(name, F.when(F.col("width").isNull(), F.raise_error(F.concat(F.lit("no record of the image "), F.col(name))).cast("string")).otherwise(F.col(name)))
+    return known.withColumn("key", F.sha2(F.to_json(F.struct("width", "height", "region", "crop")), 256))
+
+
+def mask_rows(keyed: DataFrame) -> DataFrame:
+    """key, y, left, right (exclusive): the valid stretch of each row of each distinct mask, within its crop and counted from its corner. Made once a key; empty rows are left out."""
+    once = keyed.groupBy("key").agg(*(F.first(c).alias(c) for c in ("width", "height", "region", "crop")))
+    left, top = F.coalesce("crop.left", F.lit(0)), F.coalesce("crop.top", F.lit(0))
+    wide, tall = F.coalesce("crop.width", F.col("width")), F.coalesce("crop.height", F.col("height"))
+    rows = once.select("key", "width", "region", left.alias("x0"), top.alias("y0"), wide.alias("wide"), F.explode(F.when(tall > 0, F.sequence(F.lit(0), tall - 1))).alias("y"))
+    down = F.col("y") + F.col("y0") - F.col("region.cy")
+    reach = F.sqrt(F.col("region.radius") * F.col("region.radius") - down * down)  # NaN beyond the circle
+    circle = F.col("region.kind") == "circle"
+    first = F.when(circle, F.ceil(F.col("region.cx") - reach)).otherwise(0)
+    last = F.when(circle, F.floor(F.col("region.cx") + reach) + 1).otherwise(F.col("width"))
+    inside = rows.where(~circle | (F.abs(down) <= F.col("region.radius")))
+    cut = lambda x: F.least(F.greatest(x - F.col("x0"), F.lit(0)), F.col("wide")).cast("int")
+    return inside.select("key", "y", cut(first).alias("left"), cut(last).alias("right")).where(F.col("left") < F.col("right"))
+
+
+def shared_masks(images: DataFrame, records: DataFrame, name: str = "name") -> DataFrame:
+    """name, key, width, height of the mask and pixels, the valid ones: rendered once for each distinct key and joined back to all images."""
+    keyed = mask_keys(images, records, name)
+    area = mask_rows(keyed).groupBy("key").agg(F.sum(F.col("right") - F.col("left")).alias("pixels"))
+    sized = keyed.select(name, "key", F.coalesce("crop.width", F.col("width")).alias("width"), F.coalesce("crop.height", F.col("height")).alias("height"))
+    return sized.join(area, "key", "left").select(name, "key", "width", "height", F.coalesce("pixels", F.lit(0)).cast("long").alias("pixels"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.operators import omni, repair, scene, tracks
+from fieldloom.operators import omni, repair, rigs, scene, tracks
 from fieldloom.operators.geometry import pixels
 from fieldloom.plans.audit_queries import rounded
 from fieldloom.plans.queries import query, table
@@ -183,3 +183,51 @@ def scene_walls(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = l.groupBy(ident.alias("id")).agg(F.min(F.struct((u * F.cos(F.lit(turn)) - v * F.sin(F.lit(turn))).alias("x"), (F.floor(F.col("l_extendedprice") * 100) % 300 / 100.0).alias("y"), (u * F.sin(F.lit(turn)) + v * F.cos(F.lit(turn))).alias("z"))).alias("p")).select("id", "p.*")
     found = scene.scene_yaw(points, None, 0.0)
     return spark.createDataFrame([(found["applied"], found["reason"], found["analysis_points"], round(found.get("yaw_deg", 0.0), 6), round(found.get("confidence", 0.0), 6))], "applied boolean, reason string, analysis_points long, yaw_deg double, confidence double")
+
+
+# --- rigs --------------------------------------------------------------------------------------
+
+
+def _turn_sql(k: int) -> list[list[str]]:
+    """lens_rotation of lens k written out, over ca, sa, cy, sy, cr, sr with k behind each name."""
+    ca, sa, cy, sy, cr, sr = (f"{c}{k}" for c in ("ca", "sa", "cy", "sy", "cr", "sr"))
+    rows = [[f"{ca}*{cy}", f"(-{ca}*{sy}*{cr} + {sa}*{sr})", f"({ca}*{sy}*{sr} + {sa}*{cr})"], [sy, f"{cy}*{cr}", f"(-{cy}*{sr})"], [f"(-{sa}*{cy})", f"({sa}*{sy}*{cr} + {ca}*{sr})", f"(-{sa}*{sy}*{sr} + {ca}*{cr})"]]
+    return [[f"(-({a}))", f"(-({b}))", c] for a, b, c in rows] if k == 0 else rows
+
+
+_FIRST, _SECOND = _turn_sql(0), _turn_sql(1)
+_BETWEEN = [[" + ".join(f"{_SECOND[i][m]} * {_FIRST[j][m]}" for m in range(3)) for j in range(3)] for i in range(3)]
+
+
+@query(f"""WITH o AS (SELECT o_orderkey AS record, o_orderkey % 7 AS a, o_orderkey % 11 AS b, 2 * (1000 + o_orderkey % 5 * 8) AS canvas, 900 + o_orderkey % 3 * 10 AS high, o_custkey % 2 = 0 AS cut FROM orders),
+    t AS (SELECT *, {", ".join(f"{f}({x}) AS {n}{k}" for k in (0, 1) for n, f, x in (("ca", "cos", f"pi() / 2 + radians(b * 0.1 + {k})"), ("sa", "sin", f"pi() / 2 + radians(b * 0.1 + {k})"), ("cy", "cos", f"radians(a * 0.3 + {180 * k})"), ("sy", "sin", f"radians(a * 0.3 + {180 * k})"), ("cr", "cos", f"radians(a * 0.2 - b * 0.1 + {k})"), ("sr", "sin", f"radians(a * 0.2 - b * 0.1 + {k})")))} FROM o),
+    m AS (SELECT *, {", ".join(f"{_BETWEEN[i][j]} AS m{3 * i + j}" for i in range(3) for j in range(3))}, CASE WHEN cut THEN 80 ELSE 0 END AS dx, CASE WHEN cut THEN 100 ELSE 0 END AS dy FROM t)
+    SELECT record, 0 AS lens, canvas // 2 - dx AS width, high - dy AS height, canvas / 4 - dx / 2 AS cx, high / 2 - dy / 2 AS cy, {", ".join(f"{float(i % 4 == 0)}::DOUBLE AS r{i}" for i in range(9))}, 0::DOUBLE AS tx, 0::DOUBLE AS ty, 0::DOUBLE AS tz FROM m
+    UNION ALL SELECT record, 1, canvas // 2 - dx, high - dy, canvas * 3 / 4 - canvas / 2 - dx / 2, high / 2 - dy / 2, {", ".join(f"round(m{i}, 6)" for i in range(9))}, {", ".join(f"round({'b' if i == 0 else 'a' if i == 1 else '0.032 * b'} * 0.01 - (m{3 * i} * 0.001 * a + m{3 * i + 1} * 0.002 * b + m{3 * i + 2} * 0.003), 6)" for i in range(3))} FROM m""")
+def camera_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated pairs of lenses as camera systems: halves of a canvas, crops, and the second lens's pose from the first."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    o = table(spark, sf_dir, "orders").select(k.alias("record"), (k % 7).alias("a"), (k % 11).alias("b"), (2 * (1000 + k % 5 * 8)).cast("int").alias("ref_width"), (900 + k % 3 * 10).cast("int").alias("ref_height"), (c % 2 == 0).alias("cut"))
+    a, b, lens = F.col("a"), F.col("b"), F.col("lens")
+    place = [F.when(lens == 0, x).otherwise(y) for x, y in ((0.001 * a, 0.01 * b), (0.002 * b, 0.01 * a), (F.lit(0.003), 0.00032 * b))]
+    lenses = o.withColumn("lens", F.explode(F.array(F.lit(0), F.lit(1)))).select(
+        "record", "lens", "ref_width", "ref_height", F.lit(1.1).alias("xi"), F.lit(700.0).alias("fx"), F.lit(701.0).alias("fy"), (F.col("ref_width") / 4 + lens * F.col("ref_width") / 2).alias("cx"), (F.col("ref_height") / 2).alias("cy"),
+        (a * 0.3 + 180 * lens).alias("yaw"), (b * 0.1 + lens).alias("pitch"), (a * 0.2 - b * 0.1 + lens).alias("roll"), *(p.alias(n) for p, n in zip(place, ("tx", "ty", "tz"), strict=True)), F.array(F.lit(0.1)).alias("distortion"), F.lit("RADTAN").alias("distortion_model"),
+    )
+    half = (F.col("ref_width") / 2).cast("int")
+    crops = o.where("cut").select("record", half.alias("source_width"), F.col("ref_height").alias("source_height"), (half - 80).alias("cropped_width"), (F.col("ref_height") - 100).alias("cropped_height"))
+    s = rigs.camera_systems(lenses, ["record"], crops)
+    return rounded(s.select("record", "lens", "width", "height", "cx", "cy", *((F.get("rotation", F.lit(i)) + 0.0).alias(f"r{i}") for i in range(9)), *((F.get("translation", F.lit(i)) + 0.0).alias(n) for i, n in enumerate(("tx", "ty", "tz")))))
+
+
+@query("""WITH r AS (SELECT DISTINCT p_partkey, p_partkey % 3 AS k, p_size % 4 AS c FROM part), m AS (SELECT DISTINCT k, c FROM r), g AS (SELECT k, c, CASE WHEN c = 0 THEN 0 ELSE 10 * c END AS x0, CASE WHEN c = 0 THEN 0 ELSE 5 END AS y0, CASE WHEN c = 0 THEN 160 ELSE 100 END AS wide, CASE WHEN c = 0 THEN 120 ELSE 80 END AS tall FROM m),
+    y AS (SELECT *, unnest(range(tall)) AS y FROM g), s AS (SELECT *, CASE k WHEN 0 THEN 0 ELSE ceil(80.5 - sqrt(greatest(0, (40.0 + k)**2 - (y + y0 - 59.5)**2)))::INT END AS l, CASE k WHEN 0 THEN 160 ELSE floor(80.5 + sqrt(greatest(0, (40.0 + k)**2 - (y + y0 - 59.5)**2)))::INT + 1 END AS h FROM y WHERE k = 0 OR abs(y + y0 - 59.5) <= 40.0 + k),
+    a AS (SELECT k, c, sum(greatest(0, least(greatest(h - x0, 0), wide) - least(greatest(l - x0, 0), wide)))::BIGINT AS pixels FROM s GROUP BY 1, 2) SELECT p_partkey::VARCHAR AS name, wide AS width, tall AS height, pixels, (SELECT count(*) FROM m) AS masks FROM r JOIN g USING (k, c) JOIN a USING (k, c)""")
+def shared_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masks of parts as images: three regions and four crops, each pair rendered once."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("name"), (F.col("p_partkey") % 3).alias("k"), (F.col("p_size") % 4).alias("c")).distinct()
+    region = F.when(F.col("k") == 0, F.struct(F.lit("full").alias("kind"), *(F.lit(None).cast("double").alias(c) for c in ("cx", "cy", "radius")))).otherwise(F.struct(F.lit("circle").alias("kind"), F.lit(80.5).alias("cx"), F.lit(59.5).alias("cy"), (40.0 + F.col("k")).alias("radius")))
+    crop = F.when(F.col("c") > 0, F.struct((10 * F.col("c")).cast("int").alias("left"), F.lit(5).alias("top"), F.lit(100).alias("width"), F.lit(80).alias("height")))
+    records = p.select("name", F.lit(160).alias("width"), F.lit(120).alias("height"), region.alias("region"), crop.alias("crop"))
+    made = rigs.mask_rows(rigs.mask_keys(p, records)).agg(F.count_distinct("key").alias("masks"))
+    return rigs.shared_masks(p, records).drop("key").crossJoin(F.broadcast(made))  # one row
