@@ -1,7 +1,8 @@
-"""Work tables in the folder that driver and executors share."""
+"""Work tables in the folder that driver and executors share. They stay until `cleared`, at the latest to the session's end."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -23,4 +24,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet and read back."""
     path = f"{shared_dir(df.sparkSession)}/fieldloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    sc = df.sparkSession.sparkContext
+    if not hasattr(sc, "_fieldloom_work"):
+        sc._fieldloom_work = []
+        atexit.register(cleared, df.sparkSession)
+    sc._fieldloom_work.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cleared(spark: SparkSession) -> None:
+    """Removes the session's work tables; call it once results have been written. What is gone already is no fault, nor is a session that has ended."""
+    sc = spark.sparkContext
+    if sc._jsc is None:
+        return
+    for path in getattr(sc, "_fieldloom_work", []):
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+    sc._fieldloom_work = []

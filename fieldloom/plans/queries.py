@@ -284,16 +284,19 @@ def nearest_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.nearest_views(_points(spark, sf_dir).where("vec_id % 5 = 0"), ["label"], "vec_id", ["x", "y", "z"], 3)
 
 
-@query()
+@query(f"""WITH {_POINTS}, n AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS place, count(*) OVER (PARTITION BY label) AS n FROM p), g AS (SELECT DISTINCT label, n, greatest(1, round_even(n * 0.2::DOUBLE, 0)::BIGINT) AS m FROM n),
+    i AS (SELECT label, n, m, unnest(range(m)) AS i FROM g), c AS (SELECT DISTINCT label, CASE WHEN i > 0 AND i = m - 1 THEN n - 1 ELSE round_even(i * ((n - 1) / greatest(m - 1, 1)), 0)::BIGINT END AS place FROM i),
+    r AS (SELECT l.vec_id AS i, o.vec_id AS j, row_number() OVER (PARTITION BY l.vec_id ORDER BY (l.x - o.x) * (l.x - o.x) + (l.y - o.y) * (l.y - o.y) + (l.z - o.z) * (l.z - o.z), o.vec_id) AS k FROM n l JOIN c USING (label, place) JOIN p o ON l.label = o.label AND l.vec_id <> o.vec_id)
+    SELECT DISTINCT least(i, j) AS a, greatest(i, j) AS b FROM r WHERE k <= 3""")
 def nearest_views_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fifth of each group's views as references, at even places; neighbours from all views."""
     return spatial.view_pairs(_points(spark, sf_dir), ["label"], "vec_id", "vec_id", ["x", "y", "z"], 0.2, 3)
 
 
-@query()
+@query(f"""WITH {_POINTS}, g AS (SELECT l.label, l.vec_id, sqrt(min((l.x - o.x) * (l.x - o.x) + (l.y - o.y) * (l.y - o.y) + (l.z - o.z) * (l.z - o.z))) AS gap FROM p l JOIN p o ON l.label = o.label AND l.vec_id <> o.vec_id GROUP BY 1, 2) SELECT label, round(quantile_cont(gap, 0.5), 6) AS spacing FROM g GROUP BY 1""")
 def camera_spacings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The median distance to the nearest camera."""
-    return spatial.camera_spacing(_points(spark, sf_dir), "vec_id", ["x", "y", "z"], ["label"])
+    return spatial.camera_spacing(_points(spark, sf_dir), "vec_id", ["x", "y", "z"], ["label"]).withColumn("spacing", F.round("spacing", 6))
 
 
 @query(f"""WITH {_POINTS} SELECT vec_id FROM (SELECT vec_id, row_number() OVER (ORDER BY error, vec_id) - 1 AS k, count(*) OVER () AS n FROM p) WHERE k >= n * 8 // 100""")
@@ -530,7 +533,7 @@ def _policies(rows: DataFrame) -> DataFrame:
     return reports.camera_policy(rows, "l_suppkey", "prior", "refine")
 
 
-@query()
+@query("""SELECT l_suppkey, count(*) AS images, count(DISTINCT (l_returnflag = 'R', l_linestatus = 'O')) = 1 AS consistent, bool_or(l_returnflag = 'R') AND NOT bool_or(l_linestatus = 'O') AND count(DISTINCT (l_returnflag = 'R', l_linestatus = 'O')) = 1 AS fixed FROM lineitem GROUP BY 1""")
 def camera_policies_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Policy of each camera."""
     return _policies(table(spark, sf_dir, "lineitem"))
@@ -579,7 +582,8 @@ def _widest(p: DataFrame) -> DataFrame:
     return reports.widest_angles(rays, "label", "vec_id", "ray").withColumn("angle", F.round("angle", 4))
 
 
-@query()
+@query(f"""WITH {_POINTS}, u AS (SELECT label, vec_id, x / sqrt(x*x + y*y + z*z) AS x, y / sqrt(x*x + y*y + z*z) AS y, z / sqrt(x*x + y*y + z*z) AS z FROM p)
+    SELECT a.label, round(degrees(acos(least(min(abs(a.x*b.x + a.y*b.y + a.z*b.z)), 1))), 4) AS angle FROM u a JOIN u b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY 1""")
 def widest_angles_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The widest angle in each track; tracks are the labels' points."""
     return _widest(_points(spark, sf_dir))
