@@ -267,19 +267,29 @@ def exact_alignment(source: np.ndarray, target: np.ndarray, atol: float = 1e-7)
     return fit
 
 
+def _context(log: str, order: str, line: str) -> Column:
+    """What the last registration (phase local, with its image and count) or global refinement of the log said, up to this line; before any it is initialization."""
+    w = Window.partitionBy(log).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    hit = lambda k: F.nullif(F.regexp_extract(line, r"Registering image #(\d+) \(num_reg_frames=(\d+)\)", k), F.lit("")).cast("int")
+    none = F.lit(None).cast("int")
+    phase = lambda name, image=none, frames=none: F.struct(F.lit(name).alias("phase"), image.alias("image_id"), frames.alias("registered_frames"))
+    said = F.when(hit(1).isNotNull(), phase("local", hit(1), hit(2))).when(F.contains(line, F.lit("Global bundle adjustment")), phase("global"))
+    return F.coalesce(F.last(said, ignorenulls=True).over(w), phase("initialization"))
+
+
+def terminated_adjustments(lines: DataFrame, log: str, order: str, line: str) -> DataFrame:
+    """log, order, phase, image_id, registered_frames, message: bundle adjustments that ended in failure, with the context they ended in (see solver_failures)."""
+    ended = lines.withColumn("__c", _context(log, order, line)).where(F.contains(line, F.lit("Bundle adjustment failed:")))
+    return ended.select(log, order, "__c.*", F.trim(F.col(line)).alias("message"))
+
+
 def solver_failures(lines: DataFrame, log: str, order: str, line: str) -> DataFrame:
     """log, run, phase, image_id, registered_frames, failed_steps: linear-solver failures of each log in runs of one context.
 
     The context is what the last registration (phase local, with its image and count) or global refinement said; before any it is initialization. A failure of the same context
     as the one before joins its run."""
     w = Window.partitionBy(log).orderBy(order)
-    hit = lambda k: F.nullif(F.regexp_extract(line, r"Registering image #(\d+) \(num_reg_frames=(\d+)\)", k), F.lit("")).cast("int")
-    local = F.struct(F.lit("local").alias("phase"), hit(1).alias("image_id"), hit(2).alias("registered_frames"))
-    whole = F.struct(F.lit("global").alias("phase"), F.lit(None).cast("int").alias("image_id"), F.lit(None).cast("int").alias("registered_frames"))
-    first = F.struct(F.lit("initialization").alias("phase"), F.lit(None).cast("int").alias("image_id"), F.lit(None).cast("int").alias("registered_frames"))
-    said = F.when(hit(1).isNotNull(), local).when(F.contains(line, F.lit("Global bundle adjustment")), whole)
-    context = F.coalesce(F.last(said, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), first)
-    failed = lines.withColumn("__c", context).where(F.contains(line, F.lit("Linear solver failure"))).select(log, order, "__c")
+    failed = lines.withColumn("__c", _context(log, order, line)).where(F.contains(line, F.lit("Linear solver failure"))).select(log, order, "__c")
     new = (~F.col("__c").eqNullSafe(F.lag("__c").over(w))).cast("int")
     runs = failed.withColumn("__new", new).withColumn("run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return runs.groupBy(log, "run").agg(F.first("__c").alias("__c"), F.count(F.lit(1)).alias("failed_steps")).select(log, F.col("run").cast("int").alias("run"), "__c.*", "failed_steps")

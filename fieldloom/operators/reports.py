@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fieldloom.functions.expr import norm, rotation_degrees, unit
 from fieldloom.operators.robust import quantile
 
 
@@ -159,6 +160,28 @@ def best_model(models: DataFrame, by: list[str], passed: str, registered: str, p
     return models.groupBy(*by).agg(F.max_by(ident, F.struct(F.col(passed).cast("int"), registered, points, images)).alias("best"))
 
 
+def trajectory_steps(models: DataFrame, expected: DataFrame) -> DataFrame:
+    """source, model, a, b (capture numbers), distance and rotation_degrees of the steps between neighbouring expected captures that every model has: for comparing trajectories of one input.
+
+    models: model, source, capture, centre (array of three), q (orientation: w, x, y, z); expected: source, capture. A source with a capture twice, or with fewer than two, is an error."""
+    counts = expected.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("capture").alias("d"))
+    checked = expected.join(counts, "source").where(F.when((F.col("n") < 2) | (F.col("n") != F.col("d")), F.raise_error("an ordered source needs two captures or more, one image each").cast("boolean")).otherwise(F.lit(True)))
+    steps = checked.select("source", F.lag("capture").over(Window.partitionBy("source").orderBy("capture")).alias("a"), F.col("capture").alias("b")).where("a IS NOT NULL")
+    all_models = models.agg(F.count_distinct("model").alias("all"))
+    end = lambda s: models.select("model", "source", F.col("capture").alias(s), F.col("centre").alias(f"c_{s}"), F.col("q").alias(f"q_{s}"))
+    met = steps.join(end("a"), ["source", "a"]).join(end("b"), ["source", "b", "model"])
+    whole = met.groupBy("source", "a").agg(F.count_distinct("model").alias("n")).join(F.broadcast(all_models), F.col("n") == F.col("all")).select("source", "a")  # all_models: one row
+    part = lambda c, n: [F.get(c, F.lit(k)) for k in range(n)]
+    apart = [x - y for x, y in zip(part("c_a", 3), part("c_b", 3), strict=True)]
+    return met.join(whole, ["source", "a"], "left_semi").select("source", "model", "a", "b", norm(apart).alias("distance"), rotation_degrees(unit(part("q_a", 4)), unit(part("q_b", 4))).alias("rotation_degrees"))
+
+
+def largest_steps(steps: DataFrame, most: int = 30) -> DataFrame:
+    """Of each source and model the steps of largest distance (ties: the earlier first), with their place from 1."""
+    place = F.row_number().over(Window.partitionBy("source", "model").orderBy(F.desc("distance"), "a"))
+    return steps.withColumn("place", place).where(F.col("place") <= most)
+
+
 def common_steps(models: DataFrame, model: str, order: str, position: list[str]) -> DataFrame:
     """Distances between neighbours (by expected order) that all models have: model, order, step. For comparing trajectories."""
     from functools import reduce

@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldloom.operators.robust import finite, quantile
+from fieldloom.operators.robust import few_quantiles, finite, quantile
 from fieldloom.operators.spatial import nearest_within, numbered, thinned
 from fieldloom.operators.work import stored
 
@@ -277,3 +278,29 @@ def _checked(walls: DataFrame, lines: np.ndarray, normals: np.ndarray, offsets:
         spans[r["line"]] = r["up"], r["along"]
     fit = (spans[:, 0] >= tall * rule.tall) & (spans[:, 1] >= flat * rule.long)
     return np.where(fit, support[lines] * np.minimum(spans[:, 0] / tall, 1) * np.minimum(spans[:, 1] / flat, 1), 0), spans
+
+
+# --- a profile for training --------------------------------------------------------------------
+
+
+def training_profile(points: DataFrame, cameras: DataFrame) -> DataFrame:
+    """One row: scene_scale_camera (1.1 times the farthest camera from their mean), the points' radii around their median (median, p95, p99, max, p99 over median), the box of
+    their 2.5 to 97.5 % percentiles (bbox_min, bbox_max, bbox_radius) and points for its volume. Percentiles are exact, by counting; with fewer than three points they are null, without cameras so is the scale."""
+    spark = points.sparkSession
+    at = stored(_sound(points.select(*XYZ)), "profile-points")
+    eyes = _sound(cameras.select(*XYZ))
+    middle = eyes.agg(*(F.avg(c).alias(c) for c in XYZ)).first()
+    reach = None if middle["x"] is None else 1.1 * eyes.agg(F.max(F.sqrt(reduce(lambda a, b: a + b, ((F.col(c) - middle[c]) ** 2 for c in XYZ))))).first()[0]
+    n = at.count()
+    out: dict = {"scene_scale_camera": reach, "points": n} | dict.fromkeys(("radius_median", "radius_p95", "radius_p99", "radius_max", "radius_p99_to_median", "bbox_min", "bbox_max", "bbox_radius", "point_density"))
+    if n >= 3:
+        by_axis = [few_quantiles(at, [], c, (0.025, 0.5, 0.975)).first()["q"] for c in XYZ]
+        apart = stored(at.select(F.sqrt(reduce(lambda a, b: a + b, ((F.col(c) - q[1]) ** 2 for c, q in zip(XYZ, by_axis, strict=True)))).alias("d")), "profile-radii")
+        radii = few_quantiles(apart, [], "d", (0.5, 0.95, 0.99, 1.0)).first()["q"]
+        low, high = np.array([q[0] for q in by_axis]), np.array([q[2] for q in by_axis])
+        out |= dict(zip(("radius_median", "radius_p95", "radius_p99", "radius_max"), radii, strict=True)) | {
+            "radius_p99_to_median": radii[2] / radii[0] if radii[0] > 0 else 0.0, "bbox_min": [round(v, 4) for v in low.tolist()], "bbox_max": [round(v, 4) for v in high.tolist()],
+            "bbox_radius": float(np.linalg.norm(high - low) / 2), "point_density": n / float(np.prod(np.maximum(high - low, 1e-6))),
+        }
+    kind = lambda c: "long" if c == "points" else "array<double>" if c in ("bbox_min", "bbox_max") else "double"
+    return spark.createDataFrame([tuple(out.values())], ", ".join(f"{c} {kind(c)}" for c in out))

@@ -468,6 +468,17 @@ def solver_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return motion.solver_failures(e.select("user_id", "event_id", text.alias("line")), "user_id", "event_id", "line")
 
 
+@query("""WITH l AS (SELECT user_id, event_id, CASE event_type WHEN 'view' THEN 'local' WHEN 'click' THEN 'global' END AS said, CASE event_type WHEN 'view' THEN 7 END AS image_id, CASE event_type WHEN 'view' THEN floor(value / 40)::INT END AS registered_frames, event_type NOT IN ('view', 'click') AS failed FROM events),
+    g AS (SELECT *, count(said) OVER (PARTITION BY user_id ORDER BY event_id) AS part FROM l), c AS (SELECT user_id, event_id, failed, coalesce(first_value(said) OVER v, 'initialization') AS phase, first_value(image_id) OVER v AS image_id, first_value(registered_frames) OVER v AS registered_frames FROM g WINDOW v AS (PARTITION BY user_id, part ORDER BY event_id))
+    SELECT *, 'Bundle adjustment failed: no step' AS message FROM (SELECT user_id, event_id, phase, image_id, registered_frames FROM c WHERE failed)""")
+def terminated_adjustments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bundle adjustments that were ended, with what was going on."""
+    e = table(spark, sf_dir, "events")
+    n = F.floor(F.col("value") / 40).cast("string")
+    text = F.when(F.col("event_type") == "view", F.concat(F.lit("Registering image #7 (num_reg_frames="), n, F.lit(")"))).when(F.col("event_type") == "click", "Retriangulation and Global bundle adjustment").otherwise(" Bundle adjustment failed: no step ")
+    return motion.terminated_adjustments(e.select("user_id", "event_id", text.alias("line")), "user_id", "event_id", "line")
+
+
 @query("""WITH m AS (SELECT a.o_custkey AS image_a, b.o_custkey AS image_b, a.o_orderkey AS index_a, b.o_orderkey AS index_b FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 WHERE a.o_custkey <> b.o_custkey)
     SELECT least(image_a, image_b) AS image_a, greatest(image_a, image_b) AS image_b, CASE WHEN image_a < image_b THEN index_a ELSE index_b END AS index_a, CASE WHEN image_a < image_b THEN index_b ELSE index_a END AS index_b FROM m""")
 def match_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions import expr
-from fieldloom.operators import graph, reports, select, temporal
+from fieldloom.operators import graph, reports, scene, select, temporal
 from fieldloom.plans.audit_queries import rounded
 from fieldloom.plans.queries import query, table
 
@@ -113,3 +113,40 @@ def camera_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     sound = expr.sound_geometry(v[0], v[1], F.col("label").cast("double"), v[2], v[3], F.lit(1.0))
     made = e.select("vec_id", expr.view_focal(1000 + F.col("vec_id"), 90.0).alias("focal"), *(r.alias(f"ray_{c}") for r, c in zip(ray, "xyz", strict=True)), expr.candidate_quality(v[0], F.col("label")).alias("quality"), F.round(turned, 4).alias("turned"), sound.alias("sound"))
     return rounded(made)
+
+
+_STEPS = """m AS (SELECT vec_id % 2 AS model, vec_id // 2 % 3 AS source, vec_id // 6 * 2 AS capture, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, [embedding[i]::DOUBLE for i in [4, 5, 6, 7]] AS q FROM embeddings WHERE vec_id % 22 <> 1),
+    e AS (SELECT DISTINCT vec_id // 2 % 3 AS source, vec_id // 6 * 2 AS capture FROM embeddings), p AS (SELECT source, lag(capture) OVER (PARTITION BY source ORDER BY capture) AS a, capture AS b FROM e),
+    s AS (SELECT p.source, f.model, p.a, p.b, sqrt((f.x - t.x)*(f.x - t.x) + (f.y - t.y)*(f.y - t.y) + (f.z - t.z)*(f.z - t.z)) AS distance, degrees(2 * acos(least(abs(list_dot_product(f.q, t.q)) / sqrt(list_dot_product(f.q, f.q)) / sqrt(list_dot_product(t.q, t.q)), 1))) AS rotation
+        FROM p JOIN m f ON f.source = p.source AND f.capture = p.a JOIN m t ON t.source = p.source AND t.capture = p.b AND t.model = f.model), w AS (SELECT *, count(*) OVER (PARTITION BY source, a) AS n FROM s), r AS (SELECT * FROM w WHERE n = 2)"""
+
+
+def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("vec_id")
+    e = table(spark, sf_dir, "embeddings").select("vec_id", (v % 2).alias("model"), (F.floor(v / 2) % 3).alias("source"), (F.floor(v / 6) * 2).alias("capture"), F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")).alias("centre"), F.transform(F.slice("embedding", 4, 4), lambda x: x.cast("double")).alias("q"))
+    return reports.trajectory_steps(e.where("vec_id % 22 <> 1"), e.select("source", "capture").distinct())
+
+
+@query(f"""WITH {_STEPS} SELECT source, model, count(*) AS n, round(quantile_cont(distance, 0.5), 6) AS distance_p50, round(quantile_cont(distance, 0.95), 6) AS distance_p95, round(max(distance), 6) AS distance_max, round(quantile_cont(rotation, 0.5), 4) AS rotation_p50, round(max(rotation), 4) AS rotation_max FROM r GROUP BY 1, 2""")
+def trajectory_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances and rotations of the steps that all models have."""
+    d = lambda c, q: F.percentile(c, F.lit(q))
+    s = _steps(spark, sf_dir).groupBy("source", "model").agg(F.count(F.lit(1)).alias("n"), d("distance", 0.5).alias("distance_p50"), d("distance", 0.95).alias("distance_p95"), F.max("distance").alias("distance_max"), F.round(d("rotation_degrees", 0.5), 4).alias("rotation_p50"), F.round(F.max("rotation_degrees"), 4).alias("rotation_max"))
+    return rounded(s)
+
+
+@query(f"""WITH {_STEPS} SELECT source, model, a, b, round(distance, 6) AS distance, round(rotation, 4) AS rotation_degrees, row_number() OVER (PARTITION BY source, model ORDER BY distance DESC, a) AS place FROM r QUALIFY place <= 30""")
+def largest_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 30 largest steps of each model and source."""
+    return rounded(reports.largest_steps(_steps(spark, sf_dir)).withColumn("rotation_degrees", F.round("rotation_degrees", 4)).withColumn("place", F.col("place").cast("long")))
+
+
+@query("""WITH p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings), c AS (SELECT * FROM p WHERE vec_id % 7 = 0), k AS (SELECT avg(x) AS x, avg(y) AS y, avg(z) AS z FROM c), s AS (SELECT 1.1 * max(sqrt((c.x - k.x)**2 + (c.y - k.y)**2 + (c.z - k.z)**2)) AS scale FROM c, k),
+    m AS (SELECT [quantile_cont(x, 0.5), quantile_cont(y, 0.5), quantile_cont(z, 0.5)] AS m, [quantile_cont(x, 0.025), quantile_cont(y, 0.025), quantile_cont(z, 0.025)] AS lo, [quantile_cont(x, 0.975), quantile_cont(y, 0.975), quantile_cont(z, 0.975)] AS hi FROM p), d AS (SELECT sqrt((x - m[1])**2 + (y - m[2])**2 + (z - m[3])**2) AS d FROM p, m),
+    r AS (SELECT count(*) AS n, quantile_cont(d, 0.5) AS p50, quantile_cont(d, 0.95) AS p95, quantile_cont(d, 0.99) AS p99, max(d) AS most FROM d)
+    SELECT round(scale, 6) AS scene_scale_camera, n AS points, round(p50, 6) AS radius_median, round(p95, 6) AS radius_p95, round(p99, 6) AS radius_p99, round(most, 6) AS radius_max, round(p99 / p50, 6) AS radius_p99_to_median, [round(v, 4) for v in lo] AS bbox_min, [round(v, 4) for v in hi] AS bbox_max,
+        round(sqrt((hi[1] - lo[1])**2 + (hi[2] - lo[2])**2 + (hi[3] - lo[3])**2) / 2, 6) AS bbox_radius, round(n / ((hi[1] - lo[1]) * (hi[2] - lo[2]) * (hi[3] - lo[3])), 6) AS point_density FROM s, m, r""")
+def training_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extents, radii, box and density of a scene; its percentiles by counting."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", *(F.get("embedding", F.lit(k)).cast("double").alias(c) for k, c in enumerate("xyz")))
+    return rounded(scene.training_profile(e, e.where("vec_id % 7 = 0")))
