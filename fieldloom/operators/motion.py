@@ -1,4 +1,4 @@
-"""Motion: local checks of a trajectory, a solver's progress from its log, and alignment to gravity."""
+"""Motion: local checks of a trajectory, a solver's progress from its log, and alignment to gravity. The names of reasons are fixed values."""
 
 from __future__ import annotations
 

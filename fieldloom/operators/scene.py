@@ -2,7 +2,7 @@
 
 Both work on a sample of at most a fixed number of points, evenly spaced in the points' order, as the rule has it; so what follows the
 sample is bounded whatever the scene's size. Candidates (heights, lines) are few and are broadcast; points stay where they are.
-Points and cameras with a null or a number that is not finite are left out. y points down.
+Points and cameras with a null or a number that is not finite are left out. y points down. The names of reasons are fixed values.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ arrays, track after track; triangulation, projection and uncertainty are sums an
 of them. Leaving captures out, or halving a track, only makes more and shorter stretches, so these go
 through the same functions, in pieces of at most PIECE observations or one track.
 
-Verdicts are the first reason that holds, in the order of the checks. A track must fit in one row, as the
+Verdicts (their names are fixed values) are the first reason that holds, in the order of the checks. A track must fit in one row, as the
 point's place depends on all its observations; leaving out each of c captures costs c times the track.
 Tracks without observations do not occur: `gathered` starts from the observations. Null numbers count as
 not finite. A camera of an unknown model, or with numbers that are not finite, is an error.
