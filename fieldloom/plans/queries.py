@@ -617,7 +617,11 @@ def spatial_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.spatial_selection(c, "user_id", 500.0, 40, 2 * 86400.0)
 
 
-@query()
+@query(f"""WITH {_POINTS}, w AS (SELECT count(*) AS n, sqrt((quantile_cont(x, 0.95) - quantile_cont(x, 0.05))**2 + (quantile_cont(z, 0.95) - quantile_cont(z, 0.05))**2) AS whole FROM p), b AS (SELECT (floor(y / 0.05::DOUBLE) + 0.5) * 0.05::DOUBLE AS candidate, count(*) AS n FROM p GROUP BY floor(y / 0.05::DOUBLE) ORDER BY n DESC, floor(y / 0.05::DOUBLE) LIMIT 20),
+    g AS (SELECT candidate, count(*) AS support, sqrt((quantile_cont(x, 0.95) - quantile_cont(x, 0.05))**2 + (quantile_cont(z, 0.95) - quantile_cont(z, 0.05))**2) AS span, quantile_cont(y, 0.5) AS height FROM p JOIN b ON abs(y - candidate) <= 0.15::DOUBLE GROUP BY 1),
+    s AS (SELECT *, span / whole AS ratio, support >= greatest(20, 0.005 * n) AND span >= 0.25 * whole AS supported, support * (span / whole) AS score FROM g, w), d AS (SELECT *, supported AND score >= 0.9 * max(score) FILTER (supported) OVER () AS dominant FROM s)
+    SELECT round(candidate, 6) AS candidate, support, round(span, 6) AS span, round(height, 6) AS height, round(ratio, 6) AS ratio, supported, round(score, 6) AS score, dominant, dominant AND height = min(height) FILTER (dominant) OVER () AS chosen FROM d""")
 def ground_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidate ground heights."""
-    return spatial.ground_mode(_points(spark, sf_dir), "y", "x", "z", least=20)
+    """Candidate ground heights of a scene by themselves; A22 itself is ground_position."""
+    g = spatial.ground_mode(_points(spark, sf_dir), "y", "x", "z", least=20)
+    return g.select(*(F.round(c, 6).alias(c) if t == "double" else c for c, t in g.dtypes))
