@@ -428,7 +428,19 @@ def solver_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(motion.solver_progress(e.select("user_id", "event_id", text.alias("line"), F.lit(30).alias("total")), "user_id", "event_id", "line", "total"))
 
 
-@query()
+@query(f"""WITH {_POINTS}, r AS (SELECT label, vec_id, x, y, z, row_number() OVER (ORDER BY label, vec_id) - 1 AS rank FROM p), g AS (SELECT *, rank * 0.5::DOUBLE AS t, sqrt((lead(x) OVER w - x)**2 + (lead(y) OVER w - y)**2 + (lead(z) OVER w - z)**2) AS gap FROM r WINDOW w AS (PARTITION BY label ORDER BY rank)),
+    c AS (SELECT label, quantile_cont(gap, 0.5) AS scene FROM g GROUP BY 1 HAVING count(*) >= 7 AND quantile_cont(gap, 0.5) > 1e-12),
+    n AS MATERIALIZED (SELECT s.label, s.vec_id, s.rank AS own, s.x AS sx, s.y AS sy, s.z AS sz, scene, b.vec_id AS id, b.rank, b.t - s.t AS o, b.x, b.y, b.z, CASE WHEN b.rank < s.rank + 8 THEN b.gap END AS gap FROM g s JOIN c ON c.label = s.label JOIN g b ON b.label = s.label AND abs(b.rank - s.rank) <= 8),
+    k AS (SELECT label, vec_id, any_value(sx) AS sx, any_value(sy) AS sy, any_value(sz) AS sz, greatest(quantile_cont(gap / 0.5::DOUBLE, 0.5) * 0.5::DOUBLE, any_value(scene) / 4) AS step FROM n GROUP BY 1, 2 HAVING count(*) FILTER (rank < own) >= 2 AND count(*) FILTER (rank > own) >= 2 AND count(*) >= 7 AND count(gap) >= 4),
+    l AS (SELECT vec_id, a.rank AS i, b.rank AS j, (b.x - a.x) / (b.o - a.o) AS vx, (b.y - a.y) / (b.o - a.o) AS vy, (b.z - a.z) / (b.o - a.o) AS vz, a.x - a.o * vx AS x0, a.y - a.o * vy AS y0, a.z - a.o * vz AS z0 FROM n a JOIN n b USING (vec_id) WHERE a.rank < a.own AND b.rank > b.own),
+    s AS MATERIALIZED (SELECT l.vec_id, i, j, vx, vy, vz, x0, y0, z0, quantile_cont(sqrt((x - x0 - o*vx)**2 + (y - y0 - o*vy)**2 + (z - z0 - o*vz)**2), 0.5) AS score FROM l JOIN n ON n.vec_id = l.vec_id AND n.rank <> n.own GROUP BY ALL),
+    b AS MATERIALIZED (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score, i, j) = 1),
+    f AS MATERIALIZED (SELECT b.vec_id, regr_intercept(x, o) AS fx, regr_slope(x, o) AS ux, regr_intercept(y, o) AS fy, regr_slope(y, o) AS uy, regr_intercept(z, o) AS fz, regr_slope(z, o) AS uz FROM b JOIN k ON k.vec_id = b.vec_id JOIN n ON n.vec_id = b.vec_id AND n.rank <> n.own WHERE sqrt((x - x0 - o*vx)**2 + (y - y0 - o*vy)**2 + (z - z0 - o*vz)**2) <= greatest(3 * score, step / 2) GROUP BY 1),
+    a AS MATERIALIZED (SELECT n.vec_id, id, rank, sqrt((x - fx - o*ux)**2 + (y - fy - o*uy)**2 + (z - fz - o*uz)**2) AS apart FROM n JOIN f ON f.vec_id = n.vec_id WHERE rank <> own), q AS (SELECT vec_id, quantile_cont(apart, 0.5) AS scatter FROM a GROUP BY 1),
+    h AS (SELECT a.vec_id, list(id ORDER BY rank) FILTER (apart <= greatest(step, 3 * scatter)) AS neighbours FROM a JOIN k ON k.vec_id = a.vec_id JOIN q ON q.vec_id = a.vec_id GROUP BY 1),
+    v AS (SELECT s.vec_id, bool_or(s.score <= greatest(b.score * 1.1::DOUBLE, step / 10) AND sqrt((s.x0 - fx)**2 + (s.y0 - fy)**2 + (s.z0 - fz)**2) > 2 * step) AS ambiguous FROM s JOIN b ON b.vec_id = s.vec_id JOIN k ON k.vec_id = s.vec_id JOIN f ON f.vec_id = s.vec_id GROUP BY 1),
+    m AS (SELECT label, k.vec_id, sqrt((sx - fx)**2 + (sy - fy)**2 + (sz - fz)**2) AS innovation, step, scatter, greatest(3 * step, 6 * scatter) AS threshold, ambiguous, neighbours FROM k JOIN f ON f.vec_id = k.vec_id JOIN q ON q.vec_id = k.vec_id JOIN h ON h.vec_id = k.vec_id JOIN v ON v.vec_id = k.vec_id)
+    SELECT label, vec_id, round(innovation, 9) AS innovation, round(step, 9) AS step, round(scatter, 9) AS scatter, round(threshold, 9) AS threshold, innovation > threshold AS suspect, ambiguous, coalesce(neighbours, []) AS neighbours FROM m""")
 def local_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far samples lie from where their neighbours' motion puts them."""
     p = _points(spark, sf_dir).select("label", "vec_id", *XYZ)
