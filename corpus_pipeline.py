@@ -21,28 +21,40 @@ from fieldloom.llm.common import own_table, shipped, stored
 #: Fixed by the task: near duplicates share 80 of 100 shingles of five words.
 WIDTH, PERCENT = 5, 80
 
+#: Rows of an Arrow batch at most: whole texts go through it, and tasks work on fewer at a time anyway.
+BATCH_ROWS = 1000
 
-def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def _ready(spark: SparkSession) -> None:
+    """Gives the executors this package, and keeps the batches of texts between them and Python small."""
     shipped(spark)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _ready(spark)
     return quality.kept_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    shipped(spark)
+    _ready(spark)
     return toxicity.clean_rows(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def exactly_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _ready(spark)
     return exact_dedup.kept_rows(docs, exact_dedup.DigestIndex(spark, own_table(spark, f"fieldloom_digests_{uuid.uuid4().hex}")))
 
 
 def nearly_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    shipped(spark)
+    _ready(spark)
     return ngram_join.one_of_each(docs, WIDTH, PERCENT)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    shipped(spark)
+    _ready(spark)
     return packing.pack(docs)
 
 
