@@ -29,7 +29,8 @@ def pair_high(pair: Column | str) -> Column:
 
 
 def pair_low(pair: Column | str) -> Column:
-    return F.floor((col(pair) - pair_high(pair)) / PAIR_RADIX).cast("long")
+    """By whole-number division: quotients of doubles are off from 2**53 on, ids of about four million."""
+    return F.call_function("div", col(pair) - pair_high(pair), F.lit(PAIR_RADIX))
 
 
 # --- vectors and rotations; a vector is a list of three columns -----------------------------
