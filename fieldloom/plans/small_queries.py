@@ -22,8 +22,9 @@ def _axes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH p AS (SELECT user_id, epoch(ts)::BIGINT // 7200 AS pts FROM events) SELECT user_id, pts, row_number() OVER (PARTITION BY user_id ORDER BY pts) - 1 AS idx, coalesce(pts > lag(pts) OVER (PARTITION BY user_id ORDER BY pts), true) AS monotone FROM p""")
 def packet_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packets of each stream by presentation time; times repeat."""
-    p = table(spark, sf_dir, "events").select("user_id", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 7200).alias("pts"))
+    """Packets of each stream by presentation time, in whole seconds to the nearest, halves to even; times repeat."""
+    seconds = F.bround(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("long")
+    p = table(spark, sf_dir, "events").select("user_id", F.call_function("div", seconds, F.lit(7200)).alias("pts"))
     return temporal.timings(p, "user_id", "pts")
 
 

@@ -3,8 +3,16 @@
 from pyspark.sql import functions as F
 
 from fieldloom.functions import expr
+from fieldloom.plans import small_queries
 
 
 def test_pair_ids_beyond_doubles_come_back(spark):
     rows = spark.range(4_500_000, 4_501_000).select(F.col("id").alias("a"), (F.col("id") + 1_500_000_000).alias("b")).withColumn("p", expr.pair_id("b", "a"))
     assert rows.where((expr.pair_low("p") != F.col("a")) | (expr.pair_high("p") != F.col("b"))).count() == 0
+
+
+def test_packet_times_round_to_whole_seconds(spark, tmp_path):
+    times = ["2024-01-01 01:59:59.400000", "2024-01-01 01:59:59.600000", "2024-01-01 02:00:00.500000"]
+    spark.createDataFrame([(1, t) for t in times], "user_id long, ts string").withColumn("ts", F.to_timestamp_ntz("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    first = 1_704_067_200 // 7200
+    assert sorted((r.pts, r.idx) for r in small_queries.packet_times(spark, str(tmp_path)).collect()) == [(first, 0), (first + 1, 1), (first + 1, 2)]
