@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from fieldloom.functions import expr
+from fieldloom.operators import audits
 from fieldloom.plans import small_queries
 
 
@@ -16,3 +17,7 @@ def test_packet_times_round_to_whole_seconds(spark, tmp_path):
     spark.createDataFrame([(1, t) for t in times], "user_id long, ts string").withColumn("ts", F.to_timestamp_ntz("ts")).write.parquet(f"{tmp_path}/events.parquet")
     first = 1_704_067_200 // 7200
     assert sorted((r.pts, r.idx) for r in small_queries.packet_times(spark, str(tmp_path)).collect()) == [(first, 0), (first + 1, 1), (first + 1, 2)]
+
+
+def test_frame_names_keep_all_digits(spark):
+    assert [r[0] for r in spark.createDataFrame([(7,), (1_000_068,), (1_000_069,)], "k long").select(audits.frame_name(F.col("k"))).collect()] == ["frame_000007", "frame_1000068", "frame_1000069"]
