@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from fieldloom.functions import expr
-from fieldloom.operators import audits, spatial
+from fieldloom.operators import audits, graph, spatial
 from fieldloom.plans import small_queries
 
 
@@ -49,3 +49,10 @@ def test_nearest_within_meets_each_place_once(spark):
         j = int(np.lexsort((np.arange(len(b)), d))[0])
         assert got[k][0] == (j if d[j] <= 0.05 else -1) and (d[j] > 0.05 or abs(got[k][1] - d[j]) < 1e-12)
     assert got[9999] == (-1, float("inf")) and len(got) == len(a) + 1
+
+
+def test_large_captures_are_dealt_over_parts(spark):
+    df = spark.createDataFrame([(k, k % 2 if k < 60 else None) for k in range(64)], "id long, c int")
+    got = sorted((r.c, r.a, r.b) for r in graph.capture_pairs(df, ["c"], "id", rows=7, pairs=100).collect())
+    assert got == sorted((a % 2, a, b) for a in range(60) for b in range(a + 1, 60) if a % 2 == b % 2)
+    assert graph.capture_pairs(df, ["c"], "id", rows=7, pairs=100).rdd.getNumPartitions() > 4
