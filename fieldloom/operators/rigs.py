@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -157,6 +158,16 @@ def region_pixels(images: DataFrame, ident: str, theta: str | None = None) -> Da
     return rows.withColumn("__angle", angle(x, y, "model", "params")).select(ident, "px", "py", (drawn & (F.col("__angle") < F.col(theta))).alias("valid"))
 
 
+def region_keys(images: DataFrame, ident: str) -> DataFrame:
+    """images with key: the SHA-256 of all columns but `ident`, so of what a region is made of. Images of equal keys have equal regions, to be drawn once (see distinct_regions)."""
+    return images.withColumn("key", F.sha2(F.to_json(F.struct(*(c for c in images.columns if c != ident))), 256))
+
+
+def distinct_regions(keyed: DataFrame, ident: str) -> DataFrame:
+    """One row for each key of region_keys, as region_pixels takes it by `key`."""
+    return keyed.drop(ident).dropDuplicates(["key"])
+
+
 def bitmap_pixels(pixels: DataFrame, ident: str, grey: str) -> DataFrame:
     """The same from a mask's grey values: valid above 127."""
     return pixels.select(ident, "px", "py", (F.col(grey) > 127).alias("valid"))
@@ -192,11 +203,18 @@ def is_monotone(params: list[float], model: str, theta: float) -> bool:
 
 
 def monotone(cameras: DataFrame, theta: str, as_: str = "monotone") -> DataFrame:
-    """cameras: model, params, and the valid angle."""
+    """cameras: model, params, and the valid angle. Many cameras are of one make, so a task solves each distinct one once, of up to 100,000."""
 
     @F.pandas_udf("boolean")
-    def check(models: pd.Series, params: pd.Series, thetas: pd.Series) -> pd.Series:
-        return pd.Series([is_monotone(list(p), m, t) for m, p, t in zip(models, params, thetas, strict=True)], dtype=bool)
+    def check(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        known: dict[tuple, bool] = {}
+        for models, params, thetas in batches:
+            keys = list(zip(models, map(tuple, params), thetas, strict=True))
+            if len(known) > 100_000:
+                known.clear()
+            for m, p, t in set(keys) - known.keys():
+                known[m, p, t] = is_monotone(list(p), m, t)
+            yield pd.Series([known[k] for k in keys], dtype=bool)
 
     return cameras.withColumn(as_, check("model", "params", theta))
 

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from fieldloom.functions import expr
-from fieldloom.operators import audits, graph, spatial
+from fieldloom.operators import audits, graph, rigs, spatial
 from fieldloom.plans import small_queries
 
 
@@ -56,3 +56,16 @@ def test_large_captures_are_dealt_over_parts(spark):
     got = sorted((r.c, r.a, r.b) for r in graph.capture_pairs(df, ["c"], "id", rows=7, pairs=100).collect())
     assert got == sorted((a % 2, a, b) for a in range(60) for b in range(a + 1, 60) if a % 2 == b % 2)
     assert graph.capture_pairs(df, ["c"], "id", rows=7, pairs=100).rdd.getNumPartitions() > 4
+
+
+def test_each_make_of_camera_and_region_is_worked_out_once(spark):
+    cameras = spark.createDataFrame([(k, "OPENCV_FISHEYE", [1.0, 1.0, 0.0, 0.0, -0.02 * (k % 5), 0.0, 0.0, 0.0], 1.2 if k % 2 else float("nan")) for k in range(40)], "id long, model string, params array<double>, theta double")
+    got = {r.id: r.monotone for r in rigs.monotone(cameras, "theta").collect()}
+    assert all(got[k] == rigs.is_monotone([1.0, 1.0, 0.0, 0.0, -0.02 * (k % 5), 0.0, 0.0, 0.0], "OPENCV_FISHEYE", 1.2 if k % 2 else float("nan")) for k in range(40))
+    images = spark.createDataFrame([(k, 8 + k % 2, 6, "circle", 0.5, 0.5, 0.4, None) for k in range(20)], "id long, width int, height int, kind string, cx double, cy double, r double, operations array<struct<mode string, x double, y double, r double>>")
+    keyed = rigs.region_keys(images, "id")
+    once = rigs.distinct_regions(keyed, "id")
+    assert once.count() == 2
+    count = lambda df, key: df.groupBy(key).agg(F.count_if("valid").alias("n"))
+    each = {r.id: r.n for r in count(rigs.region_pixels(images, "id"), "id").collect()}
+    assert {r.id: r.n for r in keyed.select("id", "key").join(count(rigs.region_pixels(once, "key"), "key"), "key").collect()} == each
