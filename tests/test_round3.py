@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from fieldloom.functions import expr
-from fieldloom.operators import audits, graph, rigs, spatial
+from fieldloom.operators import audits, graph, rigs, spatial, work
 from fieldloom.plans import small_queries
 
 
@@ -69,3 +69,15 @@ def test_each_make_of_camera_and_region_is_worked_out_once(spark):
     count = lambda df, key: df.groupBy(key).agg(F.count_if("valid").alias("n"))
     each = {r.id: r.n for r in count(rigs.region_pixels(images, "id"), "id").collect()}
     assert {r.id: r.n for r in keyed.select("id", "key").join(count(rigs.region_pixels(once, "key"), "key"), "key").collect()} == each
+
+
+def test_rows_are_dealt_in_bounded_parts(spark):
+    df = work.dealt(spark.range(1000).withColumn("k", F.col("id") % 100), "k", rows=50)
+    assert df.rdd.getNumPartitions() == 20 and df.select("k", F.spark_partition_id().alias("p")).distinct().count() == 100
+    assert df.groupBy("k").count().where("count <> 10").count() == 0
+
+
+def test_eligible_queries_count_once(spark):
+    seen = spark.createDataFrame([(1, 0, 1, c, 0.5, 1.0) for c in (1, 2, 2)] + [(2, 0, 1, 1, 0.5, 1.0)] + [(3, 0, p, c, 1.5, 1.0 + p) for p in (1, 2) for c in (1, 2)], "query long, image long, point long, capture long, e double, d double")
+    r = graph.heldout_report(seen, spark.createDataFrame([(1,), (1,), (2,), (3,), (4,)], "query long"), "query", "point", "capture", "e", "d").first()
+    assert (r.eligible, r.predicted, r.ambiguous, r.contested, r.within_1) == (4, 1, 1, 1, 1)
