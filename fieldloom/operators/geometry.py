@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,15 +115,41 @@ def rays(df: DataFrame, x: str = "x", y: str = "y", model: str = "model", params
     return df.withColumn(as_, ray(x, y, model, params))
 
 
+def numbers(lists: pa.Array, width: int) -> np.ndarray:
+    """A column of lists of `width` numbers; NaN for nulls and lists of another length."""
+    size = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    out = np.full((len(lists), width), np.nan)
+    out[size == width] = lists.filter(pa.array(size == width)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, width)
+    return out
+
+
+def cameras_of(models: pa.Array, params: pa.Array) -> tuple[np.ndarray, list[tuple[str, list[float]]]]:
+    """The number of each row's camera, and the cameras: rows of one model and the same parameters share one."""
+    named = models.dictionary_encode()
+    size = pa.compute.fill_null(pa.compute.list_value_length(params), 0).to_numpy(zero_copy_only=False)
+    flat = params.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    most = int(size.max(initial=0))
+    rows = np.zeros((len(models), 2 + most))
+    rows[:, 0], rows[:, 1] = pa.compute.fill_null(named.indices, -1).to_numpy(zero_copy_only=False), size
+    rows[:, 2:][np.arange(most) < size[:, None]] = flat
+    codes = pa.Array.from_buffers(pa.binary(rows.shape[1] * 8), len(rows), [None, pa.py_buffer(rows)]).dictionary_encode()
+    names = named.dictionary.to_pylist()
+    found = [np.frombuffer(c) for c in codes.dictionary.to_pylist()]
+    return codes.indices.to_numpy(), [(names[int(c[0])] if c[0] >= 0 else None, c[2 : 2 + int(c[1])].tolist()) for c in found]
+
+
 def pixels(df: DataFrame, local: str, model: str = "model", params: str = "params", as_: str = "pixel") -> DataFrame:
     """Adds the pixel (array of two) of each place in its camera's axes (array of three); null where it is not seen."""
 
-    @F.pandas_udf("array<double>")
-    def pixel(xs: pd.Series, models: pd.Series, ps: pd.Series) -> pd.Series:
-        out = np.full((len(xs), 2), np.nan)
-        for (m, p), at in _by_camera(models, ps):
-            out[at] = ray_to_pixel(m, list(p), np.stack(xs.iloc[at].to_numpy()).astype(float))
-        return pd.Series([p if np.isfinite(p).all() else None for p in out])
+    @F.arrow_udf("array<double>")
+    def pixel(xs: pa.Array, models: pa.Array, ps: pa.Array) -> pa.Array:
+        x, out = numbers(xs, 3), np.full((len(xs), 2), np.nan)
+        codes, cameras = cameras_of(models, ps)
+        for k, (m, p) in enumerate(cameras):
+            at = np.flatnonzero(codes == k)
+            out[at] = ray_to_pixel(m, p, x[at])
+        seen = np.isfinite(out).all(1)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], 2 * np.cumsum(seen)]), pa.int32()), pa.array(out[seen].ravel()), mask=pa.array(~seen))
 
     return df.withColumn(as_, pixel(local, model, params))
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.operators.geometry import pixel_to_ray, pixels, ray_to_pixel
+from fieldloom.operators.geometry import numbers, pixel_to_ray, pixels, ray_to_pixel
 
 #: Fixed values of the rule: the 95 % radius of three normal coordinates, and the least ratio of singular values.
 RADIUS_95, ILL = 2.7954834829151074, 1e-10
@@ -61,28 +61,51 @@ def every(ok: np.ndarray, start: np.ndarray) -> np.ndarray:
     return np.logical_and.reduceat(ok, start[:-1])
 
 
+def _terms(o: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Of rays from o along unit vectors d (three rows each): the six numbers of I - dd', and its product with o."""
+    (x, y, z), along = d, (o * d).sum(0)
+    return np.stack([1 - x * x, -x * y, -x * z, 1 - y * y, -y * z, 1 - z * z, *(o - along * d)])
+
+
+def solved(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """x (three rows) of many symmetric 3 by 3 systems, the rows of s as in `_terms`, and whether each fixes its x.
+
+    By cofactors where the determinant is far from nothing against the trace, which rules a small ratio of eigenvalues out; the others by their eigenvalues."""
+    xx, xy, xz, yy, yz, zz, *b = s
+    c = [yy * zz - yz * yz, xz * yz - xy * zz, xy * yz - xz * yy, xx * zz - xz * xz, xy * xz - xx * yz, xx * yy - xy * xy]
+    det = xx * c[0] + xy * c[1] + xz * c[2]
+    good = 4 * det > 1e-4 * (xx + yy + zz) ** 3
+    x = np.stack([c[i] * b[0] + c[j] * b[1] + c[k] * b[2] for i, j, k in ((0, 1, 2), (1, 3, 4), (2, 4, 5))]) / np.where(good, det, 1)
+    rest = np.flatnonzero(~good)
+    if len(rest):
+        a = s[[0, 1, 2, 1, 3, 4, 2, 4, 5]][:, rest].T.reshape(-1, 3, 3)
+        finite = np.isfinite(a).all((1, 2))
+        values = np.linalg.eigvalsh(np.where(finite[:, None, None], a, np.eye(3)))
+        fixed = finite & (values[:, 0] > values[:, 2] * ILL)
+        x[:, rest] = np.linalg.solve(np.where(fixed[:, None, None], a, np.eye(3)), s[6:, rest].T[:, :, None])[:, :, 0].T
+        good[rest] = fixed
+    return x, good
+
+
 def triangulated(centre: np.ndarray, direction: np.ndarray, start: np.ndarray, rounds: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """The point nearest to the rays of each stretch, weighted by inverse squared distance, and whether there is one: rays that fix it, in front of all."""
     size = np.diff(start)
-    of, sums = np.repeat(np.arange(len(size)), size), lambda a: np.add.reduceat(a, start[:-1])
+    of, sums = np.repeat(np.arange(len(size)), size), lambda a: np.add.reduceat(a, start[:-1], axis=-1)
     ok = every(np.isfinite(centre).all(1) & np.isfinite(direction).all(1), start)
-    centre, direction = np.where(ok[of, None], centre, 0), np.where(ok[of, None], direction, 0)
-    middle = sums(centre) / size[:, None]
-    o = centre - middle[of]
-    across = np.eye(3) - direction[:, :, None] * direction[:, None, :]
-    w, x = np.ones(len(o)), np.zeros((len(size), 3))
+    c, d = (np.where(ok[of], a.T, 0) for a in (centre, direction))
+    middle = sums(c) / size
+    o = c - middle[:, of]
+    terms, w = _terms(o, d), np.ones(len(of))
     for _ in range(rounds):
-        a = sums(w[:, None, None] * across)
-        b = sums(w[:, None] * np.einsum("nij,nj->ni", across, o))
-        values = np.linalg.eigvalsh(np.where(ok[:, None, None], a, np.eye(3)))
-        ok &= values[:, 0] > values[:, 2] * ILL
-        x = np.linalg.solve(np.where(ok[:, None, None], a, np.eye(3)), b[:, :, None])[:, :, 0]
-        far = np.linalg.norm(x[of] - o, axis=1)
-        ok &= every(far > 1e-12, start)
-        w = 1 / np.square(np.where(far > 1e-12, far, 1))
+        x, good = solved(sums(w * terms))
+        off = x[:, of] - o
+        far = (off * off).sum(0)
+        apart = far > 1e-24
+        ok &= good & every(apart, start)
+        w = 1 / np.where(apart, far, 1)
         w /= np.maximum.reduceat(w, start[:-1])[of]
     x = x + middle
-    return x, ok & every(((x[of] - centre) * direction).sum(1) > 0, start)
+    return x.T, ok & every(((x[:, of] - c) * d).sum(0) > 0, start)
 
 
 def triangulated_linear(centre: np.ndarray, rotation: np.ndarray, ray: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +183,7 @@ class Tracks:
             for k, e in enumerate(np.eye(3)):
                 ahead, back = (self._seen(local + s * step[:, None] * e, rows) for s in (1, -1))
                 slopes[:, :, k] = (ahead - back) / (2 * step[:, None])
-            slopes = np.einsum("nij,njk->nik", slopes, self.rotation[rows])
+            slopes = slopes @ self.rotation[rows]
         return pixels, slopes, ok & np.isfinite(pixels).all(1) & np.isfinite(slopes).all((1, 2))
 
     def polished(self, x: np.ndarray, steps: int) -> np.ndarray:
@@ -239,25 +262,70 @@ class Assessment:
         self._say(~ok, "degenerate_full_track")
         self._put(1, self._relative_shift(x, np.arange(len(x))))
         self._say(self.values[:, 1] > self.relative, "full_fit_disagreement")
-        left = np.flatnonzero(self._open())
-        for piece in _pieces(t.size[left] * t.captures[left]):
-            self._left_out(left[piece])
+        self._left_out(np.flatnonzero(self._open()))
         self._say((self.values[:, 3] > self.limit) | (self.values[:, 4] > 2 * self.limit), "cross_reprojection")
 
+    def _fits_without(self, tracks: np.ndarray, rounds: int = 4) -> tuple[np.ndarray, np.ndarray]:
+        """As `triangulated`, for each capture of these tracks the fit of all others.
+
+        Tracks of about one size are worked on together, PIECE pairs of a capture and an observation at a time: the sums over observations are products with the weights of all captures."""
+        t = self.t
+        size, k = t.size[tracks], t.captures[tracks]
+        cases = np.cumsum(k) - k
+        places, fits = np.empty((k.sum(), 3)), np.empty(k.sum(), bool)
+        wide = -(-size // 4) * 4
+        for n in np.unique(wide).tolist():
+            alike = np.flatnonzero(wide == n)
+            for at in range(0, len(alike), max(1, PIECE // (n * n))):
+                some = alike[at : at + max(1, PIECE // (n * n))]
+                there = np.arange(n) < size[some, None]
+                rows = t.start[tracks[some], None] + np.where(there, np.arange(n), 0)
+                c, d = t.centre[rows], t.direction[rows]
+                middle = (c * there[:, :, None]).sum(1) / size[some, None]
+                o = c - middle[:, None]
+                ox, oy, oz = (np.ascontiguousarray(o[:, None, :, axis]) for axis in range(3))
+                terms = np.ascontiguousarray(_terms(o.reshape(-1, 3).T, d.reshape(-1, 3).T).T).reshape(len(some), n, 9)
+                across, along = np.ascontiguousarray(d.transpose(0, 2, 1)), (o * d).sum(-1)[:, None]
+                capture, most = np.where(there, t.capture[rows], -1), int(k[some].max())
+                step = max(1, PIECE // (len(some) * n))
+                for low in range(0, most, step):
+                    left = np.arange(low, min(low + step, most))
+                    stay = there[:, None] & (capture[:, None] != left[:, None])
+                    w, ok = stay.astype(float), np.ones((len(some), len(left)), bool)
+                    for _ in range(rounds):
+                        x, good = solved(np.moveaxis(w @ terms, -1, 0).reshape(9, -1))
+                        x = x.reshape(3, len(some), len(left), 1)
+                        far, more = x[0] - ox, x[1] - oy
+                        far *= far
+                        more *= more
+                        far += more
+                        np.subtract(x[2], oz, out=more)
+                        more *= more
+                        far += more
+                        apart = far > 1e-24
+                        ok &= good.reshape(ok.shape) & (apart | ~stay).all(-1)
+                        w = np.divide(stay, far, out=np.zeros_like(far), where=apart)
+                    x = x[..., 0].transpose(1, 2, 0)
+                    ok &= ((x @ across - along > 0) | ~stay).all(-1)
+                    has = left < k[some, None]
+                    to = (cases[some, None] + left)[has]
+                    places[to], fits[to] = (x + middle[:, None])[has], ok[has]
+        return places, fits
+
     def _left_out(self, tracks: np.ndarray) -> None:
         """Each capture against the fit of all others."""
+        if not len(tracks):
+            return
         t = self.t
         k = t.captures[tracks]
-        of, capture = np.repeat(tracks, k), spread(np.zeros(len(tracks), int), k)  # a case for each capture
-        case = np.repeat(np.arange(len(of)), t.size[of])
-        rows = spread(t.start[of], t.size[of])
-        held = t.capture[rows] == capture[case]
-        stay, out = rows[~held], rows[held]
-        x, fits = triangulated(t.centre[stay], t.direction[stay], np.concatenate([[0], np.cumsum(np.bincount(case[~held], minlength=len(of)))]))
-        pixels, front = t.pixels(x[case[held]], out)
-        seen = np.concatenate([[0], np.cumsum(np.bincount(case[held], minlength=len(of)))])
-        fault = np.where(~fits, 1, np.where(~every(front, seen), 2, 0))
+        of = np.repeat(tracks, k)  # a case for each capture
         cases = np.concatenate([[0], np.cumsum(k)])
+        x, fits = self._fits_without(tracks)
+        out = spread(t.start[tracks], t.size[tracks])  # captures stand in their order
+        case = np.repeat(cases[:-1], t.size[tracks]) + t.capture[out]
+        pixels, front = t.pixels(x[case], out)
+        seen = np.concatenate([[0], np.cumsum(np.bincount(case, minlength=len(of)))])
+        fault = np.where(~fits, 1, np.where(~every(front, seen), 2, 0))
         first = np.minimum.reduceat(np.where(fault > 0, np.arange(len(of)), len(of)), cases[:-1])
         kind = np.append(fault, 0)[first]
         self.reason[tracks[kind == 1]], self.reason[tracks[kind == 2]] = "degenerate_leave_one_out", "invalid_leave_one_out_projection"
@@ -278,18 +346,18 @@ class Assessment:
 
     def _order(self, tracks: np.ndarray) -> np.ndarray:
         """The captures' places in their order, for the observations of these tracks: as they stand; along the centres' main axis where they are of several sources."""
-        t, out = self.t, []
-        for k in tracks.tolist():
-            own = slice(t.start[k], t.start[k + 1])
-            capture, source = t.capture[own], t.source[own]
-            if (source == source[0]).all():
-                out.append(capture)
-                continue
-            centres = np.column_stack([np.bincount(capture, t.centre[own][:, c]) for c in range(3)]) / np.bincount(capture)[:, None]
-            around = centres - centres.mean(axis=0)
-            along = around @ np.linalg.svd(around, full_matrices=False)[2][0]
-            out.append(np.argsort(np.argsort(along, kind="stable"))[capture])
-        return np.concatenate(out)
+        t, k, size = self.t, self.t.captures[tracks], self.t.size[tracks]
+        rows, first, stop = spread(t.start[tracks], size), np.cumsum(k) - k, np.cumsum(size)
+        at = np.repeat(first, size) + t.capture[rows]
+        centres = np.column_stack([np.bincount(at, t.centre[rows, c]) for c in range(3)]) / np.bincount(at)[:, None]
+        mixed = ~every(t.source[rows] == np.repeat(t.source[t.start[tracks]], size), np.append(0, stop))
+        place = spread(np.zeros(len(tracks), int), k)
+        for n in np.unique(k[mixed]).tolist():  # tracks of as many captures together
+            own = first[mixed & (k == n), None] + np.arange(n)
+            around = centres[own] - centres[own].mean(axis=1, keepdims=True)
+            along = (around @ np.linalg.svd(around, full_matrices=False)[2][:, 0, :, None])[:, :, 0]
+            place[own] = np.argsort(np.argsort(along, axis=1, kind="stable"), axis=1)
+        return place[at]
 
     def _halved(self, tracks: np.ndarray) -> None:
         """Early against late captures, then even against odd ones: each half's fit on the other half."""
@@ -334,14 +402,6 @@ def gathered(observations: DataFrame, points: DataFrame, point: str = "point3d_i
     return rows.join(points.select(point, "xyz"), point, "left")
 
 
-def _numbers(lists: pa.Array, width: int) -> np.ndarray:
-    """A column of lists of `width` numbers; NaN for nulls and lists of another length."""
-    size = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-    out = np.full((len(lists), width), np.nan)
-    out[size == width] = lists.filter(pa.array(size == width)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, width)
-    return out
-
-
 def _tracks(batch: pa.RecordBatch) -> Tracks:
     lists = batch.column("seen")
     flat = lists.flatten()
@@ -351,7 +411,7 @@ def _tracks(batch: pa.RecordBatch) -> Tracks:
     column = lambda c: flat.field(c).to_numpy(zero_copy_only=False)
     source = flat.field("source").fill_null("").dictionary_encode().indices.to_numpy()
     capture = flat.field("capture").fill_null(-1).to_numpy()
-    return Tracks(_numbers(batch.column("xyz"), 3), start, _numbers(flat.field("centre"), 3), _numbers(flat.field("rotation"), 9).reshape(-1, 3, 3), np.column_stack([column("x"), column("y")]), codes.indices.to_numpy(), cameras, source, capture)
+    return Tracks(numbers(batch.column("xyz"), 3), start, numbers(flat.field("centre"), 3), numbers(flat.field("rotation"), 9).reshape(-1, 3, 3), np.column_stack([column("x"), column("y")]), codes.indices.to_numpy(), cameras, source, capture)
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
