@@ -63,3 +63,15 @@ def test_sightings_are_made_where_the_rows_are_read(spark, tmp_path):
     seen, _ = camera_queries._sightings(spark, str(tmp_path))
     plan = seen._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_the_model_of_the_sightings_is_made_once(spark, tmp_path):
+    """The repair reads its tables a dozen times: none of them may make the pixels anew."""
+    from fieldloom.plans import camera_queries
+
+    rows = [(k, k % 7, k % 5, 1) for k in range(50)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    m = camera_queries._as_model(spark, str(tmp_path))
+    for df in (m.images, m.observations, m.points):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "EvalPython" not in plan and "Exchange" not in plan and df.count()
