@@ -67,7 +67,7 @@ def _said(df: DataFrame, rule: str, item: str) -> DataFrame:
 def pose_faults(images: DataFrame, corrections: DataFrame, primary: str) -> DataFrame:
     """rule, item: what forbids corrections (image_id, old_rotation, old_translation, rotation, translation)."""
     now = images.select("image_id", "source", "frame_id", F.col("rotation").alias("now_rotation"), F.col("translation").alias("now_translation"))
-    met = corrections.join(now, "image_id", "left")
+    met = stored(corrections.join(now, "image_id", "left"), "corrections")  # every rule below reads it
     known = met.where("now_rotation IS NOT NULL")
     shared = images.join(known.select("frame_id").distinct(), "frame_id").groupBy("frame_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     found = [
@@ -102,10 +102,10 @@ def _must_be_none(faults: DataFrame) -> None:
         raise ValueError("; ".join(f"{r['rule']}: {r['item']}" for r in found))
 
 
-def seen_by(images: DataFrame, observations: DataFrame, key: str) -> DataFrame:
-    """Observations (image_id, x, y and key) with what `tracks.gathered` asks of their images."""
+def seen_by(images: DataFrame, observations: DataFrame, *keys: str) -> DataFrame:
+    """Observations (image_id, x, y and keys) with what `tracks.gathered` asks of their images; those of other images are left out."""
     views = images.select("image_id", "source", "capture", "rotation", "model", "params", centre().alias("centre"))
-    return observations.select(key, "image_id", "x", "y").join(views, "image_id")
+    return observations.select(*keys, "image_id", "x", "y").join(views, "image_id")
 
 
 def repaired(model: Model, corrections: DataFrame, recovered: DataFrame, primary: str, **limits: float) -> Repaired:
@@ -165,16 +165,14 @@ def primary_only(model: Model, primary: str, limit: float = 2.0, **limits: float
     if own.isEmpty():
         raise ValueError("the model has no primary images")
     _must_be_none(_said(own.join(model.images.where(~F.col("source").eqNullSafe(primary)).select("frame_id"), "frame_id", "left_semi").select("frame_id").distinct(), "primary and other images share a frame", "frame_id"))
-    held = model.observations.where("point3d_id IS NOT NULL").join(own.select("image_id"), "image_id", "left_semi")
-    seen = seen_by(own, held.select("image_id", "point3d_id", "x", "y", "idx"), "point3d_id")
+    seen = stored(seen_by(own, model.observations.where("point3d_id IS NOT NULL"), "point3d_id", "idx"), "seen")
     placed = stored(tracks.placed(tracks.gathered(seen, model.points), linear=True).where("xyz IS NOT NULL AND captures >= 3").select("point3d_id", "xyz"), "placed")
-    near = stored(tracks.with_errors(seen_by(own, held.withColumn("__key", F.struct("point3d_id", "image_id", "idx")), "__key").select("__key.point3d_id", "__key.idx", "*"), placed).where(F.col("error") <= limit), "near")
-    two = near.groupBy("point3d_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-    left = near.join(two, "point3d_id", "left_semi")
-    judged = stored(tracks.assessed(tracks.gathered(left, placed), limit=limit, **limits).select("point3d_id", "reason"), "judged")
+    near = stored(tracks.with_errors(seen, placed).where(F.col("error") <= limit), "near")
+    left = tracks.gathered(near, placed).where(F.size("seen") >= 2)
+    judged = stored(tracks.assessed(left, limit=limit, **limits).select("point3d_id", "reason"), "judged")
     good = judged.where(tracks.kept()).select("point3d_id")
     points = model.points.join(good, "point3d_id", "left_semi").drop("xyz").join(placed, "point3d_id").select("point3d_id", "xyz", "rgb")
-    stays = left.join(good, "point3d_id", "left_semi").select("image_id", "idx", F.col("point3d_id").alias("__point"))
+    stays = near.join(good, "point3d_id", "left_semi").select("image_id", "idx", F.col("point3d_id").alias("__point"))
     observations = model.observations.join(own.select("image_id"), "image_id", "left_semi").join(stays, ["image_id", "idx"], "left").withColumn("point3d_id", F.col("__point")).select(*model.observations.columns)
     status = F.when(tracks.kept(), "kept").otherwise("deleted")
     changes = model.points.select("point3d_id").join(judged, "point3d_id", "left").select("point3d_id", F.coalesce(F.when(F.col("reason").isNotNull(), status), F.lit("deleted")).alias("status"), "reason", F.lit(None).cast("double").alias("moved"))
