@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldloom.functions.expr import norm, rotation_degrees, unit
 from fieldloom.operators.robust import quantile
+from fieldloom.operators.work import stored
 
 
 def camera_policy(images: DataFrame, camera: str, prior: str, refine: str) -> DataFrame:
@@ -106,11 +111,41 @@ def pose_support(votes: DataFrame, by: list[str], error: str, x: str, y: str, wi
     return out.withColumn("supported", F.coalesce(ok, F.lit(False)))
 
 
-def widest_angles(rays: DataFrame, by: str, ident: str, ray: str) -> DataFrame:
-    """Per track the largest angle between two of its rays, in degrees, folded to 90; tracks are short."""
-    a, b = rays.select(by, F.col(ident).alias("i"), F.col(ray).alias("r")), rays.select(by, F.col(ident).alias("j"), F.col(ray).alias("s"))
-    dot = F.aggregate(F.zip_with("r", "s", lambda x, y: x * y), F.lit(0.0), lambda t, v: t + v)
-    return a.join(b, by).where("i < j").groupBy(by).agg(F.degrees(F.acos(F.least(F.min(F.abs(dot)), F.lit(1.0)))).alias("angle"))
+def widest_angles(rays: DataFrame, by: str, ident: str, ray: str, block: int = 2048) -> DataFrame:
+    """Per track the largest angle between two of its rays, in degrees, folded to 90; rays are arrays of three. Exact, so the work grows with the square of a track.
+
+    Rays are dealt by ident into blocks of about `block` rows; pairs of blocks are spread over the tasks, and a task holds the products of one pair of blocks at a time."""
+    r = lambda k: F.get(ray, F.lit(k)).cast("double")
+    three = F.coalesce(F.size(ray) == 3, F.lit(False))
+    sound = rays.where(F.col(by).isNotNull() & F.col(ident).isNotNull()).select(by, F.col(ident).alias("id"), *(F.when(three, r(k)).alias(f"r{k}") for k in range(3)))
+    blocks = sound.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    dealt = sound.join(blocks, by).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    whole = stored(dealt.groupBy(by, "block").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("id", *(F.coalesce(f"r{k}", F.lit(float("nan"))).alias(f"r{k}") for k in range(3)))).alias("rows")), "ray-blocks")
+    pairs = whole.select(by, "block", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("other"))
+    spread = max(1, -(-pairs.count() // 8))
+    one, two = whole.select(by, "block", F.col("rows").alias("a")), whole.select(by, F.col("block").alias("other"), F.col("rows").alias("b"))
+    met = pairs.join(one, [by, "block"]).join(two, [by, "other"]).select(by, (F.col("block") == F.col("other")).alias("own"), "a", "b").repartition(spread)
+    kind = rays.schema[by].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for own, a, b in zip(batch.column("own").to_pylist(), batch.column("a"), batch.column("b"), strict=True):
+                x, y = (np.stack([v.values.field(f"r{k}").to_numpy(zero_copy_only=False) for k in range(3)]) for v in (a, b))
+                same = a.values.field("id").dictionary_encode().indices.to_numpy() if own else None
+                least, any_ = np.inf, not own or bool((same != same[0]).any())
+                for at in range(0, x.shape[1], 256):
+                    with np.errstate(all="ignore"):
+                        dot = np.abs(x[:, at : at + 256].T @ y)
+                    if own:
+                        dot[same[at : at + 256, None] == same] = np.inf
+                    found = dot.min()
+                    least = min(least, np.fmin.reduce(dot, axis=None) if np.isnan(found) else found)
+                out.append((min(least, 1.0) if least == least else 1.0) if any_ else None)
+            yield pa.RecordBatch.from_arrays([batch.column(by), pa.array(out, pa.float64())], [by, "least"])
+
+    least = met.mapInArrow(run, f"{by} {kind}, least double").where("least IS NOT NULL")
+    return least.groupBy(by).agg(F.degrees(F.acos(F.min("least"))).alias("angle"))
 
 
 def appended_points(points: DataFrame, observations: DataFrame, new: DataFrame, seen: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:

@@ -75,3 +75,35 @@ def test_the_model_of_the_sightings_is_made_once(spark, tmp_path):
     for df in (m.images, m.observations, m.points):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "EvalPython" not in plan and "Exchange" not in plan and df.count()
+
+
+def test_widest_angle_by_blocks_equals_all_pairs(spark):
+    """Blocks of few rays, a track of one ray, repeated idents, nulls; rays are not joined with rays."""
+    from fieldloom.operators import reports
+
+    r = np.random.default_rng(2)
+    rays = [(t, i, (v / np.linalg.norm(v)).tolist()) for t, n in ((1, 40), (2, 7), (3, 1), (4, 2)) for i, v in enumerate(r.normal(0, 1, (n, 3)) * [1, 1, 0.2] + [0, 0, 2])]
+    rays += [(5, 7, [1.0, 0.0, 0.0]), (5, 7, [0.0, 1.0, 0.0]), (6, 1, None), (6, 2, [1.0, 0.0, 0.0]), (None, 1, [1.0, 0.0, 0.0]), (None, 2, [0.0, 1.0, 0.0]), (1, 90, None)]
+    df = spark.createDataFrame(rays, "t int, i int, r array<double>")
+    want = {}
+    for t, i, a in rays:
+        for u, j, b in rays:
+            if t is not None and t == u and i < j:
+                want[t] = max(want.get(t, 0.0), 0.0 if a is None or b is None else float(np.degrees(np.arccos(min(1.0, abs(np.dot(a, b)))))))
+    for block in (3, 2048):
+        out = reports.widest_angles(df, "t", "i", "r", block)
+        got = {x.t: x.angle for x in out.collect()}
+        assert got.keys() == want.keys() and all(abs(got[t] - want[t]) < 1e-6 for t in want)
+
+
+def test_thinned_numbers_the_order_only(spark, monkeypatch):
+    """The places are those of the order's columns alone; rows that it does not tell apart count singly."""
+    from fieldloom.operators import spatial
+
+    asked = []
+    numbered = spatial.numbered
+    monkeypatch.setattr(spatial, "numbered", lambda df, order: asked.append(df.columns) or numbered(df, order))
+    df = spark.createDataFrame([(k // 2, k, 0.5) for k in range(100)], "id long, v long, w double")
+    got = [r.id for r in spatial.thinned(df, ["id"], 10, "floor").orderBy("id").collect()]
+    assert got == [int(np.floor(k * 11.0)) // 2 for k in range(10)] and asked == [["id"]]
+    assert sorted(r.id for r in spatial.thinned(df, ["id"], 70, "floor").collect()) == [int(np.floor(k * (99 / 69))) // 2 for k in range(70)]
