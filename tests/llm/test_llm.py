@@ -10,6 +10,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -486,6 +487,66 @@ def test_lm_score_by_a_plain_computation(spark, corpus, monkeypatch):
         assert abs(got[i] - want) < 1e-4 * abs(want)
 
 
+def test_lm_predicts_every_subword(spark, corpus, odd, empty, monkeypatch):
+    """With `every`: the score of each text from the trained weights, subword by subword; nothing else changes."""
+    kept = {}
+    fit = lm_scoring.fit
+
+    def spy(*args):
+        kept["w"] = fit(*args)
+        return kept["w"]
+
+    rows = [(r.doc_id, r.text) for r in corpus.collect()]
+    plain = {r.doc_id: r for r in lm_scoring.score(corpus, RANKS).collect()}
+    monkeypatch.setattr(lm_scoring, "fit", spy)
+    got = {r.doc_id: r for r in lm_scoring.score(corpus, RANKS, every=True).collect()}
+    ranks = lm_scoring.ranks_of(RANKS)
+    spaced = {i for token, i in ranks.items() if token.startswith(b" ")}
+    subwords = lm_scoring.Words(ranks, P.PATTERN).subwords
+    ids = {x: subwords(" " + x.decode()) for x in {x for _, t in rows for x in t.encode().lower().split()}}
+    c = collections.Counter()
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            c.update([*(k for x in t.encode().lower().split() for k in ids[x]), None])
+    first = sorted((k for k in c if k is not None), key=lambda k: (-c[k], k))[: lm_scoring.CLASSES - 3]
+    of = lambda k: lm_scoring.CLASSES - 1 if k is None else first.index(k) if k in first else lm_scoring.CLASSES - 3 if k in spaced else lm_scoring.CLASSES - 2
+    total, distinct = collections.Counter(), collections.Counter()
+    for k in [*ranks.values(), None]:
+        total[of(k)] += c[k]
+        distinct[of(k)] += 1
+    inner = lambda k: (c[k] + 0.5) / (total[of(k)] + 0.5 * distinct[of(k)])
+    assert abs(sum(map(inner, [*ranks.values(), None])) - len(distinct)) < 1e-6
+    model, several = lm_scoring.Attention(kept["w"]), 0
+    for i, t in rows[::19]:
+        tokens = [*(k for x in t.encode().lower().split() for k in ids[x]), None]
+        several += len(tokens) > 1 + len(t.split())
+        y = [of(k) for k in tokens]
+        want = 0.0
+        for n, k in enumerate(tokens):
+            start = 0 if n < 64 else (n - 64) // 48 * 48 + 48
+            z, _ = model.forward(np.array([[lm_scoring.CLASSES, *y[start:n]]]))
+            want += z[0, -1, y[n]] / math.log(10) + math.log10(inner(k))
+        assert abs(got[i].score - want) < 1e-4 * abs(want)
+        assert plain[i][:5] == got[i][:5] and abs(plain[i].base_score - got[i].base_score) < 1e-9 * abs(got[i].base_score)
+    assert several
+    assert lm_scoring.score(odd, RANKS, every=True).count() == odd.count() and lm_scoring.score(empty, RANKS, every=True).count() == 0
+
+
+def test_lm_words_are_split_and_encoded_as_one_by_one():
+    texts = [" A\x0bB\x0cc\x1cd E\u2003f\x85g ", "", "x", "  ", "\u00c0B\r\n\tz \u3000 \u3000 \u00a0y q\u2003 don't"]
+    owner, words = lm_scoring.split(pa.array(texts))
+    want = [(i, w) for i, t in enumerate(texts) for w in t.encode().lower().split()]
+    assert list(zip(owner.tolist(), words.cast(pa.binary()).to_pylist(), strict=True)) == want
+    w = lm_scoring.Words(lm_scoring.ranks_of(RANKS), P.PATTERN)
+    for some in ([x for _, x in want], [b"plain", b"words"], []):
+        each = [w.subwords(" " + x.decode()) for x in some]
+        ids, size = w.encoded(some)
+        assert ids.tolist() == [k for x in each for k in x] and size.tolist() == list(map(len, each))
+    big = pa.RecordBatch.from_arrays([pa.array(["x" * n for n in (5 << 20, 0, 3 << 20, 3 << 20, 1)])], ["text"])
+    cut = list(lm_scoring.bounded(iter([big])))
+    assert pa.Table.from_batches(cut) == pa.Table.from_batches([big]) and [c.num_rows for c in cut] == [2, 3]
+
+
 def test_work_folders_go(spark, tmp_path):
     df = stored(spark.range(3), "gone")
     path = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
