@@ -547,6 +547,57 @@ def test_lm_words_are_split_and_encoded_as_one_by_one():
     assert pa.Table.from_batches(cut) == pa.Table.from_batches([big]) and [c.num_rows for c in cut] == [2, 3]
 
 
+def test_lm_numbers_keep_the_words_of_top_alone(corpus):
+    words = sorted({x for r in corpus.limit(60).collect() for x in r.text.encode().lower().split()})[:900] + [b"don't", "\u00a0y".encode(), "a\u2003b".encode(), b"\x1cz"]
+    ranks = lm_scoring.ranks_of(RANKS)
+    class_of = (np.arange(max(ranks.values()) + 2) % 61).astype(np.int8)
+    weight_of, top = np.arange(len(class_of)) / 7, {h: 5 + k for k, h in enumerate(lm_scoring.hashes(words[::3]).tolist())}
+    for every in (True, False):
+        w = lm_scoring.Words(ranks, P.PATTERN, class_of, weight_of, top, 4, every)
+        for part in (words[:500], words[300:], words[:0], words[::-1]):
+            numbers = w.numbers(pa.array(part, pa.binary()))
+            assert len(set(numbers.tolist())) == len(part) and w.count[0] == 4 and w.hash[0] == lm_scoring.END_HASH and w.size[0] == 1
+            for x, k in zip(part, numbers.tolist(), strict=True):
+                ids = w.subwords(" " + x.decode())[: None if every else 1]
+                h = lm_scoring.hashes([x])[0]
+                assert w.pieces[w.start[k] : w.start[k] + w.size[k]].tolist() == class_of[ids].tolist() and abs(w.weight[k] - weight_of[ids].sum()) < 1e-9
+                assert w.hash[k] == h and w.count[k] == top.get(h, 0)
+        assert sorted(w.met.to_pylist()) == sorted(words[::3])  # what is rare is not remembered
+
+
+def test_lm_gradients_are_slopes():
+    """In double precision, by differences; with weights so large that exponentials need care as well."""
+    r = np.random.default_rng(5)
+    y = r.integers(0, lm_scoring.CLASSES, (3, 40))
+    for scale, front, back in ((1, 0, 40), (1, 16, 33), (8, 3, 40)):
+        fresh = lm_scoring.Attention.fresh(np.full(lm_scoring.CLASSES, 1 / lm_scoring.CLASSES)).w
+        model = lm_scoring.Attention({k: v.astype(float) * scale for k, v in fresh.items()})
+        real = np.broadcast_to((np.arange(40) >= front) & (np.arange(40) < back), y.shape)
+        x = lm_scoring.shifted(y)
+
+        def loss():
+            z, _ = model.forward(x)
+            return -np.take_along_axis(z, y[..., None], 2)[..., 0][real].mean()
+
+        g = model.gradients(x, y, real)
+        for name, v in model.w.items():
+            for at in [tuple(r.integers(0, n) for n in v.shape) for _ in range(6)]:
+                kept = v[at]
+                v[at] = kept + 1e-5
+                more = loss()
+                v[at] = kept - 1e-5
+                less = loss()
+                v[at] = kept
+                assert abs((more - less) / 2e-5 - g[name][at]) < 1e-4 * max(1, abs(g[name]).max()), (scale, name)
+
+
+def test_lm_rare_words_move_once(corpus, monkeypatch):
+    """Equal words of a text are added up where they are read, so that rare words move to their counts and back to their texts only."""
+    monkeypatch.setattr(lm_scoring, "TOP", 0)
+    plan = lm_scoring.score(corpus, RANKS, every=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and "explode" in plan
+
+
 def test_work_folders_go(spark, tmp_path):
     df = stored(spark.range(3), "gone")
     path = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
