@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.operators import tracks
 from fieldloom.operators.spatial import numbered
-from fieldloom.operators.work import stored
+from fieldloom.operators.work import likely, stored
 
 #: How far the pose a correction was made for, and its rotation, may be off.
 SAME = 1e-8
@@ -83,7 +83,8 @@ def pose_faults(images: DataFrame, corrections: DataFrame, primary: str) -> Data
 
 def track_faults(images: DataFrame, observations: DataFrame, entries: DataFrame, recovered: DataFrame, primary: str) -> DataFrame:
     """rule, item: what forbids recovered tracks. entries: old_id, image_id, idx; recovered: old_id, rgb."""
-    met = entries.join(images.select("image_id", "source"), "image_id", "left").join(observations.select("image_id", "idx", "point3d_id", F.lit(True).alias("there")), ["image_id", "idx"], "left")
+    named = _named(observations, entries, "image_id", "idx").select("image_id", "idx", "point3d_id", F.lit(True).alias("there"))
+    met = stored(entries.join(_named(images, entries, "image_id").select("image_id", "source"), "image_id", "left").join(named, ["image_id", "idx"], "left"), "entries")  # three rules read it
     colours = F.coalesce((F.size("rgb") == 3) & F.forall("rgb", lambda v: v.isNotNull() & v.between(0, 255)), F.lit(False))
     found = [
         _said(entries.groupBy("old_id", "image_id", "idx").count().where("count > 1"), "duplicate recovered observation", "old_id"),
@@ -96,6 +97,11 @@ def track_faults(images: DataFrame, observations: DataFrame, entries: DataFrame,
     return reduce(DataFrame.unionByName, found)
 
 
+def _named(rows: DataFrame, entries: DataFrame, *keys: str) -> DataFrame:
+    """The rows whose keys occur in entries, of which there are few: where they can be broadcast, rows are not moved."""
+    return rows.join(entries.select(*keys).distinct(), [*keys], "left_semi")
+
+
 def _must_be_none(faults: DataFrame) -> None:
     found = faults.limit(5).collect()
     if found:
@@ -113,22 +119,23 @@ def repaired(model: Model, corrections: DataFrame, recovered: DataFrame, primary
 
     A touched track that is not kept loses its point. A recovered track that is not kept is an error. limits: those of tracks.refitted."""
     _must_be_none(pose_faults(model.images, corrections, primary))
-    entries = recovered.select("old_id", F.explode("track").alias("e")).select("old_id", "e.image_id", "e.idx")
+    entries = stored(recovered.select("old_id", F.explode("track").alias("e")).select("old_id", "e.image_id", "e.idx"), "named")
     _must_be_none(track_faults(model.images, model.observations, entries, recovered, primary))
 
     new = corrections.select("image_id", F.col("rotation").alias("__r"), F.col("translation").alias("__t"))
     images = model.images.join(new, "image_id", "left").withColumns({"rotation": F.coalesce("__r", "rotation"), "translation": F.coalesce("__t", "translation")}).select(*model.images.columns)
 
     held = model.observations.where("point3d_id IS NOT NULL")
-    touched = held.join(corrections.select("image_id"), "image_id", "left_semi").select("point3d_id").distinct()
-    old = tracks.gathered(seen_by(images, held.join(touched, "point3d_id", "left_semi"), "point3d_id"), model.points)
+    touched = stored(held.join(corrections.select("image_id"), "image_id", "left_semi").select("point3d_id").distinct(), "touched")
+    seen = seen_by(images, likely(held, touched, "point3d_id"), "point3d_id")  # a track passes with all its observations or with none
+    old = tracks.gathered(seen, model.points).join(touched, "point3d_id", "left_semi")
     fitted = tracks.refitted(old, **limits).select("point3d_id", "reason", F.col("xyz").alias("new"))
     moved = F.sqrt(F.aggregate(F.zip_with("new", "xyz", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
     status = F.when(tracks.kept(), "refit").otherwise("deleted")
     refit = stored(fitted.join(model.points.select("point3d_id", "xyz"), "point3d_id").select("point3d_id", status.alias("status"), "reason", F.when(tracks.kept(), moved).alias("moved"), F.when(tracks.kept(), F.col("new")).alias("new")), "refit")
 
-    primary_seen = entries.join(model.observations.select("image_id", "idx", "x", "y"), ["image_id", "idx"])
-    lost = tracks.gathered(seen_by(images, primary_seen, "old_id"), recovered.select("old_id", F.lit(None).cast("array<double>").alias("xyz")), "old_id")
+    primary_seen = entries.join(_named(model.observations, entries, "image_id", "idx").select("image_id", "idx", "x", "y"), ["image_id", "idx"])
+    lost = tracks.gathered(seen_by(_named(images, entries, "image_id"), primary_seen, "old_id"), recovered.select("old_id", F.lit(None).cast("array<double>").alias("xyz")), "old_id")
     back = stored(tracks.refitted(lost, point="old_id", **limits).select("old_id", "reason", "xyz"), "restored")
     _must_be_none(_said(back.where(~tracks.kept()), "a recovered point does not pass", "old_id"))
     last = model.points.agg(F.max("point3d_id")).first()[0] or 0
